@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.llm import handwritten, splitting, vocabulary
+from quernstone.llm import documentation, handwritten, splitting, vocabulary
 from quernstone.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,16 @@ def p1_pieces(spark, sf_dir):
     return splitting.oversized_pieces(spark, sf_dir)
 
 
+@query
+def p3_found(spark, sf_dir):
+    return documentation.documented(spark, sf_dir).filter("source != 'inherited'").select("id")
+
+
+@query
+def p3_pairs(spark, sf_dir):
+    return documentation.documented(spark, sf_dir)
+
+
 @query
 def p4_found(spark, sf_dir):
     return handwritten.classify(table(spark, sf_dir, "files")).filter(F.size("reasons") > 0).select("file_id")
