@@ -36,6 +36,7 @@ def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
     Only keys that occur more than once are compared, so the wide columns of df are not sorted; they are
     moved once at most, by the key, and not at all where the repeated keys are few enough for Spark to broadcast.
     Rows that agree in key and order all stay: callers drop exact repeats where they matter. A null order is the oldest.
+    Rows with a null in the key name nothing: they all stay.
     """
     again = (
         df.groupBy(*key)
@@ -43,7 +44,7 @@ def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
         .filter("__n > 1")
         .select(*[F.col(k).alias(f"__{k}") for k in key], "__last")
     )
-    on = [df[k].eqNullSafe(again[f"__{k}"]) for k in key]
+    on = [df[k] == again[f"__{k}"] for k in key]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
