@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.llm import documentation, handwritten, splitting, vocabulary
+from quernstone.llm import documentation, handwritten, leakage, splitting, vocabulary
 from quernstone.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,13 @@ SELECT a.mode, a.kind, a.term, CAST(a.total AS BIGINT) AS total, a.chunks, a.chu
 FROM a JOIN sizes s ON a.mode = s.mode
 """
 SQL["p5_found"] = "SELECT mode, kind, term, 'rare' AS mark FROM (" + SQL["p5_terms"] + ") WHERE rare UNION ALL SELECT mode, kind, term, 'common' AS mark FROM (" + SQL["p5_terms"] + ") WHERE common"
+
+
+@query
+def p7_found(spark, sf_dir):
+    return leakage.leaked_pairs(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query
+def p7_items(spark, sf_dir):
+    return leakage.leaked_pairs(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("most_words"))
