@@ -102,12 +102,13 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     counts = count_terms(tokens.unionAll(grams), heavy)
     part = F.split("key", SEP, 3)
-    counts = counts.select(part[0].alias("mode"), part[1].alias("kind"), part[2].alias("name"), "total", "chunks")
-    names = vocab.groupBy("mode", "token").agg(F.min("token_id").alias("term_id"))
+    names = vocab.groupBy("mode", "token").agg(F.min("token_id").alias("term_id")).select(
+        _key(F.col("mode"), "token", F.col("term_id").cast("string")).alias("key"), "token")
+    # one join names the tokens and leaves n-grams, whose key is their text, as they are: the counts are made once
     named = (
-        counts.filter("kind = 'token'").withColumn("term_id", F.col("name").cast("long")).join(names, ["mode", "term_id"])
-        .select("mode", "kind", F.col("token").alias("term"), "total", "chunks")
-        .unionByName(counts.filter("kind = 'ngram'").select("mode", "kind", F.col("name").alias("term"), "total", "chunks"))
+        counts.join(names, "key", "left")
+        .select(part[0].alias("mode"), part[1].alias("kind"), F.when(part[1] == "ngram", part[2]).otherwise(F.col("token")).alias("term"), "total", "chunks")
+        .filter("term is not null")
     )
     sizes = chunks.groupBy("mode").agg(F.count_distinct("id").alias("mode_chunks"))
     return named.join(sizes, "mode").select(
