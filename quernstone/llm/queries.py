@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.llm import documentation, handwritten, leakage, splitting, vocabulary
+from quernstone.llm import documentation, handwritten, leakage, splitting, syntax, vocabulary
 from quernstone.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,16 @@ FROM a JOIN sizes s ON a.mode = s.mode
 SQL["p5_found"] = "SELECT mode, kind, term, 'rare' AS mark FROM (" + SQL["p5_terms"] + ") WHERE rare UNION ALL SELECT mode, kind, term, 'common' AS mark FROM (" + SQL["p5_terms"] + ") WHERE common"
 
 
+@query
+def p6_found(spark, sf_dir):
+    return syntax.checked(table(spark, sf_dir, "files")).filter("error_line is not null").select("file_id").distinct()
+
+
+@query
+def p6_rates(spark, sf_dir):
+    return syntax.rates(table(spark, sf_dir, "files"))
+
+
 @query
 def p7_found(spark, sf_dir):
     return leakage.leaked_pairs(spark, sf_dir).select("doc_id", "item_id")
