@@ -1,0 +1,315 @@
+"""Abusive, hateful and sexual language, however spelled.
+
+Words are read by a Levenshtein automaton that is run along a trie of the lexicon: stretched letters, look-alike digits, signs
+and letters of other scripts, and masked letters cost nothing, other edits are bounded. Terms found are scored
+in windows of words: a term counts in full where it is aimed at people, and less in quotations, for the speaker, or of things.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+
+from quernstone.arrow import map_rows
+from quernstone.runtime import table
+
+CASE = 1.0  # score from which a passage is a case for review
+
+# Insults that count in full when aimed at someone (en, de, fr, es).
+INSULTS = (
+    "asshole arsehole bastard bitch cretin dickhead idiot imbecile moron scumbag slut whore wanker prick cunt twat douchebag motherfucker fucker jackass dumbass loser retard shithead dipshit "
+    "clown pig hag simpleton halfwit nitwit degenerate lowlife "
+    "arschloch vollidiot wichser drecksau schlampe hure hurensohn missgeburt dummkopf idiotin trottel penner spast spasti fotze schwachkopf miststuck drecksack "
+    "abruti connard connasse salaud salope ordure pute encule batard debile cretine imbecile pourriture raclure "
+    "imbecil gilipollas cabron puta idiota estupido pendejo maricon zorra bastardo subnormal cretino desgraciado hijoputa"
+).split()
+# Adjectives and exclamations that add to an insult.
+BOOSTERS = (
+    "useless pathetic worthless stinking retarded brainless goddamn fucking stupid dumb filthy disgusting ugly fat rotten damned "
+    "widerliches dreckiges verdammtes widerlicher dreckiger verdammter dumme blode minable sale inutil asqueroso asquerosa sucio maldito repugnante putain immonde"
+).split()
+# Words that aim at a person.
+TARGETS = (
+    "you your youre yourself u ur whoever somebody anyone hes shes du dich dir dein deine deiner ihr euch euer tu te ta ton tes toi vous votre eres tus ti usted ustedes vosotros quien tell"
+).split()
+# Words of meta talk, of the speaker, and of things, that take weight away in their window.
+META = "word words term terms glossary category categories preset lexicon vocabulary moderation detector classifier wordlist".split()
+SELF = "i im my myself me mine ich mein meine je mon ma mes yo mi soy".split()
+
+# Passages that are cases by their words together. weight, window in words, then the words (| between
+# alternatives); the first is the rarest.
+RULES_TEXT = """
+threat 1.2 7 : burn|torch ; your ; house|home|car
+threat 1.2 6 : break|snap|crush ; your|youre ; fingers|neck|legs|bones|arms|jaw|nose
+threat 1.2 9 : smash|bash|crack|kick|cave ; your ; skull|face|head|teeth
+threat 1.2 8 : stairs|cliff|window|bridge|roof|train ; you ; pushed|push|throw|threw
+threat 1.2 6 : choke ; hope ; you
+threat 1.1 3 : dead|die ; drop|please|just ; bitch|idiot|moron|bastard|asshole|to|and|you
+threat 1.2 4 : kill|stab|strangle|hang|shoot|murder|gut ; you|yourself|yourselves|him|her|them ; will|gonna|go|should|must|ought
+threat 1.1 6 : park|live|sleep ; where ; you ; know
+threat 1.0 5 : find|hunt ; you ; will|gonna ; i ; smash|kill|break|hurt|after
+threat 1.1 6 : beaten|whipped|shot|hanged|lynched|gassed|stoned ; should|must|deserves|deserve ; be
+threat 1.2 8 : zahne|fresse|schadel|knochen ; schlag|schlage|breche|brech|polier|poliere ; dir
+threat 1.1 5 : wohnst ; wo ; weiss
+threat 1.2 7 : romper|partir|reventar|quemar ; te ; cara|piernas|cabeza|casa
+threat 1.1 5 : vives ; donde ; se
+threat 1.2 7 : casser|peter|crever|bruler|defoncer ; te|ta|ton ; gueule|tete|jambes|maison|dents
+threat 1.1 6 : habites|gares|dors ; ou ; sais
+insult 1.2 4 : fresse|klappe|maul ; halt ; die
+insult 1.1 6 : letzte|abschaum|dreck|nichts ; bist ; du
+insult 1.1 5 : gueule ; ferme|ta ; ta|ferme
+insult 1.1 6 : boca|pico|hocico ; cierra ; la
+insult 1.1 8 : degage|casse ; abruti|cretin|connard|minable|salaud|tu|toi ; nes|es|tu|dici|toi
+insult 1.1 8 : largate|vete ; eres|cabron|imbecil|mierda|inutil ; vez|una|eres
+insult 1.1 7 : mouth|trap|gob ; shut ; your
+insult 1.2 7 : ass|arse|backside ; your ; shove|stick
+insult 1.1 6 : hell ; go|rot|burn ; to|in ; you|youre|your
+insult 1.1 8 : sewer|hole|gutter|swamp|cave ; crawl|slither ; back
+insult 1.1 7 : boots|shoes|feet ; lick ; my
+insult 1.1 12 : ashamed ; mother|parents|family ; your ; must|should|day
+insult 1.2 9 : face|belly|body|ass ; your ; ugly|fat|wrinkled|disgusting|stupid
+insult 1.1 5 : hag|cow|pig ; old|fat|stupid|ugly ; get|you|your|lost|nobody
+insult 1.1 5 : nothing|worthless|garbage|trash|scum ; you|youre ; are|youre ; bitch|idiot|moron|bastard|whore|slut|asshole|scumbag|cretin|dickhead|imbecile|clown|boots|lick
+insult 1.1 6 : worthless|stupid|disgusting|useless|pathetic ; you|youre ; are|youre ; everybody|everyone|team|and|knows|know|know
+insult 1.1 5 : shit|merde|mierda|scheisse ; piece|pile|tas|pedazo|stuck|sack ; of|de|you|scheisse
+hate 1.2 9 : vermin|subhuman|subhumans|cockroaches|parasites|untermenschen|ungeziefer|vermine|cucarachas|parasitos|cafards|savages ; are|is|they|sind|sont|son|all|alle|tous|todos
+hate 1.2 8 : rats|ratten|ratas ; breed|echarlos|vermehren|son|reproduisent|multiply ; like|todos|a|wie|los|que|comme
+hate 1.2 10 : thieves|criminals|liars|animals|rapists ; filthy|dirty|all ; blood|birth|nature|trust
+hate 1.2 9 : disease|plague|cancer|infection|virus ; gays|them|they|jews|muslims|immigrants|foreigners|women|blacks ; are ; out|country|team|get
+hate 1.2 16 : stolen|steal|steals ; hire|hires ; another|lock
+hate 1.1 9 : ruin|destroy|spoil ; like ; you ; every|everything ; touch|they
+hate 1.2 12 : kitchen|stove ; women|woman|girls|girl|frauen|femmes|mujeres ; back|belong|to|in
+hate 1.2 14 : beat|beating|whip ; every|all ; last|one ; learn|place|until
+hate 1.1 10 : rausgeworfen|vergast|abgeschoben|ausgerottet ; alle ; gehoren|sollte|mussen
+hate 1.1 9 : chasser|expulser|exterminer ; tous|toutes ; faut|les
+hate 1.1 9 : echarlos|expulsarlos|matarlos ; todos|todas ; que|hay
+hate 1.1 10 : driven|thrown|kicked ; out ; country|project|be
+hate 1.1 9 : allowed|let ; no ; near ; subhuman|animals|they|people
+hate 1.1 7 : people ; you ; there|kind ; breed|rats|hands
+sexual 1.1 14 : fuck|fucked|fucks|fucking ; her|him|me|table|desk|bed ; rip|off|blouse|dress|on|hard
+sexual 1.1 8 : tits|boobs|nudes|pussy|dick ; your|her|his|my ; send|show|pictures|photos|me|suck|grab|lick
+sexual 1.1 10 : thighs|breasts|nipples|crotch|groin ; her|his|your ; moaned|slid|hand|undressed|between|licked|kissed
+sexual 1.1 10 : sex ; sweaty|loud|wild|rough|dirty|oral|anal ; had|dawn|have|having|other|stripped
+sexual 1.1 9 : stripped|undressed|undress|naked ; her|each|him|she|they ; slowly|other|sex|moaned|thighs|other|server
+sexual 1.1 8 : bend|bent|kneel ; over|down ; desk|table|legs|knees|slut|show
+sexual 1.0 8 : schlampe|nutte|salope|puta|zorra|slut|whore ; bend|desk|show|legs|ass|nice|suck|blow
+"""
+RULES = []
+for _line in RULES_TEXT.strip().splitlines():
+    _head, _, _parts = _line.partition(" : ")
+    _kind, _weight, _window = _head.split()
+    RULES.append((_kind, float(_weight), int(_window), [tuple(p.strip().split("|")) for p in _parts.split(";")]))
+
+LOOK_ALIKE = {
+    "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l",
+}
+MASK = frozenset("*#%_?")
+# Letters of other scripts by the Latin letter they look like.
+SCRIPTS = str.maketrans({
+    **dict(zip("аеорсухіѕјкмнтвгԁԛԝһ", "aeopcyxisjkmhtbrdqwh")), **dict(zip("αεορνικτυχηω", "aeopviktuxnw")), "ı": "i", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "ß": "ss",
+})
+_INVISIBLE = re.compile("[­​-‏⁠-⁤﻿᠎͏]")
+_SPELLED = re.compile(r"(?<![^\s\"'(])((?:[^\W_]|[*#@$])(?:([-._~·/])(?:[^\W_]|[*#@$])){0}(?:[-._~·/](?:[^\W_]|[*#@$])){2,})(?=[-._~·/]?(?:[\s.,;:!?\"')]|$))")
+_SPACED = re.compile(r"(?<!\S)((?:[^\W\d_]|[*#@$\d])(?: (?:[^\W\d_]|[*#@$\d])){3,})(?=$|[\s.,;:!?])")
+_TOKEN = re.compile(r"[^\s]+")
+_STRIP = ".,;:!?()[]{}<>\"'`´’‘“”«»„…¡¿-–—/\\^~"
+_SENTENCE_END = re.compile(r"[.!?…]+[\"')\]]*$")
+
+
+def plain_form(text: str) -> str:
+    """Lower-case text without invisible characters and marks on letters, with look-alike letters as Latin ones."""
+    text = _INVISIBLE.sub("", text).casefold().translate(SCRIPTS)
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(SCRIPTS)
+    text = _SPELLED.sub(lambda m: re.sub(r"[-._~·/]", "", m.group(1)) + " ", text)
+    return _SPACED.sub(lambda m: m.group(1).replace(" ", ""), text)
+
+
+class Lexicon:
+    """A trie of terms that is searched with a Levenshtein automaton."""
+
+    def __init__(self, terms):
+        self.root: dict = {}
+        for term in sorted(set(terms)):
+            node = self.root
+            for c in term:
+                node = node.setdefault(c, {})
+            node[""] = term
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def find(self, word: str) -> tuple[str, ...]:
+        """Terms a written word may stand for."""
+        found = self.known.get(word)
+        if found is None:
+            found = self._search(word)
+            if len(self.known) < 400_000:
+                self.known[word] = found
+        return found
+
+    def _search(self, word: str) -> tuple[str, ...]:
+        exact = self._walk(word, 0)
+        if exact:
+            return exact
+        letters = word.isalpha()
+        # a word of letters alone may well be another word: only long ones are taken for misspellings
+        if len(word) >= (8 if letters else 6) and word[0].isalpha():
+            near = self._walk(word, 1)
+            return tuple(t for t in near if len(t) >= (7 if letters else 5) and t[0] == word[0])
+        return ()
+
+    def _walk(self, word: str, edits: int) -> tuple[str, ...]:
+        """Product of the trie and the automaton of `word` with up to `edits` edits.
+
+        States are (trie node, place in word, edits, last letter); reading the last letter again is free (stretching).
+        """
+        masks = sum(c in MASK for c in word)
+        if masks * 2 > len(word) or len(word) > 40:
+            return ()
+        n, found = len(word), {}
+        todo = [(self.root, 0, 0, "")]
+        seen = set()
+        while todo:
+            node, i, used, last = todo.pop()
+            key = (id(node), i, used, last)
+            if key in seen:
+                continue
+            seen.add(key)
+            if i == n:
+                term = node.get("")
+                if term is not None:
+                    found[term] = min(found.get(term, 9), used)
+            else:
+                c = word[i]
+                options = LOOK_ALIKE.get(c, c)
+                if last and last in options:
+                    todo.append((node, i + 1, used, last))
+                for t, child in node.items():
+                    if not t:
+                        continue
+                    if t in options or c in MASK:
+                        todo.append((child, i + 1, used, t))
+                    elif used < edits:
+                        todo.append((child, i + 1, used + 1, t))
+                if used < edits:
+                    todo.append((node, i + 1, used + 1, last))
+            if used < edits:
+                for t, child in node.items():
+                    if t:
+                        todo.append((child, i, used + 1, t))
+        return tuple(sorted(found, key=lambda t: (found[t], t)))
+
+
+def all_terms() -> set[str]:
+    terms = {*INSULTS, *BOOSTERS, *TARGETS, *META, *SELF, "of", "a", "an", "what"}
+    for _, _, _, parts in RULES:
+        for p in parts:
+            terms.update(p)
+    return terms
+
+
+_INSULT_SET, _BOOST_SET, _TARGET_SET, _META_SET, _SELF_SET = map(frozenset, (INSULTS, BOOSTERS, TARGETS, META, SELF))
+_FIRST = frozenset(t for r in RULES for t in r[3][0])
+
+
+def passages(text: str, lexicon: Lexicon):
+    """(score, category) of each passage of a text that has weight."""
+    form = plain_form(text)
+    words, ends, commas, quoted, sentence = [], [], [], [], []
+    quote, number = False, 0
+    for m in _TOKEN.finditer(form):
+        raw = m.group()
+        opened = raw.startswith(('"', "“", "«", "„", "`"))
+        quote = quote or opened
+        word = raw.strip(_STRIP).replace("'", "").replace("’", "")
+        ends.append(bool(_SENTENCE_END.search(raw)))
+        commas.append(raw.endswith(","))
+        quoted.append(quote)
+        words.append(word)
+        sentence.append(number)
+        number += ends[-1]
+        if quote and raw.rstrip(".,;:!?)").endswith(('"', "”", "»", "`")) and (len(raw) > 1 or not opened):
+            quote = False
+    terms = [lexicon.find(w) if w else () for w in words]
+    places: dict[str, list[int]] = {}
+    for k, found in enumerate(terms):
+        for t in found:
+            places.setdefault(t, []).append(k)
+    if not places:
+        return
+    n = len(words)
+
+    def near(k, names, before, after):
+        """Whether a word of the same sentence around word k is one of names."""
+        return any(t in names for j in range(max(0, k - before), min(n, k + after + 1)) if j != k and sentence[j] == sentence[k] for t in terms[j])
+
+    for kind, weight, window, parts in RULES:
+        for t in parts[0]:
+            for k in places.get(t, ()):
+                spots = [k]
+                for names in parts[1:]:
+                    at = [j for s in names for j in places.get(s, ()) if abs(j - k) <= window and (j not in spots)]
+                    if not at:
+                        break
+                    spots.append(min(at, key=lambda j: abs(j - k)))
+                else:
+                    if max(spots) - min(spots) <= window + 2:
+                        yield _weighed(weight, k, near, quoted), kind
+    for t in _INSULT_SET.intersection(places):
+        for k in places[t]:
+            following = [w for w in words[k + 1 : k + 3]]
+            if following[:1] == ["of"] or (near(k, _SELF_SET, 4, 0) and not near(k, _TARGET_SET, 4, 2)):
+                continue  # of a thing, or of the speaker
+            score = 0.6
+            aimed = near(k, _TARGET_SET, 8, 4)
+            vocative = (ends[k] or k == n - 1) and k > 0 and (commas[k - 1] or (terms[k - 1] and _BOOST_SET.intersection(terms[k - 1]) and k > 1 and commas[k - 2]))
+            leading = commas[k] and (k == 0 or ends[k - 1])
+            if aimed or vocative or leading:
+                score += 0.5
+            if near(k, _BOOST_SET, 2, 1):
+                score += 0.2
+            yield _weighed(score, k, near, quoted), "insult"
+
+
+def _weighed(score, k, near, quoted):
+    if near(k, _META_SET, 6, 6):
+        score *= 0.5
+    if quoted[k]:
+        score *= 0.7
+    return score
+
+
+_SCORED = StructType([StructField("doc_id", LongType()), StructField("source", StringType()), StructField("score", DoubleType()), StructField("category", StringType())])
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, score, category): the highest score of a passage of each document and its kind.
+
+    docs: doc_id, text, source. Null and empty texts score 0 with a null category; source is lower-case and trimmed. A
+    document delivered again in other texts has the highest score of them, and the least of its sources.
+    """
+    base = docs.filter("doc_id is not null").select("doc_id", F.lower(F.trim("source")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def make():
+        lexicon = Lexicon(all_terms())
+
+        def kernel(doc_id, source, text):
+            score, kind = max(passages(text, lexicon), default=(0.0, None))
+            yield doc_id, source, float(score), kind if score else None
+
+        return kernel
+
+    rows = map_rows(base, make, _SCORED)
+    return rows.groupBy("doc_id").agg(F.min("source").alias("source"), F.max(F.struct("score", "category")).alias("s")).select("doc_id", "source", "s.score", "s.category")
+
+
+def rates(docs: DataFrame) -> DataFrame:
+    """(source, documents, cases, rate) of each source."""
+    marked = scored(docs).withColumn("case", (F.col("score") >= CASE).cast("long"))
+    return marked.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("case").alias("cases")).withColumn("rate", F.round(F.col("cases") / F.col("documents"), 6))
+
+
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(table(spark, sf_dir, "documents"))
