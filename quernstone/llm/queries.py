@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.llm import abuse, documentation, handwritten, leakage, splitting, syntax, vocabulary
+from quernstone.llm import abuse, documentation, handwritten, leakage, mixing, splitting, syntax, vocabulary
 from quernstone.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,16 @@ def p7_items(spark, sf_dir):
     return leakage.leaked_pairs(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("most_words"))
 
 
+@query
+def p8_mix(spark, sf_dir):
+    return mixing.mixed_documents(spark, sf_dir)
+
+
+@query
+def p8_shares(spark, sf_dir):
+    return mixing.mixed_shares(spark, sf_dir)
+
+
 @query
 def p9_found(spark, sf_dir):
     return abuse.scored_documents(spark, sf_dir).filter(F.col("score") >= abuse.CASE).select("doc_id")
