@@ -166,7 +166,7 @@ class Lexicon:
         States are (trie node, place in word, edits, last letter); reading the last letter again is free (stretching).
         """
         masks = sum(c in MASK for c in word)
-        if masks * 2 > len(word) or len(word) > 40:
+        if masks * 5 > len(word) * 3 or len(word) > 40:
             return ()
         n, found = len(word), {}
         todo = [(self.root, 0, 0, "")]

@@ -216,7 +216,7 @@ def class_head(text: str) -> tuple[str | None, list[str]]:
         if m:
             groups = m.groupdict()
             named = [groups.get("a") or "", *(groups.get("b") or "").split(",")]
-            bases = [re.split(r"[.:]+", re.sub(r"<.*|\s*=.*|\[.*", "", b).strip())[-1] for b in named]
+            bases = [re.split(r"[.:]+", re.sub(r"<.*|\[.*", "", b).strip())[-1] for b in named if "=" not in b]
             return m.group("name"), [b for b in bases if re.fullmatch(r"\w+", b) and b not in ("object", "Object", "ABC")]
     return None, []
 

@@ -186,9 +186,9 @@ def _reach(words: list[str], text: str, j: int, p: int, step: int) -> list[int]:
                 best[u] = max(best[u], abs(k - j))
         if used == MAX_ALTERED or k == stop:
             continue
-        # resume within the band at this word (words put in), at the next (replaced or left out)
-        for skip in (0, 1):
-            n = k + step * skip
+        # resume within the band at this word (words put in), or beyond one or more words (replaced or left out)
+        for skip in range(MAX_ALTERED - used + 1):
+            n, cost = k + step * skip, used + max(1, skip)
             if n == stop or not 0 <= n < len(words):
                 continue
             w = words[n]
@@ -196,13 +196,13 @@ def _reach(words: list[str], text: str, j: int, p: int, step: int) -> list[int]:
                 q, end = text.find(w, at, at + BAND + len(w)), None
                 while q >= 0:
                     if q != at or skip:
-                        todo.append((n, q, used + 1))
+                        todo.append((n, q, cost))
                     q = text.find(w, q + 1, at + BAND + len(w))
             else:
                 q = text.rfind(w, max(0, at - BAND - len(w)), at)
                 while q >= 0:
                     if q + len(w) != at or skip:
-                        todo.append((n, q + len(w), used + 1))
+                        todo.append((n, q + len(w), cost))
                     q = text.rfind(w, max(0, at - BAND - len(w)), q + len(w) - 1) if q > 0 else -1
     return best
 
@@ -239,7 +239,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, words): documents that hold a passage of an item.
 
     docs: doc_id, text; items: item_id, text. words counts the item words of the first passage found (MIN_WORDS at least).
-    Null texts and items shorter than MIN_WORDS give nothing; a document delivered again counts once. Items are broadcast
+    The first and last
+    word of a passage are unaltered. Null texts and items shorter than MIN_WORDS give nothing; a document delivered again counts once. Items are broadcast
     in blocks of at most BLOCK_CHARS characters, each against all documents.
     """
     spark = docs.sparkSession
