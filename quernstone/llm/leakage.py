@@ -25,6 +25,7 @@ Q = 8  # length of the q-grams
 MIN_WORDS = 20  # words of an item in succession that make a passage
 MAX_ALTERED = 2  # words of them that may be altered, left out or put in
 BAND = 48  # characters by which alterations may shift a passage
+RESUME = 6  # characters that must agree in a row after an alteration, as short words agree by chance
 BLOCK_CHARS = 20_000_000  # characters of items that are broadcast at once; more items go in several blocks
 
 _LINE_PREFIX = re.compile(
@@ -168,7 +169,7 @@ def _reach(words: list[str], text: str, j: int, p: int, step: int) -> list[int]:
         if (k, at, used) in seen:
             continue
         seen.add((k, at, used))
-        matched = False
+        began = at
         while k != stop:
             w = words[k]
             if step > 0:
@@ -180,8 +181,9 @@ def _reach(words: list[str], text: str, j: int, p: int, step: int) -> list[int]:
                     break
                 at -= len(w)
             k += step
-            matched = True
-        if matched:
+        if used and abs(at - began) < RESUME:
+            continue
+        if at != began:
             for u in range(used, MAX_ALTERED + 1):
                 best[u] = max(best[u], abs(k - j))
         if used == MAX_ALTERED or k == stop:
@@ -193,7 +195,7 @@ def _reach(words: list[str], text: str, j: int, p: int, step: int) -> list[int]:
                 continue
             w = words[n]
             if step > 0:
-                q, end = text.find(w, at, at + BAND + len(w)), None
+                q = text.find(w, at, at + BAND + len(w))
                 while q >= 0:
                     if q != at or skip:
                         todo.append((n, q, cost))

@@ -4,7 +4,7 @@ import random
 from quernstone.llm.leakage import ItemIndex, item_words, leaks, longest_passage, squeezed
 
 rnd = random.Random(9)
-VOCAB = ["".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randrange(2, 10))) for _ in range(600)]
+VOCAB = ["".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randrange(6, 12))) for _ in range(600)]
 
 
 def passage(n):
