@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quernstone.functions.paths import extension
+from quernstone.functions.paths import extension, normal_path
 from quernstone.runtime import latest, table
 
 
@@ -44,3 +44,37 @@ POSTINGS_SQL = ("(SELECT mode, token_id, doc_id, max(tf) AS tf FROM token_postin
                 "AND doc_id IN (SELECT id FROM chunks) GROUP BY mode, token_id, doc_id)")
 NAMED_SQL = (f"(SELECT p.mode, v.token, p.doc_id, CAST(sum(p.tf) AS BIGINT) AS tf FROM {POSTINGS_SQL} p JOIN (SELECT mode, token_id, lower(token) AS token FROM token_vocab WHERE token IS NOT NULL) v "
              "ON p.mode = v.mode AND p.token_id = v.token_id GROUP BY p.mode, v.token, p.doc_id)")
+
+
+def with_file_id(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """chunks with file_id filled from (repo, normalised path) where it is null; chunks of no known file are left out.
+
+    Only rows without file_id move for that; among files of one path the latest, then the greatest id, is taken.
+    """
+    known = chunks.filter("file_id is not null")
+    paths = (
+        files.filter("file_id is not null and path is not null")
+        .groupBy(F.col("repo").alias("__repo"), normal_path(F.col("path")).alias("__path"))
+        .agg(F.max_by("file_id", F.struct("ingested_at", "file_id")).alias("__file_id"))
+    )
+    lost = chunks.filter("file_id is null").withColumn("__p", normal_path(F.col("file")))
+    found = lost.join(paths, (lost["repo"] == paths["__repo"]) & (lost["__p"] == paths["__path"]))
+    return known.unionByName(found.select(*[F.col("__file_id").alias("file_id") if c == "file_id" else lost[c] for c in chunks.columns]))
+
+
+#: Chunks with the id, path, suffix and text of their file.
+LOCATED_SQL = rf"""(SELECT c.* EXCLUDE (file_id), f.file_id, f.path, f.suffix, f.lang, f.content, CASE WHEN c."end" > c.start AND c.start >= 0 THEN substring(f.content, CAST(c.start + 1 AS BIGINT), CAST(c."end" - c.start AS BIGINT)) END AS text
+FROM {CHUNKS_SQL} c LEFT JOIN (SELECT repo, path, max(file_id) AS file_id FROM files GROUP BY repo, path) p
+  ON c.file_id IS NULL AND c.repo = p.repo AND p.path = regexp_replace(replace(trim(c.file), chr(92), '/'), '^(\.?/)+', '')
+JOIN {FILES_SQL} f ON f.file_id = coalesce(c.file_id, p.file_id))"""
+
+
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of known files, each once, with path, suffix, lang, content and `text`, the chunk's range of the content.
+
+    Content is shuffled by file once and repeated by chunk; ranges that are null, inverted or past the end give an empty text.
+    """
+    c = with_file_id(chunks(spark, sf_dir), table(spark, sf_dir, "files"))
+    f = files(spark, sf_dir, "path", "suffix", "lang", "content")
+    text = F.substring("content", (F.col("start") + 1).cast("int"), F.greatest(F.col("end") - F.col("start"), F.lit(0)).cast("int"))
+    return c.join(f, "file_id").withColumn("text", F.when((F.col("end") > F.col("start")) & (F.col("start") >= 0), text))
