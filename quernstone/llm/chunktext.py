@@ -4,23 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quernstone.functions.paths import normal_path
+from quernstone.operators.tables import with_file_id
 from quernstone.runtime import latest
 
-BATCH = 512  # chunks of one file that one row may carry; a file with more has several rows
-
+__all__ = ["files_with_chunks", "with_file_id"]
 
-def with_file_id(chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """chunks with file_id filled from (repo, normalised path) where it is null; chunks of no known file are left out."""
-    known = chunks.filter("file_id is not null")
-    paths = (
-        files.filter("file_id is not null and path is not null")
-        .groupBy(F.col("repo").alias("__repo"), normal_path(F.col("path")).alias("__path"))
-        .agg(F.max_by("file_id", F.struct("ingested_at", "file_id")).alias("__file_id"))
-    )
-    lost = chunks.filter("file_id is null").withColumn("__p", normal_path(F.col("file")))
-    found = lost.join(paths, (lost["repo"] == paths["__repo"]) & (lost["__p"] == paths["__path"]))
-    return known.unionByName(found.select(*[F.col("__file_id").alias("file_id") if c == "file_id" else lost[c] for c in chunks.columns]))
+BATCH = 512  # chunks of one file that one row may carry; a file with more has several rows
 
 
 def files_with_chunks(chunks: DataFrame, files: DataFrame, ref: Column) -> DataFrame:
