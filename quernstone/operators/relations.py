@@ -10,7 +10,7 @@ from quernstone.operators import tables
 CALL = r"([A-Za-z_][A-Za-z0-9_]*)\("
 USE = r"([a-z_][A-Za-z0-9_]*)\.[A-Za-z_]"
 NOT_CALLS = ("if", "for", "while", "switch", "catch", "function", "return", "match", "elif", "def", "func", "fn", "constructor", "sizeof", "super")
-IMPORT = r"(?:from\s+|import\s+|require\(|#include\s+)[\"'<]([^\"'>\n]+)[\"'>]"
+IMPORT = r"(?m)(?:(?:from\s+|import\s+|require\(|#include\s+)[\"'<]|^from\s+|^use\s+)([\w./@:-]+)"
 BRANCH, LOOP, BREAK, CONTINUE = r"\b(if|switch|match|case)\b", r"\b(for|while|loop)\b", r"\b(break)\b", r"\b(continue)\b"
 
 
