@@ -66,8 +66,8 @@ def selected_repos(repos: DataFrame, explicit: list[str], tags: list[str], globs
 
 def cohort_gate(repos: DataFrame) -> DataFrame:
     """(repo, cohort, kept): repos of the first cohort are kept, others are left out."""
-    first = cohorts(repos).filter("rank = 1").select(F.col("cohort").alias("__first"))
-    return repos.filter("enabled").crossJoin(F.broadcast(first)).select("repo", "cohort", F.col("cohort").eqNullSafe(F.col("__first")).alias("kept"))
+    first = cohorts(repos).filter("rank = 1").select("cohort").scalar()
+    return repos.filter("enabled").select("repo", "cohort", F.col("cohort").eqNullSafe(first).alias("kept"))
 
 
 def contracts(symbols: DataFrame, calls: DataFrame) -> DataFrame:

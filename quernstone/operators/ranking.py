@@ -6,6 +6,8 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quernstone.runtime import one
+
 # Weights of the fields by query intent, and of full-text columns by profile.
 FIELD_WEIGHTS = {
     "code": {"name": 2.0, "signature": 1.5, "doc": 1.2, "comment": 0.6, "body": 1.0, "keyword": 0.25, "operator": 0.05},
@@ -46,8 +48,11 @@ def bm25(postings: DataFrame, lengths: DataFrame, stats: DataFrame, query: list[
     for t, n in sorted(times.items()):
         qtf = F.when(F.col("token") == t, F.lit(n)).otherwise(qtf)
     scored = hits.join(df, [*keys, "token"]).join(lengths, [*keys, "doc_id"])
-    # stats is one row, or one row a field
-    scored = scored.join(F.broadcast(stats), keys) if keys else scored.crossJoin(F.broadcast(stats))
+    if keys:
+        scored = scored.join(stats, keys)
+    else:
+        s = one(stats)
+        scored = scored.withColumns({"n": s["n"], "avg_dl": s["avg_dl"]})
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl"))) * qtf
     return scored.groupBy(*keys, "doc_id").agg(F.sum(part).alias("score"))
@@ -77,8 +82,7 @@ def fuse_rrf(sparse: DataFrame, dense: DataFrame, k: int = 60) -> DataFrame:
 
 def fuse_blend(sparse: DataFrame, dense: DataFrame, sparse_weight: float = 0.7, dense_weight: float = 0.3) -> DataFrame:
     """(doc_id, score): sparse over its maximum and dense from [-1, 1] to [0, 1], by weights over the lists a hit is in."""
-    most = sparse.agg(F.max("score").alias("most"))
-    s = sparse.crossJoin(F.broadcast(most)).select("doc_id", F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(0.0).alias("s"))
+    s = sparse.withColumn("most", sparse.agg(F.max("score")).scalar()).select("doc_id", F.when(F.col("most") > 0, F.col("score") / F.col("most")).otherwise(0.0).alias("s"))
     d = dense.select("doc_id", ((F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(-1.0)) + 1) / 2).alias("d"))
     both = s.join(d, "doc_id", "full")
     weights = F.when(F.col("s").isNotNull(), sparse_weight).otherwise(0.0) + F.when(F.col("d").isNotNull(), dense_weight).otherwise(0.0)

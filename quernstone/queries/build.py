@@ -302,8 +302,7 @@ def g24_validation(spark, sf_dir):
 @query(sql="SELECT a.vec_id, round(1 - (1 - list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))))), 6) AS similarity FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 1) b")
 def w07_similarity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("v"))
-    one = e.filter("vec_id = 1").select(F.col("v").alias("q"))
-    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(V.similarity(1 - V.dot(F.col("v"), F.col("q")), "cosine"), 6).alias("similarity"))
+    return e.withColumn("q", e.filter("vec_id = 1").select("v").scalar()).select("vec_id", F.round(V.similarity(1 - V.dot(F.col("v"), F.col("q")), "cosine"), 6).alias("similarity"))
 
 
 @query(sql=f"SELECT id, round(least(1.5, 0.25 * len(list_intersect(list_transform(calls, lambda c: lower(c)), ['report', 'len', 'push', 'append'])) + 0.1 * len(list_intersect(list_transform(usages, lambda c: lower(c)), ['log', 'logger', 'item', 'push']))), 6) AS boost FROM {RELATED_SQL} WHERE text IS NOT NULL")

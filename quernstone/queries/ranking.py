@@ -9,7 +9,7 @@ from quernstone.operators import ranking as R, similarity as S, tables
 from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL, NAMED_SQL, POSTINGS_SQL
 from quernstone.queries import query
 from quernstone.queries.text import lower_split_sql
-from quernstone.runtime import table
+from quernstone.runtime import one, table
 
 QUERY = ["graph", "lease", "merge", "graph"]
 _QTF = "CASE token WHEN 'graph' THEN 2 ELSE 1 END"
@@ -21,7 +21,7 @@ def index(spark, sf_dir, mode="code"):
     p = tables.named_postings(spark, sf_dir).filter(F.col("mode") == mode).select("token", "doc_id", "tf")
     n = tables.chunks(spark, sf_dir, "mode").filter(F.col("mode") == mode).select("id")
     lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = n.agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("all_dl"))).select("n", (F.col("all_dl") / F.col("n")).alias("avg_dl"))
+    stats = n.agg(F.count(F.lit(1)).alias("n")).withColumn("avg_dl", lengths.agg(F.sum("dl")).scalar() / F.col("n"))
     return p, lengths, stats
 
 
@@ -133,7 +133,7 @@ def w02_fielded_bm25(spark, sf_dir):
     p = field_tokens(spark, sf_dir).groupBy("field", "token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     lengths = p.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
     n = tables.chunks(spark, sf_dir, "mode").filter("mode = 'code'").agg(F.count(F.lit(1)).alias("n"))
-    stats = lengths.groupBy("field").agg(F.sum("dl").alias("s")).crossJoin(F.broadcast(n)).select("field", "n", (F.col("s") / F.col("n")).alias("avg_dl"))
+    stats = lengths.groupBy("field").agg(F.sum("dl").alias("s")).withColumn("n", n.scalar()).select("field", "n", (F.col("s") / F.col("n")).alias("avg_dl"))
     hits = R.bm25(p, lengths, stats, QUERY, field="field")
     w = F.lit(0.0)
     for name, value in R.FIELD_WEIGHTS["code"].items():
@@ -168,13 +168,14 @@ def w04_fts_normalized(spark, sf_dir):
     p = field_tokens(spark, sf_dir).groupBy("field", "token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     lengths = p.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
     n = tables.chunks(spark, sf_dir, "mode").filter("mode = 'code'").agg(F.count(F.lit(1)).alias("n"))
-    stats = lengths.groupBy("field").agg(F.sum("dl").alias("s")).crossJoin(F.broadcast(n)).select("field", "n", (F.col("s") / F.col("n")).alias("avg_dl"))
+    stats = lengths.groupBy("field").agg(F.sum("dl").alias("s")).withColumn("n", n.scalar()).select("field", "n", (F.col("s") / F.col("n")).alias("avg_dl"))
     w = F.lit(0.0)
     for name, value in R.FTS_WEIGHTS["balanced"].items():
         w = F.when(F.col("field") == name, value).otherwise(w)
     hits = R.bm25(p, lengths, stats, QUERY, field="field").groupBy("doc_id").agg(F.sum(F.col("score") * w).alias("score"))
     bounds = hits.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    return hits.crossJoin(F.broadcast(bounds)).select("doc_id", F.round(F.when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))), 6).alias("score"))
+    b = one(bounds)
+    return hits.select("doc_id", F.round(F.when(b["hi"] == b["lo"], 1.0).otherwise((F.col("score") - b["lo"]) / (b["hi"] - b["lo"])), 6).alias("score"))
 
 
 @query(sql="""SELECT query_id, id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) AS score,
@@ -196,8 +197,8 @@ def hit_lists(spark, sf_dir):
     p, lengths, stats = index(spark, sf_dir)
     sparse = R.top_k(R.bm25(p, lengths, stats, QUERY), 40)
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), V.unit(F.col("embedding")).alias("v"))
-    one = e.filter("doc_id = 0").select(F.col("v").alias("q"))
-    dense = R.top_k(e.crossJoin(F.broadcast(one)).select("doc_id", V.dot(F.col("v"), F.col("q")).alias("score")), 40)
+    q = e.filter("doc_id = 0").select("v").scalar()
+    dense = R.top_k(e.withColumn("q", q).select("doc_id", V.dot(F.col("v"), F.col("q")).alias("score")), 40)
     return sparse, dense
 
 

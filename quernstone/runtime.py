@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="quernstone-")
     if not sc.getCheckpointDir():
@@ -24,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def one(df: DataFrame) -> Column:
+    """The only row of df as a struct Column, by a scalar subquery; null where df is empty."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns])).scalar()
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
