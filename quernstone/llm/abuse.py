@@ -145,7 +145,7 @@ class Lexicon:
         found = self.known.get(word)
         if found is None:
             found = self._search(word)
-            if len(self.known) < 400_000:
+            if len(self.known) < 200_000:
                 self.known[word] = found
         return found
 

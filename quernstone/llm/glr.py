@@ -179,7 +179,7 @@ def build_tables(grammar: Grammar) -> dict:
 class Recognizer:
     """Steps through the tables of one grammar; remembers steps within LIMIT entries."""
 
-    LIMIT = 1_500_000
+    LIMIT = 400_000
 
     def __init__(self, tables: dict):
         self.shifts, self.gotos, self.reduces = tables["shifts"], tables["gotos"], tables["reduces"]

@@ -42,19 +42,20 @@ MINIFIED_NAME = r"[.-]min\.(?:js|mjs|cjs|css|ts)$"
 LOCK_NAME = (r"(?:^|/)(?:(?:package|pkg|composer|packages|bun|flake|pdm|poetry|cargo|gemfile|yarn|pnpm|deps|mix|conda)[-_.]lock\b"
              r"|npm-shrinkwrap|yarn\.lock|cargo\.lock|go\.sum)")
 
-HEADER_LINES = 60  # a notice further down than this belongs to code, not to the file
 DATA_SHARE = 0.85  # share of the text in literals from which a file is data
 DATA_BYTES = 600  # shorter lists are ordinary constants
 LONG_LINE = 200  # lines of minified code are longer
 COPY_CHARS = 80  # shorter texts (without white space) may be alike by chance
 
+_LINE = re.compile(r"[^\r\n]+")
 _COMMENT_OPEN = re.compile(r"\s*(?:#!.*|//+|/\*+!?|\*+/?|#+|--|;+|<!--|\"\"\"|''')")
 
 
 def header_of(text: str) -> str:
     """The comment lines at the top of a text, lower-case; it ends at the first line of code."""
     out, block = [], ""
-    for line in text[: HEADER_LINES * 400].lstrip("\ufeff").splitlines()[:HEADER_LINES]:
+    for m in _LINE.finditer(text.removeprefix("\ufeff")):
+        line = m.group()
         bare = line.strip()
         if block:
             out.append(bare)
@@ -76,7 +77,7 @@ def header_of(text: str) -> str:
 
 _BY_NAME = re.compile(r"/\*!\s*[\w.@/-]+ v\d+(?:\.\d+)*")
 _LITERALS = re.compile(
-    r"""(?:(?:"[^"\n]*"|'[^'\n]*'|0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)[\s,;:+()\[\]{}\\]*){24,}"""
+    r"""(?:(?>"[^"\n]*"|'[^'\n]*'|0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?>[\s,;:+()\[\]{}\\]*)){24,}"""
     r"""|(?:"[^"\n]{400,}"|'[^'\n]{400,}'|`[A-Za-z0-9+/=\s]{400,}`)"""
 )
 _CODE_EXT = {"js", "mjs", "cjs", "ts", "py", "go", "rs", "c", "h", "jsx", "tsx", "java", "cc", "cpp", "hpp", "css"}

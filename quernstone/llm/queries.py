@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.llm import abuse, documentation, handwritten, leakage, mixing, splitting, syntax, vocabulary
+from quernstone.operators.tables import LOCATED_SQL
 from quernstone.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,13 @@ def p1_found(spark, sf_dir):
     return splitting.oversized_pieces(spark, sf_dir).select("id").distinct()
 
 
+# the definition itself: bytes and lines of the chunk's range of its file
+SQL["p1_found"] = rf"""
+SELECT DISTINCT c.id FROM {LOCATED_SQL} c JOIN chunklimits l ON c.mode = l.mode
+WHERE c.text <> '' AND (octet_length(encode(c.text)) > l.max_bytes OR length(c.text) - length(replace(c.text, chr(10), '')) - CASE WHEN ends_with(c.text, chr(10)) THEN 1 ELSE 0 END + 1 > l.max_lines)
+"""
+
+
 @query
 def p1_pieces(spark, sf_dir):
     return splitting.oversized_pieces(spark, sf_dir)

@@ -44,7 +44,7 @@ class Words(dict):
             kind = "0" if self.number.fullmatch(word) and (self.verify is None or self.verify(word)) else BAD
         else:
             kind = "a"
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = kind
         return kind
 
@@ -102,7 +102,7 @@ class Language:
         if found is None:
             get = self.operators.get
             found = tuple(get(t, t) for t in self.token.findall(line))
-            if len(self.kinds) < 500_000:
+            if len(self.kinds) < 100_000:
                 self.kinds[line] = found
         return found
 
