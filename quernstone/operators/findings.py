@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.operators.nested import NestedTable, flat_tables
-from quernstone.runtime import latest, table
+from quernstone.runtime import cut, latest, table
 from quernstone.sources.payloads import unpack_payloads
 
 # Nested columns of each table, other names of their keys, and where packages are: path -> place.
@@ -29,7 +29,8 @@ def finding_tables(spark: SparkSession, sf_dir: str, source: str) -> dict[str, N
     columns, aliases, _ = SOURCES[source]
     df = table(spark, sf_dir, source).select("rec_id", *columns, "payload", "ingested_at")
     df = latest(df.filter("rec_id is not null"), ["rec_id"], "ingested_at")
-    return flat_tables(unpack_payloads(df, "rec_id", "payload", columns, aliases), ["rec_id"], columns)
+    # unpacked once: each flat table and each of its two sides reads it
+    return flat_tables(cut(unpack_payloads(df, "rec_id", "payload", columns, aliases).select("rec_id", *columns)), ["rec_id"], columns)
 
 
 def package_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
