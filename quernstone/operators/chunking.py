@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import log2
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -93,13 +94,35 @@ def content_cuts(text: str, low: int, average: int, high: int, least: int = 0, w
         return []
     if len(text) < least:
         return [(0, len(text))]
-    gear = gear_table()
     mask = (1 << max(4, min(20, round(log2(average))))) - 1
+    n, least_size = len(text), max(low, window)
+    if least_size < 32:
+        return _slow_cuts(text, least_size, high, mask)
+    # a value leaves the hash after 32 shifts, so that from 32 characters on it depends on the last 32 alone
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    values = np.array(gear_table(), np.uint32)[codes & 0xFF]
+    h = values.copy()
+    for k in range(1, min(32, n)):
+        h[k:] += values[:-k] << np.uint32(k)
+    anchors = np.flatnonzero((h & np.uint32(mask)) == 0)
+    out, start = [], 0
+    while start < n:
+        i = np.searchsorted(anchors, start + least_size - 1)
+        end = int(anchors[i]) + 1 if i < len(anchors) else n
+        end = min(end, start + high, n)
+        out.append((start, end))
+        start = end
+    return out
+
+
+def _slow_cuts(text: str, least_size: int, high: int, mask: int) -> list[tuple[int, int]]:
+    """The definition of content_cuts, a character at a time."""
+    gear = gear_table()
     out, start, h = [], 0, 0
     for i, c in enumerate(text):
         h = ((h << 1) + gear[ord(c) & 0xFF]) & 0xFFFFFFFF
         size = i + 1 - start
-        if (size >= low and size >= window and not h & mask) or size >= high:
+        if (size >= least_size and not h & mask) or size >= high:
             out.append((start, i + 1))
             start, h = i + 1, 0
     if start < len(text):

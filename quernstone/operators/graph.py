@@ -42,6 +42,8 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, direction: str
     steps = directed(edges, direction).filter("src is not null and dst is not null").distinct()
     if fanout is not None:
         steps = top_n(steps, ["src"], [F.col("dst")], fanout)
+    if depth > 1:
+        steps = cut(steps)  # every level reads the edges: they are made once
     frontier = cut(seeds.select("node").filter("node is not null").distinct().select("node", F.lit(0).alias("distance"), F.array("node").alias("path")))
     seen = frontier
     for d in range(1, depth + 1):

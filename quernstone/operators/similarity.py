@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from quernstone.runtime import cut
 
 MINHASH_SLOTS = 128
 _M = 1 << 32
@@ -52,23 +54,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def minhash(tokens: Column, slots: int = MINHASH_SLOTS) -> Column:
-    """Minima over the tokens of `slots` hashes; null for no tokens.
+def minhash(df: DataFrame, key: str, tokens: str, slots: int = MINHASH_SLOTS) -> DataFrame:
+    """(key, signature): minima over the distinct tokens of `slots` hashes; rows without tokens are left out.
 
-    The hash of slot k folds h * 31 + c from seed k, modulo 2^32. As the fold is linear in its seed, each token needs one fold
-    for its constant part and one power of 31; the slots are arithmetic on these.
+    The hash of slot k folds h * 31 + c over the characters from seed k, modulo 2^32. As the fold is linear in its seed, a token needs one
+    fold for its constant part and one power of 31; the slots of all tokens are then one product of vectors.
     """
-    codes = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.ascii(F.substring(t, i, F.lit(1))).cast("long"))
-
-    def parts(t):
-        constant = F.aggregate(codes(t), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(_M)))
-        power = F.aggregate(codes(t), F.lit(1).cast("long"), lambda p, _: F.pmod(p * 31, F.lit(_M)))
-        return F.struct(constant.alias("h"), power.alias("p"))
-
-    folded = F.transform(F.array_distinct(tokens), parts)
-    # the parts are wrapped in a one-element array, so that they are made once and not in every slot
-    made = F.transform(F.array(folded), lambda f: F.transform(F.sequence(F.lit(1), F.lit(slots)), lambda k: F.array_min(F.transform(f, lambda t: F.pmod(t["p"] * k + t["h"], F.lit(_M))))))
-    return F.when(F.size(tokens) > 0, made[0])
+    kind = df.schema[key].dataType.simpleString()
+
+    def sign(batches):
+        seeds = np.arange(1, slots + 1, dtype=np.uint64)
+        known: dict[str, tuple[int, int]] = {}
+
+        def fold(token):
+            h, p = 0, 1
+            for c in token:
+                h, p = (h * 31 + ord(c)) % _M, p * 31 % _M
+            if len(known) < 200_000:
+                known[token] = h, p
+            return h, p
+
+        for batch in batches:
+            keys, out = [], []
+            for k, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [known.get(w) or fold(w) for w in set(words or ()) if w is not None]
+                if parts:
+                    hp = np.array(parts, dtype=np.uint64)
+                    keys.append(k)
+                    out.append(((hp[:, 1:] * seeds + hp[:, :1]) % np.uint64(_M)).min(axis=0).astype(np.int64))
+            if keys:
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, slots * len(out) + 1, slots, dtype=np.int32)), pa.array(np.concatenate(out)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), flat], [key, "signature"])
+
+    return df.select(key, tokens).mapInArrow(sign, f"`{key}` {kind}, signature array<bigint>")
 
 
 def minhash_nearest(signatures: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -78,7 +96,7 @@ def minhash_nearest(signatures: DataFrame, queries: DataFrame, k: int) -> DataFr
     signatures are joined once by a digest, with the number of slots that agree, and their documents come back after.
     """
     slots = lambda df: df.select("digest", F.posexplode("signature").alias("slot", "value"))
-    keyed = signatures.filter("signature is not null").withColumn("digest", F.md5(F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")))
+    keyed = cut(signatures.filter("signature is not null")).withColumn("digest", F.md5(F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")))
     asked = keyed.join(queries.select("doc_id"), "doc_id", "left_semi")
     ones = lambda df: df.groupBy("digest").agg(F.first("signature").alias("signature"))
     q = slots(ones(asked)).withColumnRenamed("digest", "q_digest")

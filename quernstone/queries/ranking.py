@@ -97,7 +97,7 @@ SELECT doc_id, list_transform(range(1, 129), lambda k: list_min(list_transform(f
 
 def signatures(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null")
-    return d.select("doc_id", S.minhash(X.split_identifier(F.col("text"))).alias("signature")).filter("signature is not null")
+    return S.minhash(d.select("doc_id", X.split_identifier(F.col("text")).alias("t")), "doc_id", "t")
 
 
 @query(sql=f"SELECT doc_id, array_to_string(signature, ',') AS signature FROM {_SIGN_SQL}")

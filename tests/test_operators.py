@@ -120,6 +120,9 @@ def test_content_cuts_cover_and_survive_insertions():
     b = C.content_cuts("inserted" + text, 64, 256, 1024)
     pieces = lambda t, c: {t[x:y] for x, y in c}
     assert len(pieces(text, a) & pieces("inserted" + text, b)) > len(a) * 0.8
+    for low, high in ((64, 1024), (40, 90), (200, 210)):
+        mixed = text[:3000] + "漢😀é" * 200
+        assert C.content_cuts(mixed, low, 256, high) == C._slow_cuts(mixed, max(low, 64), high, 255)
     assert C.content_cuts("short", 1, 4, 9, least=100) == [(0, 5)] and C.content_cuts("", 1, 4, 9) == []
 
 
@@ -156,8 +159,9 @@ def test_minhash_equals_its_definition(spark):
             h = (h * 31 + ord(c)) % 2**32
         return h
     tokens = ["graph", "lease", "x", "graph"]
-    got = spark.createDataFrame([(tokens,), ([],)], "t array<string>").select(S.minhash(F.col("t")).alias("s")).collect()
-    assert got[0].s == [min(fold(t, k) for t in tokens) for k in range(1, 129)] and got[1].s is None
+    df = spark.createDataFrame([(1, tokens, 9), (2, [], 9), (3, None, 9), (4, [None, "x"], 9)], "k long, t array<string>, signature int")
+    got = {r.k: r.signature for r in S.minhash(df, "k", "t").collect()}
+    assert got == {1: [min(fold(t, k) for t in tokens) for k in range(1, 129)], 4: [fold("x", k) for k in range(1, 129)]}
 
 
 def test_nearest_in_blocks_equals_brute_force(spark, monkeypatch):
