@@ -192,6 +192,16 @@ def coverage(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     return j.groupBy("id").agg(F.max(overlap / (F.col("end") - F.col("start"))).alias("share"))
 
 
+def line_matches(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, match): matches whose lines overlap a chunk's, ends included.
+
+    matches: file_id, match, m_start, m_end; chunks: file_id, id, startLine, endLine. Both sides are laid out by file; chunks
+    without lines have no match.
+    """
+    j = chunks.join(matches, "file_id")
+    return j.filter("m_start <= endLine and startLine <= m_end").select("id", "match")
+
+
 def chunk_of(points: DataFrame, chunks: DataFrame) -> DataFrame:
     """(point, id): the first chunk of a file that ends after a point, else its last chunk.
 

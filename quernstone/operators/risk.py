@@ -140,6 +140,14 @@ def interprocedural(found: DataFrame, calls: DataFrame, depth: int = 4, paths: i
     return top_n(flows, ["source_id", "sink_id"], [F.desc("confidence"), F.asc("source"), F.asc("sink")], paths)
 
 
+def ranked(flows: DataFrame, seeds: DataFrame, severity: Column, most: int) -> DataFrame:
+    """The `most` first flows of each source chunk: those that touch a seed (column id) first, then severity, confidence, fewer hops, ids."""
+    near = seeds.select(F.col("id").alias("sink_id")).distinct().withColumn("near", F.lit(1))
+    level = F.create_map(*[F.lit(x) for pair in SEVERITY.items() for x in pair])[severity]
+    f = flows.join(near, "sink_id", "left").withColumns({"near": F.coalesce("near", F.lit(0)), "level": F.coalesce(level, F.lit(0))})
+    return top_n(f, ["source_id"], [F.desc("near"), F.desc("level"), F.desc("confidence"), F.asc("hops"), F.asc("sink_id"), F.asc("sink"), F.asc("source")], most).drop("near", "level")
+
+
 def sarif(flows: DataFrame) -> DataFrame:
     """(result): a SARIF result of each local flow, as JSON."""
     return flows.select(F.to_json(F.struct(

@@ -98,6 +98,30 @@ def has_member(column: Column, names: list[str], fold: bool = True) -> Column:
     return _true(F.arrays_overlap(column, F.array(*[F.lit(n) for n in names])))
 
 
+def has_items(column: Column) -> Column:
+    """A list that is not empty, as of lint messages."""
+    return _true(F.size(column) > 0)
+
+
+def flow_matches(flows: Column, needles: list[str]) -> Column:
+    """A flow (struct of source and sink) whose `source->sink` contains any of needles, without case."""
+    return _true(F.exists(flows, lambda f: _any([F.coalesce(F.lower(F.concat(f["source"], F.lit("->"), f["sink"])).contains(n.lower()), F.lit(False)) for n in needles])))
+
+
+def structural_matches(entries: Column, pack: str | None = None, rule: str | None = None, tag: str | None = None) -> Column:
+    """One structural entry (pack, rule, tags) that satisfies all that is given."""
+    def one(e):
+        out = F.lit(True)
+        if pack:
+            out = out & F.coalesce(F.lower(e["pack"]).contains(pack.lower()), F.lit(False))
+        if rule:
+            out = out & F.coalesce(F.lower(e["rule"]).contains(rule.lower()), F.lit(False))
+        if tag:
+            out = out & F.coalesce(F.exists(e["tags"], lambda t: F.lower(t).contains(tag.lower())), F.lit(False))
+        return out
+    return _true(F.exists(entries, one))
+
+
 def meta_matches(payload: Column, key: str, value: str | None) -> Column:
     """A dotted path of a JSON text that is there and not empty, or holds a text without case."""
     found = F.get_json_object(payload, "$." + key)

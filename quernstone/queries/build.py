@@ -108,6 +108,15 @@ def t28_point_to_chunk(spark, sf_dir):
     return C.chunk_of(p.withColumn("at", F.col("at").cast("long")), c)
 
 
+@query(sql=f"""SELECT c.id, m.match FROM {LOCATED_SQL} c, (SELECT 'a' AS match, 1 AS lo, 4 AS hi UNION ALL SELECT 'b', 30, 31 UNION ALL SELECT 'c', 100, 200) m WHERE m.lo <= c.endLine AND c.startLine <= m.hi""")
+def t29_line_matches(spark, sf_dir):
+    """Chunks whose lines overlap three stretches of every file."""
+    c = tables.located(spark, sf_dir).select("id", "file_id", "startLine", "endLine")
+    spans = F.array(*[F.struct(F.lit(m).alias("match"), F.lit(a).alias("m_start"), F.lit(b).alias("m_end")) for m, a, b in (("a", 1, 4), ("b", 30, 31), ("c", 100, 200))])
+    m = c.select("file_id").distinct().select("file_id", F.explode(spans).alias("s")).select("file_id", "s.match", "s.m_start", "s.m_end")
+    return C.line_matches(m, c)
+
+
 @query(sql=f"""WITH u AS (SELECT id, 'ck64:v1:' || concat_ws(':', coalesce(repo, ''), coalesce(path, ''), md5(coalesce(text, ''))) AS uid FROM {LOCATED_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY substr(md5(id::VARCHAR), 1, 2), id) AS n FROM u)
 SELECT id, CASE WHEN n = 1 THEN uid ELSE uid || ':ord' || n END AS uid FROM r""")
 def t30_chunk_uids(spark, sf_dir):

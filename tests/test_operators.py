@@ -228,3 +228,9 @@ def test_findings_on_empty_and_odd_tables(spark, tmp_path):
     rows = [(1, ("v", [None, ("a ", "1"), ("", "1"), ("a ", "1")]), None, None, "clash")] * 2 + [(2, None, '{"vulnerabilityDetails": {"package": {"packageName": "b"}}}', None, "clash"), (None, ("v", [("c", "1")]), None, None, "x")]
     folder = write_tables(spark, tmp_path, inspector=(rows, ins), dependabot=([], dep), generic=([(7, ("\tg\n", "e"), None, None)], gen))
     assert {tuple(r) for r in findings.p2_found(spark, folder).collect()} == {("inspector", 1, "vulnerablepackages", 1, "a"), ("inspector", 1, "vulnerablepackages", 3, "a"), ("inspector", 2, "vulnerablepackages", 0, "b"), ("generic", 7, "package", 0, "g")}
+
+
+def test_flows_are_ranked(spark):
+    flows = spark.createDataFrame([(1, 2, "s", "low", 1, 0.9), (1, 3, "s", "high", 2, 0.5), (1, 4, "s", "low", 3, 0.1), (9, 2, "s", "high", 1, 0.2)], "source_id long, sink_id long, source string, sink string, hops int, confidence double")
+    top = K.ranked(flows, spark.createDataFrame([(4,)], "id long"), F.col("sink"), 2)
+    assert {(r.source_id, r.sink_id) for r in top.collect()} == {(1, 4), (1, 3), (9, 2)}

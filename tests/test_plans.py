@@ -86,3 +86,11 @@ def test_rerank_budget():
     assert rerank_budget(10, ["a"], [10.0] + [5.0] * 30)[1] == "high_confidence_low_entropy"
     assert rerank_budget(10, list("abcdefgh"), [1.0] * 30)[1] == "high_entropy_or_low_confidence"
     assert rerank_budget(10, ["a", "a"], [1.0] * 9)[1] == "moderate_confidence_short_query"
+
+
+def test_list_filters(spark):
+    df = spark.createDataFrame([(1, ["x"], [("req", "Eval")], [("Sec", "r1", ["A", "b"])]), (2, [], [], []), (3, None, None, None), (4, ["y"], [(None, "eval")], [("sec", "r2", None), ("other", "r1", ["a"])])],
+                               "id int, lint array<string>, flows array<struct<source:string,sink:string>>, structural array<struct<pack:string,rule:string,tags:array<string>>>")
+    ids = lambda c: [r.id for r in df.filter(c).orderBy("id").collect()]
+    assert ids(P.has_items(F.col("lint"))) == [1, 4] and ids(P.flow_matches(F.col("flows"), ["REQ->ev"])) == [1]
+    assert ids(P.structural_matches(F.col("structural"), pack="sec", rule="r1", tag="a")) == [1] and ids(P.structural_matches(F.col("structural"), rule="r1")) == [1, 4]
