@@ -175,7 +175,7 @@ def risk_chunks(spark, sf_dir):
     return tables.located(spark, sf_dir).filter("text is not null").select("id", "text")
 
 
-@query(sql=f"WITH {_signals_sql()} SELECT id, coalesce(array_to_string(list_sort(list_distinct(list(category) FILTER (WHERE category <> ''))), ','), '') AS categories, max(confidence) AS confidence, coalesce(arg_max(severity, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END) FILTER (WHERE kind = 'sink'), CASE WHEN max(CASE WHEN kind = 'source' THEN 1 ELSE 0 END) = 1 THEN 'low' END) AS severity FROM sg GROUP BY id")
+@query(sql=f"WITH {_signals_sql()} SELECT id, coalesce(array_to_string(list_sort(list_distinct(list(category) FILTER (WHERE category <> ''))), ','), '') AS categories, CAST(max(confidence) AS DOUBLE) AS confidence, coalesce(arg_max(severity, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END) FILTER (WHERE kind = 'sink'), CASE WHEN max(CASE WHEN kind = 'source' THEN 1 ELSE 0 END) = 1 THEN 'low' END) AS severity FROM sg GROUP BY id")
 def a12_risk_rollup(spark, sf_dir):
     """Signals of custom rules by chunk."""
     r = K.rollup(K.signals(risk_chunks(spark, sf_dir), RISK_RULES))
@@ -314,7 +314,7 @@ def w07_similarity(spark, sf_dir):
     return e.withColumn("q", e.filter("vec_id = 1").select("v").scalar()).select("vec_id", F.round(V.similarity(1 - V.dot(F.col("v"), F.col("q")), "cosine"), 6).alias("similarity"))
 
 
-@query(sql=f"SELECT id, round(least(1.5, 0.25 * len(list_intersect(list_transform(calls, lambda c: lower(c)), ['report', 'len', 'push', 'append'])) + 0.1 * len(list_intersect(list_transform(usages, lambda c: lower(c)), ['log', 'logger', 'item', 'push']))), 6) AS boost FROM {RELATED_SQL} WHERE text IS NOT NULL")
+@query(sql=f"SELECT id, round(least(1.5::DOUBLE, 0.25::DOUBLE * len(list_intersect(list_transform(calls, lambda c: lower(c)), ['report', 'len', 'push', 'append'])) + 0.1::DOUBLE * len(list_intersect(list_transform(usages, lambda c: lower(c)), ['log', 'logger', 'item', 'push']))), 6) AS boost FROM {RELATED_SQL} WHERE text IS NOT NULL")
 def w13_relation_boost(spark, sf_dir):
     r = relations.related(spark, sf_dir).filter("text is not null")
     low = lambda c: F.transform(c, lambda x: F.lower(x))

@@ -40,7 +40,7 @@ _TYPE = "CASE WHEN regexp_matches(arg, '^[\"'']') THEN 'string' WHEN regexp_matc
 @query(sql=f"""WITH l AS (SELECT * FROM {LOCATED_SQL}), s AS (SELECT repo, name, min(id) AS id, min(path) AS path FROM l WHERE name IS NOT NULL AND docmeta.params IS NOT NULL GROUP BY repo, name HAVING count(*) = 1),
 k AS (SELECT repo, path, unnest(regexp_extract_all(text, '{_CALL}', 1)) AS name, unnest(regexp_extract_all(text, '{_CALL}', 2)) AS args FROM l WHERE text IS NOT NULL),
 a AS (SELECT s.id, k.path = s.path AS same, generate_subscripts(string_split(k.args, ','), 1) - 1 AS pos, trim(unnest(string_split(k.args, ','))) AS arg FROM k JOIN s ON k.repo = s.repo AND k.name = s.name)
-SELECT id, CAST(pos AS INTEGER) AS pos, type, max(CASE WHEN same THEN 0.55 ELSE 0.4675 END) AS confidence FROM (SELECT *, {_TYPE} AS type FROM a) WHERE type IS NOT NULL GROUP BY id, pos, type""")
+SELECT id, CAST(pos AS INTEGER) AS pos, type, max(CASE WHEN same THEN 0.55::DOUBLE ELSE 0.4675::DOUBLE END) AS confidence FROM (SELECT *, {_TYPE} AS type FROM a) WHERE type IS NOT NULL GROUP BY id, pos, type""")
 def g15_passed_types(spark, sf_dir):
     """Types of literal arguments, passed on to the parameters of the function called: less sure across files."""
     c = tables.located(spark, sf_dir)

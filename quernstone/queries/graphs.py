@@ -157,7 +157,7 @@ def g07_architecture(spark, sf_dir):
 
 
 @query(sql=f"""WITH {_IMPORTS_SQL}, e AS (SELECT DISTINCT repo || ':' || src AS src, repo || ':' || regexp_extract(src, '^(.*)/[^/]*$', 1) AS dst FROM i WHERE regexp_matches(spec, '^\\./'))
-SELECT src AS node, 1 AS distance, round(0.5, 6) AS score FROM e WHERE regexp_matches(dst, ':src/') AND regexp_matches(src, '(probe|check|validate)')""")
+SELECT src AS node, 1 AS distance, 0.5::DOUBLE AS score FROM e WHERE regexp_matches(dst, ':src/') AND regexp_matches(src, '(probe|check|validate)')""")
 def g06_suggested_tests(spark, sf_dir):
     """Files that look like tests and depend on a folder under src that changed."""
     rows, _ = import_rows(spark, sf_dir)

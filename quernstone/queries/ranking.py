@@ -68,8 +68,8 @@ def a03_document_frequency(spark, sf_dir):
     return tables.named_postings(spark, sf_dir).groupBy("mode", "token").agg(F.count(F.lit(1)).alias("df"))
 
 
-@query(sql=f"""SELECT c.mode, count(*) AS docs, round(sum(coalesce(l.dl, 0)) / count(*), 6) AS avg_dl, CASE WHEN sum(coalesce(l.dl, 0)) / count(*) > 800 THEN 1.2 ELSE 1.7 END AS k1,
-CASE WHEN sum(coalesce(l.dl, 0)) / count(*) > 800 THEN 0.6 ELSE 0.8 END AS b
+@query(sql=f"""SELECT c.mode, count(*) AS docs, round(sum(coalesce(l.dl, 0)) / count(*), 6) AS avg_dl, CASE WHEN sum(coalesce(l.dl, 0)) / count(*) > 800 THEN 1.2::DOUBLE ELSE 1.7::DOUBLE END AS k1,
+CASE WHEN sum(coalesce(l.dl, 0)) / count(*) > 800 THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS b
 FROM {CHUNKS_SQL} c LEFT JOIN (SELECT doc_id, sum(tf) AS dl FROM {POSTINGS_SQL} GROUP BY doc_id) l ON c.id = l.doc_id GROUP BY c.mode""")
 def a04_index_statistics(spark, sf_dir):
     """Documents, average length and the BM25 parameters tuned to it (A4, A5), by mode."""
@@ -222,8 +222,8 @@ def w10_single_source(spark, sf_dir):
     return R.single_source(*hit_lists(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query(sql=f"""WITH {_INDEX_SQL}, {bm25_sql()} SELECT h.doc_id, round(h.score, 6) AS base, round(1 + least(0.5, 0.1 * len(list_filter(list_transform(coalesce(c.ngrams, []), lambda g: regexp_replace(g, '[\\x01_]+', ' ', 'g')), lambda g: g IN ('merge graph', 'graph lease', 'lease graph')))), 6) AS phrase,
-CASE WHEN regexp_matches(lower(c.kind), 'function|class|method|interface|struct|enum|trait|func|fn|type') THEN 1.2 ELSE 1.0 END * CASE WHEN regexp_matches(coalesce(c.docmeta.signature, ''), '^(export|pub)') THEN 1.1 ELSE 1.0 END AS symbol
+@query(sql=f"""WITH {_INDEX_SQL}, {bm25_sql()} SELECT h.doc_id, round(h.score, 6) AS base, round(1 + least(0.5::DOUBLE, 0.1::DOUBLE * len(list_filter(list_transform(coalesce(c.ngrams, []), lambda g: regexp_replace(g, '[\\x01_]+', ' ', 'g')), lambda g: g IN ('merge graph', 'graph lease', 'lease graph')))), 6) AS phrase,
+CASE WHEN regexp_matches(lower(c.kind), 'function|class|method|interface|struct|enum|trait|func|fn|type') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN regexp_matches(coalesce(c.docmeta.signature, ''), '^(export|pub)') THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS symbol
 FROM hits h JOIN {CHUNKS_SQL} c ON h.doc_id = c.id""")
 def w11_boosts(spark, sf_dir):
     """Phrase and symbol factors of each hit (W11, W12), as parts of an explained score."""

@@ -76,7 +76,7 @@ def s20_piece_assembly(spark, sf_dir):
 
         part = c.filter(F.col("mode") == m).select("id")
         # dense ids in the order of the key: ranks within ranges of ids, shifted by the sizes of the ranges before
-        span = part.withColumn("__r", F.floor(F.col("id") / 1024))
+        span = part.withColumn("__r", F.floor(F.col("id") / (1 << 20)))
         local = span.withColumn("__n", F.row_number().over(Window.partitionBy("__r").orderBy("id")))
         before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
         sizes = span.groupBy("__r").count().withColumn("__s", F.coalesce(F.sum("count").over(before), F.lit(0))).select("__r", "__s")
