@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from quernstone.runtime import ship
+
 
 SLICE = 256  # rows of a batch that are Python objects at once
 
@@ -34,4 +36,5 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
                         [pa.array(c, type=f.type) for c, f in zip(cells, out_schema)], schema=out_schema
                     )
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)

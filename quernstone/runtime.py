@@ -4,12 +4,42 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers of a cluster, once in an application.
+
+    Local workers find it on PYTHONPATH or in the working folder; elsewhere, and where they would not, Spark hands a zip of
+    the sources to every executor, those that join later included.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    found = os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if found and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="quernstone-"), "quernstone.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(target)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder."""
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
