@@ -1,7 +1,7 @@
 """Table-driven recognizers from grammars, generalized to every context-free grammar.
 
 A grammar in extended BNF becomes an LR(0) automaton with SLR(1) lookaheads. Where tables conflict, all actions are followed
-at once. Stacks are shared, immutable lists, each distinct one stored once; a configuration is a set of stacks. A step
+at once. Stacks are shared in a graph of immutable nodes (a state and the nodes below it), each distinct one stored once; a configuration is a set of tops. A step
 (configuration, token) is therefore a pure function and is remembered, so the recognizer turns, as it reads, into a
 finite automaton for the constructs that recur.
 """
@@ -188,8 +188,9 @@ class Recognizer:
 
     def reset(self) -> None:
         """Forgets all steps; configurations of before are void."""
-        self.states, self.parents = [0], [-1]
-        self.nodes: dict[tuple[int, int], int] = {(0, -1): 0}
+        self.states: list[int] = [0]
+        self.parents: list[frozenset[int]] = [frozenset()]
+        self.nodes: dict[tuple[int, frozenset[int]], int] = {(0, frozenset()): 0}
         self.configs: list[tuple[int, ...]] = [(0,)]
         self.numbers = {(0,): 0}
         self.steps: dict[tuple[int, str], int] = {}
@@ -198,43 +199,70 @@ class Recognizer:
     def full(self) -> bool:
         return len(self.nodes) + len(self.steps) + len(self.memory) > self.LIMIT
 
-    def _node(self, state: int, parent: int) -> int:
-        key = (state, parent)
+    def _node(self, state: int, parents: frozenset[int]) -> int:
+        key = (state, parents)
         n = self.nodes.get(key)
         if n is None:
             n = self.nodes[key] = len(self.states)
             self.states.append(state)
-            self.parents.append(parent)
+            self.parents.append(parents)
         return n
 
-    def _reduced(self, config: int, token: str):
-        """Every stack from which the token may be taken, or at END the accepted ones."""
-        states, parents = self.states, self.parents
-        todo, seen = list(self.configs[config]), set(self.configs[config])
-        while todo:
-            node = todo.pop()
-            yield node
-            for p in self.reduces[states[node]].get(token, ()):
-                if p == 0:
-                    continue
-                under = node
-                for _ in range(self.sizes[p]):
-                    under = parents[under]
-                to = self.gotos[states[under]].get(self.heads[p])
-                if to is not None:
-                    n = self._node(to, under)
-                    if n not in seen:
-                        seen.add(n)
-                        todo.append(n)
+    def _reduced(self, config: int, token: str) -> dict[int, set[int]]:
+        """Parents of the tops by their state, with all reductions before a token made.
+
+        Tops of one state are one, whatever lies under them. A parent that is itself a top, after an empty reduction, is
+        given as -1 - state. Sets of what lies k links below a top are all a recognizer needs, so no paths are listed.
+        """
+        old = self.parents
+        tops: dict[int, set[int]] = {}
+        for n in self.configs[config]:
+            tops.setdefault(self.states[n], set()).update(old[n])
+        changed = True
+        while changed:
+            changed = False
+            for state in list(tops):
+                for p in self.reduces[state].get(token, ()):
+                    if p == 0:
+                        continue
+                    level = {-1 - state}
+                    for _ in range(self.sizes[p]):
+                        level = {u for r in level for u in (tops[-1 - r] if r < 0 else old[r])}
+                    head = self.heads[p]
+                    for under in level:
+                        to = self.gotos[-1 - under if under < 0 else self.states[under]].get(head)
+                        if to is not None:
+                            have = tops.get(to)
+                            if have is None:
+                                tops[to] = {under}
+                                changed = True
+                            elif under not in have:
+                                have.add(under)
+                                changed = True
+        return tops
 
     def step(self, config: int, token: str) -> int:
         """The configuration after a token; -1 where no stack can take it."""
         key = (config, token)
         out = self.steps.get(key)
         if out is None:
-            after = {self._node(to, n) for n in self._reduced(config, token) if (to := self.shifts[self.states[n]].get(token)) is not None}
+            tops = self._reduced(config, token)
+            made: dict[int, int] = {}
+
+            def node(state: int) -> int:
+                """The lasting node of a top."""
+                n = made.get(state)
+                if n is None:
+                    n = made[state] = self._node(state, frozenset(node(-1 - r) if r < 0 else r for r in tops[state]))
+                return n
+
+            after: dict[int, set[int]] = {}
+            for state in tops:
+                to = self.shifts[state].get(token)
+                if to is not None:
+                    after.setdefault(to, set()).add(node(state))
             if after:
-                stacks = tuple(sorted(after))
+                stacks = tuple(sorted(self._node(to, frozenset(under)) for to, under in after.items()))
                 out = self.numbers.get(stacks)
                 if out is None:
                     out = self.numbers[stacks] = len(self.configs)
@@ -249,6 +277,6 @@ class Recognizer:
         key = (config, END)
         out = self.steps.get(key)
         if out is None:
-            out = int(any(0 in self.reduces[self.states[n]].get(END, ()) for n in self._reduced(config, END)))
+            out = int(any(0 in self.reduces[state].get(END, ()) for state in self._reduced(config, END)))
             self.steps[key] = out
         return bool(out)

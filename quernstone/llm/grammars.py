@@ -92,7 +92,7 @@ Array : '[' ','* ( Arg ( ','+ Arg )* ','* )? ']' ;
 Object : '{' ( Entry ( ',' Entry )* ','? )? '}' ;
 Entry : Ident ( '=' Assign )? | Key ':' Assign | '...' Assign | 'async'? '*'? Key @tparams '(' Params ')' @ret '{' Stmt* '}' | ( 'get' | 'set' ) Key '(' Params ')' @ret '{' Stmt* '}' ;
 ExprNB : AssignNB ( ',' Assign )* ;
-AssignNB : CondNB | LHSNB AssignOp Assign | Pattern '=' Assign | Arrow | 'yield' ( '*'? Assign )? ;
+AssignNB : CondNB | LHSNB AssignOp Assign | Arrow | 'yield' ( '*'? Assign )? ;
 CondNB : BinaryNB ( '?' Assign ':' Assign )? ;
 BinaryNB : UnaryNB ( BinOp Unary )* ;
 UnaryNB : Prefix+ Postfix | PostfixNB ;
@@ -381,24 +381,24 @@ RUST = RUST % {"leaves": " | ".join(f"'{t}'" for t in _RUST_TOKENS)}
 
 C_KEYWORDS = (
     "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef "
-    "union unsigned void volatile while _Bool _Complex _Alignas _Alignof _Atomic _Generic _Noreturn _Static_assert _Thread_local __attribute__ __asm__ asm __extension__ __inline __restrict static_assert typeof __typeof__ bool"
+    "union unsigned void volatile while _Bool _Complex _Alignas _Alignof _Atomic _Generic _Noreturn _Static_assert _Thread_local __attribute__ __asm__ asm __extension__ __inline __inline__ __restrict static_assert typeof __typeof__ bool"
 ).split()
 
 C = """
 Unit : External* ;
-External : FunctionDef | Declaration | ';' | 'a' '(' MacroArgs? ')' ';'? | Asm ';' | 'extern' '"' '{' External* '}' ;
+External : 'a'? FunctionDef | 'a'? Declaration | ';' | 'a' '(' MacroArgs? ')' ';'? | Asm ';' | 'extern' '"' '{' External* '}' ;
 MacroArgs : MacroArg ( ',' MacroArg )* ;
 MacroArg : Assign | TypeName ;
 FunctionDef : Specs Declarator Attribute* Compound ;
 Declaration : Specs ( InitDeclarator ( ',' InitDeclarator )* )? ';' | StaticAssert ;
 StaticAssert : ( '_Static_assert' | 'static_assert' ) '(' Cond ( ',' '"' )? ')' ';' ;
 Specs : Qual* ( Builtin ( Builtin | Qual )* | Record Qual* | 'a' Qual* | Typeof Qual* | 'a' Qual* Builtin ( Builtin | Qual )* | 'a' Qual* Record Qual* ) ;
-Qual : 'static' | 'extern' | 'typedef' | 'inline' | '__inline' | 'register' | 'auto' | 'const' | 'volatile' | 'restrict' | '__restrict' | '_Noreturn' | '_Thread_local' | '_Atomic' | '__extension__' | Attribute
+Qual : 'static' | 'extern' | 'typedef' | 'inline' | '__inline' | '__inline__' | 'register' | 'auto' | 'const' | 'volatile' | 'restrict' | '__restrict' | '_Noreturn' | '_Thread_local' | '_Atomic' | '__extension__' | Attribute
      | '_Alignas' '(' ( TypeName | Cond ) ')' ;
 Builtin : 'void' | 'char' | 'short' | 'int' | 'long' | 'float' | 'double' | 'signed' | 'unsigned' | '_Bool' | 'bool' | '_Complex' ;
 Typeof : ( 'typeof' | '__typeof__' ) '(' ( TypeName | Expr ) ')' ;
 Attribute : '__attribute__' '(' '(' Balanced* ')' ')' | '[' '[' Balanced* ']' ']' ;
-Balanced : 'a' | '0' | '"' | ',' | '(' Balanced* ')' | ':' | '.' | 'const' | 'void' | 'int' ;
+Balanced : 'a' | '0' | '"' | ',' | '(' Balanced* ')' | ':' | '.' | 'const' | 'void' | 'int' | 'char' | 'long' | 'unsigned' | 'struct' | 'sizeof' | 'op' | '*' | '&' | '+-' | '=' ;
 Asm : ( 'asm' | '__asm__' ) 'volatile'? '(' AsmPart* ')' ;
 AsmPart : '"' | ':' | ',' | '(' Expr ')' | '[' 'a' ']' ;
 Record : ( 'struct' | 'union' ) Attribute* ( 'a'? '{' FieldDecl* '}' | 'a' ) Attribute* | 'enum' ( 'a'? '{' Enumerator ( ',' Enumerator )* ','? '}' | 'a' ) ;

@@ -42,6 +42,8 @@ class Words(dict):
     def __missing__(self, word):
         if word[0].isdigit() or word[0] == "." or word[0] == "-":
             kind = "0" if self.number.fullmatch(word) and (self.verify is None or self.verify(word)) else BAD
+            if word[0] == ".":
+                kind = " " + kind  # a keyword may stand right before it
         else:
             kind = "a"
         if len(self) < 100_000:
@@ -172,7 +174,7 @@ class EcmaScript(Language):
     suffix = "n"
     skip = re.compile(
         r"//[^\n]*|/\*[\s\S]*?\*/|/\*|" + _quoted('"') + "|" + _quoted("'") + r"|[\"'`]|" + _CONTROL
-        + r"|(?:(?<=[(,=:\[!&|?{};+*~^<>%\n\t-])|(?<=[(,=:\[!&|?{};+*~^<>%-] )|(?<=\breturn )|(?<=\btypeof )|(?<=\bcase )|(?<=  )|(?<![\s\S]))/(?![*/])[^/\\\[\n]*(?:(?:\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])[^/\\\[\n]*)*/[a-z]*")
+        + r"|(?:(?<=[(,=:\[!&|?{};+*~^<>%\n\t-])|(?<=[(,=:\[!&|?{};+*~^<>%-] )|(?<=\breturn)|(?<=\breturn )|(?<=\btypeof)|(?<=\btypeof )|(?<=\bcase )|(?<=  )|(?<![\s\S]))/(?![*/])[^/\\\[\n]*(?:(?:\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])[^/\\\[\n]*)*/[a-z]*")
     plain_ops = "=== !== == != <= >= && || ?? / % ** ^ <<"
 
     def literal(self, text, m, keep):
