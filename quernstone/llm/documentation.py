@@ -44,7 +44,7 @@ _TAG = re.compile(
     r"(?:[@\\](?P<at>[\w-]+)|:(?P<colon>param|parameter|arg|argument|key|keyword|type|returns?|rtype|raises?|yields?)\b)\s*:?\s*(?P<type>\{[^}]*\})?(?P<rest>.*)", re.S)
 _NAMED_TAGS = frozenset("param parameter arg argument key keyword property prop tparam template type raises raise throws exception".split())
 _INHERIT = re.compile(r"(?i)\{?@inherit_?doc\}?|:inherit_?doc|\{@inheritdoc\}")
-_EDGES = re.compile(r"^[\s/*#!;<\"'`-]+|[\s*/\"'`>-]+$")
+_EDGES = " \t/*#!;<>\"'`-.:?,…"
 # Words that say nothing about one function rather than another.
 _STOP = frozenset(
     "a an the of to for in on at by with and or is are be was this that these those it its as from into if then than so function functions method methods class constructor "
@@ -65,16 +65,27 @@ def _words(text: str) -> list[str]:
     return [_stem(w.lower()) for w in re.findall(r"[^\W\d_]+", text)]
 
 
+# Comment markers before and after the text of a line.
+_OPENERS = re.compile(r"\s*(?:(?:/\*+!?|\*+/|//+!?|#+!?|\*+(?=\s|$)|\*|;;+|--+(?=\s|$)|[rRuUbB]?\"\"\"|'''|<!--|@\*)\s*)*")
+_CLOSERS = ("*/", '"""', "'''", "-->")
+
+
 def clean_lines(doc: str) -> list[str]:
     """Lines of a documentation text without comment markers; blank ones stay as ''."""
     lines = []
     for line in re.split(r"\r\n?|\n", doc):
-        last = None
-        line = line.strip()
-        while line != last:
-            last = line
-            line = re.sub(r"^(?:/\*+!?|\*+/|//+!?|#+!?|\*+(?=\s|$)|\*|;;+|--+(?=\s|$)|[rRuUbB]?\"\"\"|'''|<!--|@\*)\s*|\s*(?:\*+/|\"\"\"|'''|-->)$", "", line).strip()
-        lines.append(line)
+        m = _OPENERS.match(line)
+        start, end = m.end(), len(line)
+        while True:
+            while end > start and line[end - 1].isspace():
+                end -= 1
+            closer = next((c for c in _CLOSERS if line.endswith(c, start, end)), None)
+            if closer is None:
+                break
+            end -= len(closer)
+            while closer == "*/" and end > start and line[end - 1] == "*":
+                end -= 1
+        lines.append(line[start:end])
     return lines
 
 
@@ -99,7 +110,7 @@ def telling_words(doc: str, name: str | None, params: list[str] | None) -> int:
                     line = first.group(2)
             elif word in ("author", "since", "version", "date", "file", "license", "licence", "copyright", "module", "namespace", "memberof", "name", "function", "method", "class", "see"):
                 continue
-        bare = _EDGES.sub("", line).strip(" .:!?,-…").lower()
+        bare = line.strip(_EDGES).lower()
         if not bare or PLACEHOLDERS.fullmatch(bare) or (not tag and _CODE.fullmatch(line.strip())):
             continue
         for w in _words(line):

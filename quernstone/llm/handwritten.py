@@ -77,7 +77,7 @@ def header_of(text: str) -> str:
 
 _BY_NAME = re.compile(r"/\*!\s*[\w.@/-]+ v\d+(?:\.\d+)*")
 _LITERALS = re.compile(
-    r"""(?:(?>"[^"\n]*"|'[^'\n]*'|0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?>[\s,;:+()\[\]{}\\]*)){24,}"""
+    r"""(?<![\w.])(?:(?>"[^"\n]*"|'[^'\n]*'|0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?>[\s,;:+()\[\]{}\\]*)){24,}"""
     r"""|(?:"[^"\n]{400,}"|'[^'\n]{400,}'|`[A-Za-z0-9+/=\s]{400,}`)"""
 )
 _CODE_EXT = {"js", "mjs", "cjs", "ts", "py", "go", "rs", "c", "h", "jsx", "tsx", "java", "cc", "cpp", "hpp", "css"}

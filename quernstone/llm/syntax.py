@@ -557,7 +557,10 @@ def first_error(text: str, language: str, tables: dict[str, dict] | None = None)
     found = _languages.get(language)
     if found is None:
         found = _languages[language] = KINDS[language]((tables or all_tables())[language])
-    return found.first_error(text)
+    try:
+        return found.first_error(text)
+    except RecursionError:  # literals within literals beyond all use
+        return 1
 
 
 _CHECKED = StructType([
