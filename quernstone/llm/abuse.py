@@ -128,6 +128,11 @@ def plain_form(text: str) -> str:
     return _SPACED.sub(lambda m: m.group(1).replace(" ", ""), text)
 
 
+def bare(raw: str) -> str:
+    """A token without punctuation around it, and without apostrophes."""
+    return raw.strip(_STRIP).replace("'", "").replace("’", "")
+
+
 class Lexicon:
     """A trie of terms that is searched with a Levenshtein automaton."""
 
@@ -139,6 +144,17 @@ class Lexicon:
                 node = node.setdefault(c, {})
             node[""] = term
         self.known: dict[str, tuple[str, ...]] = {}
+        self.read: dict[str, tuple[str, ...]] = {}
+
+    def terms_of(self, raw: str) -> tuple[str, ...]:
+        """Terms a token may stand for, punctuation around it aside."""
+        out = self.read.get(raw)
+        if out is None:
+            word = bare(raw)
+            out = self.find(word) if word else ()
+            if len(self.read) < 200_000:
+                self.read[raw] = out
+        return out
 
     def find(self, word: str) -> tuple[str, ...]:
         """Terms a written word may stand for."""
@@ -161,15 +177,19 @@ class Lexicon:
         return ()
 
     def _walk(self, word: str, edits: int) -> tuple[str, ...]:
-        """Product of the trie and the automaton of `word` with up to `edits` edits.
+        """Product of the trie and the automaton of `word` with up to `edits` edits, none of them in the first letter.
 
         States are (trie node, place in word, edits, last letter); reading the last letter again is free (stretching).
         """
         masks = sum(c in MASK for c in word)
         if masks * 5 > len(word) * 3 or len(word) > 40:
             return ()
+        if sum(not c.isalnum() and c not in LOOK_ALIKE and c not in MASK for c in word) > edits:
+            return ()  # each sign that stands for no letter takes an edit
         n, found = len(word), {}
-        todo = [(self.root, 0, 0, "")]
+        # where edits are allowed the first letter must be right
+        begin = self.root.get(word[0]) if edits else self.root
+        todo = [] if begin is None else [(begin, 1, 0, word[0])] if edits else [(begin, 0, 0, "")]
         seen = set()
         while todo:
             node, i, used, last = todo.pop()
@@ -211,19 +231,24 @@ def all_terms() -> set[str]:
 
 
 _INSULT_SET, _BOOST_SET, _TARGET_SET, _META_SET, _SELF_SET = map(frozenset, (INSULTS, BOOSTERS, TARGETS, META, SELF))
-_FIRST = frozenset(t for r in RULES for t in r[3][0])
 
 
 def passages(text: str, lexicon: Lexicon):
     """(score, category) of each passage of a text that has weight."""
     form = plain_form(text)
+    # without an insult, or all words of a rule, there is nothing to weigh
+    there: set[str] = set()
+    for raw in form.split():
+        there.update(lexicon.terms_of(raw))
+    if _INSULT_SET.isdisjoint(there) and not any(all(not there.isdisjoint(p) for p in parts) for _, _, _, parts in RULES):
+        return
     words, ends, commas, quoted, sentence = [], [], [], [], []
     quote, number = False, 0
     for m in _TOKEN.finditer(form):
         raw = m.group()
         opened = raw.startswith(('"', "“", "«", "„", "`"))
         quote = quote or opened
-        word = raw.strip(_STRIP).replace("'", "").replace("’", "")
+        word = bare(raw)
         ends.append(bool(_SENTENCE_END.search(raw)))
         commas.append(raw.endswith(","))
         quoted.append(quote)
