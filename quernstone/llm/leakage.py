@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from urllib.parse import unquote
 
 import numpy as np
@@ -25,7 +25,7 @@ Q = 8  # length of the q-grams
 MIN_WORDS = 20  # words of an item in succession that make a passage
 MAX_ALTERED = 2  # words of them that may be altered, left out or put in
 BAND = 48  # characters by which alterations may shift a passage
-RESUME = 6  # characters that must agree in a row after an alteration, as short words agree by chance
+RESUME = 6  # characters that must agree in a row after a jump to where no word is due, as short words agree by chance there
 BLOCK_CHARS = 20_000_000  # characters of items that are broadcast at once; more items go in several blocks
 
 _LINE_PREFIX = re.compile(
@@ -63,6 +63,37 @@ def squeezed(text: str) -> str:
     return _NOT_WORD.sub("", plain(text))
 
 
+class Bounds:
+    """Places between the words of a squeezed text: words as white space parts them, and pieces as any other sign does."""
+
+    def __init__(self, text: str):
+        self.words, self.pieces, at = [0], [0], 0
+        for word in plain(text).split():
+            for piece in _NOT_WORD.split(word):
+                if piece:
+                    at += len(piece)
+                    self.pieces.append(at)
+            if at != self.words[-1]:
+                self.words.append(at)
+        self.all = frozenset(self.pieces)
+
+    def due(self, at: int, count: int, step: int) -> set[int]:
+        """Places that are `count` words or pieces of the text beyond a place (step 1: after it; -1: before it)."""
+        if not count:
+            return {at}
+        out = set()
+        for b in (self.words, self.pieces):
+            i = bisect_right(b, at) + count - 1 if step > 0 else bisect_left(b, at) - count
+            if 0 <= i < len(b):
+                out.add(b[i])
+        return out
+
+    def glued(self, low: int, high: int) -> bool:
+        """Whether nothing parts the words between two places."""
+        i = bisect_right(self.pieces, low)
+        return i == len(self.pieces) or self.pieces[i] >= high
+
+
 def item_words(text: str) -> list[str]:
     return [w for w in (_NOT_WORD.sub("", x) for x in plain(text).split()) if w]
 
@@ -155,21 +186,23 @@ class ItemIndex:
                 yield int(k), p[order], q[order]
 
 
-def _reach(words: list[str], text: str, j: int, p: int, step: int) -> list[int]:
+def _reach(words: list[str], text: str, j: int, p: int, step: int, bounds: Bounds | None = None) -> list[int]:
     """Item words passed from word j on (step 1: rightwards from text place p; -1: leftwards to it), by alterations 0..MAX_ALTERED.
 
-    An alteration is a word replaced, left out or put in. Each entry counts words up to the last unaltered one.
+    An alteration is a word replaced, left out or put in. Each entry counts words up to the last unaltered one. After one,
+    whole words of any length agree where the next word is due by the words of the text; elsewhere within the band RESUME characters must.
     """
     best = [0] * (MAX_ALTERED + 1)
     stop = len(words) if step > 0 else -1
-    todo = [(j, p, 0)]
+    todo = [(j, p, 0, False)]
     seen = set()
     while todo:
-        k, at, used = todo.pop()
-        if (k, at, used) in seen:
+        state = todo.pop()
+        if state in seen:
             continue
-        seen.add((k, at, used))
-        began = at
+        seen.add(state)
+        k, at, used, due = state
+        began, whole = at, None  # whole: item word and place at the last end of a word of the text
         while k != stop:
             w = words[k]
             if step > 0:
@@ -181,12 +214,37 @@ def _reach(words: list[str], text: str, j: int, p: int, step: int) -> list[int]:
                     break
                 at -= len(w)
             k += step
+            if bounds and at in bounds.all:
+                whole = k, at
         if used and abs(at - began) < RESUME:
-            continue
+            if not due or at == began:
+                continue
+            if not bounds.glued(min(at, began) - 1, max(at, began) + 1):
+                # the word of the text must end with that of the item
+                if whole is None:
+                    continue
+                k, at = whole
         if at != began:
             for u in range(used, MAX_ALTERED + 1):
                 best[u] = max(best[u], abs(k - j))
-        if used == MAX_ALTERED or k == stop:
+        if used == MAX_ALTERED:
+            continue
+        # the last words may be the beginning of an altered word of the text: go on from its begin, too
+        for k2, at2 in {(k, at), whole or (k, at)} if bounds else ():
+            for skip in range(MAX_ALTERED - used + 1):
+                n = k2 + step * skip
+                if n == stop or not 0 <= n < len(words):
+                    break
+                for count in range(MAX_ALTERED - used + 1):
+                    if skip or count:
+                        for q in bounds.due(at2, count, step):
+                            todo.append((n, q, used + max(skip, count), True))
+                if skip:
+                    # a text whose words are not parted: the place after as many characters
+                    q = at2 + step * sum(len(words[k2 + step * i]) for i in range(skip))
+                    if bounds.glued(min(q, at2) - BAND, max(q, at2) + BAND):
+                        todo.append((n, q, used + skip, True))
+        if k == stop:
             continue
         # resume within the band at this word (words put in), or beyond one or more words (replaced or left out)
         for skip in range(MAX_ALTERED - used + 1):
@@ -198,18 +256,18 @@ def _reach(words: list[str], text: str, j: int, p: int, step: int) -> list[int]:
                 q = text.find(w, at, at + BAND + len(w))
                 while q >= 0:
                     if q != at or skip:
-                        todo.append((n, q, cost))
+                        todo.append((n, q, cost, False))
                     q = text.find(w, q + 1, at + BAND + len(w))
             else:
                 q = text.rfind(w, max(0, at - BAND - len(w)), at)
                 while q >= 0:
                     if q + len(w) != at or skip:
-                        todo.append((n, q + len(w), cost))
+                        todo.append((n, q + len(w), cost, False))
                     q = text.rfind(w, max(0, at - BAND - len(w)), q + len(w) - 1) if q > 0 else -1
     return best
 
 
-def longest_passage(words: list[str], starts: list[int], text: str, places: np.ndarray, docs: np.ndarray, enough: int = MIN_WORDS) -> int:
+def longest_passage(words: list[str], starts: list[int], text: str, places: np.ndarray, docs: np.ndarray, enough: int = MIN_WORDS, bounds: Bounds | None = None) -> int:
     """Most item words in succession that a text holds along one band, with at most MAX_ALTERED alterations.
 
     Stops at the first run of `enough` words.
@@ -224,8 +282,8 @@ def longest_passage(words: list[str], starts: list[int], text: str, places: np.n
         at = q + starts[j] - p
         if (j, at) in done or not text.startswith(words[j], at):
             continue
-        right = _reach(words, text, j, at, 1)
-        left = _reach(words, text, j - 1, at, -1) if j else [0] * (MAX_ALTERED + 1)
+        right = _reach(words, text, j, at, 1, bounds)
+        left = _reach(words, text, j - 1, at, -1, bounds) if j else [0] * (MAX_ALTERED + 1)
         best = max(best, max(left[u] + right[MAX_ALTERED - u] for u in range(MAX_ALTERED + 1)))
         if best >= enough:
             return best
@@ -234,6 +292,18 @@ def longest_passage(words: list[str], starts: list[int], text: str, places: np.n
     return best
 
 
+def leaked(index: ItemIndex, text: str):
+    """(item number, words) of the items of which a text holds a passage."""
+    flat, seen, bounds = squeezed(text), set(), None
+    for k, places, at in index.bands(flat):
+        if k not in seen:
+            bounds = bounds or Bounds(text)
+            n = longest_passage(index.words[k], index.starts[k], flat, places, at, bounds=bounds)
+            if n >= MIN_WORDS:
+                seen.add(k)
+                yield k, n
+
+
 _FOUND = StructType([StructField("doc_id", LongType()), StructField("item_id", LongType()), StructField("words", IntegerType())])
 
 
@@ -259,13 +329,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             index = ItemIndex(bound.value)
 
             def kernel(doc_id, text):
-                flat, seen = squeezed(text), set()
-                for k, places, at in index.bands(flat):
-                    if k not in seen:
-                        n = longest_passage(index.words[k], index.starts[k], flat, places, at)
-                        if n >= MIN_WORDS:
-                            seen.add(k)
-                            yield doc_id, index.ids[k], n
+                for k, n in leaked(index, text):
+                    yield doc_id, index.ids[k], n
 
             return kernel
 

@@ -1,7 +1,7 @@
 import json
 import random
 
-from quernstone.llm.leakage import ItemIndex, item_words, leaks, longest_passage, squeezed
+from quernstone.llm.leakage import ItemIndex, item_words, leaked, leaks, longest_passage, squeezed
 
 rnd = random.Random(9)
 VOCAB = ["".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randrange(6, 12))) for _ in range(600)]
@@ -69,3 +69,50 @@ def test_table(spark):
     assert [(r.doc_id, r.item_id) for r in leaks(docs, items).collect()] == [(1, 7)]
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
     assert item_words("A-b c_d! é") == ["ab", "cd", "e"]
+
+
+def edited(words, doc_words, least=20, altered=2):
+    """Whether a document holds a run of item words, with few replaced, left out or put in, and unaltered ones at both ends."""
+    for i in range(len(words) - least + 1):
+        for j, w in enumerate(doc_words):
+            todo = [(i + 1, j + 1, 0)] if w == words[i] else []
+            while todo:
+                a, b, used = todo.pop()
+                while a < len(words) and b < len(doc_words) and words[a] == doc_words[b]:
+                    a, b = a + 1, b + 1
+                    if a - i >= least:
+                        return True
+                if used < altered:
+                    todo += [(a + 1, b + 1, used + 1), (a + 1, b, used + 1), (a, b + 1, used + 1)]
+    return False
+
+
+def test_short_words_after_alterations():
+    short = random.Random(5)
+    vocab = ["".join(short.choice("abcdefghijklmnoprstuvw") for _ in range(short.randrange(2, 10))) for _ in range(600)]
+    cases = more = 0
+    for _ in range(1000):
+        words = [short.choice(vocab) for _ in range(short.randrange(20, 40))]
+        n = short.randrange(18, min(24, len(words)) + 1)
+        i = short.randrange(len(words) - n + 1)
+        part = words[i : i + n]
+        for k in sorted(short.sample(range(1, n - 1, 2), short.randrange(4)), reverse=True):
+            part[k : k + short.randrange(2)] = [short.choice(vocab) + "zz"] * short.randrange(2)
+        around = ["".join(short.choice("xyz") for _ in range(short.randrange(2, 10))) for _ in range(20)]
+        doc = around[:10] + part + around[10:]
+        got, want = any(leaked(ItemIndex([(1, " ".join(words))]), " ".join(doc))), edited(words, doc)
+        assert got or not want, (words, doc)
+        cases, more = cases + want, more + (got and not want)
+    # a jump within the band counts several words replaced by others as one alteration
+    assert 100 < cases < 900 and more < 10
+
+
+def test_short_word_alone_between_and_after_altered_words():
+    words = passage(24)
+    words[10], words[19] = "of", "the"
+    other = [*words[:9], "first", "of", "second", *words[12:20]]
+    closing = [*words[:18], "altered", "the"]
+    for part in (other, closing):
+        for doc in (" ".join(part), ", ".join(part), "_".join(part)):
+            assert any(leaked(ItemIndex([(1, " ".join(words))]), "before it. " + doc + " . after it")), doc
+    assert not any(leaked(ItemIndex([(1, " ".join(words))]), " ".join([*words[:18], "altered", "then"])))
