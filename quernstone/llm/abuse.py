@@ -17,6 +17,7 @@ from quernstone.arrow import map_rows
 from quernstone.runtime import table
 
 CASE = 1.0  # score from which a passage is a case for review
+QUOTE_WORDS = 60  # words that a quotation has at most, within a paragraph
 
 # Insults that count in full when aimed at someone (en, de, fr, es).
 INSULTS = (
@@ -116,6 +117,7 @@ _SPELLED = re.compile(r"(?<![^\s\"'(])((?:[^\W_]|[*#@$])(?:([-._~·/])(?:[^\W_]|
 _SPACED = re.compile(r"(?<!\S)((?:[^\W\d_]|[*#@$\d])(?: (?:[^\W\d_]|[*#@$\d])){3,})(?=$|[\s.,;:!?])")
 _TOKEN = re.compile(r"[^\s]+")
 _STRIP = ".,;:!?()[]{}<>\"'`´’‘“”«»„…¡¿-–—/\\^~"
+_OPENING, _CLOSING = ('"', "“", "«", "„", "`"), re.compile(r'["”“»`](?!\w)')
 _SENTENCE_END = re.compile(r"[.!?…]+[\"')\]]*$")
 
 
@@ -243,20 +245,25 @@ def passages(text: str, lexicon: Lexicon):
     if _INSULT_SET.isdisjoint(there) and not any(all(not there.isdisjoint(p) for p in parts) for _, _, _, parts in RULES):
         return
     words, ends, commas, quoted, sentence = [], [], [], [], []
-    quote, number = False, 0
+    quote, number, last = None, 0, 0  # quote: the word that an open quotation begins with
     for m in _TOKEN.finditer(form):
         raw = m.group()
-        opened = raw.startswith(('"', "“", "«", "„", "`"))
-        quote = quote or opened
+        gap, last = form[last : m.start()], m.end()
+        if quote is not None and (max(gap.count("\n"), gap.count("\r")) > 1 or len(words) - quote >= QUOTE_WORDS):
+            quote = None  # a quotation without its end is none
+        opened = raw.startswith(_OPENING) and (quote is None or not _CLOSING.match(raw))
+        if opened:
+            quote = len(words)
         word = bare(raw)
         ends.append(bool(_SENTENCE_END.search(raw)))
         commas.append(raw.endswith(","))
-        quoted.append(quote)
+        quoted.append(False)
         words.append(word)
         sentence.append(number)
         number += ends[-1]
-        if quote and raw.rstrip(".,;:!?)").endswith(('"', "”", "»", "`")) and (len(raw) > 1 or not opened):
-            quote = False
+        if quote is not None and _CLOSING.search(raw, 1 if opened else 0):
+            quoted[quote:] = [True] * (len(words) - quote)
+            quote = None
     terms = [lexicon.find(w) if w else () for w in words]
     places: dict[str, list[int]] = {}
     for k, found in enumerate(terms):

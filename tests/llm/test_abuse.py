@@ -62,3 +62,14 @@ def test_table(spark):
     assert {r.doc_id for r in scored(docs).filter(f"score >= {CASE}").collect()} == {1}
     assert {tuple(r) for r in rates(docs).collect()} == {("chat", 3, 1, 0.333333), (None, 1, 0, 0.0)}
     assert scored(docs.limit(0)).count() == 0
+
+
+def test_quotations_end():
+    after = " Some words of ordinary prose follow here. You are a moron, as I said."
+    for text in (
+        '{"level": "warn", "text": "no answer from the probe."}' + after, '["a", "b"],' + after, 'pass "-x and "-y' + after, '"never closed' + after, '"never closed\n\n' + after + '\n\nthe "end"',
+        '"never closed ' + "word " * 80 + after + ' the end"', '„so war es“' + after, 'a mark " alone " and' + after,
+    ):
+        assert score(text) >= CASE, text
+    for text in ('He wrote "you are a moron, as I said" there.', 'He wrote "you are a\nmoron, as I said."}', 'The log has „you are a moron, as I said“ in it.'):
+        assert score(text) < CASE, text
