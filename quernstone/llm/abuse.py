@@ -25,8 +25,34 @@ INSULTS = (
     "clown pig hag simpleton halfwit nitwit degenerate lowlife "
     "arschloch vollidiot wichser drecksau schlampe hure hurensohn missgeburt dummkopf idiotin trottel penner spast spasti fotze schwachkopf miststuck drecksack "
     "abruti connard connasse salaud salope ordure pute encule batard debile cretine imbecile pourriture raclure "
-    "imbecil gilipollas cabron puta idiota estupido pendejo maricon zorra bastardo subnormal cretino desgraciado hijoputa"
+    "imbecil gilipollas cabron puta idiota estupido pendejo maricon zorra bastardo subnormal cretino desgraciado hijoputa "
+    # plurals and other inflections
+    "assholes arseholes bastards bitches cretins dickheads idiots imbeciles morons scumbags sluts whores wankers pricks cunts twats douchebags motherfuckers fuckers jackasses dumbasses losers retards "
+    "shitheads dipshits clowns pigs hags simpletons halfwits nitwits degenerates lowlifes "
+    "arschlocher vollidioten idioten idiotinnen schlampen huren hurensohne missgeburten dummkopfe trotteln spasten spastis fotzen schwachkopfe drecksacke "
+    "abrutis abrutie connards connasses salauds salopes ordures putes encules enculee batards debiles cretines "
+    "imbeciles cabrones cabrona putas idiotas estupidos estupida estupidas pendejos pendeja pendejas maricones zorras bastardos bastarda subnormales cretinos desgraciados desgraciada hijoputas"
 ).split()
+NEAR_LETTERS = 5  # letters of an insult, inflections aside, from which a misspelling by one letter is read as it
+# Ordinary words one letter away from an insult (stretched letters aside), which are not read as it.
+ORDINARY = frozenset((
+    "idiom idioms idiot's batch botch butch bench birch itch pitch witch ditch bitte batches botches benches birches botched where whole whose wore whores whorl shore chore whoever wholes "
+    "lose loses loose looses loosen lost loner loners lover lovers lower lowers laser lasers layer lesser lessor loader loper lober losing looker user "
+    "price prices priced pricey pick picks pricks prink print prints prior prism brick bricks trick tricks crick "
+    "crown crowns clow cloan clone clones cloned close closed clows cowl down clowned cow "
+    "moon moons maroon maroons morn mormon macron micron morton boron marron marrons motion monon moran morons "
+    "wander wanders waker wakers walker walkers waiter wanted wanter winker wacker banker bankers wankel hanker ranker fucked funker tucker sucker "
+    "regard regards retry retarded retards retire retired restart petard custard mustard leotard "
+    "cretan cretans creation certain creatine creating secret cretonne defile defiled delible debit debits debate debuted mobile "
+    "salad salads salade salades salud salut saludo salon slope slopes scope scopes galope ordre ordres ordered ordure ordura odure "
+    "abrupt abrupte encode encore encodes enclose excuse encute encule's batard's carbon carbons charbon baron barons cordon caron capron zorro zonas zona corra borra torre horra forra "
+    "penne penned pender planner planer penders tenner pinner pennies scanner panner patard bastar bavard "
+    "spas spat spats spasm spasms spass spart spatz spans spast's spare past spanst spastic spastics trotted trotter trottet "
+    "fetzen fetze motze kotze katze fotos huren ware putes saloppe salopp "
+    "simpleton's singleton degenerated degenerate's regenerate regenerates generates degenerating "
+    "lowline lowlight highlife subnormally abnormal raclette raclettes mordor mouton "
+    "estupendo pendiente pendientes marino maroni maron tarot idiotic idiotisch idiotique cretinous debilite"
+).split())
 # Adjectives and exclamations that add to an insult.
 BOOSTERS = (
     "useless pathetic worthless stinking retarded brainless goddamn fucking stupid dumb filthy disgusting ugly fat rotten damned "
@@ -118,6 +144,7 @@ _SPACED = re.compile(r"(?<!\S)((?:[^\W\d_]|[*#@$\d])(?: (?:[^\W\d_]|[*#@$\d])){3
 _TOKEN = re.compile(r"[^\s]+")
 _STRIP = ".,;:!?()[]{}<>\"'`´’‘“”«»„…¡¿-–—/\\^~"
 _OPENING, _CLOSING = ('"', "“", "«", "„", "`"), re.compile(r'["”“»`](?!\w)')
+_STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _SENTENCE_END = re.compile(r"[.!?…]+[\"')\]]*$")
 
 
@@ -168,18 +195,20 @@ class Lexicon:
         return found
 
     def _search(self, word: str) -> tuple[str, ...]:
+        word = _STRETCHED.sub(r"\1\1", word)
         exact = self._walk(word, 0)
         if exact:
             return exact
         letters = word.isalpha()
-        # a word of letters alone may well be another word: only long ones are taken for misspellings
-        if len(word) >= (8 if letters else 6) and word[0].isalpha():
+        # a word of letters alone may well be another word: only insults, and other terms in long words, are taken for misspelled
+        if len(word) >= NEAR_LETTERS - 1 and word[0].isalpha() and word not in ORDINARY:
+            long = len(word) >= (8 if letters else 6)
             near = self._walk(word, 1)
-            return tuple(t for t in near if len(t) >= (7 if letters else 5) and t[0] == word[0])
+            return tuple(t for t in near if t[0] == word[0] and ((long and len(t) >= (7 if letters else 5)) or (letters and t in _NEAR_SET)))
         return ()
 
     def _walk(self, word: str, edits: int) -> tuple[str, ...]:
-        """Product of the trie and the automaton of `word` with up to `edits` edits, none of them in the first letter.
+        """Product of the trie and the automaton of `word` with up to `edits` edits, none of them in the first letter. Two letters swapped are one edit.
 
         States are (trie node, place in word, edits, last letter); reading the last letter again is free (stretching).
         """
@@ -215,6 +244,8 @@ class Lexicon:
                         todo.append((child, i + 1, used, t))
                     elif used < edits:
                         todo.append((child, i + 1, used + 1, t))
+                        if i + 1 < n and t == word[i + 1] and c in child:
+                            todo.append((child[c], i + 2, used + 1, c))
                 if used < edits:
                     todo.append((node, i + 1, used + 1, last))
             if used < edits:
@@ -233,6 +264,7 @@ def all_terms() -> set[str]:
 
 
 _INSULT_SET, _BOOST_SET, _TARGET_SET, _META_SET, _SELF_SET = map(frozenset, (INSULTS, BOOSTERS, TARGETS, META, SELF))
+_NEAR_SET = frozenset(t for t in INSULTS if len(t) >= NEAR_LETTERS and not (t[:-1] in _INSULT_SET and len(t) == NEAR_LETTERS))
 
 
 def passages(text: str, lexicon: Lexicon):

@@ -1,4 +1,4 @@
-from quernstone.llm.abuse import CASE, Lexicon, all_terms, passages, plain_form, rates, scored
+from quernstone.llm.abuse import CASE, INSULTS, Lexicon, all_terms, passages, plain_form, rates, scored
 
 LEXICON = Lexicon(all_terms())
 
@@ -73,3 +73,10 @@ def test_quotations_end():
         assert score(text) >= CASE, text
     for text in ('He wrote "you are a moron, as I said" there.', 'He wrote "you are a\nmoron, as I said."}', 'The log has „you are a moron, as I said“ in it.'):
         assert score(text) < CASE, text
+
+
+def test_misspelled_and_inflected_insults():
+    for text in ("You idoit, get out.", "you moorn, get out", "you bich, get out", "You are a basterd.", "you asholes", "you idiots", "you morons and losers", "You whores.", "you are sluts", "tu eres una ptua idoita", "you m" + "o" * 60 + "ron"):
+        assert score(text) >= CASE, text
+    for word in "where whole whose lower loses regard restart price pick crown batch idiom moon maroon carbon salad ordre waker walker wander puts counts slots spass singleton loose lesser".split():
+        assert not set(INSULTS).intersection(LEXICON.find(word)), word
