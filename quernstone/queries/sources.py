@@ -46,6 +46,13 @@ def s06_decoded(spark, sf_dir):
     return f.filter(F.octet_length("b") <= 4000).select("file_id", F.length(S.decoded(F.col("b"), 4000)).cast("long").alias("chars"))
 
 
+@query
+def s06_decoded_whole(spark, sf_dir):
+    """Contents of every file as bytes, and decoded again within the cap of production; s06_decoded has only those its SQL has."""
+    f = tables.files(spark, sf_dir, "content").filter("content is not null").withColumn("b", F.encode("content", "UTF-8"))
+    return f.select("file_id", F.length(S.decoded(F.col("b"))).cast("long").alias("chars"))
+
+
 @query(sql=f"SELECT mode, count(*) AS chunks FROM {CHUNKS_SQL} WHERE mode IS NOT NULL GROUP BY mode")
 def s10_mode_partitions(spark, sf_dir):
     """Chunks written by mode to the shared folder, and read again."""

@@ -14,6 +14,7 @@ PROSE = "md markdown txt rst adoc asciidoc".split()
 SKIPPED_DIRS = ".git node_modules dist build target .venv __pycache__ vendor coverage".split()
 BINARY = "png jpg jpeg gif ico pdf zip gz tgz jar class exe dll so dylib woff woff2 ttf mp3 mp4 wasm".split()
 MAX_BYTES = 5 * 1024 * 1024
+_OPEN_END = r"(?:[\u00C2-\u00DF]|[\u00E0-\u00EF][\u0080-\u00BF]?|[\u00F0-\u00F4][\u0080-\u00BF]{0,2})\z"
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
@@ -85,8 +86,10 @@ def decoded(content: Column, max_bytes: int = MAX_BYTES) -> Column:
     head = F.substring(content, 1, max_bytes)
     text = F.decode(head, "ISO-8859-1")
     valid = F.try_validate_utf8(head.cast("string"))
-    tail = F.regexp_replace(F.make_valid_utf8(head.cast("string")), "�+$", "")
-    return F.coalesce(valid, F.when(F.length(content) > max_bytes, tail).otherwise(F.make_valid_utf8(head.cast("string"))), text)
+    # bytes of a character that the cut left without its end; other malformed bytes stay, as replacement characters
+    open_end = F.regexp_extract(text, _OPEN_END, 0)
+    whole = F.make_valid_utf8(F.substring(head, F.lit(1), F.length(head) - F.length(open_end)).cast("string"))
+    return F.coalesce(valid, F.when(F.length(content) > max_bytes, whole).otherwise(F.make_valid_utf8(head.cast("string"))), text)
 
 
 def write_modes(df: DataFrame, path: str, files: int = 0) -> None:

@@ -95,3 +95,28 @@ def test_windowed_stream_drops_late_rows(spark, tmp_path):
     q = I.event_windows(s, "1 hour", "30 minutes").writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.event_type, r.n, r.total) for r in spark.sql("select * from w").collect()] == [("a", 2, 3.0)]
+
+
+def test_decoded_is_cut_at_whole_characters(spark):
+    from quernstone.sources.files import decoded
+
+    texts = ["", "abc", "aä€😀z" * 3, "€" * 5 + "\ufffd" * 3, "😀" * 4]
+    contents = [t.encode() for t in texts] + [b"ab\xffcd\xffef", b"\xff\xff\xff\xff\xff", b"a\xe2\x82", "ä\n".encode() * 4]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(contents)], "k long, b binary")
+    for cap in range(1, 14):
+        got = {r.k: r.t for r in df.select("k", decoded(F.col("b"), cap).alias("t")).collect()}
+        for k, c in enumerate(contents):
+            end = cap
+            while len(c) > cap and end and c[end] & 0xC0 == 0x80:
+                end -= 1
+            assert got[k] == c[:end].decode("utf-8", "replace"), (cap, c)
+
+
+def test_every_content_is_decoded(spark, sf_dir, tmp_path):
+    import __spark_entry__ as entry
+
+    files = spark.read.parquet(f"{sf_dir}/files.parquet")
+    long = files.filter("content is not null").orderBy("file_id").limit(1).withColumns({"file_id": F.lit(987654321).cast("long"), "path": F.lit("x/long.md"), "content": F.repeat(F.lit("é€ long\n"), 2000)})
+    files.unionByName(long).coalesce(1).write.parquet(f"{tmp_path}/files.parquet")
+    want = {r.file_id: len(r.content) for r in files.unionByName(long).filter("content is not null").collect()}
+    assert {r.file_id: r.chars for r in entry.queries()["s06_decoded_whole"](spark, str(tmp_path)).collect()} == want
