@@ -40,6 +40,14 @@ def t15_sections(spark, sf_dir):
     return s.select("file_id", "section", "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
+@query
+def t15_sections_whole(spark, sf_dir):
+    """Chunks at heading and declaration lines of every file, one root chunk where its suffix has no such lines; t15_sections has only the suffixes of its SQL."""
+    f = tables.files(spark, sf_dir, "suffix", "content").filter(F.col("content").isNotNull())
+    s = C.sections(f, "file_id", "suffix", "content")
+    return s.select("file_id", "section", "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+
+
 @query
 def t20_split_by_bytes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null")

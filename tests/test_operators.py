@@ -234,3 +234,25 @@ def test_flows_are_ranked(spark):
     flows = spark.createDataFrame([(1, 2, "s", "low", 1, 0.9), (1, 3, "s", "high", 2, 0.5), (1, 4, "s", "low", 3, 0.1), (9, 2, "s", "high", 1, 0.2)], "source_id long, sink_id long, source string, sink string, hops int, confidence double")
     top = K.ranked(flows, spark.createDataFrame([(4,)], "id long"), F.col("sink"), 2)
     assert {(r.source_id, r.sink_id) for r in top.collect()} == {(1, 4), (1, 3), (9, 2)}
+
+
+def test_sections_of_every_file(spark, sf_dir):
+    import re
+
+    import __spark_entry__ as entry
+    from quernstone.operators import tables
+    from quernstone.operators.chunking import HEADINGS
+
+    want, suffixes = set(), set()
+    for r in tables.files(spark, sf_dir, "suffix", "content").filter("content is not null").collect():
+        lines = re.split("\r\n?|\n", r.content)
+        pattern = HEADINGS.get(r.suffix)
+        heads = [n for n, x in enumerate(lines, 1) if pattern and re.search(pattern, x, re.A)]
+        suffixes.add(r.suffix)
+        for k, n in enumerate(heads):
+            want.add((r.file_id, k + 1, lines[n - 1].strip(" "), n, heads[k + 1] - 1 if k + 1 < len(heads) else len(lines)))
+        if not heads:
+            want.add((r.file_id, 1, "root", 1, len(lines)))
+    assert {"js", "ts", "c", "json"} <= suffixes
+    got = [tuple(r) for r in entry.queries()["t15_sections_whole"](spark, sf_dir).select("file_id", "section", "title", "start_line", "end_line").collect()]
+    assert len(got) == len(want) and set(got) == want
