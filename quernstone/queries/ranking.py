@@ -83,9 +83,21 @@ def a04_index_statistics(spark, sf_dir):
 @query(sql=rf"""SELECT mode, gram, count(DISTINCT id) AS chunks FROM (SELECT id, mode, trim(regexp_replace(unnest(ngrams), '[\x01_\s]+', ' ', 'g')) AS gram FROM {CHUNKS_SQL}) WHERE gram IS NOT NULL AND gram <> '' GROUP BY mode, gram HAVING count(DISTINCT id) <= 200""")
 def a06_phrase_postings(spark, sf_dir):
     """Chunks of each phrase, without phrases in more than 200 of them."""
+    return phrase_postings(spark, sf_dir, max_df=200)
+
+
+@query
+def a06_phrase_postings_whole(spark, sf_dir):
+    """Chunks of each phrase, of all phrases."""
+    return phrase_postings(spark, sf_dir)
+
+
+def phrase_postings(spark, sf_dir, max_df: int | None = None):
+    """(mode, gram, chunks) of each phrase; with max_df, without phrases in more chunks than that."""
     c = tables.chunks(spark, sf_dir, "mode", "ngrams").select("id", "mode", F.explode("ngrams").alias("g"))
     g = c.select("id", "mode", F.trim(F.regexp_replace("g", r"[\x01_\s]+", " ")).alias("gram")).filter("gram != ''").distinct()
-    return g.groupBy("mode", "gram").agg(F.count(F.lit(1)).alias("chunks")).filter("chunks <= 200")
+    counts = g.groupBy("mode", "gram").agg(F.count(F.lit(1)).alias("chunks"))
+    return counts if max_df is None else counts.filter(F.col("chunks") <= max_df)
 
 
 _FOLD = "list_reduce(list_transform(string_split(x, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (h * 31 + c) % 4294967296, 0::BIGINT)"

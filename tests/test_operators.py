@@ -256,3 +256,22 @@ def test_sections_of_every_file(spark, sf_dir):
     assert {"js", "ts", "c", "json"} <= suffixes
     got = [tuple(r) for r in entry.queries()["t15_sections_whole"](spark, sf_dir).select("file_id", "section", "title", "start_line", "end_line").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_phrases_of_many_chunks_stay(spark, sf_dir, tmp_path):
+    import re
+    from collections import Counter
+
+    import __spark_entry__ as entry
+    from quernstone.operators import tables
+    from pyspark.sql import functions as F
+
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet")
+    more = chunks.orderBy("id").limit(1).withColumn("id", F.explode(F.sequence(F.lit(10**9), F.lit(10**9 + 300)))).withColumn("mode", F.lit("code")).withColumn("ngrams", F.array(F.lit("very_common"), F.lit("very\x01common")))
+    chunks.unionByName(more.select(chunks.columns)).coalesce(1).write.parquet(f"{tmp_path}/chunks.parquet")
+    want = Counter()
+    for r in tables.chunks(spark, str(tmp_path), "mode", "ngrams").collect():
+        grams = {re.sub(r"[\x01_\s]+", " ", g, flags=re.A).strip(" ") for g in r.ngrams or [] if g is not None}
+        want.update((r.mode, g) for g in grams if g)
+    got = {(r.mode, r.gram): r.chunks for r in entry.queries()["a06_phrase_postings_whole"](spark, str(tmp_path)).collect()}
+    assert got == dict(want) and got["code", "very common"] == 301
