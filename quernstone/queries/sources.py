@@ -76,12 +76,24 @@ def s19_dot(spark, sf_dir):
 @query(sql=f"WITH c AS (SELECT mode, row_number() OVER (PARTITION BY mode ORDER BY id) - 1 AS k, id FROM {CHUNKS_SQL} WHERE mode IN ('code', 'prose')) SELECT CASE WHEN mode = 'code' THEN k ELSE k + (SELECT count(*) FROM c WHERE mode = 'code') END AS doc_id, id FROM c")
 def s20_piece_assembly(spark, sf_dir):
     """Two pieces with ids of their own as one index."""
+    return pieces(tables.chunks(spark, sf_dir, "mode"), ["code", "prose"])
+
+
+@query
+def s20_piece_assembly_whole(spark, sf_dir):
+    """A piece of every mode with ids of its own as one index, code and prose first, chunks without a mode last."""
     c = tables.chunks(spark, sf_dir, "mode")
+    modes = [r.mode for r in c.select("mode").distinct().collect()]
+    return pieces(c, sorted(modes, key=lambda m: (m is None, m not in ("code", "prose"), m or "")))
+
+
+def pieces(c, modes):
+    """(doc_id, id): one piece of each mode, in the order of the list."""
 
     def piece(m):
         from pyspark.sql import Window
 
-        part = c.filter(F.col("mode") == m).select("id")
+        part = c.filter(F.col("mode").eqNullSafe(m)).select("id")
         # dense ids in the order of the key: ranks within ranges of ids, shifted by the sizes of the ranges before
         span = part.withColumn("__r", F.floor(F.col("id") / (1 << 20)))
         local = span.withColumn("__n", F.row_number().over(Window.partitionBy("__r").orderBy("id")))
@@ -89,7 +101,7 @@ def s20_piece_assembly(spark, sf_dir):
         sizes = span.groupBy("__r").count().withColumn("__s", F.coalesce(F.sum("count").over(before), F.lit(0))).select("__r", "__s")
         return local.join(sizes, "__r").select((F.col("__n") + F.col("__s") - 1).alias("doc_id"), "id")
 
-    return S.assemble([piece("code"), piece("prose")])
+    return S.assemble([piece(m) for m in modes])
 
 
 @query(sql="SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

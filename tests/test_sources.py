@@ -120,3 +120,17 @@ def test_every_content_is_decoded(spark, sf_dir, tmp_path):
     files.unionByName(long).coalesce(1).write.parquet(f"{tmp_path}/files.parquet")
     want = {r.file_id: len(r.content) for r in files.unionByName(long).filter("content is not null").collect()}
     assert {r.file_id: r.chars for r in entry.queries()["s06_decoded_whole"](spark, str(tmp_path)).collect()} == want
+
+
+def test_pieces_of_every_mode(spark, sf_dir, tmp_path):
+    import __spark_entry__ as entry
+    from quernstone.operators import tables
+
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet")
+    chunks.withColumn("mode", F.when(F.col("id") % 10 != 0, F.col("mode"))).coalesce(1).write.parquet(f"{tmp_path}/chunks.parquet")
+    kept = tables.chunks(spark, str(tmp_path), "mode").collect()
+    modes = {r.mode for r in kept}
+    assert {"code", "prose", "extracted-prose", None} <= modes
+    order = ["code", "prose", *sorted(m for m in modes if m not in ("code", "prose", None)), None]
+    want = list(enumerate(i for m in order for i in sorted(r.id for r in kept if r.mode == m)))
+    assert sorted((r.doc_id, r.id) for r in entry.queries()["s20_piece_assembly_whole"](spark, str(tmp_path)).collect()) == want
