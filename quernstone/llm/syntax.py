@@ -175,6 +175,7 @@ class EcmaScript(Language):
     skip = re.compile(
         r"//[^\n]*|/\*[\s\S]*?\*/|/\*|" + _quoted('"') + "|" + _quoted("'") + r"|[\"'`]|" + _CONTROL
         + r"|(?:(?<=[(,=:\[!&|?{};+*~^<>%\n\t-])|(?<=[(,=:\[!&|?{};+*~^<>%-] )|(?<=\breturn)|(?<=\breturn )|(?<=\btypeof)|(?<=\btypeof )|(?<=\bcase )|(?<=  )|(?<![\s\S]))/(?![*/])[^/\\\[\n]*(?:(?:\\.|\[[^\]\\\n]*(?:\\.[^\]\\\n]*)*\])[^/\\\[\n]*)*/[a-z]*")
+    code = re.compile(skip.pattern + "|[{}]")
     plain_ops = "=== !== == != <= >= && || ?? / % ** ^ <<"
 
     def literal(self, text, m, keep):
@@ -192,46 +193,47 @@ class EcmaScript(Language):
             return self.template(text, m.start(), keep)
         return ('"' if len(g) > 1 else BAD), m.end()
 
+    _IN_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
+
     def template(self, text, start, keep):
-        """Shape and end of a template literal: a mark, then each of its expressions."""
-        out, i, n = ["`"], start + 1, len(text)
-        while i < n:
-            c = text[i]
-            if c == "\\":
-                i += 2
-            elif c == "`":
-                return "".join(out), i + 1
-            elif c == "$" and text.startswith("{", i + 1):
-                j = self.braced(text, i + 2)
-                if j < 0:
-                    return BAD, n
-                out.append(OPEN + self.strip(text[i + 2 : j], False).replace("\n", " ") + CLOSE)
-                i = j + 1
-            else:
-                i += 1
-        return BAD, n
-
-    def braced(self, text, i):
-        """Place of the brace that closes an expression of a template; -1 where there is none."""
-        depth, n = 1, len(text)
-        while i < n:
-            c = text[i]
-            if c == "{":
-                depth += 1
-            elif c == "}":
-                depth -= 1
-                if not depth:
-                    return i
-            elif c == "`":
-                _, i = self.template(text, i, False)
+        """Shape and end of a template literal: a mark, then each of its expressions.
+
+        One pass over the text, however deep templates lie within expressions of others: `nested` has 0 for an open template and
+        the number of open braces for an open expression.
+        """
+        out, nested, at = ["`"], [0], start + 1
+        while nested:
+            m = (self.code if nested[-1] else self._IN_TEMPLATE).search(text, at)
+            if m is None:
+                return BAD, len(text)
+            g = m.group()
+            if not nested[-1]:
+                at = m.end()
+                if g == "`":
+                    nested.pop()
+                elif g == "${":
+                    out.append(OPEN)
+                    nested.append(1)
                 continue
-            elif c in "\"'/":
-                m = self.skip.match(text, i)
-                if m:
-                    i = max(i + 1, m.end())
-                    continue
-            i += 1
-        return -1
+            out.append(text[at : m.start()].replace("\n", " "))
+            at = m.end()
+            if g == "`":
+                out.append(g)
+                nested.append(0)
+            elif g == "{":
+                out.append(g)
+                nested[-1] += 1
+            elif g == "}":
+                nested[-1] -= 1
+                if nested[-1]:
+                    out.append(g)
+                else:
+                    out.append(CLOSE)
+                    nested.pop()
+            else:
+                piece, at = self.literal(text, m, False)
+                out.append(piece.replace("\n", " "))
+        return "".join(out), at
 
     def strip(self, text, keep=False):
         return super().strip("//" + text[2:] if text.startswith("#!") else text, keep)
@@ -304,62 +306,85 @@ class Python(Language):
         quote = g.lstrip("rRbBuUfF")
         if quote not in self.bodies:
             return BAD, m.end()
+        if "f" in g[: -len(quote)].lower():
+            return self.formatted(text, m.end(), quote, g)
         body = self.bodies[quote].match(text, m.end())
         if body is None:
             return BAD, len(text) if len(quote) == 3 else m.end()
-        if g[0] in "fF" or g[:2].lower() == "rf":
-            return self.formatted(text[m.end() : body.end() - len(quote)]), body.end()
         return '"', body.end()
 
-    def formatted(self, body, top=True):
-        """Shape of a formatted string: a mark, then each of its expressions; of a format specification the expressions."""
-        if "{" not in body and "}" not in body:
-            return "`" if top else ""
-        out, i, n = ["`" if top else ""], 0, len(body)
-        while i < n:
-            c = body[i]
-            if c == "{" and body.startswith("{", i + 1) and top or c == "}" and body.startswith("}", i + 1) and top:
-                i += 2
-            elif c == "}":
-                return BAD
-            elif c == "{":
-                j, depth = i + 1, 0
-                while j < n and not (depth == 0 and (body[j] in ":}" or body[j] == "!" and not body.startswith("!=", j))):
-                    if body[j] in "([{":
-                        depth += 1
-                    elif body[j] in ")]}":
-                        depth -= 1
-                    elif body[j] in "\"'":
-                        end = self.bodies[body[j]].match(body, j + 1)
-                        if end is None:
-                            return BAD
-                        j = end.end() - 1
-                    j += 1
-                inner = body[i + 1 : j]
-                if j >= n or not inner.strip():
-                    return BAD
-                out.append(OPEN + self.strip(inner).replace("\n", " ") + CLOSE)
-                if body[j] == "!":
-                    conversion = re.compile(r"![rsa]").match(body, j)
+    code = re.compile(skip.pattern + r"|!=|[()\[\]{}:!]")
+    # what ends a run of literal characters: escapes, braces, the closing quote, and a line's end where one may not be
+    parts = {(q, raw): re.compile((r"" if raw else r"\\N\{[^{}\n]*\}|") + r"\\[^{}]|[{}]|" + q + (r"" if len(q) == 3 else r"|\n"))
+             for q in ('"""', "'''", '"', "'") for raw in (False, True)}
+    _CONVERSION = re.compile(r"[rsa]\s*(?=[:}])")
+
+    def formatted(self, text, start, quote, opening):
+        """Shape and end of a formatted string: a mark, then each of its expressions, those of format specifications after that which they format.
+
+        One pass, however deep strings lie within expressions of others. `nested` holds what is open: literal text, code with its open
+        brackets, or a format specification; each with the quote and the rawness of its string.
+        """
+        broken = BAD, (len(text) if len(quote) == 3 else start)
+        out, at, nested = ["`"], start, [["text", quote, "r" in opening[: -len(quote)].lower(), 0]]
+        while nested:
+            kind, q, raw, depth = top = nested[-1]
+            m = (self.code if kind == "code" else self.parts[q, raw]).search(text, at)
+            if m is None:
+                return broken
+            g = m.group()
+            if kind != "code":
+                at = m.end()
+                if g[0] == "\\":
+                    continue
+                if kind == "text" and g in "{}" and text.startswith(g, at):
+                    at += 1  # a doubled brace is a character
+                elif g == "{":
+                    out.append(OPEN)
+                    nested.append(["code", q, raw, 0])
+                elif g == "}" and kind == "spec" or g == q and kind == "text":
+                    nested.pop()
+                elif g == "\n" and kind == "spec":
+                    continue
+                else:
+                    return broken
+                continue
+            out.append(text[at : m.start()].replace("\n", " "))
+            at = m.end()
+            if g in ("(", "[", "{"):
+                top[3] += 1
+                out.append(g)
+            elif depth and g in (")", "]", "}"):
+                top[3] -= 1
+                out.append(g)
+            elif not depth and g in ("}", ":", "!"):
+                if g == "!":
+                    conversion = self._CONVERSION.match(text, at)
                     if conversion is None:
-                        return BAD
-                    j = conversion.end()
-                if body.startswith(":", j):
-                    k, depth = j + 1, 0
-                    while k < n and not (body[k] == "}" and depth == 0):
-                        depth += (body[k] == "{") - (body[k] == "}")
-                        k += 1
-                    spec = self.formatted(body[j + 1 : k], False)
-                    if BAD in spec:
-                        return BAD
-                    out.append(spec)
-                    j = k
-                if not body.startswith("}", j):
-                    return BAD
-                i = j + 1
-            else:
-                i += 1
-        return "".join(out)
+                        return broken
+                    at = conversion.end() + 1
+                    g = text[at - 1]
+                out.append(CLOSE)
+                nested.pop()
+                if g == ":":
+                    nested.append(["spec", q, raw, 0])
+            elif g[-1] in "\"'":
+                inner = g[-3:] if g[-3:] in self.bodies else g[-1]
+                prefix = g[: -len(inner)].lower()
+                if "f" in prefix:
+                    out.append("`")
+                    nested.append(["text", inner, "r" in prefix, 0])
+                else:
+                    body = self.bodies[inner].match(text, at)
+                    if body is None:
+                        return broken
+                    out.append('"')
+                    at = body.end()
+            elif g[0] == "\\":
+                out.append(" ")
+            elif g[0] != "#":
+                out.append(g if g in ("!=", ":", "!", ")", "]") else BAD)
+        return "".join(out), at
 
     def first_error(self, text):
         text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
@@ -557,10 +582,7 @@ def first_error(text: str, language: str, tables: dict[str, dict] | None = None)
     found = _languages.get(language)
     if found is None:
         found = _languages[language] = KINDS[language]((tables or all_tables())[language])
-    try:
-        return found.first_error(text)
-    except RecursionError:  # literals within literals beyond all use
-        return 1
+    return found.first_error(text)
 
 
 _CHECKED = StructType([

@@ -1,6 +1,7 @@
 import ast
 import json
 import random
+import time
 
 import pytest
 
@@ -116,3 +117,31 @@ def test_files_and_rates(spark):
     assert got == {(1, None), (2, 1), (4, None), (5, 1)}
     assert {tuple(r) for r in rates(files).collect()} == {("r", "python", 2, 1, 0.5), (None, "javascript", 1, 0, 0.0), ("r", "json", 1, 1, 1.0)}
     assert checked(files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [30, 500])
+def test_literals_within_literals_take_one_pass(depth):
+    template, formatted = "1", "1"
+    for _ in range(depth):
+        template, formatted = "`a ${" + template + "} b`", 'f"a {' + formatted + '} b"'
+    began = time.time()
+    assert first_error("x = " + template, "javascript") is None
+    assert first_error("let x: string = " + template, "typescript") is None
+    assert first_error("x = " + formatted + "\n", "python") is None
+    assert time.time() - began < 3
+    assert first_error("y\nx = " + template[:-1], "javascript") is not None
+    assert first_error("y\nx = " + template.replace("1", "1 +"), "javascript") == 2
+    assert first_error("y\nx = " + formatted.replace("1", "1 1") + "\n", "python") == 2
+
+
+def test_formatted_strings_agree_with_the_parser_of_the_language():
+    for text in (
+        'f"{"a"}"', 'f"{x!r:>{w}}"', 'f"{x!z}"', 'f"{}"', 'f"{x"', 'f"}"', 'f"{{}}"', 'f"{x = !r:^20}"', 'f"{lambda x: 1}"', 'f"{(lambda x: 1)}"', 'f"\\N{DIGIT ONE}{x}"', 'rf"\\{x}"', 'f"""{\nx\n}"""', 'f"a\nb"',
+        'f"{x:{y:{z}}}"', 'f"{a["b"]}"', "f'{x:%H:%M}'", 'f"{x # c\n}"', 'f"{a!=b}"', 'f"{ {1:2}[1] }"', 'f"{x:=5}"', 'f"{f"{f"{1}"}"}"', "f'''{'''a'''}'''", 'f"{*a, 1}"', 'f"{x:"}"', 'f"{x)}"', 'f"{a b}"', "f'{x:a{y}b}' + 1",
+    ):
+        try:
+            ast.parse(text)
+            valid = True
+        except SyntaxError:
+            valid = False
+        assert (first_error(text, "python") is None) == valid, text
