@@ -2,8 +2,10 @@
 
 Texts are compared as runs of letters and digits. Every q-gram of a document is looked up among those of the items; hits of
 one item on neighbouring diagonals (document position minus item position) are counted in overlapping bands. A passage
-with few altered words keeps at least as many q-grams as the lemma states, so bands below that count are left out without
-loss; the others are aligned word by word, within the band, and give the longest run of item words with few alterations.
+with few altered words keeps at least as many q-grams as the lemma states: items of which no run of words has so many are left out without loss. Altered words part a
+passage into at most one stretch more than there are of them, each on one diagonal: a band below that share of the count holds none of the longest stretch and is left
+out too, however far an alteration shifts the rest. The other bands are aligned by words: from a shared word on, both ways, the furthest cells
+reached with 0, 1, ... alterations, so that no cell is more than the budget of words off the diagonal.
 """
 
 from __future__ import annotations
@@ -21,12 +23,11 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from quernstone.arrow import map_rows
 from quernstone.runtime import table
 
-Q = 8  # length of the q-grams
+Q = 8  # length of the q-grams; items of very short words take shorter ones, so that the lemma says something for them
 MIN_WORDS = 20  # words of an item in succession that make a passage
 MAX_ALTERED = 2  # words of them that may be altered, left out or put in
-BAND = 48  # characters by which alterations may shift a passage
-RESUME = 6  # characters that must agree in a row after a jump to where no word is due, as short words agree by chance there
-BLOCK_CHARS = 20_000_000  # characters of items that are broadcast at once; more items go in several blocks
+BAND = 48  # half the width of the bands in which hits are counted
+BLOCK_CHARS = 20_000_000  # characters of items that are broadcast; more items meet the documents in a join of fingerprints
 
 _LINE_PREFIX = re.compile(
     r"^[ \t]*(?:(?:[>#*+|;/-]|//+|--)[ \t]*)*(?:\[?\d{1,2}:\d{2}(?::\d{2})?\]?[ \t]+[\w.@-]{1,40}:[ \t]|\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d)?[\w.,:+-]*\]?[ \t]*(?:(?:INFO|WARN|ERROR|DEBUG)\b:?)?"
@@ -77,13 +78,11 @@ class Bounds:
                 self.words.append(at)
         self.all = frozenset(self.pieces)
 
-    def due(self, at: int, count: int, step: int) -> set[int]:
-        """Places that are `count` words or pieces of the text beyond a place (step 1: after it; -1: before it)."""
-        if not count:
-            return {at}
+    def next(self, at: int, step: int) -> set[int]:
+        """Where the next word or piece of the text ends (step 1: after a place; -1: before it)."""
         out = set()
         for b in (self.words, self.pieces):
-            i = bisect_right(b, at) + count - 1 if step > 0 else bisect_left(b, at) - count
+            i = bisect_right(b, at) if step > 0 else bisect_left(b, at) - 1
             if 0 <= i < len(b):
                 out.add(b[i])
         return out
@@ -98,111 +97,143 @@ def item_words(text: str) -> list[str]:
     return [w for w in (_NOT_WORD.sub("", x) for x in plain(text).split()) if w]
 
 
-def gram_hashes(text: str) -> np.ndarray:
+def gram_hashes(text: str, q: int = Q) -> np.ndarray:
     """Hash of each q-gram of a text, by its start."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    n = len(codes) - Q + 1
+    n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for k in range(Q):
+    for k in range(q):
         out = out * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
     return out ^ (out >> np.uint64(29))
 
 
-def shared_at_least(words: list[str]) -> int:
-    """Least number of shared q-grams of a passage of MIN_WORDS words with MAX_ALTERED of them altered (q-gram lemma).
+def shared_at_least(words: list[str], q: int = Q) -> np.ndarray:
+    """Least number of shared q-grams of each MIN_WORDS words in succession with MAX_ALTERED of them altered (q-gram lemma).
 
-    A passage of n characters has n - Q + 1 q-grams; an altered word of length m spoils at most m + Q - 1 of them.
+    A passage of n characters has n - q + 1 q-grams; an altered word of length m spoils at most m + q - 1 of them.
     """
     lengths = [len(w) for w in words]
-    least = None
-    for i in range(max(1, len(lengths) - MIN_WORDS + 1)):
-        window = lengths[i : i + MIN_WORDS]
-        kept = sum(window) - Q + 1 - sum(m + Q - 1 for m in sorted(window)[-MAX_ALTERED:])
-        least = kept if least is None else min(least, kept)
-    return max(1, least or 1)
+    windows = [lengths[i : i + MIN_WORDS] for i in range(max(1, len(lengths) - MIN_WORDS + 1))]
+    return np.array([sum(w) - q + 1 - sum(m + q - 1 for m in sorted(w)[-MAX_ALTERED:]) for w in windows], np.int64)
+
+
+def gram_length(words: list[str]) -> int:
+    """The greatest q up to Q for which the lemma demands a shared q-gram; MIN_WORDS words always have one."""
+    return next((q for q in range(Q, 1, -1) if shared_at_least(words, q).min() >= 1), 1)
+
+
+def share(words: list[str], q: int) -> int:
+    """Least number of shared q-grams in a row: those the lemma demands lie in at most MAX_ALTERED + 1 rows."""
+    return max(1, -(-int(shared_at_least(words, q).min()) // (MAX_ALTERED + 1)))
+
+
+SIEVE = 1 << 22  # bits by which most q-grams that no item has are left out at once
+
+
+class GramIndex:
+    """The q-grams of one length of some items."""
+
+    def __init__(self, q: int, numbers: list[int], words: list[list[str]]):
+        self.q = q
+        grams = [gram_hashes("".join(w), q) for w in words]
+        flat = np.concatenate(grams)
+        order = np.argsort(flat, kind="stable")
+        self.hashes = flat[order]
+        self.owners = np.concatenate([np.full(len(g), n, np.int64) for g, n in zip(grams, numbers)])[order]
+        self.places = np.concatenate([np.arange(len(g), dtype=np.int64) for g in grams])[order]
+        first = np.concatenate([[True], self.hashes[1:] != self.hashes[:-1]])
+        self.keys = self.hashes[first]
+        self.bounds = np.append(np.flatnonzero(first), len(self.hashes))
+        self.sieve = np.zeros(SIEVE, bool)
+        self.sieve[(self.keys & np.uint64(SIEVE - 1)).astype(np.int64)] = True
+
+    def hits(self, text: str):
+        """(item number, item place, document place) of every q-gram that a text shares with an item."""
+        h = gram_hashes(text, self.q)
+        maybe = np.flatnonzero(self.sieve[(h & np.uint64(SIEVE - 1)).astype(np.int64)])
+        at = np.searchsorted(self.keys, h[maybe])
+        at[at == len(self.keys)] = 0
+        same = self.keys[at] == h[maybe]
+        found, at = maybe[same], at[same]
+        lo = self.bounds[at]
+        counts = self.bounds[at + 1] - lo
+        doc = np.repeat(found, counts)
+        slots = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+        return self.owners[slots], self.places[slots], doc
 
 
 class ItemIndex:
     """Items by the hashes of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, self.starts, self.least = [], [], [], []
-        hashes, owners, places = [], [], []
+        self.ids, self.words, self.starts, self.kept = [], [], [], []
+        least, by_length = [], {}
         for item_id, text in items:
             words = item_words(text or "")
             if len(words) < MIN_WORDS:
                 continue
-            joined = "".join(words)
-            h = gram_hashes(joined)
-            hashes.append(h)
-            owners.append(np.full(len(h), len(self.ids), np.int64))
-            places.append(np.arange(len(h), dtype=np.int64))
-            starts = np.cumsum([0, *map(len, words)]).tolist()
+            q = gram_length(words)
+            by_length.setdefault(q, []).append(len(self.ids))
+            least.append(share(words, q))
             self.ids.append(item_id)
             self.words.append(words)
-            self.starts.append(starts)
-            self.least.append(shared_at_least(words))
-        if hashes:
-            flat = np.concatenate(hashes)
-            order = np.argsort(flat, kind="stable")
-            self.hashes, self.owners, self.places = flat[order], np.concatenate(owners)[order], np.concatenate(places)[order]
-            self.first = np.concatenate([[True], self.hashes[1:] != self.hashes[:-1]])
-            self.keys = self.hashes[self.first]
-            self.bounds = np.append(np.flatnonzero(self.first), len(self.hashes))
-            self.least = np.array(self.least)
+            starts = np.cumsum([0, *map(len, words)])
+            self.starts.append(starts.tolist())
+            self.kept.append((shared_at_least(words, q), starts[: len(words) - MIN_WORDS + 1], np.maximum(starts[MIN_WORDS:] - q + 1, starts[: len(words) - MIN_WORDS + 1])))
+        self.share = np.array(least, np.int64)
+        self.least = np.array([max(1, kept.min()) for kept, _, _ in self.kept], np.int64)
+        self.grams = [GramIndex(q, numbers, [self.words[n] for n in numbers]) for q, numbers in sorted(by_length.items())]
+
+    def passes(self, k: int, places: np.ndarray) -> bool:
+        """Whether the lemma allows a passage of item k of which these places are shared, on whatever diagonals."""
+        kept, begin, end = self.kept[k]
+        shared = np.zeros(self.starts[k][-1] + 1, np.int64)
+        shared[places + 1] = 1
+        upto = np.cumsum(shared)
+        return bool((upto[end] - upto[begin] >= kept).any())
 
     def bands(self, text: str):
         """(item number, pairs of item place and document place) of the bands that meet the lemma."""
-        if not self.ids:
-            return
-        h = gram_hashes(text)
-        if not len(h):
-            return
-        at = np.searchsorted(self.keys, h)
-        at[at == len(self.keys)] = 0
-        found = np.flatnonzero(self.keys[at] == h)
-        if len(found) < int(self.least.min()):
-            return
-        lo, hi = self.bounds[at[found]], self.bounds[at[found] + 1]
-        counts = hi - lo
-        doc = np.repeat(found, counts)
-        slots = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
-        item, place = self.owners[slots], self.places[slots]
-        diagonal = doc - place
-        per_item = np.bincount(item, minlength=len(self.ids))
-        for k in np.flatnonzero(per_item >= self.least):
-            mine = item == k
-            d, p, q = diagonal[mine], place[mine], doc[mine]
-            # overlapping bands of 2 * BAND: each hit is in two of them
-            band = np.floor_divide(d, BAND)
-            ids, inverse = np.unique(np.concatenate([band, band + 1]), return_inverse=True)
-            sizes = np.bincount(inverse)
-            both = np.concatenate([np.arange(len(d)), np.arange(len(d))])
-            for b in np.flatnonzero(sizes >= self.least[k]):
-                at_band = np.unique(both[inverse == b])
-                order = at_band[np.argsort(p[at_band], kind="stable")]
-                yield int(k), p[order], q[order]
-
-
-def _reach(words: list[str], text: str, j: int, p: int, step: int, bounds: Bounds | None = None) -> list[int]:
+        for grams in self.grams:
+            if len(text) < grams.q:
+                continue
+            item, place, doc = grams.hits(text)
+            if not len(item):
+                continue
+            diagonal = doc - place
+            per_item = np.bincount(item, minlength=len(self.ids))
+            for k in np.flatnonzero(per_item >= self.least):
+                mine = item == k
+                if not self.passes(k, place[mine]):
+                    continue
+                d, p, q = diagonal[mine], place[mine], doc[mine]
+                # overlapping bands of 2 * BAND: each hit is in two of them
+                band = np.floor_divide(d, BAND)
+                ids, inverse = np.unique(np.concatenate([band, band + 1]), return_inverse=True)
+                sizes = np.bincount(inverse)
+                both = np.concatenate([np.arange(len(d)), np.arange(len(d))])
+                for b in np.flatnonzero(sizes >= self.share[k]):
+                    at_band = np.unique(both[inverse == b])
+                    order = at_band[np.argsort(p[at_band], kind="stable")]
+                    yield int(k), p[order], q[order]
+
+
+def _reach(words: list[str], text: str, j: int, p: int, step: int, bounds: Bounds) -> list[int]:
     """Item words passed from word j on (step 1: rightwards from text place p; -1: leftwards to it), by alterations 0..MAX_ALTERED.
 
-    An alteration is a word replaced, left out or put in. Each entry counts words up to the last unaltered one. After one,
-    whole words of any length agree where the next word is due by the words of the text; elsewhere within the band RESUME characters must.
+    An alteration is a word replaced, left out or put in. The front of u alterations is what is reached with exactly u; each of its cells
+    (item word, text place) slides along words that agree. An altered word at the end counts where the text has a word in its place. Where
+    the text does not part its words, an altered one has any length: it ends where the following words of the item, Q characters of them at least, are found
+    before the next sign, or after as many characters as the item's word.
     """
     best = [0] * (MAX_ALTERED + 1)
     stop = len(words) if step > 0 else -1
-    todo = [(j, p, 0, False)]
-    seen = set()
-    while todo:
-        state = todo.pop()
-        if state in seen:
-            continue
-        seen.add(state)
-        k, at, used, due = state
-        began, whole = at, None  # whole: item word and place at the last end of a word of the text
+
+    def slide(k, at, u):
+        """(words passed, place) where the words that agree from a cell on end."""
+        began, whole, start = at, None, k
         while k != stop:
             w = words[k]
             if step > 0:
@@ -214,64 +245,62 @@ def _reach(words: list[str], text: str, j: int, p: int, step: int, bounds: Bound
                     break
                 at -= len(w)
             k += step
-            if bounds and at in bounds.all:
+            if at in bounds.all:
                 whole = k, at
-        if used and abs(at - began) < RESUME:
-            if not due or at == began:
-                continue
-            if not bounds.glued(min(at, began) - 1, max(at, began) + 1):
-                # the word of the text must end with that of the item
-                if whole is None:
+        ends = {(start, began)}
+        if k != start:
+            # after an alteration a word of the text must end with that of the item, where the text parts its words
+            if not u or bounds.glued(min(at, began) - 1, max(at, began) + 1):
+                ends.add((k, at))
+            if whole:
+                ends.add(whole)
+        return ends
+
+    def find(k, at):
+        """Places before the next sign at which the item goes on from word k."""
+        probe, n = "", k
+        while n != stop and len(probe) < Q:
+            probe = probe + words[n] if step > 0 else words[n] + probe
+            n += step
+        if len(probe) < Q:
+            return
+        ahead = bounds.next(at, step)
+        edge = (min if step > 0 else max)(ahead, default=len(text) if step > 0 else 0)
+        lo, hi = (at + 1, edge) if step > 0 else (edge, at - 1)
+        q = text.find(probe, max(lo, 0), hi)
+        while q >= 0:
+            yield q if step > 0 else q + len(probe)
+            q = text.find(probe, q + 1, hi)
+
+    front = {(j, p, 0)}  # item word, text place, words that count where the passage ends here
+    for u in range(MAX_ALTERED + 1):
+        if u:
+            best[u] = best[u - 1]
+        after = set()
+        for k0, at0, counted in front:
+            for k, at in slide(k0, at0, u):
+                passed = counted if k == k0 else abs(k - j)
+                best[u] = max(best[u], passed)
+                if u == MAX_ALTERED:
                     continue
-                k, at = whole
-        if at != began:
-            for u in range(used, MAX_ALTERED + 1):
-                best[u] = max(best[u], abs(k - j))
-        if used == MAX_ALTERED:
-            continue
-        # the last words may be the beginning of an altered word of the text: go on from its begin, too
-        for k2, at2 in {(k, at), whole or (k, at)} if bounds else ():
-            for skip in range(MAX_ALTERED - used + 1):
-                n = k2 + step * skip
-                if n == stop or not 0 <= n < len(words):
-                    break
-                for count in range(MAX_ALTERED - used + 1):
-                    if skip or count:
-                        for q in bounds.due(at2, count, step):
-                            todo.append((n, q, used + max(skip, count), True))
-                if skip:
-                    # a text whose words are not parted: the place after as many characters
-                    q = at2 + step * sum(len(words[k2 + step * i]) for i in range(skip))
-                    if bounds.glued(min(q, at2) - BAND, max(q, at2) + BAND):
-                        todo.append((n, q, used + skip, True))
-        if k == stop:
-            continue
-        # resume within the band at this word (words put in), or beyond one or more words (replaced or left out)
-        for skip in range(MAX_ALTERED - used + 1):
-            n, cost = k + step * skip, used + max(1, skip)
-            if n == stop or not 0 <= n < len(words):
-                continue
-            w = words[n]
-            if step > 0:
-                q = text.find(w, at, at + BAND + len(w))
-                while q >= 0:
-                    if q != at or skip:
-                        todo.append((n, q, cost, False))
-                    q = text.find(w, q + 1, at + BAND + len(w))
-            else:
-                q = text.rfind(w, max(0, at - BAND - len(w)), at)
-                while q >= 0:
-                    if q + len(w) != at or skip:
-                        todo.append((n, q + len(w), cost, False))
-                    q = text.rfind(w, max(0, at - BAND - len(w)), q + len(w) - 1) if q > 0 else -1
+                ahead = bounds.next(at, step)
+                after.update((k, q, passed) for q in ahead)  # put in
+                if k == stop:
+                    continue
+                after.update((k + step, q, abs(k + step - j)) for q in ahead)  # replaced
+                after.add((k + step, at, passed))  # left out
+                after.update((k, q, passed) for q in find(k, at))
+                if k + step != stop:
+                    after.update((k + step, q, passed) for q in find(k + step, at))
+                    as_long = at + step * len(words[k])
+                    if bounds.glued(min(as_long, at) - 1, max(as_long, at) + 1) and 0 <= as_long <= len(text):
+                        after.add((k + step, as_long, passed))
+        front = after
     return best
 
 
-def longest_passage(words: list[str], starts: list[int], text: str, places: np.ndarray, docs: np.ndarray, enough: int = MIN_WORDS, bounds: Bounds | None = None) -> int:
-    """Most item words in succession that a text holds along one band, with at most MAX_ALTERED alterations.
-
-    Stops at the first run of `enough` words.
-    """
+def longest_passage(words: list[str], starts: list[int], text: str, places: np.ndarray, docs: np.ndarray, bounds: Bounds, enough: int | None = None) -> int:
+    """Most item words in succession that a text holds on a band, with at most MAX_ALTERED alterations; the first run of `enough` words ends the search."""
     best, done = 0, set()
     for p, q in zip(places.tolist(), docs.tolist()):
         j = bisect_right(starts, p) - 1
@@ -283,9 +312,9 @@ def longest_passage(words: list[str], starts: list[int], text: str, places: np.n
         if (j, at) in done or not text.startswith(words[j], at):
             continue
         right = _reach(words, text, j, at, 1, bounds)
-        left = _reach(words, text, j - 1, at, -1, bounds) if j else [0] * (MAX_ALTERED + 1)
+        left = _reach(words, text, j - 1, at, -1, bounds)
         best = max(best, max(left[u] + right[MAX_ALTERED - u] for u in range(MAX_ALTERED + 1)))
-        if best >= enough:
+        if enough is not None and best >= enough:
             return best
         for k in range(right[0]):
             done.add((j + k, at + starts[j + k] - starts[j]))
@@ -293,15 +322,14 @@ def longest_passage(words: list[str], starts: list[int], text: str, places: np.n
 
 
 def leaked(index: ItemIndex, text: str):
-    """(item number, words) of the items of which a text holds a passage."""
-    flat, seen, bounds = squeezed(text), set(), None
+    """(item number, words) of the items of which a text holds a passage, with the most words of one."""
+    flat, most, bounds = squeezed(text), {}, None
     for k, places, at in index.bands(flat):
-        if k not in seen:
-            bounds = bounds or Bounds(text)
-            n = longest_passage(index.words[k], index.starts[k], flat, places, at, bounds=bounds)
-            if n >= MIN_WORDS:
-                seen.add(k)
-                yield k, n
+        bounds = bounds or Bounds(text)
+        n = longest_passage(index.words[k], index.starts[k], flat, places, at, bounds)
+        if n >= MIN_WORDS:
+            most[k] = max(n, most.get(k, 0))
+    yield from most.items()
 
 
 _FOUND = StructType([StructField("doc_id", LongType()), StructField("item_id", LongType()), StructField("words", IntegerType())])
@@ -310,33 +338,84 @@ _FOUND = StructType([StructField("doc_id", LongType()), StructField("item_id", L
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, words): documents that hold a passage of an item.
 
-    docs: doc_id, text; items: item_id, text. words counts the item words of the first passage found (MIN_WORDS at least).
-    The first and last
-    word of a passage are unaltered. Null texts and items shorter than MIN_WORDS give nothing; a document delivered again counts once. Items are broadcast
-    in blocks of at most BLOCK_CHARS characters, each against all documents.
+    docs: doc_id, text; items: item_id, text. words counts the item words of the longest passage (MIN_WORDS at least), altered ones included. An altered word at the
+    end of a passage counts where the document has a word in its place. Null texts and items shorter than MIN_WORDS give nothing; a document delivered
+    again counts once. Items of at most BLOCK_CHARS characters are broadcast; more of them meet the documents in a join, with the same result.
     """
-    spark = docs.sparkSession
     items = items.filter("item_id is not null and text is not null").select("item_id", "text").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(chars) // BLOCK_CHARS))
     base = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    out = None
-    for b in range(blocks):
-        rows = [(r[0], r[1]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()]
-        bound = spark.sparkContext.broadcast(sorted(rows))
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    found = _by_broadcast(base, items) if chars <= BLOCK_CHARS else _by_join(base, items)
+    return found.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+
+
+def _by_broadcast(docs: DataFrame, items: DataFrame) -> DataFrame:
+    bound = docs.sparkSession.sparkContext.broadcast(sorted((r[0], r[1]) for r in items.collect()))
+
+    def make():
+        index = ItemIndex(bound.value)
+
+        def kernel(doc_id, text):
+            for k, n in leaked(index, text):
+                yield doc_id, index.ids[k], n
+
+        return kernel
 
-        def make(bound=bound):
-            index = ItemIndex(bound.value)
+    return map_rows(docs, make, _FOUND)
 
-            def kernel(doc_id, text):
-                for k, n in leaked(index, text):
-                    yield doc_id, index.ids[k], n
 
+def fingerprints(text: str, q: int, window: int) -> set[int]:
+    """The least hash of each `window` q-grams in a row: texts that share so many in a row share a fingerprint."""
+    h = gram_hashes(text, q)
+    if len(h) < window:
+        return set()
+    mixed = h * np.uint64(0xD6E8FEB86659FD93)
+    return set(np.unique(np.lib.stride_tricks.sliding_window_view(mixed, window).min(axis=1)).view(np.int64).tolist())
+
+
+_PRINT = StructType([StructField("id", LongType()), StructField("print", LongType())])
+_SHARE = StructType([StructField("q", IntegerType()), StructField("share", IntegerType())])
+
+
+def _by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Items of any number: pairs that share a fingerprint are verified.
+
+    The longest unaltered stretch of a passage has a run of as many q-grams as `share` says, so no pair is lost.
+    """
+    def lengths():
+        def kernel(text):
+            words = item_words(text)
+            if len(words) >= MIN_WORDS:
+                q = gram_length(words)
+                yield q, share(words, q)
+        return kernel
+
+    kinds = [tuple(r) for r in map_rows(items.select("text"), lengths, _SHARE).groupBy("q").agg(F.min("share").alias("share")).collect()]  # a row for each length of q-grams
+    out = docs.sparkSession.createDataFrame([], _FOUND)
+    for q, window in kinds:
+        def prints(of_items, q=q, window=window):
+            def make():
+                def kernel(id_, text):
+                    words = item_words(text) if of_items else None
+                    if words is None or (len(words) >= MIN_WORDS and gram_length(words) == q):
+                        for f in fingerprints("".join(words) if of_items else squeezed(text), q, window):
+                            yield id_, f
+                return kernel
+            return make
+
+        of_items = map_rows(items, prints(True), _PRINT).select(F.col("id").alias("item_id"), "print").distinct()
+        of_docs = map_rows(docs, prints(False), _PRINT).select(F.col("id").alias("doc_id"), "print").distinct()
+        pairs = of_docs.join(of_items, "print").select("doc_id", "item_id").distinct()
+
+        def verify():
+            def kernel(doc_id, text, item_id, item):
+                for _, n in leaked(ItemIndex([(item_id, item)]), text):
+                    yield doc_id, item_id, n
             return kernel
 
-        found = map_rows(base, make, _FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
+        both = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id").select("doc_id", "text", "item_id", "item")
+        out = out.unionByName(map_rows(both, verify, _FOUND))
+    return out
 
 
 def leaked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
