@@ -1,4 +1,6 @@
-from quernstone.llm.abuse import CASE, INSULTS, Lexicon, all_terms, passages, plain_form, rates, scored
+from quernstone.llm.abuse import CASE, CLASSES, Lexicon, all_terms, passages, plain_form, rates, scored
+
+INSULTS = CLASSES["insult"]
 
 LEXICON = Lexicon(all_terms())
 
@@ -80,3 +82,230 @@ def test_misspelled_and_inflected_insults():
         assert score(text) >= CASE, text
     for word in "where whole whose lower loses regard restart price pick crown batch idiom moon maroon carbon salad ordre waker walker wander puts counts slots spass singleton loose lesser".split():
         assert not set(INSULTS).intersection(LEXICON.find(word)), word
+
+
+# Sentences written apart from the rules. When they were first read 88 of the 97 cases were found, and 2 of the 101 others: recall 0.91 at precision 0.98.
+WRITTEN_CASES = """
+You are a fucking faggot.
+All Muslims should be exterminated, they are scum.
+Gas the jews
+I will murder your children.
+Kill yourself.
+kys
+You cunts
+You morons are worthless
+Go back to your country, filthy immigrant.
+Nice tits, show me
+you idoit
+you are a moorn
+what a bstard you are
+you bastrd
+you btich
+you ashole
+you scmbag
+imbecle, learn to code
+you wankr
+You fuckin losers should all be shot.
+He deserves to be raped in prison, that piece of shit.
+Women are too stupid to code, they belong in the kitchen.
+Blacks are criminals by nature.
+Those refugees are parasites and should be deported.
+I'm going to find you and break your legs.
+If you push that again I will kill you.
+Hope you get cancer and die.
+Go die in a fire, you useless twat.
+Shut the fuck up, nobody likes you.
+You're a disgusting pig.
+You are garbage, a waste of oxygen.
+Eat shit and die, asshole.
+Suck my dick, loser.
+She spread her legs and he licked her nipples until she moaned.
+I want to fuck you all night.
+Send nudes of your girlfriend.
+He grabbed her breasts and thrust inside her, she moaned loudly.
+Jews are vermin that control everything.
+Trannies are mentally ill freaks.
+The gypsies steal everything, lynch them all.
+Du bist so ein dummes Arschloch.
+Verpiss dich, du Hurensohn.
+Ich bring dich um, du Wichser.
+Ausländer raus!
+Alle Schwulen sollten vergast werden.
+Halt dein Maul, du Fotze.
+Fick dich.
+Juden sind Ungeziefer.
+Zeig mir deine Titten.
+Ta gueule, sale connard.
+Va te faire foutre.
+Nique ta mère.
+Espèce de salope, je vais te tuer.
+Les arabes sont des voleurs et des parasites.
+Sale pute, suce ma bite.
+Tu es vraiment un abruti.
+Il faut exterminer les juifs.
+Eres un hijo de puta.
+Vete a la mierda, cabrón.
+Te voy a matar, imbécil.
+Los gitanos son ladrones.
+Los moros son ratas.
+Chúpame la polla, zorra.
+Cállate la boca, gilipollas.
+y0u st00pid b1tch
+f.u.c.k you
+you fucktard asshole
+ur such a retard lol
+I hope your mother dies, you sick bastard
+Someone should put a bullet in your head
+We know where you live.
+You people are animals.
+These savages should be wiped out.
+Your ugly face makes me sick, whore.
+You dumb bitch, go kill yourself
+Faggots like him deserve to burn.
+Black people are inferior to whites.
+Lesbians are disgusting.
+shut your mouth, woman, and get back to the kitchen
+You pathetic little worm, nobody wants you here.
+I'd love to bend you over that desk and fuck you hard.
+watch your back, I will slit your throat tonight
+your mom is a whore
+What an absolute cretin you are
+You're nothing but trash
+Drop dead, moron
+go hang yourself
+You should be hanged for this commit, you imbecile.
+The author is a retarded monkey.
+Only an idiot like you would merge this.
+He is a worthless sack of shit.
+Mexicans are rapists.
+Immigrants are breeding like rats.
+I'll beat the crap out of you.
+Du bist dumm wie Brot, du Vollpfosten.
+Tu es une merde.
+Muérete, maldito imbécil.
+"""
+WRITTEN_OTHERS = """
+you should kill the process with signal 9
+Kill the child process before the parent exits.
+The master kills the slave when the heartbeat dies.
+This stupid cache is driving me crazy.
+I am such an idiot, I forgot to push.
+What a pain in the ass this build is.
+My bad, I was being dumb.
+The word "faggot" is on the blocklist of the moderation filter.
+He was convicted of murder in 1990.
+The documentary covers the gassing of Jews in the Holocaust.
+Breast cancer screening reduces deaths among women.
+Women and girls are underrepresented in computing.
+Immigrants founded many of these companies.
+The team hired refugees and migrants as apprentices.
+Rats and cockroaches are common pests in cities.
+The parasite infects the host cell and destroys it.
+Sex education is part of the school curriculum.
+The sex column holds M or F.
+The patient had her nipples examined by the doctor.
+Please shoot me an email when you are done.
+You can beat the old record by two seconds.
+The hanging process blocks the queue.
+You are right, that was wrong.
+You are killing it, great work!
+You are nothing short of amazing.
+Your ugly hack saved the release.
+We will beat the competition with this feature.
+This will hit your home directory hard.
+You should break your function into smaller pieces.
+I will break this down for you.
+We should cut them into chunks.
+Burn the firmware to your device.
+They are rats in the maze experiment.
+Animals are classified by species.
+I hate these flaky tests.
+I hate all the merge conflicts.
+The dictionary lists bitch as a female dog.
+The cock valve and the gas pipe must be closed.
+Master branch is dead, long live main.
+The dead man switch triggers after ten minutes.
+Gas prices went up for all the foreigners.
+Jewish and Muslim holidays are in the calendar.
+Gay marriage has been legal since 2015.
+The Black developer conference starts on Monday.
+Die Frauen in der Küche des Restaurants kochen gut.
+Der Prozess wurde abgeschossen und die Datei gelöscht.
+Das ist halt die normale Schnauze des Hundes.
+Ich schlage dir vor, die Datei zu löschen.
+Die Ausländerbehörde hat geöffnet.
+Der Hund hat die Katze gebissen.
+Il faut tuer le processus zombie.
+Je vais te montrer la maison.
+Ils sont en train de casser le build.
+La bite d'amarrage est sur le quai.
+Les femmes sont nombreuses dans l'équipe.
+Hay que matar el proceso hijo.
+Voy a romper el bucle para ti.
+La perra del vecino ladra mucho.
+Las mujeres son mayoría en el equipo.
+Con tu ayuda terminamos con el cambio.
+Execute the query and drop the table.
+The execution of the job failed.
+Strip the whitespace and dress up the output.
+The naked pointer was wrapped in a smart one.
+He moaned about the slow build.
+She undressed the wound carefully.
+Grab the head of the list and pop it.
+The trash collector runs every night.
+Shut down the server and close the mouth of the pipe.
+Nobody likes regressions.
+Nobody asked you to change the API, but thanks.
+Get lost updates fixed with a lock.
+Go to hell.py and fix line 3.
+The hell of dependency management.
+A waste of space in the index.
+The scope creep is real.
+The worm gear is broken.
+The virus scanner found an infection in the image.
+These locusts destroyed the crops of the farmers.
+Thieves stole the laptops of the interns.
+The criminals were arrested near the border.
+Lock the file before it gets stolen by another worker.
+Hash bang lines are stripped.
+I want to bang out this feature tonight.
+You want to see the logs?
+Feel free to kick me if I forget.
+She broke her leg while skiing.
+He cut his finger on the paper.
+The doctor will examine your head and neck.
+Your teeth may hurt after the surgery.
+If you park here your car will be towed.
+I know where you can find the config.
+Where do you live? I live in Oslo.
+That was a dick move by the scheduler.
+This damn comment is broken again.
+Holy shit, this is fast!
+What the fuck is this regex doing?
+This code is garbage and should be thrown out.
+The test suite is shit.
+Dick Smith and Randy Cox joined the call.
+The town of Scunthorpe and the county of Essex.
+"""
+
+
+def test_written_sentences():
+    cases, others = WRITTEN_CASES.strip().splitlines(), WRITTEN_OTHERS.strip().splitlines()
+    found = [t for t in cases if score(t) >= CASE]
+    wrong = [t for t in others if score(t) >= CASE]
+    assert len(found) >= 0.9 * len(cases), set(cases) - set(found)
+    assert len(found) >= 0.9 * (len(found) + len(wrong)), wrong
+
+
+def test_automaton_at_every_length():
+    for word, term in (("idoit", "idiot"), ("moorn", "moron"), ("bstard", "bastard"), ("bastrd", "bastard"), ("btich", "bitch"), ("ashole", "asshole"), ("scmbag", "scumbag"), ("imbecle", "imbecile"), ("wankr", "wanker"), ("cutn", "cunt"), ("mothrfuckr", "motherfucker")):
+        assert term in LEXICON.find(word), word
+    bare_lexicon = Lexicon(all_terms(), "/nowhere")
+    assert "idiot" in bare_lexicon.find("idoit") and not set(INSULTS).intersection(bare_lexicon.find("batch"))
+    for word in "chunk5 spice chunks nigeria switch carbon **166** 8675309 ****".split():
+        assert not LEXICON.find(word), word
+
+
+def test_a_paragraph_ends_a_sentence():
+    assert score("# Glossary\n\nGo to hell, you pathetic piece of shit!") >= CASE
+    assert score("she sucked up all the memory. A naked pointer to the heap leaked.") < CASE
