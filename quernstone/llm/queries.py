@@ -38,12 +38,13 @@ def p1_pieces(spark, sf_dir):
 
 @query
 def p3_found(spark, sf_dir):
-    return documentation.documented(spark, sf_dir).filter("source != 'inherited'").select("id")
+    """Chunks whose documentation tells something: their own, or, where it asks to inherit, that of the method they override."""
+    return documentation.documented(spark, sf_dir).filter("source != 'inherited' or asked").select("id")
 
 
 @query
 def p3_pairs(spark, sf_dir):
-    return documentation.documented(spark, sf_dir)
+    return documentation.pairs(spark, sf_dir)
 
 
 @query
