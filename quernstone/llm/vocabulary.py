@@ -1,6 +1,7 @@
 """Frequency of every token and n-gram, with heavy terms counted in place.
 
-Occurrences are laid out by chunk, so that each partition holds whole chunks: counts of partitions then add up exactly.
+Counts of partitions add up exactly once each occurrence of a term in a chunk is there once. Chunks that come once keep their n-grams where they are: only their ids move,
+to tell which come again. Postings must meet their chunk; they move packed, as one array for a chunk and a range of tokens, not as rows.
 Heavy terms, found by a Misra-Gries pass over all rows, are counted in local arrays and leave a task as one row each; only
 the remaining terms are shuffled, after partial aggregation. Both count tables meet in one sum.
 """
@@ -18,6 +19,8 @@ SUPPORT = 0.002  # a term in more than this share of the rows is heavy; at most
 RARE = 2  # terms in at most so many chunks are too rare
 COMMON = 0.2  # terms in more than this share of a mode's chunks are too common
 SEP = "\x1f"
+PACK = 1 << 16  # tokens of a range: what one packed array of postings can hold is bounded by it
+LOCAL = 256  # n-grams of a chunk whose repeats are told in place; longer lists go the way of chunks that come again
 
 
 def ngram_text(gram: Column) -> Column:
@@ -64,6 +67,38 @@ def count_terms(rows: DataFrame, heavy: list[str]) -> DataFrame:
     return counted.groupBy("key").agg(F.sum("total").alias("total"), F.sum("chunks").alias("chunks"))
 
 
+def _token_rows(live: DataFrame, chunks: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(key, occurrences) of each token in each chunk that exists, once."""
+    # ids of tokens that differ in case only, to the least id among them: few rows
+    spellings = (
+        vocab.groupBy("mode", "token").agg(F.min("token_id").alias("term_id"), F.collect_set("token_id").alias("ids"))
+        .filter(F.size("ids") > 1).select("mode", "term_id", F.explode("ids").alias("token_id")).filter("term_id != token_id")
+    )
+    packed = live.groupBy("doc_id", "mode", F.floor(F.col("token_id") / PACK).alias("range")).agg(
+        F.collect_set(F.shiftleft(F.pmod("token_id", F.lit(PACK)).cast("long"), 32) + F.col("tf").cast("long")).alias("codes"))
+    there = packed.join(chunks.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    code = F.col("code")
+    once = there.select("doc_id", "mode", "range", F.explode("codes").alias("code")).select(
+        "doc_id", "mode", (F.col("range") * PACK + F.shiftright(code, 32)).alias("token_id"), code.bitwiseAND((1 << 32) - 1).alias("tf"))
+    named = once.join(spellings, ["mode", "token_id"], "left")
+    # two spellings of a term in one chunk, or two counts of one token, are one occurrence of the term: only such chunks' rows meet again
+    return named.groupBy("doc_id", "mode", F.coalesce("term_id", "token_id").alias("term_id")).agg(F.sum("tf").alias("occurrences")).select(
+        _key(F.col("mode"), "token", F.col("term_id").cast("string")).alias("key"), F.col("occurrences").cast("long").alias("occurrences"))
+
+
+def _ngram_rows(chunks: DataFrame) -> DataFrame:
+    """(key, occurrences) of each n-gram in each chunk, once."""
+    listed = chunks.filter("mode is not null and ngrams is not null").select(
+        "id", "mode", F.filter(F.transform("ngrams", ngram_text), lambda g: F.coalesce(g != "", F.lit(False))).alias("grams"))
+    again = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("id").alias("__id"))
+    marked = listed.join(again, F.col("id") == F.col("__id"), "left")
+    apart = F.col("__id").isNotNull() | (F.size("grams") > LOCAL)
+    single = marked.filter(~apart).select("mode", F.explode(F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("g"), F.size(F.filter("grams", lambda x: x == g)).cast("long").alias("n")))).alias("o"))
+    rest = marked.filter(apart).select("id", "mode", "grams").distinct().select("id", "mode", F.explode("grams").alias("g")).groupBy("id", "mode", "g").agg(F.count(F.lit(1)).alias("n"))
+    return single.select(_key(F.col("mode"), "ngram", F.col("o.g")).alias("key"), F.col("o.n").alias("occurrences")).unionAll(
+        rest.select(_key(F.col("mode"), "ngram", F.col("g")).alias("key"), F.col("n").alias("occurrences")))
+
+
 def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(mode, kind, term, total, chunks, rare, common) of every token and n-gram that has a chunk.
 
@@ -80,27 +115,7 @@ def term_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks.filter("mode is not null").select("mode", F.explode("ngrams").alias("g")).select(_key(F.col("mode"), "ngram", ngram_text(F.col("g"))).alias("key"))
     )
     heavy = heavy_terms(raw)
-
-    # ids of tokens that differ in case only, to the least id among them: few rows
-    spellings = (
-        vocab.groupBy("mode", "token").agg(F.min("token_id").alias("term_id"), F.collect_set("token_id").alias("ids"))
-        .filter(F.size("ids") > 1).select("mode", "term_id", F.explode("ids").alias("token_id")).filter("term_id != token_id")
-    )
-    by_chunk = live.repartition("doc_id").distinct()
-    present = chunks.select(F.col("id").alias("doc_id"))
-    tokens = (
-        by_chunk.join(present, "doc_id", "left_semi")
-        .join(spellings, ["mode", "token_id"], "left")
-        .groupBy("doc_id", "mode", F.coalesce("term_id", "token_id").alias("term_id")).agg(F.sum("tf").alias("occurrences"))
-        .select(_key(F.col("mode"), "token", F.col("term_id").cast("string")).alias("key"), F.col("occurrences").cast("long").alias("occurrences"))
-    )
-    grams = (
-        chunks.filter("mode is not null and ngrams is not null").repartition("id").dropDuplicates(["id", "mode", "ngrams"])
-        .select("id", "mode", F.explode("ngrams").alias("g")).select("id", "mode", ngram_text(F.col("g")).alias("g")).filter("g != ''")
-        .groupBy("id", "mode", "g").agg(F.count(F.lit(1)).alias("occurrences"))
-        .select(_key(F.col("mode"), "ngram", F.col("g")).alias("key"), "occurrences")
-    )
-    counts = count_terms(tokens.unionAll(grams), heavy)
+    counts = count_terms(_token_rows(live, chunks, vocab).unionAll(_ngram_rows(chunks)), heavy)
     part = F.split("key", SEP, 3)
     names = vocab.groupBy("mode", "token").agg(F.min("token_id").alias("term_id")).select(
         _key(F.col("mode"), "token", F.col("term_id").cast("string")).alias("key"), "token")
