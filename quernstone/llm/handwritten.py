@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from quernstone.arrow import map_rows
+from quernstone.runtime import cut
 
 # Notices of generators (weight 2 tells alone, weight 1 needs another one) and phrases that speak against.
 NOTICES = {
@@ -28,6 +29,7 @@ NOTICES = {
     "generado automáticamente": 2, "generado automaticamente": 2, "generado por": 2, "archivo generado": 2,
     "no editar": 1, "no modificar": 1, "instead of changing this": 1, "instead of editing": 1,
     "vendored copy": 2, "vendored from": 2, "vendored version": 2, "copied from upstream": 2, "copied verbatim from": 2,
+    "imported verbatim from": 2, "verbatim copy of": 2, "source tree at rev": 2, "copied unchanged from": 2, "taken verbatim from": 2, "mirrored from": 2, "synced from upstream": 2, "forked from": 1, "released under the": 1, "(c) the ": 1,
     "third-party code": 1, "imported from upstream": 2, "see license.": 1, "report bugs to the": 1, "report issues upstream": 1,
     "this is a copy of": 1, "bundled copy of": 2,
     "used to be generated": -9, "no longer generated": -9, "was once generated": -9, "not generated": -9,
@@ -43,9 +45,10 @@ LOCK_NAME = (r"(?:^|/)(?:(?:package|pkg|composer|packages|bun|flake|pdm|poetry|c
              r"|npm-shrinkwrap|yarn\.lock|cargo\.lock|go\.sum)")
 
 DATA_SHARE = 0.85  # share of the text in literals from which a file is data
-DATA_BYTES = 600  # shorter lists are ordinary constants
-LONG_LINE = 200  # lines of minified code are longer
-COPY_CHARS = 80  # shorter texts (without white space) may be alike by chance
+RUN = 24  # literals in a row from which a list is bulk data, and no ordinary constant
+LONG_LINE = 200  # a line as long, or with as many statements as DENSE says, is packed if white space is scarce in it
+DENSE = 5  # ends of statements and blocks in a packed line, one in each 40 characters at least
+PACKED_SPACES = 0.12  # share of white space below which it is scarce
 
 _LINE = re.compile(r"[^\r\n]+")
 _COMMENT_OPEN = re.compile(r"\s*(?:#!.*|//+|/\*+!?|\*+/?|#+|--|;+|<!--|\"\"\"|''')")
@@ -77,8 +80,8 @@ def header_of(text: str) -> str:
 
 _BY_NAME = re.compile(r"/\*!\s*[\w.@/-]+ v\d+(?:\.\d+)*")
 _LITERALS = re.compile(
-    r"""(?<![\w.])(?:(?>"[^"\n]*"|'[^'\n]*'|0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?>[\s,;:+()\[\]{}\\]*)){24,}"""
-    r"""|(?:"[^"\n]{400,}"|'[^'\n]{400,}'|`[A-Za-z0-9+/=\s]{400,}`)"""
+    r"""(?<![\w.])(?:(?>"[^"\n]*"|'[^'\n]*'|0x[0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?>[\s,;:+()\[\]{}\\]*)){%d,}""" % RUN
+    + r"""|(?:"[^"\n]{400,}"|'[^'\n]{400,}'|`[A-Za-z0-9+/=\s]{400,}`)"""
 )
 _CODE_EXT = {"js", "mjs", "cjs", "ts", "py", "go", "rs", "c", "h", "jsx", "tsx", "java", "cc", "cpp", "hpp", "css"}
 _OPEN_STRING = re.compile(r"""["'`][A-Za-z0-9+/=\\x,\s]{400,}\Z""")
@@ -92,26 +95,33 @@ def notice_score(automaton, header: str) -> int:
     return sum(seen.values())
 
 
+_ENDS = re.compile(r"[;{}]")
+
+
+def _packed(line: str) -> bool:
+    n = len(line)
+    if n >= LONG_LINE:
+        return True
+    ends = len(_ENDS.findall(line))
+    return ends >= DENSE and ends * 40 >= n
+
+
 def looks_minified(text: str) -> bool:
-    """Long lines hold most of the text and white space is scarce in them."""
-    if len(text) < 250:
-        return False
-    long = [x for x in text.split("\n") if len(x) >= LONG_LINE]
-    held = sum(map(len, long))
-    if held < 0.5 * len(text):
+    """Packed lines hold most of the text and white space is scarce in them, however short the text is."""
+    lines = [x for x in text.split("\n") if _packed(x)]
+    held = sum(map(len, lines))
+    if not held or held < 0.5 * len(text):
         return False
-    return sum(x.count(" ") + x.count("\t") for x in long) < 0.12 * held
+    return sum(x.count(" ") + x.count("\t") for x in lines) < PACKED_SPACES * held
 
 
 def looks_data(text: str) -> bool:
     """Runs of literals, or one huge literal, fill the text."""
-    if len(text) < DATA_BYTES:
-        return False
     held = sum(m.end() - m.start() for m in _LITERALS.finditer(text))
     tail = _OPEN_STRING.search(text)
     if tail:
         held = max(held, len(tail.group(0)))
-    return held >= DATA_SHARE * len(text)
+    return bool(held) and held >= DATA_SHARE * len(text)
 
 
 def make_kernel():
@@ -124,7 +134,7 @@ def make_kernel():
     name_rules = [(re.compile(GENERATED_NAME), "generated_name"), (re.compile(MINIFIED_NAME), "minified_name"), (re.compile(LOCK_NAME), "lock")]
     vendor, generated = frozenset(VENDOR_DIRS), frozenset(GENERATED_DIRS)
 
-    def kernel(file_id, path, content, digest):
+    def kernel(file_id, repo, path, content, digest):
         path = (path or "").strip().replace("\\", "/").lower()
         text = content or ""
         parts = path.split("/")
@@ -149,20 +159,20 @@ def make_kernel():
                     reasons.append("data")
                 elif looks_minified(text):
                     reasons.append("minified")
-        yield file_id, reasons, digest
+        yield file_id, repo, reasons, digest
 
     return kernel
 
 
 _SCHEMA = StructType([
-    StructField("file_id", LongType()), StructField("reasons", ArrayType(StringType())), StructField("digest", StringType()),
+    StructField("file_id", LongType()), StructField("repo", StringType()), StructField("reasons", ArrayType(StringType())), StructField("digest", StringType()),
 ])
 
 
 def copy_digest(content: Column) -> Column:
-    """Digest of the text without white space; null where it is too short to tell copies from chance."""
+    """Digest of the text without white space; null where no letter or digit is left."""
     bare = F.regexp_replace(content, r"\s+", "")
-    return F.when(F.length(bare) >= COPY_CHARS, F.md5(bare))
+    return F.when(bare.rlike(r"[\p{L}\p{N}]"), F.md5(bare))
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -172,13 +182,11 @@ def classify(files: DataFrame) -> DataFrame:
     once gives one row with all reasons of its deliveries. A text found in two or more repos is a copy in each of them.
     """
     base = files.select("file_id", "repo", "path", "content").filter("file_id is not null")
-    seen = map_rows(base.select("file_id", "path", "content", copy_digest(F.col("content")).alias("digest")), make_kernel, _SCHEMA)
-    copies = (
-        base.select(copy_digest(F.col("content")).alias("__digest"), "repo").filter("__digest is not null").distinct()
-        .groupBy("__digest").agg(F.count(F.lit(1)).alias("__repos")).filter("__repos > 1").select("__digest")
-    )
-    return (
-        seen.join(copies, F.col("digest") == F.col("__digest"), "left")
-        .select("file_id", F.when(F.col("__digest").isNotNull(), F.array_append("reasons", "copy")).otherwise(F.col("reasons")).alias("reasons"))
-        .groupBy("file_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))
-    )
+    # contents are read once: what the copies need is kept beside the reasons
+    seen = cut(map_rows(base.select("file_id", "repo", "path", "content", copy_digest(F.col("content")).alias("digest")), make_kernel, _SCHEMA))
+    told = seen.filter("digest is not null")
+    copies = told.select(F.col("digest").alias("__digest"), "repo").filter("repo is not null").distinct().groupBy("__digest").agg(F.count(F.lit(1)).alias("__repos")).filter("__repos > 1").select("__digest")
+    marked = told.join(copies, F.col("digest") == F.col("__digest"), "left").select(
+        "file_id", F.when(F.col("__digest").isNotNull(), F.array_append("reasons", "copy")).otherwise(F.col("reasons")).alias("reasons"))
+    every = marked.unionByName(seen.filter("digest is null").select("file_id", "reasons"))
+    return every.groupBy("file_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"))

@@ -38,6 +38,20 @@ def test_figures():
     assert not looks_minified("// " + "long words in a comment " * 40)
 
 
+def test_figures_hold_for_short_texts_too():
+    assert looks_minified("function a(b){return b?c(b,1):void 0}var d=a(1);export{a as f,d as g};if(d){d();a(2)}")
+    for hand in ("export default x;", "for (;;) { x++; }", "f();\n", "const a = 1; const b = 2;\nf(a, b);\n", ""):
+        assert not looks_minified(hand), hand
+    assert looks_data("[" + ",".join(str(i) for i in range(100, 140)) + "]") and not looks_data("[1, 2, 3]") and not looks_data("")
+
+
+def test_short_copies_and_foreign_banners(spark):
+    got = reasons(spark, ("r", "a.js", "export * from 'x';"), ("s", "b.js", "export * from  'x';\n"), ("r", "c.js", "{}"), ("s", "d.js", "{ }"), (None, "e.js", "f(1)"), ("r", "f.js", "f(1)"),
+                  ("r", "g.py", "# vexil.js | (c) The Vexil Authors | released under the BSD licence\nx = 1\n"), ("r", "h.py", "# Copyright (c) 2030 the r contributors. Licensed under the MIT licence.\nx = 2\n"),
+                  ("r", "i.go", "// Imported verbatim from the wob source tree at rev 6f28de34\npackage a\n"))
+    assert got == {0: {"copy"}, 1: {"copy"}, 2: set(), 3: set(), 4: set(), 5: set(), 6: {"notice"}, 7: set(), 8: {"notice"}}
+
+
 def test_header_ends_at_code_and_survives_odd_texts():
     assert header_of("#!/bin/sh\n# A\nx\n# B") == "#!/bin/sh\n# a"
     assert header_of("") == "" and header_of("/* never closed") == "/* never closed"

@@ -19,7 +19,7 @@ def test_kernels_end(name):
     text = RUNS[name]
     for language in ("javascript", "python", "json", "c"):
         assert syntax.first_error(text, language) is None or syntax.first_error(text, language) >= 1
-    assert next(iter(CLASSIFY(1, "src/a.js", text, None)))[0] == 1
+    assert next(iter(CLASSIFY(1, "r", "src/a.js", text, None)))[0] == 1
     documentation.tells(text, "name", ["a"])
     documentation.documentation_in(text, "js")
     documentation.documentation_in('def f():\n  """' + text, "py")
