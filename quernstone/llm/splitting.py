@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 
 import numpy as np
@@ -12,6 +13,7 @@ from quernstone.arrow import map_rows
 from quernstone.llm.chunktext import files_with_chunks, with_file_id
 from quernstone.runtime import table
 
+_INDENT = re.compile(r"[^\S\n]*")
 _BLOCK_END = frozenset(["}", "};", "})", "});", "},", "]", "];", ")", ");", "end", "fi", "done", "```", "---"])
 
 
@@ -51,12 +53,13 @@ def split(index: TextIndex, start: int, end: int, max_bytes: int, max_lines: int
 
     A range within the limits is its own piece. Otherwise it is bisected at the strongest boundary near its middle (after
     a blank line, after the end of a block, at a less indented line, at any line, at white space, anywhere) until each part
-    with its overlap fits; then each part but the first is extended back over overlap_lines lines. Where these would not
-    leave half of the limits free, as many whole lines as do are shared, down to none.
+    with its overlap fits; then each part but the first is extended back over overlap_lines lines. Where these and the line that
+    follows are beyond a limit together, as many whole lines as do fit are shared, down to none; before a line that is beyond the limit alone, and
+    inside it, they take half of the bytes at most, so that pieces go on.
     """
     if index.size(start, end) <= max_bytes and index.lines(start, end) <= max_lines:
         return [(start, end)]
-    shared_lines = max(0, min(overlap_lines, max_lines // 2))
+    shared_lines = max(0, min(overlap_lines, max_lines - 1))
 
     def back(at: int) -> int:
         """Start of the overlap before a part that begins at `at`."""
@@ -65,11 +68,14 @@ def split(index: TextIndex, start: int, end: int, max_bytes: int, max_lines: int
         k = bisect_left(index.breaks, at)
         if not (k and index.breaks[k - 1] == at - 1):
             k += 1  # at is inside a line: the part of it before counts as one
-        best = at
+        best, e = at, bisect_left(index.breaks, at)
+        line = index.size(at, min(end, index.breaks[e] + 1) if e < len(index.breaks) else end)  # what follows up to its line's end
+        whole = k == e and index.size(index.breaks[k - 1] + 1 if k else 0, at) == 0
+        room = max_bytes - line if whole and line <= max_bytes else max_bytes // 2
         for n in range(1, shared_lines + 1):
             j = k - 1 - n
             begin = max(start, index.breaks[j] + 1) if j >= 0 else max(start, 0)
-            if index.size(begin, at) > max_bytes // 2:
+            if index.size(begin, at) > room:
                 break
             best = begin
             if begin == start:
@@ -106,11 +112,11 @@ def boundary(index: TextIndex, a: int, b: int, by_lines: bool) -> int:
         for k in range(max(lo, bisect_left(breaks, first - 1)), min(hi, bisect_right(breaks, last - 1))):
             p = breaks[k] + 1
             before = text[breaks[k - 1] + 1 if k else 0 : breaks[k]].strip()
-            after = text[p : p + 200].split("\n", 1)[0]
-            indent = len(after) - len(after.lstrip())
+            first_char = _INDENT.match(text, p).end()
+            indent = first_char - p
             strength = 4 if not before else 3 if before in _BLOCK_END and not indent else 2 if before in _BLOCK_END or not indent else 1
-            if not after.strip():
-                strength = 1
+            if first_char == len(text) or text[first_char] == "\n":
+                strength = 1  # a blank line follows
             rank = (strength, -abs(p - middle))
             if best_rank is None or rank > best_rank:
                 best, best_rank = p, rank

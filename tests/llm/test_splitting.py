@@ -42,6 +42,29 @@ def test_neighbours_share_the_overlap_and_cut_at_blank_lines():
         assert text[b - 2 : b] == "\n\n"
 
 
+def test_the_whole_overlap_is_shared_where_it_fits():
+    text = ("x" * 130 + "\n") * 30
+    pieces = check(text, 0, len(text), 512, 60, 2)
+    for (a, b), (c, d) in zip(pieces, pieces[1:]):
+        assert text[c:b].count("\n") == 2 and c < b < d
+    rnd = random.Random(4)
+    for _ in range(100):
+        text = "".join("y" * rnd.randrange(1, 120) + "\n" for _ in range(rnd.randrange(20, 80)))
+        most, overlap = rnd.randrange(500, 900), rnd.randrange(1, 5)
+        pieces = check(text, 0, len(text), most, rnd.randrange(overlap + 1, 30), overlap)
+        for (a, b), (c, d) in zip(pieces, pieces[1:]):
+            # fewer lines only where one more and the line that follows do not fit
+            shared = text[c:b].count("\n")
+            before = text.rfind("\n", 0, c - 1) + 1
+            assert shared == overlap or c == 0 or len(text[before : text.find("\n", b) + 1]) > most
+
+
+def test_indents_of_any_width():
+    text = ("a\n" + " " * 400 + "b\n" + " " * 400 + "c\n") * 12
+    pieces = check(text, 0, len(text), 4000, 50, 0)
+    assert all(text[a] == "a" for a, _ in pieces)
+
+
 def test_line_of_a_single_huge_line_is_cut_by_bytes():
     text = "é" * 5000
     pieces = check(text, 0, len(text), 999, 10, 3)
