@@ -11,26 +11,31 @@ from quernstone.sources.payloads import unpack_payloads
 # Nested columns of each table, other names of their keys, and where packages are: path -> place.
 SOURCES = {
     "inspector": (
-        ["packageVulnerabilityDetails"],
+        ["packageVulnerabilityDetails", "resources"],
         {"packagevulnerabilitydetails": ["vulnerabilitydetails"], "vulnerablepackages": ["packages", "package"], "name": ["packagename"]},
         {"packageVulnerabilityDetails.vulnerablePackages": "vulnerablepackages"},
     ),
     "dependabot": (
-        ["security_vulnerability", "dependency"],
-        {"name": ["packagename"], "securityvulnerability": ["vulnerability"]},
+        ["security_advisory", "security_vulnerability", "dependency", "alert"],
+        {"name": ["packagename"], "securityvulnerability": ["vulnerability"], "securityadvisory": ["advisory"]},
         {"security_vulnerability.package": "security_vulnerability", "dependency.package": "dependency"},
     ),
-    "generic": (["package"], {"name": ["packagename"]}, {"package": "package"}),
+    "generic": (["vuln", "package", "exposure"], {"name": ["packagename"], "vuln": ["vulnerability"]}, {"package": "package"}),
 }
 
 
-def finding_tables(spark: SparkSession, sf_dir: str, source: str) -> dict[str, NestedTable]:
-    """Flat tables of one source, by path; of records delivered again the latest counts."""
-    columns, aliases, _ = SOURCES[source]
-    df = table(spark, sf_dir, source).select("rec_id", *columns, "payload", "ingested_at")
+def finding_tables(spark: SparkSession, sf_dir: str, source: str, packages_only: bool = False) -> dict[str, NestedTable]:
+    """Flat tables of one source, by path, of every nested column; or of those that hold packages. Of records delivered again the latest counts.
+
+    A payload is read where the columns that hold packages are all null.
+    """
+    columns, aliases, places = SOURCES[source]
+    telling = [c for c in columns if any(p.split(".")[0] == c for p in places)]
+    picked = telling if packages_only else columns
+    df = table(spark, sf_dir, source).select("rec_id", *picked, "payload", "ingested_at")
     df = latest(df.filter("rec_id is not null"), ["rec_id"], "ingested_at")
     # unpacked once: each flat table and each of its two sides reads it
-    return flat_tables(cut(unpack_payloads(df, "rec_id", "payload", columns, aliases).select("rec_id", *columns)), ["rec_id"], columns)
+    return flat_tables(cut(unpack_payloads(df, "payload", picked, aliases, telling).select("rec_id", *picked)), ["rec_id"], picked)
 
 
 def package_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def package_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     parts = []
     for source, (_, _, places) in SOURCES.items():
-        tables = finding_tables(spark, sf_dir, source)
+        tables = finding_tables(spark, sf_dir, source, packages_only=True)
         for path, place in places.items():
             t = tables[path]
             parts.append(

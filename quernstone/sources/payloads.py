@@ -19,108 +19,103 @@ def bare(key: str) -> str:
     return re.sub(r"[^a-z0-9]", "", key.lower())
 
 
-def unwrapped(value, fields: set[str]):
-    """The object that holds the fields: JSON inside strings is opened, wrappers and one-element lists are left behind."""
-    for _ in range(16):
+def _opened(value):
+    """JSON inside a string, opened; None where the string is none."""
+    try:
+        return json.loads(value)
+    except (ValueError, RecursionError):
+        return None
+
+
+def unwrapped(value, fields: set[str]) -> list[dict]:
+    """All objects that hold records: JSON inside strings is opened, wrappers are left behind, every element of a list counts.
+
+    An object without any of the fields and without a wrapper's key is a record of its own. Nesting is followed as deep as it goes.
+    """
+    found, todo = [], [value]
+    while todo:
+        value = todo.pop()
         if isinstance(value, str):
-            try:
-                value = json.loads(value)
-            except ValueError:
-                return None
+            value = _opened(value)
+            if isinstance(value, (str, dict, list)):
+                todo.append(value)
         elif isinstance(value, list):
-            if not value:
-                return None
-            value = value[0]
+            todo += reversed(value)
         elif isinstance(value, dict):
-            keys = {bare(k) for k in value}
-            inner = next((v for k, v in value.items() if bare(k) in WRAPPERS and isinstance(v, (dict, list, str))), None)
-            if keys & fields or inner is None:
-                return value
-            value = inner
-        else:
-            return None
-    return None
-
-
-def align(value, kind, aliases: dict[str, list[str]]):
-    """value in the form of the Spark type kind: keys by spelling-free name or alias, lone objects as lists of one."""
+            inner = [v for k, v in value.items() if bare(k) in WRAPPERS and isinstance(v, (dict, list, str))]
+            if inner and not {bare(k) for k in value} & fields:
+                todo.append(inner[0])
+            else:
+                found.append(value)
+    return found
+
+
+def aligned(value, kind, aliases: dict[str, list[str]]) -> list:
+    """value in the form of the Spark type kind: keys by spelling-free name or alias, lone objects as lists of one.
+
+    Where an object is due and a list of several is there, each of them is a form of its own: the first result holds the first of every
+    such list, and each further element one more result that differs in its place alone. Nothing is left out, and places in lists stay.
+    """
+    if isinstance(kind, (StructType, ArrayType)) and isinstance(value, str):
+        value = _opened(value)
     if value is None:
-        return None
+        return [None]
     if isinstance(kind, StructType):
-        if isinstance(value, str):
-            try:
-                value = json.loads(value)
-            except ValueError:
-                return None
         if isinstance(value, list):
-            value = next((v for v in value if isinstance(v, dict)), None)
+            forms = [f for v in value if isinstance(v, dict) for f in aligned(v, kind, aliases)]
+            return forms or [None]
         if not isinstance(value, dict):
-            return None
+            return [None]
         by_name = {bare(k): v for k, v in reversed(list(value.items()))}
-        out = {}
+        parts = []
         for f in kind.fields:
             name = bare(f.name)
             found = next((n for n in [name, *aliases.get(name, [])] if by_name.get(n) is not None), None)
-            out[f.name] = align(by_name[found], f.dataType, aliases) if found is not None else None
-        return out
+            parts.append((f.name, aligned(by_name[found], f.dataType, aliases) if found is not None else [None]))
+        first = {n: forms[0] for n, forms in parts}
+        return [first, *({**first, n: form} for n, forms in parts for form in forms[1:])]
     if isinstance(kind, ArrayType):
-        if isinstance(value, str):
-            try:
-                value = json.loads(value)
-            except ValueError:
-                return None
-        return [align(v, kind.elementType, aliases) for v in (value if isinstance(value, list) else [value])]
+        parts = [aligned(v, kind.elementType, aliases) for v in (value if isinstance(value, list) else [value])]
+        first = [forms[0] for forms in parts]
+        return [first, *([*first[:i], form, *first[i + 1 :]] for i, forms in enumerate(parts) for form in forms[1:])]
     if isinstance(kind, MapType):
-        return {str(k): None if v is None else str(v) for k, v in value.items()} if isinstance(value, dict) else None
+        return [{str(k): None if v is None else str(v) for k, v in value.items()} if isinstance(value, dict) else None]
     if isinstance(kind, StringType):
-        return value if isinstance(value, str) else json.dumps(value, sort_keys=True)
-    return value if isinstance(value, (int, float, bool)) else None
+        return [value if isinstance(value, str) else json.dumps(value, sort_keys=True)]
+    return [value if isinstance(value, (int, float, bool)) else None]
 
 
-def unpack_payloads(df: DataFrame, key: str, payload: str, columns: list[str], aliases: dict[str, list[str]]) -> DataFrame:
-    """df with each of `columns` that is null filled from the JSON of `payload`.
+def unpack_payloads(df: DataFrame, payload: str, columns: list[str], aliases: dict[str, list[str]], told_by: list[str] | None = None) -> DataFrame:
+    """df with each of `columns` that is null filled from the JSON of `payload`, a row for each record that it holds.
 
-    Only rows whose columns are all null and that carry a payload go through Python; a text that is not valid JSON, or
+    Only rows whose columns (those of told_by, if given) are all null and that carry a payload go through Python; a text that is not valid JSON, or
     holds nothing of the schema, leaves them null. All other rows and columns stay as they are.
     """
     kind = StructType([f for f in df.schema.fields if f.name in columns])
     names = {bare(c) for c in columns} | {a for c in columns for a in aliases.get(bare(c), [])}
-
-    def make():
-        def kernel(raw):
-            try:
-                value = json.loads(raw)
-            except (ValueError, RecursionError):
-                value = None
-            found = align(unwrapped(value, names), kind, aliases) if value is not None else None
-            yield raw, json.dumps(found) if found else None
-        return kernel
-
     empty = F.lit(True)
-    for c in columns:
+    for c in told_by or columns:
         empty = empty & F.col(c).isNull()
     packed = empty & F.col(payload).isNotNull()
-    out = StructType([StructField("__raw", StringType()), StructField("__json", StringType())])
-    raw_rows = df.filter(packed)
     # the whole row travels beside its payload, so no join back is needed
-    rest = [c for c in df.columns if c not in columns]
-    carried = raw_rows.select(F.to_json(F.struct(*[F.col(c) for c in rest if c != payload]), {"ignoreNullFields": "false"}).alias("__rest"), F.col(payload).alias("__raw"))
+    rest = [c for c in df.columns if c != payload]
+    carried = df.filter(packed).select(F.to_json(F.struct(*[F.col(c) for c in rest]), {"ignoreNullFields": "false"}).alias("__rest"), F.col(payload).alias("__raw"))
 
-    def make_carried():
-        inner = make()
+    def make():
         def kernel(rest_json, raw):
-            for r, j in inner(raw):
-                yield rest_json, r, j
+            records = [f for v in unwrapped(_opened(raw), names) for f in aligned(v, kind, aliases)]
+            for r in records or [None]:
+                yield rest_json, raw, json.dumps(r) if r else None
         return kernel
 
-    carried_kind = StructType([StructField("__rest", StringType()), *out.fields])
-    rest_kind = StructType([f for f in df.schema.fields if f.name in rest and f.name != payload])
+    carried_kind = StructType([StructField(c, StringType()) for c in ("__rest", "__raw", "__json")])
+    rest_kind = StructType([f for f in df.schema.fields if f.name in rest])
     opened = (
-        map_rows(carried, make_carried, carried_kind)
+        map_rows(carried, make, carried_kind)
         .select(F.from_json("__rest", rest_kind).alias("r"), "__raw", F.from_json("__json", kind).alias("k"))
-        .select(*[(F.col("k")[c] if c in columns else F.col("__raw") if c == payload else F.col("r")[c]).alias(c) for c in df.columns])
+        .select(*[(F.coalesce(F.col("r")[c], F.col("k")[c]) if c in columns else F.col("__raw") if c == payload else F.col("r")[c]).alias(c) for c in df.columns])
     )
     return df.filter(~packed).unionByName(opened)
 
 
-__all__ = ["align", "bare", "unpack_payloads", "unwrapped"]
+__all__ = ["aligned", "bare", "unpack_payloads", "unwrapped"]

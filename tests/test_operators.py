@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quernstone.operators import chunking as C, diff as D, evaluation as E, findings, graph as G, keyed, nested, risk as K, similarity as S, symbols as Y
 from quernstone.functions import text as X, vectors as V
 from quernstone.runtime import latest
-from quernstone.sources.payloads import align, unpack_payloads, unwrapped
+from quernstone.sources.payloads import aligned, unpack_payloads, unwrapped
 
 
 def test_latest_keeps_one_state_and_null_keys(spark):
@@ -211,12 +211,21 @@ def test_nested_tables_store_equal_objects_once(spark):
 
 
 def test_payload_alignment(spark):
-    assert unwrapped('{"alerts": [{"body": "{\\"a\\": 1}"}]}', {"a"}) == {"a": 1}
-    assert unwrapped("[]", {"a"}) is None and unwrapped("nonsense", {"a"}) is None
+    assert unwrapped('{"alerts": [{"body": "{\\"a\\": 1}"}]}', {"a"}) == [{"a": 1}]
+    assert unwrapped("[]", {"a"}) == [] and unwrapped("nonsense", {"a"}) == []
+    assert unwrapped([{"a": 1}, {"records": [{"a": 2}, '{"a": 3}']}, 5], {"a"}) == [{"a": 1}, {"a": 2}, {"a": 3}]
+    deep = {"a": 1}
+    for _ in range(60):
+        deep = {"data": [deep]}
+    assert unwrapped(deep, {"a"}) == [{"a": 1}]
     df = spark.createDataFrame([(1, None, '{"Pack_Age": {"packageName": " x ", "v": 2}}'), (2, None, '{"package": '), (3, ("y",), '{"package": {"name": "z"}}'), (4, None, None), (5, None, '{"record": {"package": "{\\"name\\": \\"w\\"}"}}')], "id long, package struct<name:string>, payload string")
-    got = {r.id: r.package and r.package.name for r in unpack_payloads(df, "id", "payload", ["package"], {"name": ["packagename"]}).collect()}
+    got = {r.id: r.package and r.package.name for r in unpack_payloads(df, "payload", ["package"], {"name": ["packagename"]}).collect()}
     assert got == {1: " x ", 2: None, 3: "y", 4: None, 5: "w"}
-    assert align([{"n": 1}], df.schema["package"].dataType, {}) == {"name": None}
+    kind = df.schema["package"].dataType
+    assert aligned([{"n": 1}], kind, {}) == [{"name": None}]
+    assert aligned([{"name": "a"}, {"name": "b"}], kind, {}) == [{"name": "a"}, {"name": "b"}]
+    many = spark.createDataFrame([(1, None, '[{"package": {"name": "a"}}, {"package": [{"name": "b"}, {"name": "c"}]}]'), (2, None, "[]")], "id long, package struct<name:string>, payload string")
+    assert sorted((r.id, r.package and r.package.name) for r in unpack_payloads(many, "payload", ["package"], {}).collect()) == [(1, "a"), (1, "b"), (1, "c"), (2, None)]
 
 
 def test_findings_on_empty_and_odd_tables(spark, tmp_path):
@@ -275,3 +284,59 @@ def test_phrases_of_many_chunks_stay(spark, sf_dir, tmp_path):
         want.update((r.mode, g) for g in grams if g)
     got = {(r.mode, r.gram): r.chunks for r in entry.queries()["a06_phrase_postings_whole"](spark, str(tmp_path)).collect()}
     assert got == dict(want) and got["code", "very common"] == 301
+
+
+def test_flat_tables_of_findings_equal_brute_force(spark, sf_dir):
+    import json
+
+    import pyarrow.parquet as pq
+
+    from quernstone.operators import findings
+
+    got = {(r.source, r.path): (r.occurrences, r.objects) for r in findings.p2_objects(spark, sf_dir).collect()}
+    want = {}
+
+    def form(v):
+        if isinstance(v, dict):
+            return {k: form(x) for k, x in v.items()}
+        return [form(x) for x in v] if isinstance(v, (list, tuple)) else v
+
+    def walk(source, path, value, key, parent):
+        items = list(enumerate(value)) if isinstance(value, list) else [(0, value)]
+        for i, v in items:
+            if isinstance(v, dict):
+                me = json.dumps(form(v), sort_keys=True)
+                bridge, objects = want.setdefault((source, path), (set(), set()))
+                bridge.add((key, parent, me, i))
+                objects.add(me)
+                for k, x in v.items():
+                    if isinstance(x, dict) or (isinstance(x, list) and any(isinstance(y, dict) for y in x)):
+                        walk(source, f"{path}.{k}", x, key, me)
+
+    for source, (columns, aliases, places) in findings.SOURCES.items():
+        kind = spark.read.parquet(f"{sf_dir}/{source}.parquet").schema
+        telling = [c for c in columns if any(p.split(".")[0] == c for p in places)]
+        rows = [r for r in pq.read_table(f"{sf_dir}/{source}.parquet").to_pylist() if r["rec_id"] is not None]
+        last = {}
+        for r in rows:
+            last[r["rec_id"]] = max(last.get(r["rec_id"], r["ingested_at"]), r["ingested_at"])
+        for r in rows:
+            if r["ingested_at"] != last[r["rec_id"]]:
+                continue
+            records = [r]
+            if all(r[c] is None for c in telling) and r["payload"] is not None:
+                try:
+                    value = json.loads(r["payload"])
+                except ValueError:
+                    value = None
+                names = {c.lower().replace("_", "") for c in columns} | {a for c in columns for a in aliases.get(c.lower().replace("_", ""), [])}
+                part = type(kind)([f for f in kind.fields if f.name in columns])
+                records = [{c: r[c] if r[c] is not None else f[c] for c in columns} for v in unwrapped(value, names) for f in aligned(v, part, aliases)] or [r]
+            for rec in records:
+                for c in columns:
+                    v = rec[c]
+                    if c == "resources" and v is not None:
+                        v = [x and {**x, "tags": sorted(dict(x["tags"]).items()) if x["tags"] is not None else None} for x in v]
+                    walk(source, c, v, r["rec_id"], None)
+    assert len(got) >= 12
+    assert {k: (len(b), len(o)) for k, (b, o) in want.items()} == {k: v for k, v in got.items() if v[0]}
