@@ -13,13 +13,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quernstone.runtime import table
+from quernstone.runtime import cut, table
 
 SUPPORT = 0.002  # a term in more than this share of the rows is heavy; at most 1 / SUPPORT terms are broadcast
 RARE = 2  # terms in at most so many chunks are too rare
 COMMON = 0.2  # terms in more than this share of a mode's chunks are too common
 SEP = "\x1f"
 PACK = 1 << 16  # tokens of a range: what one packed array of postings can hold is bounded by it
+AGAIN = 1_000_000  # ids of chunks that come again up to which they are broadcast; more are met by a shuffle join
 LOCAL = 256  # n-grams of a chunk whose repeats are told in place; longer lists go the way of chunks that come again
 
 
@@ -90,8 +91,8 @@ def _ngram_rows(chunks: DataFrame) -> DataFrame:
     """(key, occurrences) of each n-gram in each chunk, once."""
     listed = chunks.filter("mode is not null and ngrams is not null").select(
         "id", "mode", F.filter(F.transform("ngrams", ngram_text), lambda g: F.coalesce(g != "", F.lit(False))).alias("grams"))
-    again = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("id").alias("__id"))
-    marked = listed.join(again, F.col("id") == F.col("__id"), "left")
+    again = cut(chunks.groupBy("id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("id").alias("__id")))
+    marked = listed.join(F.broadcast(again) if again.count() <= AGAIN else again, F.col("id") == F.col("__id"), "left")
     apart = F.col("__id").isNotNull() | (F.size("grams") > LOCAL)
     single = marked.filter(~apart).select("mode", F.explode(F.transform(F.array_distinct("grams"), lambda g: F.struct(g.alias("g"), F.size(F.filter("grams", lambda x: x == g)).cast("long").alias("n")))).alias("o"))
     rest = marked.filter(apart).select("id", "mode", "grams").distinct().select("id", "mode", F.explode("grams").alias("g")).groupBy("id", "mode", "g").agg(F.count(F.lit(1)).alias("n"))
