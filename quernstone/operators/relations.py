@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernstone.operators import tables
+from quernstone.runtime import stored
 
 # Patterns over source text. Group 1 is the name where there is one.
 CALL = r"([A-Za-z_][A-Za-z0-9_]*)\("
@@ -33,15 +34,17 @@ def imports(content: Column) -> Column:
 
 
 def related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Located chunks with calls, usages and imports, control-flow counts, visibility and async flag."""
-    c = tables.located(spark, sf_dir)
-    signature = F.coalesce(F.col("docmeta.signature"), F.lit(""))
-    return c.select(
-        "*", calls(F.col("text")).alias("calls"), names(F.col("text"), USE).alias("usages"), imports(F.col("content")).alias("imports"),
-        count(F.col("text"), BRANCH).alias("branches"), count(F.col("text"), LOOP).alias("loops"), count(F.col("text"), BREAK).alias("breaks"), count(F.col("text"), CONTINUE).alias("continues"),
-        F.when(signature.rlike("^(export|pub)"), "public").when(F.col("name").startswith("_"), "private").alias("visibility"),
-        signature.rlike(r"\basync\b").alias("is_async"),
-    )
+    """Located chunks with calls, usages and imports, control-flow counts, visibility and async flag; made once for all queries."""
+    def build():
+        c = tables.located(spark, sf_dir)
+        signature = F.coalesce(F.col("docmeta.signature"), F.lit(""))
+        return c.select(
+            "*", calls(F.col("text")).alias("calls"), names(F.col("text"), USE).alias("usages"),
+            count(F.col("text"), BRANCH).alias("branches"), count(F.col("text"), LOOP).alias("loops"), count(F.col("text"), BREAK).alias("breaks"), count(F.col("text"), CONTINUE).alias("continues"),
+            F.when(signature.rlike("^(export|pub)"), "public").when(F.col("name").startswith("_"), "private").alias("visibility"),
+            signature.rlike(r"\basync\b").alias("is_async"),
+        )
+    return stored(spark, sf_dir, "related", ("chunks", "files"), build)
 
 
 def _sql_names(text: str, pattern: str) -> str:

@@ -18,11 +18,8 @@ _IN = "('graph', 'lease', 'merge')"
 
 def index(spark, sf_dir, mode="code"):
     """Postings, lengths and statistics of one mode; chunks without postings count as documents of length 0."""
-    p = tables.named_postings(spark, sf_dir).filter(F.col("mode") == mode).select("token", "doc_id", "tf")
-    n = tables.chunks(spark, sf_dir, "mode").filter(F.col("mode") == mode).select("id")
-    lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = n.agg(F.count(F.lit(1)).alias("n")).withColumn("avg_dl", lengths.agg(F.sum("dl")).scalar() / F.col("n"))
-    return p, lengths, stats
+    of = lambda df: df.filter(F.col("mode") == mode)
+    return of(tables.named_postings(spark, sf_dir)).select("token", "doc_id", "tf"), of(tables.named_lengths(spark, sf_dir)).select("doc_id", "dl"), of(tables.index_statistics(spark, sf_dir)).select("n", "avg_dl")
 
 
 _INDEX_SQL = f"""p AS (SELECT token, doc_id, tf FROM {NAMED_SQL} WHERE mode = 'code'), dl AS (SELECT doc_id, sum(tf) AS dl FROM p GROUP BY doc_id),

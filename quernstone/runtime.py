@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -44,16 +46,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or, where it is unset in a session of one machine (tests), a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quernstone-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
     return named
 
 
+_stored: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
+    """Size and time of the tables an artifact is made from: what tells that it is out of date."""
+    out = []
+    for n in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(sf_dir, f"{n}.parquet"))
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(path) if fs.exists(path) else None
+        out.append((n, status.getLen(), status.getModificationTime()) if status else (n, -1, -1))
+    return tuple(out)
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], build: Callable[[], DataFrame], write: Callable[[DataFrame], DataFrame] | None = None, by: str | None = None) -> DataFrame:
+    """A table that several queries of an application read, made by the first of them and kept in the shared folder.
+
+    It is made again when one of its source tables has another size or time. `write` lays the rows out before they are written; `by` is a column to partition by.
+    """
+    ship(spark)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir, name, _state(spark, sf_dir, sources))
+    if key not in _stored:
+        target = os.path.join(shared_dir(spark), f"index-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}-{name}")
+        df = build()
+        out = (write(df) if write else df).write.mode("errorifexists")
+        (out.partitionBy(by) if by else out).parquet(target)
+        _stored[key] = target
+    return spark.read.parquet(_stored[key])
+
+
 def one(df: DataFrame) -> Column:
     """The only row of df as a struct Column, by a scalar subquery; null where df is empty."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns])).scalar()
