@@ -112,17 +112,6 @@ def relation_boost(calls: Column, usages: Column, query: Column, per_call: float
     return F.least(F.lit(most), per_call * hit(calls) + per_use * hit(usages))
 
 
-def rerank_budget(top_n: int, tokens: list[str], scores: list[float], dense_hits: int = 0, slack: int = 8) -> tuple[int, str]:
-    """Rows to rerank beyond top_n, and why: more for varied queries and weak hits, fewer for clear short ones."""
-    n = len(tokens)
-    variety = len(set(tokens)) / n if n else 0.0
-    symbols = sum(not t.isalnum() for t in tokens) / n if n else 0.0
-    gap = len(scores) > 1 and scores[0] > 0 and scores[1] >= 0 and (scores[0] - scores[1]) / scores[0] >= 0.2
-    ceil = lambda x: int(-(-x // 1))
-    if len(scores) >= max(2 * top_n, 8) and gap and n <= 2 and symbols < 0.25:
-        return min(200, max(4, ceil(top_n * 0.25))), "high_confidence_low_entropy"
-    if n >= 7 or variety >= 0.9 or symbols >= 0.35 or len(scores) < max(3, ceil(top_n * 0.8)) or dense_hits >= 2 * top_n:
-        return min(200, max(slack, ceil(top_n * 0.9))), "high_entropy_or_low_confidence"
-    if n <= 3 and symbols < 0.3:
-        return min(200, max(6, ceil(top_n * 0.35))), "moderate_confidence_short_query"
-    return min(200, slack), "baseline"
+def explained(base: Column, phrase: Column, symbol: Column, relation: Column, weight: Column) -> Column:
+    """struct of every part of a score, and `total`: base times weight and factors, plus what relations add."""
+    return F.struct(base.alias("base"), weight.alias("weight"), phrase.alias("phrase"), symbol.alias("symbol"), relation.alias("relation"), (base * weight * phrase * symbol + relation).alias("total"))

@@ -157,18 +157,6 @@ def q06_boolean_query(spark, sf_dir):
     return t.filter(Q.condition(Q.plan(QUERY).tree, F.col("t"), F.col("g"))).select("id")
 
 
-_W = "list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda w: w <> '')"
-
-
-@query
-def q09_intents(spark, sf_dir):
-    """What each evaluation query, and each chunk name as a query, is after (Q9, Q10)."""
-    e = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), F.col("query").alias("q"), F.lit("item").alias("of"))
-    c = _chunks(spark, sf_dir, "file").select("id", F.col("file").alias("q"), F.lit("file").alias("of"))
-    i = e.unionByName(c).select("id", "of", Q.intent(F.col("q")).alias("i"))
-    return i.select("id", "of", "i.code", "i.prose", "i.path", "i.url", "i.type")
-
-
 @query(sql=f"SELECT id, array_to_string(calls, ',') AS calls, array_to_string(usages, ',') AS usages, branches, loops FROM {RELATED_SQL} WHERE text <> ''")
 def t32_control_flow_counts(spark, sf_dir):
     """Calls, usages and control-flow counts of every chunk."""

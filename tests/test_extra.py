@@ -2,6 +2,8 @@ import pytest
 
 from quernstone.functions.stem import stem, stem_token
 from quernstone.operators.snapshots import Snapshots
+from pyspark.sql import functions as F
+
 from quernstone.plans import policies as P
 from quernstone.queries.extra import generated_queries
 
@@ -23,10 +25,20 @@ def test_expansion():
     assert P.cjk_tokens("日本語") == ["日本語", "日本", "本語"] and P.cjk_tokens("") == []
 
 
-def test_policies():
-    assert P.candidate_policy(None, False).reason == "none" and P.candidate_policy(5, True).limit and P.candidate_policy(50_000, False).reason == "too-large" and P.candidate_policy(5, False).reason == "too-small" and P.candidate_policy(500, False).limit
-    assert P.provider_order("code", ["vector", "sparse", "minhash"], candidates=10) == ["sparse", "vector", "minhash"] and P.provider_order("prose", ["sparse", "vector", "minhash"], candidates=99_999) == ["vector", "sparse"]
-    assert P.branch_allows(None, "x") and not P.branch_allows("main", "dev")
+def test_policies(spark):
+    grid = [(None, None, False), (0, 5, True), (0, 0, True), (5, None, False), (5, 9, True), (500, None, False), (50_000, None, False), (50_000, 9, True), (None, None, None)]
+    df = spark.createDataFrame(grid, "c long, a long, f boolean")
+    got = [(r.p.among, r.p.reason) for r in df.select(P.candidate_policy(F.col("c"), F.col("a"), F.col("f")).alias("p")).collect()]
+    assert got == [("all", "noCandidates"), ("allowed", "filtersActiveAllowedIdx"), ("nothing", "noCandidates"), ("all", "tooSmallNoFilters"), ("allowed", "filtersActiveAllowedIdx"), ("candidates", "ok"), ("all", "tooLarge"), ("candidates", "tooLarge"), ("all", "noCandidates")]
+    branches = spark.createDataFrame([("main",), ("dev",), (None,)], "b string")
+    assert [r.x for r in branches.select(P.branch_allows("main", F.col("b")).alias("x")).collect()] == [True, False, False]
+
+
+def test_rerank_budget(spark):
+    rows = [(["a"], 31, 10.0, 5.0, 0), (list("abcdefgh"), 30, 1.0, 1.0, 0), (["a", "a"], 9, 1.0, 1.0, 0), (["a", "a", "a", "a"], 9, 1.0, 1.0, 0), (["-->", "-->"], 31, 10.0, 5.0, 0), ([], 0, None, None, None)]
+    df = spark.createDataFrame(rows, "t array<string>, h int, a double, b double, d int")
+    got = [(r.x.slack, r.x.reason) for r in df.select(P.rerank_budget(P.query_signals(F.col("t")), F.col("h"), F.col("a"), F.col("b"), F.col("d")).alias("x")).collect()]
+    assert got == [(4, "high_confidence_low_entropy"), (9, "high_entropy_or_low_confidence"), (6, "moderate_confidence_short_query"), (8, "baseline"), (9, "high_entropy_or_low_confidence"), (9, "high_entropy_or_low_confidence")]
 
 
 def test_snapshots(spark, tmp_path):

@@ -3,7 +3,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators.ranking import rerank_budget
 from quernstone.plans import filters as P, query as Q
 
 
@@ -26,7 +25,7 @@ def test_errors_and_fallback():
 
 def test_match_text_and_variants():
     assert Q.match_text(Q.parse('a -b ("c d" or e)')) == '("a") AND (("c d") OR ("e"))'
-    assert Q.fts_variant("foo*")[0] == "trigram" and Q.fts_variant("日本")[1] == "cjk_or_emoji" and Q.fts_variant("run", stemming=True)[0] == "porter"
+    assert Q.fts_variant("foo*")[0] == "trigram" and Q.fts_variant("日本")[1] == "cjk_or_emoji" and Q.fts_variant("run", frozenset(["stemming"]))[0] == "porter"
     assert Q.fts_variant("ﬁn") == ("unicode61", "default_unicode61+nfkc_normalized")
 
 
@@ -82,12 +81,6 @@ def test_dates(spark):
     assert got[:4] == ["2033-04-30 10:19:05.25", "2034-01-31 05:31:45", "2033-07-11 13:52:00", "2033-06-09 01:06:29"] and got[4] == got[3] and got[5:] == [None, None, None]
 
 
-def test_rerank_budget():
-    assert rerank_budget(10, ["a"], [10.0] + [5.0] * 30)[1] == "high_confidence_low_entropy"
-    assert rerank_budget(10, list("abcdefgh"), [1.0] * 30)[1] == "high_entropy_or_low_confidence"
-    assert rerank_budget(10, ["a", "a"], [1.0] * 9)[1] == "moderate_confidence_short_query"
-
-
 def test_list_filters(spark):
     df = spark.createDataFrame([(1, ["x"], [("req", "Eval")], [("Sec", "r1", ["A", "b"])]), (2, [], [], []), (3, None, None, None), (4, ["y"], [(None, "eval")], [("sec", "r2", None), ("other", "r1", ["a"])])],
                                "id int, lint array<string>, flows array<struct<source:string,sink:string>>, structural array<struct<pack:string,rule:string,tags:array<string>>>")
