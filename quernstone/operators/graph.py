@@ -56,6 +56,64 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, direction: str
     return seen
 
 
+@dataclass(frozen=True)
+class Caps:
+    """Bounds of a walk; None for none. fanout: neighbours of a node; work: edges looked at."""
+
+    fanout: int | None = None
+    nodes: int | None = None
+    edges: int | None = None
+    work: int | None = None
+
+
+def bounded_walk(edges: DataFrame, seeds: DataFrame, depth: int, direction: str, caps: Caps) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (node, distance, path), edges (src, dst) and truncation (cap, most, observed) of a walk within caps.
+
+    Levels are taken in full or up to a cap, in the order of node ids, so that the result depends on nothing else. Edges to nodes that were met before are
+    kept too, those to nodes that a cap leaves out are not. A walk whose work or nodes are used up ends. observed counts what was there where a cap cut.
+    """
+    spark = edges.sparkSession
+    steps = directed(edges, direction).filter("src is not null and dst is not null").distinct()
+    cut_off: list[tuple[str, int, int]] = []
+    if caps.fanout is not None:
+        over = truncation(steps, caps.fanout).agg(F.max("observed")).first()[0]
+        if over:
+            cut_off.append(("fanout", caps.fanout, over))
+        steps = top_n(steps, ["src"], [F.col("dst")], caps.fanout)
+    steps = cut(steps)
+    frontier = cut(seeds.select("node").filter("node is not null").distinct().select("node", F.lit(0).alias("distance"), F.array("node").alias("path")))
+    seen, walked, n_nodes, work = frontier, None, frontier.count(), 0
+    for d in range(1, depth + 1):
+        looked = frontier.join(steps, frontier["node"] == steps["src"]).select("src", "dst", "path")
+        if caps.work is not None:
+            n = looked.count()
+            if work + n > caps.work:
+                cut_off.append(("work", caps.work, work + n))
+                looked = cut(looked.orderBy("src", "dst").limit(max(0, caps.work - work)))
+            work = min(caps.work, work + n)
+        reached = cut(looked.select("src", "dst", F.concat("path", F.array("dst")).alias("path")))
+        fresh = reached.join(seen.select(F.col("node").alias("dst")), "dst", "left_anti").groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        if caps.nodes is not None:
+            m = fresh.count()
+            if n_nodes + m > caps.nodes:
+                cut_off.append(("nodes", caps.nodes, n_nodes + m))
+                fresh = fresh.orderBy("node").limit(max(0, caps.nodes - n_nodes))
+        frontier = cut(fresh.select("node", F.lit(d).alias("distance"), "path"))
+        seen = seen.unionByName(frontier)
+        walked = reached.select("src", "dst") if walked is None else walked.unionByName(reached.select("src", "dst"))
+        n_nodes += frontier.count()
+        full = (caps.nodes is not None and n_nodes >= caps.nodes) or (caps.work is not None and work >= caps.work)
+        if full or frontier.isEmpty():
+            break
+    kept = spark.createDataFrame([], "src string, dst string") if walked is None else walked.distinct().join(seen.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    if caps.edges is not None:
+        m = kept.count()
+        if m > caps.edges:
+            cut_off.append(("edges", caps.edges, m))
+            kept = kept.orderBy("src", "dst").limit(caps.edges)
+    return seen, kept, spark.createDataFrame(cut_off, "cap string, most long, observed long")
+
+
 def truncation(edges: DataFrame, fanout: int) -> DataFrame:
     """(src, observed, omitted): nodes whose neighbours a fanout cuts."""
     n = edges.select("src", "dst").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("observed"))
@@ -74,17 +132,34 @@ def impact(edges: DataFrame, changed: DataFrame, depth: int, direction: str = "o
     return neighborhood(edges, changed, depth, direction, fanout).filter("distance > 0")
 
 
-def suggest_tests(imports: DataFrame, changed: DataFrame, test: Column, depth: int = 4) -> DataFrame:
-    """(node, distance, score): tests that import what changed, by 1 / (distance + 1)."""
-    reached = neighborhood(imports, changed, depth, "in").filter(test)
-    return reached.select("node", "distance", (1.0 / (F.col("distance") + 1)).alias("score"))
+# Scores of tests that are found by their names alone.
+SAME_BASE, SAME_FOLDER = 0.5, 0.25
+
 
+def suggest_tests(imports: DataFrame, changed: DataFrame, test: Column, depth: int = 4, files: DataFrame | None = None, marks: str = r"(?i)^test[_.-]|[_.-]?(?:test|spec)s?$") -> DataFrame:
+    """(node, distance, score): tests that import what changed, by 1 / (distance + 1).
 
-def rerank(hits: DataFrame, edges: DataFrame, degree_weight: float, proximity_weight: float, depth: int, seeds: int) -> DataFrame:
-    """(doc_id, score) of a hit list: score plus weighted degree and proximity to its first hits. No hit from outside enters."""
-    best = hits.orderBy(F.desc("score"), F.asc("doc_id")).limit(seeds).select(F.col("doc_id").cast("string").alias("node"))
+    files, if given (node, path, is_test): tests that reach nothing that changed count by their names: those of the base name of a changed file
+    without its marks, then those in a folder of one. Their distance is null.
+    """
+    reached = neighborhood(imports, changed, depth, "in").filter(test).select("node", "distance", (1.0 / (F.col("distance") + 1)).alias("score"))
+    if files is None:
+        return reached
+    base = lambda path: F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[A-Za-z0-9]+$", ""), marks, ""))
+    folder = F.regexp_extract("path", "^(.*)/", 1)
+    of = files.join(changed.select("node").distinct(), "node", "left_semi")
+    bases, folders = of.select(base(F.col("path")).alias("__base"), F.lit(True).alias("b")).distinct(), of.select(folder.alias("__folder"), F.lit(True).alias("f")).distinct()
+    rest = files.filter("is_test").join(reached.select("node"), "node", "left_anti").join(changed.select("node"), "node", "left_anti")
+    named = rest.join(bases, base(F.col("path")) == F.col("__base"), "left").join(folders, folder == F.col("__folder"), "left")
+    score = F.when(F.col("b"), SAME_BASE).when(F.col("f"), SAME_FOLDER)
+    return reached.unionByName(named.select("node", F.lit(None).cast("int").alias("distance"), score.alias("score")).filter("score is not null"))
+
+
+def rerank(hits: DataFrame, edges: DataFrame, degree_weight: float, proximity_weight: float, depth: int, seeds: int, node=lambda c: c.cast("string")) -> DataFrame:
+    """(doc_id, score) of a hit list: score plus weighted degree and proximity to its first hits. No hit from outside enters; node: the node of an id."""
+    best = hits.orderBy(F.desc("score"), F.asc("doc_id")).limit(seeds).select(node(F.col("doc_id")).alias("node"))
     near = neighborhood(edges, best, depth, "both").select("node", (1.0 / (F.col("distance") + 1)).alias("proximity"))
-    h = hits.withColumn("node", F.col("doc_id").cast("string")).join(degrees(edges), "node", "left").join(near, "node", "left")
+    h = hits.withColumn("node", node(F.col("doc_id"))).join(degrees(edges), "node", "left").join(near, "node", "left")
     return h.select("doc_id", (F.col("score") + degree_weight * F.coalesce("degree", F.lit(0)) + proximity_weight * F.coalesce("proximity", F.lit(0.0))).alias("score"))
 
 

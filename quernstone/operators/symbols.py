@@ -8,19 +8,48 @@ from pyspark.sql import Column, DataFrame, functions as F
 MODULE_EXTENSIONS = ["ts", "tsx", "js", "jsx", "mjs", "cjs"]
 
 
-def resolve_names(refs: DataFrame, symbols: DataFrame) -> DataFrame:
+def leaf(name: Column) -> Column:
+    """The last part of a qualified name."""
+    return F.regexp_extract(name, r"([^.:#]+)$", 1)
+
+
+def resolve_names(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """(ref_id, status, symbol_id, candidates): symbols of the name of each reference in its repo.
 
-    refs: ref_id, repo, file, name; symbols: symbol_id, repo, file, name. Symbols of the reference's own file come first; one best symbol resolves
-    a reference, several are ambiguous (symbol_id null), none leaves it unresolved. Candidates are counted, never
-    gathered, as a name may be everywhere.
+    refs: ref_id, repo, file, name; symbols: symbol_id, repo, file, name; imports, if given: repo, src, dst (files that a file imports).
+    Symbols of the reference's own file come first, then those of files it imports, then those of its repo; at each of these the whole name before
+    its last part. One best symbol resolves a reference, several are ambiguous (symbol_id null), none leaves it unresolved. Candidates are counted, never
+    gathered, as a name may be everywhere. With keep, these columns of refs and `level` (file, import or repo) come along.
     """
-    s = symbols.groupBy("repo", F.col("file").alias("s_file"), "name").agg(F.min("symbol_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    own = refs.join(s.withColumnRenamed("s_file", "file"), ["repo", "file", "name"], "left").select(*[refs[c] for c in refs.columns], F.col("least").alias("own"), F.col("n").alias("own_n"))
-    all_ = symbols.groupBy("repo", "name").agg(F.min("symbol_id").alias("any"), F.count(F.lit(1)).alias("any_n"))
-    r = own.join(all_, ["repo", "name"], "left")
-    best, n = F.coalesce("own", "any"), F.coalesce("own_n", "any_n", F.lit(0))
-    return r.select("ref_id", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(n == 1, best).alias("symbol_id"), n.alias("candidates"))
+    named = symbols.select("symbol_id", "repo", "file", "name").withColumn("leaf", leaf(F.col("name")))
+    forms = named.select("symbol_id", "repo", "file", F.col("name").alias("key"), F.lit(0).alias("form")).unionByName(
+        named.filter("leaf != name and leaf != ''").select("symbol_id", "repo", "file", F.col("leaf").alias("key"), F.lit(1).alias("form")))
+    best = lambda df, keys: df.groupBy(*keys, "key").agg(F.min(F.struct("form", F.lit(0).alias("n"), F.col("symbol_id").alias("s"))).alias("least"), F.count(F.when(F.col("form") == 0, 1)).alias("whole"), F.count(F.lit(1)).alias("every"))
+    # symbols whose whole name fits go before those of which the last part does
+    found = lambda df, keys, at: best(df, keys).select(*keys, "key", F.struct(F.col("least.s").alias("s"), F.when(F.col("whole") > 0, F.col("whole")).otherwise(F.col("every")).alias("n")).alias(at))
+    asked = refs.withColumn("__leaf", leaf(F.col("name")))
+    out, order = asked, []
+    own = found(forms, ["repo", "file"], "at")
+    everywhere = found(forms, ["repo"], "at")
+    levels = [("file", own, ["repo", "file"])]
+    if imports is not None:
+        reached = imports.select("repo", F.col("src").alias("file"), "dst").filter("dst is not null").distinct().join(forms.withColumnRenamed("file", "dst"), ["repo", "dst"])
+        levels.append(("import", found(reached.select("symbol_id", "repo", "file", "key", "form"), ["repo", "file"], "at"), ["repo", "file"]))
+    levels.append(("repo", everywhere, ["repo"]))
+    qualified = F.col("name") != F.col("__leaf")
+    for level, side, keys in levels:
+        for whole in (True, False):
+            at = f"__{level}_{int(whole)}"
+            by = side.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("key").alias("__key"), F.col("at").alias(at))
+            on = (F.col("__key") == F.col("name")) if whole else (qualified & (F.col("__key") == F.col("__leaf")))
+            for i, k in enumerate(keys):
+                on = on & (F.col(k) == F.col(f"__k{i}"))
+            out = out.join(by, on, "left").drop("__key", *[f"__k{i}" for i in range(len(keys))])
+            order.append((level, at))
+    pick = F.coalesce(*[F.when(F.col(at).isNotNull(), F.struct(F.col(at)["s"].alias("s"), F.col(at)["n"].alias("n"), F.lit(level).alias("level"))) for level, at in order])
+    n = F.coalesce(pick["n"], F.lit(0))
+    extra = [*(keep or []), *([pick["level"].alias("level")] if keep else [])]
+    return out.select("ref_id", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(n == 1, pick["s"]).alias("symbol_id"), n.alias("candidates"), *extra)
 
 
 def normal_join(folder: Column, spec: Column) -> Column:

@@ -4,78 +4,135 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernstone.operators import diff as D, graph as G, keyed, relations, symbols as S, tables
+from quernstone.operators import codegraph as CG, diff as D, graph as G, keyed, relations, symbols as S, tables
 from quernstone.operators.relations import RELATED_SQL
 from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL
 from quernstone.queries import query
 from quernstone.runtime import table
 
-_EDGES_SQL = "e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+_IMPORTS_SQL = f"""f AS (SELECT * FROM {FILES_SQL}), i AS (SELECT DISTINCT repo, path AS src, unnest(list_distinct(regexp_extract_all(content, '{relations.IMPORT.replace(chr(39), chr(39) * 2)}', 1))) AS spec FROM f)"""
+
+
+_RESOLVED_SQL = f"""{_IMPORTS_SQL}, x AS (SELECT *, regexp_matches(spec, '^\\.{{1,2}}/') AS rel, regexp_extract(src, '^(.*)/[^/]*$', 1) AS dir FROM i),
+b AS (SELECT *, CASE WHEN starts_with(spec, '../') THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) || '/' || substr(spec, 4) ELSE dir || '/' || substr(spec, 3) END AS base FROM x),
+c AS (SELECT repo, src, spec, unnest(CASE WHEN regexp_matches(spec, '\\.[A-Za-z0-9]+$') THEN [base] ELSE list_concat([base], list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '.' || e), list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '/index.' || e)) END) AS cand,
+ generate_subscripts(CASE WHEN regexp_matches(spec, '\\.[A-Za-z0-9]+$') THEN [base] ELSE list_concat([base], list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '.' || e), list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '/index.' || e)) END, 1) AS pr FROM b WHERE rel),
+h AS (SELECT c.repo, c.src, c.spec, min_by(c.cand, c.pr) AS dst FROM c JOIN (SELECT DISTINCT repo, path FROM f) g ON c.repo = g.repo AND c.cand = g.path GROUP BY ALL),
+ri AS (SELECT x.repo, x.src, x.spec, h.dst, CASE WHEN NOT x.rel THEN 'external' WHEN h.dst IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
+CASE WHEN NOT x.rel OR h.dst IS NOT NULL THEN NULL WHEN regexp_matches(x.spec, '\\.[A-Za-z0-9]+$') THEN 'missing_file' ELSE 'missing_candidates' END AS reason
+FROM x LEFT JOIN h ON x.repo = h.repo AND x.src = h.src AND x.spec = h.spec)"""
 
 
-def supply_edges(spark, sf_dir):
-    """A graph in the tables at hand: part to supplier to nation to region."""
-    t = lambda n: table(spark, sf_dir, n)
-    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst")).distinct()
-    return edge(t("lineitem"), "p", "l_partkey", "s", "l_suppkey").unionByName(edge(t("supplier"), "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge(t("nation"), "n", "n_nationkey", "r", "n_regionkey"))
+@query(sql=f"WITH {_RESOLVED_SQL} SELECT * FROM ri")
+def j09_import_resolution(spark, sf_dir):
+    """Every import of every file."""
+    return CG.file_imports(spark, sf_dir)
+
+
+_EDGES_SQL = f"""m AS (SELECT * FROM {RELATED_SQL}), sy AS (SELECT id AS symbol_id, repo, path AS file, name FROM m WHERE name IS NOT NULL),
+ow AS (SELECT repo, file, name, min(symbol_id) AS s, count(*) AS n FROM sy GROUP BY ALL), al AS (SELECT repo, name, min(symbol_id) AS s, count(*) AS n FROM sy GROUP BY ALL),
+r AS (SELECT 'call' AS graph, id AS src_id, repo, path AS file, unnest(calls) AS name FROM m UNION ALL SELECT 'usage', id, repo, path, unnest(usages) FROM m),
+res AS (SELECT r.*, CASE WHEN coalesce(ow.n, al.n, 0) = 1 THEN coalesce(ow.s, al.s) END AS sid, CASE WHEN ow.n = 1 THEN 1.0::DOUBLE WHEN ow.n IS NULL AND al.n = 1 THEN 0.8::DOUBLE END AS confidence
+ FROM r LEFT JOIN ow ON r.repo = ow.repo AND r.file = ow.file AND r.name = ow.name LEFT JOIN al ON r.repo = al.repo AND r.name = al.name), {_RESOLVED_SQL},
+ge AS (SELECT DISTINCT * FROM (SELECT graph, 'c' || src_id AS src, CASE WHEN sid IS NULL THEN 's:' || repo || ':' || name ELSE 'c' || sid END AS dst, confidence FROM res WHERE sid IS NULL OR sid <> src_id
+ UNION ALL SELECT 'import', 'f:' || repo || ':' || src, CASE WHEN dst IS NULL THEN 'm:' || spec ELSE 'f:' || repo || ':' || dst END, CASE WHEN dst IS NOT NULL THEN 1.0::DOUBLE END FROM ri
+ UNION ALL SELECT 'symbol', 'f:' || repo || ':' || path, 'c' || id, NULL FROM m) WHERE src IS NOT NULL AND dst IS NOT NULL),
+e AS (SELECT DISTINCT src, dst FROM ge)"""
+_KIND_SQL = "CASE WHEN starts_with({0}, 'f:') THEN 'file' WHEN starts_with({0}, 's:') THEN 'name' WHEN starts_with({0}, 'm:') THEN 'module' ELSE 'chunk' END"
+# where walks begin: the least sources of each graph
+_SEEDS_SQL = "s0 AS (SELECT DISTINCT min(src) AS node FROM ge GROUP BY graph)"
+# the node that most edges lead to
+_HUB_SQL = "hub AS (SELECT dst AS node FROM e WHERE starts_with(dst, '{0}') GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)"
+
 
+def least_sources(spark, sf_dir):
+    return CG.edges(spark, sf_dir).groupBy("graph").agg(F.min("src").alias("node")).select("node").distinct()
 
-def seeds(spark, *nodes):
-    return spark.createDataFrame([(n,) for n in nodes], "node string")
 
+def hub(spark, sf_dir, prefix):
+    e = CG.edges(spark, sf_dir).select("src", "dst").distinct().filter(F.col("dst").startswith(prefix))
+    return e.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("node")).limit(1).select("node")
 
-@query(sql=f"""WITH {_EDGES_SQL}, s0 AS (SELECT unnest(['p1', 'p2', 'p77']) AS node),
-l1 AS (SELECT DISTINCT dst AS node FROM s0 JOIN e ON e.src = s0.node WHERE dst NOT IN (SELECT node FROM s0)),
-l2 AS (SELECT DISTINCT dst AS node FROM l1 JOIN e ON e.src = l1.node WHERE dst NOT IN (SELECT node FROM s0 UNION SELECT node FROM l1)),
-l3 AS (SELECT DISTINCT dst AS node FROM l2 JOIN e ON e.src = l2.node WHERE dst NOT IN (SELECT node FROM s0 UNION SELECT node FROM l1 UNION SELECT node FROM l2))
-SELECT node, 0 AS distance FROM s0 UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3""")
+
+@query(sql=f"WITH {_EDGES_SQL} SELECT graph, src, dst, confidence FROM ge")
+def g01_edges(spark, sf_dir):
+    """Call, usage, import and symbol edges (G1)."""
+    return CG.edges(spark, sf_dir)
+
+
+@query(sql=f"WITH {_EDGES_SQL} SELECT node, {_KIND_SQL.format('node')} AS kind FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)")
+def g01_nodes(spark, sf_dir):
+    return CG.nodes(CG.edges(spark, sf_dir))
+
+
+@query(sql=f"WITH {_EDGES_SQL} SELECT graph, count(*) AS edges, max(n) AS nodes FROM (SELECT DISTINCT graph, src, dst FROM ge) g JOIN (SELECT graph, count(DISTINCT node) AS n FROM (SELECT graph, src AS node FROM ge UNION ALL SELECT graph, dst FROM ge) GROUP BY graph) USING (graph) GROUP BY graph")
+def a11_graph_counts(spark, sf_dir):
+    return CG.counts(CG.edges(spark, sf_dir))
+
+
+@query(sql=f"WITH {_EDGES_SQL} SELECT graph, src, dst FROM ge WHERE graph IN ('call', 'import') AND (confidence IS NULL OR confidence >= 0.9)")
+def g03_filtered_edges(spark, sf_dir):
+    """Edges of two graphs that are sure enough, or of which nothing is known."""
+    return G.filter_edges(CG.edges(spark, sf_dir).withColumnRenamed("graph", "kind"), ["call", "import"], 0.9).select(F.col("kind").alias("graph"), "src", "dst")
+
+
+_LEVELS_SQL = f"""WITH {_EDGES_SQL}, {_SEEDS_SQL}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+l1 AS (SELECT DISTINCT dst AS node FROM s0 JOIN u ON u.src = s0.node WHERE dst NOT IN (SELECT node FROM s0)),
+l2 AS (SELECT DISTINCT dst AS node FROM l1 JOIN u ON u.src = l1.node WHERE dst NOT IN (SELECT node FROM s0 UNION SELECT node FROM l1)),
+l3 AS (SELECT DISTINCT dst AS node FROM l2 JOIN u ON u.src = l2.node WHERE dst NOT IN (SELECT node FROM s0 UNION SELECT node FROM l1 UNION SELECT node FROM l2)),
+w AS (SELECT node, 0 AS distance FROM s0 UNION ALL SELECT node, 1 FROM l1 UNION ALL SELECT node, 2 FROM l2 UNION ALL SELECT node, 3 FROM l3)"""
+
+
+@query(sql=_LEVELS_SQL + " SELECT node, distance FROM w")
 def g02_neighborhood(spark, sf_dir):
-    """Three levels out from three seeds."""
-    return G.neighborhood(supply_edges(spark, sf_dir), seeds(spark, "p1", "p2", "p77"), 3).select("node", "distance")
+    """Three levels around the seeds, both ways."""
+    return G.neighborhood(CG.edges(spark, sf_dir), least_sources(spark, sf_dir), 3, "both").select("node", "distance")
+
 
+@query(sql=_LEVELS_SQL + " SELECT node, distance FROM w ORDER BY distance, node LIMIT 40")
+def g02_capped(spark, sf_dir):
+    """The same walk with a cap of nodes, which are taken level by level in order."""
+    found, _, _ = G.bounded_walk(CG.edges(spark, sf_dir), least_sources(spark, sf_dir), 3, "both", G.Caps(nodes=40))
+    return found.select("node", "distance")
 
-@query(sql=f"""WITH {_EDGES_SQL}, r AS (SELECT src, dst FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 3), s0 AS (SELECT unnest(['p1', 'p2']) AS node),
-l1 AS (SELECT dst AS node, min(array_to_string([src, dst], '>')) AS path FROM s0 JOIN r ON r.src = s0.node GROUP BY dst),
-l2 AS (SELECT dst AS node, min(l1.path || '>' || dst) AS path FROM l1 JOIN r ON r.src = l1.node GROUP BY dst)
-SELECT node, node AS path, 0 AS distance FROM s0 UNION ALL SELECT node, path, 1 FROM l1 UNION ALL SELECT node, path, 2 FROM l2""")
+
+@query(sql=f"""WITH {_EDGES_SQL}, {_SEEDS_SQL}, r3 AS (SELECT src, dst FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 3),
+l1 AS (SELECT dst AS node, min([src, dst]) AS path FROM s0 JOIN r3 ON r3.src = s0.node WHERE dst NOT IN (SELECT node FROM s0) GROUP BY dst),
+l2 AS (SELECT dst AS node, min(list_append(l1.path, dst)) AS path FROM l1 JOIN r3 ON r3.src = l1.node WHERE dst NOT IN (SELECT node FROM s0 UNION SELECT node FROM l1) GROUP BY dst)
+SELECT node, node AS path, 0 AS distance FROM s0 UNION ALL SELECT node, array_to_string(path, '>'), 1 FROM l1 UNION ALL SELECT node, array_to_string(path, '>'), 2 FROM l2""")
 def g04_witness_paths(spark, sf_dir):
     """Least shortest paths with a fanout of three."""
-    n = G.neighborhood(supply_edges(spark, sf_dir), seeds(spark, "p1", "p2"), 2, fanout=3)
+    n = G.neighborhood(CG.edges(spark, sf_dir), least_sources(spark, sf_dir), 2, fanout=3)
     return n.select("node", F.array_join("path", ">").alias("path"), "distance")
 
 
-@query(sql=f"WITH {_EDGES_SQL} SELECT src, count(*) AS observed, count(*) - 40 AS omitted FROM e GROUP BY src HAVING count(*) > 40")
+@query(sql=f"WITH {_EDGES_SQL} SELECT src, count(*) AS observed, count(*) - 10 AS omitted FROM e GROUP BY src HAVING count(*) > 10")
 def g02_truncation(spark, sf_dir):
-    return G.truncation(supply_edges(spark, sf_dir), 40)
+    return G.truncation(CG.edges(spark, sf_dir), 10)
 
 
 @query(sql=f"WITH {_EDGES_SQL} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node")
 def a10_degree(spark, sf_dir):
     """Degrees, whose sum is twice the distinct edges."""
-    return G.degrees(supply_edges(spark, sf_dir))
+    return G.degrees(CG.edges(spark, sf_dir))
 
 
-@query(sql=f"""WITH {_EDGES_SQL}, l1 AS (SELECT DISTINCT src AS node FROM e WHERE dst = 'n3'), l2 AS (SELECT DISTINCT src AS node FROM e JOIN l1 ON e.dst = l1.node WHERE src NOT IN (SELECT node FROM l1) AND src <> 'n3')
+@query(sql=f"""WITH {_EDGES_SQL}, {_HUB_SQL.format("m:")}, l1 AS (SELECT DISTINCT src AS node FROM e JOIN hub ON e.dst = hub.node), l2 AS (SELECT DISTINCT src AS node FROM e JOIN l1 ON e.dst = l1.node WHERE src NOT IN (SELECT node FROM l1) AND src NOT IN (SELECT node FROM hub))
 SELECT node, 1 AS distance FROM l1 UNION ALL SELECT node, 2 FROM l2""")
 def g05_impact(spark, sf_dir):
-    """What depends on a nation, upstream."""
-    return G.impact(supply_edges(spark, sf_dir), seeds(spark, "n3"), 2, "in").select("node", "distance")
-
-
-@query(sql=f"""WITH {_EDGES_SQL}, h AS (SELECT p_partkey AS doc_id, p_retailprice / 1000 AS score, 'p' || p_partkey AS node FROM part ORDER BY score DESC, doc_id LIMIT 100), b AS (SELECT node FROM h ORDER BY score DESC, doc_id LIMIT 3),
-u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l1 AS (SELECT DISTINCT u.dst AS node FROM b JOIN u ON u.src = b.node WHERE u.dst NOT IN (SELECT node FROM b)),
-l2 AS (SELECT DISTINCT u.dst AS node FROM l1 JOIN u ON u.src = l1.node WHERE u.dst NOT IN (SELECT node FROM b UNION SELECT node FROM l1)),
-n AS (SELECT node, 1.0 AS p FROM b UNION ALL SELECT node, 0.5 FROM l1 UNION ALL SELECT node, 1.0 / 3 FROM l2), d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node)
-SELECT h.doc_id, round(h.score + 0.01 * coalesce(d.degree, 0) + 0.2 * coalesce(n.p, 0), 6) AS score FROM h LEFT JOIN d ON h.node = d.node LEFT JOIN n ON h.node = n.node""")
-def w14_graph_rerank(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), (F.col("p_retailprice") / 1000).alias("score"))
-    hits = p.orderBy(F.desc("score"), F.asc("doc_id")).limit(100)
-    edges = supply_edges(spark, sf_dir)
-    named = hits.select(F.col("doc_id").alias("id"), F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("node"), "score")
-    best = named.orderBy(F.desc("score"), F.asc("id")).limit(3).select("node")
-    near = G.neighborhood(edges, best, 2, "both").select("node", (1.0 / (F.col("distance") + 1)).alias("p"))
-    j = named.join(G.degrees(edges), "node", "left").join(near, "node", "left")
-    return j.select(F.col("id").alias("doc_id"), F.round(F.col("score") + 0.01 * F.coalesce("degree", F.lit(0)) + 0.2 * F.coalesce("p", F.lit(0.0)), 6).alias("score"))
+    """What depends on the module that most files import, upstream."""
+    return G.impact(CG.edges(spark, sf_dir), hub(spark, sf_dir, "m:"), 2, "in").select("node", "distance")
+
+
+@query(sql=f"""WITH {_EDGES_SQL}, {_HUB_SQL.format("s:")}, l1 AS (SELECT DISTINCT src AS node FROM e JOIN hub ON e.dst = hub.node), l2 AS (SELECT DISTINCT dst AS node FROM e JOIN l1 ON e.src = l1.node WHERE dst NOT IN (SELECT node FROM l1) AND dst NOT IN (SELECT node FROM hub))
+SELECT kind, count(*) AS nodes FROM (SELECT {_KIND_SQL.format('node')} AS kind FROM l2) GROUP BY kind""")
+def g08_context(spark, sf_dir):
+    """Kinds of what the users of the most used name touch besides: a seed and its surroundings in two walks."""
+    e = CG.edges(spark, sf_dir)
+    seed = hub(spark, sf_dir, "s:")
+    users = G.neighborhood(e, seed, 1, "in").filter("distance = 1").select("node")
+    beside = G.neighborhood(e, users, 1, "out").filter("distance = 1").join(seed, "node", "left_anti")
+    return beside.groupBy(CG.node_kind(F.col("node")).alias("kind")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def call_refs(spark, sf_dir):
@@ -100,37 +157,15 @@ def j08_symbol_resolution(spark, sf_dir):
 
 @query(sql=f"WITH {_REFS_SQL} SELECT DISTINCT src_id AS src, symbol_id AS dst FROM res WHERE symbol_id IS NOT NULL AND symbol_id <> src_id")
 def g01_call_graph(spark, sf_dir):
-    """Edges between chunks from resolved calls, without links to itself."""
-    refs, symbols = call_refs(spark, sf_dir)
-    done = S.resolve_names(refs, symbols).filter("symbol_id is not null")
-    e = done.select(F.split("ref_id", ":")[0].cast("long").alias("src"), F.col("symbol_id").alias("dst"))
-    return e.filter("src != dst").distinct()
-
-
-def import_rows(spark, sf_dir):
-    f = tables.files(spark, sf_dir, "repo", "path", "content")
-    return f.select("repo", F.col("path").alias("src"), F.explode(relations.imports(F.col("content"))).alias("spec")), f.select("repo", "path")
-
-
-_IMPORTS_SQL = f"""f AS (SELECT * FROM {FILES_SQL}), i AS (SELECT DISTINCT repo, path AS src, unnest(list_distinct(regexp_extract_all(content, '{relations.IMPORT.replace(chr(39), chr(39) * 2)}', 1))) AS spec FROM f)"""
-
-
-@query(sql=f"""WITH {_IMPORTS_SQL}, x AS (SELECT *, regexp_matches(spec, '^\\.{{1,2}}/') AS rel, regexp_extract(src, '^(.*)/[^/]*$', 1) AS dir FROM i),
-b AS (SELECT *, CASE WHEN starts_with(spec, '../') THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) || '/' || substr(spec, 4) ELSE dir || '/' || substr(spec, 3) END AS base FROM x),
-c AS (SELECT repo, src, spec, unnest(CASE WHEN regexp_matches(spec, '\\.[A-Za-z0-9]+$') THEN [base] ELSE list_concat([base], list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '.' || e), list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '/index.' || e)) END) AS cand,
- generate_subscripts(CASE WHEN regexp_matches(spec, '\\.[A-Za-z0-9]+$') THEN [base] ELSE list_concat([base], list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '.' || e), list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '/index.' || e)) END, 1) AS pr FROM b WHERE rel),
-h AS (SELECT c.repo, c.src, c.spec, min_by(c.cand, c.pr) AS dst FROM c JOIN (SELECT DISTINCT repo, path FROM f) g ON c.repo = g.repo AND c.cand = g.path GROUP BY ALL)
-SELECT x.repo, x.src, x.spec, h.dst, CASE WHEN NOT x.rel THEN 'external' WHEN h.dst IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
-CASE WHEN NOT x.rel OR h.dst IS NOT NULL THEN NULL WHEN regexp_matches(x.spec, '\\.[A-Za-z0-9]+$') THEN 'missing_file' ELSE 'missing_candidates' END AS reason
-FROM x LEFT JOIN h ON x.repo = h.repo AND x.src = h.src AND x.spec = h.spec""")
-def j09_import_resolution(spark, sf_dir):
-    """Every import of every file."""
-    return S.resolve_imports(*import_rows(spark, sf_dir))
+    """Edges between chunks from resolved calls, without links to itself."""
+    e = CG.edges(spark, sf_dir).filter("graph = 'call' and dst like 'c%'")
+    number = lambda c: F.expr(f"substring({c}, 2)").cast("long").alias(c)
+    return e.select(number("src"), number("dst"))
 
 
 @query(sql=f"WITH {_IMPORTS_SQL} SELECT CASE WHEN NOT regexp_matches(spec, '^\\.{{1,2}}/') THEN 'external' ELSE 'relative' END AS kind, count(*) AS imports, count(DISTINCT repo || ' ' || src) AS files FROM i GROUP BY 1")
 def a18_import_taxonomy(spark, sf_dir):
-    rows, _ = import_rows(spark, sf_dir)
+    rows = CG.file_imports(spark, sf_dir).select("repo", "src", "spec")
     kind = F.when(F.col("spec").rlike(r"^\.{1,2}/"), "relative").otherwise("external")
     return rows.distinct().groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("imports"), F.count_distinct(F.concat_ws(" ", "repo", "src")).alias("files"))
 
@@ -138,33 +173,51 @@ def a18_import_taxonomy(spark, sf_dir):
 @query(sql=f"""WITH {_IMPORTS_SQL} SELECT DISTINCT spec, CASE WHEN spec = './rule' THEN './rule' WHEN starts_with(spec, './') THEN './*' WHEN starts_with(spec, 'crate::') THEN 'crate::*' END AS pattern,
 CASE WHEN spec = './rule' THEN 'rules/main' WHEN starts_with(spec, './') THEN 'src/' || substr(spec, 3) WHEN starts_with(spec, 'crate::') THEN 'rs/' || substr(spec, 8) END AS target FROM i""")
 def g17_path_aliases(spark, sf_dir):
-    rows, _ = import_rows(spark, sf_dir)
+    rows = CG.file_imports(spark, sf_dir)
     return S.best_alias(rows.select("spec").distinct(), [("./*", "src/*"), ("crate::*", "rs/*"), ("./rule", "rules/main")])
 
 
-@query(sql=f"""WITH {_IMPORTS_SQL}, e AS (SELECT src, CASE WHEN regexp_matches(spec, '^\\./') THEN regexp_extract(src, '^(.*)/[^/]*$', 1) || '/' || substr(spec, 3) ELSE spec END AS dst FROM i)
-SELECT DISTINCT 'no-graph-in-core' AS rule, src, dst FROM e WHERE regexp_matches(src, '^core/(?:.*/)?[^/]*$') AND NOT regexp_matches(src, '^core/graph/.*$') AND regexp_matches(dst, '^(?:.*/)?graph[^/]*$')
-UNION ALL SELECT DISTINCT 'layers', src, dst FROM e WHERE CASE WHEN starts_with(src, 'lib/') THEN 0 WHEN starts_with(src, 'core/') THEN 1 WHEN starts_with(src, 'app/') THEN 2 END < CASE WHEN starts_with(dst, 'lib/') THEN 0 WHEN starts_with(dst, 'core/') THEN 1 WHEN starts_with(dst, 'app/') THEN 2 END""")
-def g07_architecture(spark, sf_dir):
-    """Forbidden imports and layers over the imports of files."""
-    rows, _ = import_rows(spark, sf_dir)
+# what a file imports, as a path where it is given relative to the file
+_PATHS_SQL = f"""{_RESOLVED_SQL}, pe AS (SELECT repo, src, CASE WHEN regexp_matches(spec, '^\\./') THEN regexp_extract(src, '^(.*)/[^/]*$', 1) || '/' || substr(spec, 3) ELSE spec END AS dst FROM ri)"""
+
+
+def import_paths(spark, sf_dir):
     folder = F.regexp_extract("src", r"^(.*)/[^/]*$", 1)
     dst = F.when(F.col("spec").rlike(r"^\./"), F.concat(folder, F.lit("/"), F.expr("substring(spec, 3)"))).otherwise(F.col("spec"))
-    edges = rows.select("src", dst.alias("dst"), F.lit("import").alias("kind"))
-    return G.violations(edges, [
-        G.Rule("no-graph-in-core", "forbiddenImport", G.Selector(["core/**/*"], ["core/graph/**"]), G.Selector(["**/graph*"])),
-        G.Rule("layers", "layering", layers=[G.Selector(["lib/**"]), G.Selector(["core/**"]), G.Selector(["app/**"])])])
+    return CG.file_imports(spark, sf_dir).select("repo", "src", dst.alias("dst"), F.lit("import").alias("kind"))
+
+
+@query(sql=f"""WITH {_PATHS_SQL}, m2 AS (SELECT path, unnest(calls) AS name FROM {RELATED_SQL})
+SELECT DISTINCT 'no-io-in-core' AS rule, src, dst FROM pe WHERE regexp_matches(src, '^(?:core|server)/.*$') AND NOT regexp_matches(src, '^core/graph/.*$') AND dst IN ('stdio.h', 'log', 'logging')
+UNION ALL SELECT DISTINCT 'no-panic', path, name FROM m2 WHERE regexp_matches(path, '^.*\\.(?:rs|py)$') AND name IN ('panic', 'len')
+UNION ALL SELECT DISTINCT 'layers', src, dst FROM pe WHERE CASE WHEN starts_with(src, 'core/') THEN 0 WHEN starts_with(src, 'lib/') THEN 1 WHEN src IN ('stdio.h', 'log', 'logging') THEN 2 END < CASE WHEN starts_with(dst, 'core/') THEN 0 WHEN starts_with(dst, 'lib/') THEN 1 WHEN dst IN ('stdio.h', 'log', 'logging') THEN 2 END""")
+def g07_architecture(spark, sf_dir):
+    """Forbidden imports and calls, and layers, over the imports and calls of files."""
+    calls = relations.related(spark, sf_dir).select(F.col("path").alias("src"), F.explode("calls").alias("dst"), F.lit("call").alias("kind"))
+    io = G.Selector(["stdio.h", "log", "logging"])
+    return G.violations(import_paths(spark, sf_dir).drop("repo").unionByName(calls), [
+        G.Rule("no-io-in-core", "forbiddenImport", G.Selector(["{core,server}/**"], ["core/graph/**"]), io), G.Rule("no-panic", "forbiddenCall", G.Selector(["**.{rs,py}"]), G.Selector(["panic", "len"])),
+        G.Rule("layers", "layering", layers=[G.Selector(["core/**"]), G.Selector(["lib/**"]), io])])
+
+
+_TESTS = "(?i)probe|check|validate|verify"
+_BASE_SQL = "lower(regexp_replace(regexp_replace(regexp_extract({0}, '([^/]+)$', 1), '\\.[A-Za-z0-9]+$', ''), '(?i)^test[_.-]|[_.-]?(?:test|spec)s?$', ''))"
 
 
-@query(sql=f"""WITH {_IMPORTS_SQL}, e AS (SELECT DISTINCT repo || ':' || src AS src, repo || ':' || regexp_extract(src, '^(.*)/[^/]*$', 1) AS dst FROM i WHERE regexp_matches(spec, '^\\./'))
-SELECT src AS node, 1 AS distance, 0.5::DOUBLE AS score FROM e WHERE regexp_matches(dst, ':src/') AND regexp_matches(src, '(probe|check|validate)')""")
+@query(sql=f"""WITH {_EDGES_SQL}, {_HUB_SQL.format("m:")}, fl AS (SELECT DISTINCT 'f:' || repo || ':' || path AS node, path, regexp_matches(regexp_extract(path, '([^/]+)$', 1), '{_TESTS}') AS t FROM {FILES_SQL} WHERE repo IS NOT NULL AND path IS NOT NULL),
+ch AS (SELECT node FROM hub UNION SELECT node FROM fl WHERE regexp_matches(path, 'lease')), im AS (SELECT DISTINCT src, dst FROM ge WHERE graph = 'import'),
+l1 AS (SELECT DISTINCT src AS node FROM im JOIN ch ON im.dst = ch.node WHERE src NOT IN (SELECT node FROM ch)), a AS (SELECT l1.node, 1 AS distance, 0.5::DOUBLE AS score FROM l1 JOIN fl USING (node) WHERE fl.t),
+o AS (SELECT DISTINCT {_BASE_SQL.format('path')} AS base FROM fl WHERE node IN (SELECT node FROM ch)), d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS folder FROM fl WHERE node IN (SELECT node FROM ch)),
+xx AS (SELECT node, CASE WHEN {_BASE_SQL.format('path')} IN (SELECT base FROM o) THEN 0.5::DOUBLE WHEN regexp_extract(path, '^(.*)/', 1) IN (SELECT folder FROM d) THEN 0.25::DOUBLE END AS score FROM fl WHERE t AND node NOT IN (SELECT node FROM a) AND node NOT IN (SELECT node FROM ch))
+SELECT node, distance, score FROM a UNION ALL SELECT node, NULL, score FROM xx WHERE score IS NOT NULL""")
 def g06_suggested_tests(spark, sf_dir):
-    """Files that look like tests and depend on a folder under src that changed."""
-    rows, _ = import_rows(spark, sf_dir)
-    key = lambda c: F.concat(F.col("repo"), F.lit(":"), c)
-    e = rows.filter(F.col("spec").rlike(r"^\./")).select(key(F.col("src")).alias("src"), key(F.regexp_extract("src", r"^(.*)/[^/]*$", 1)).alias("dst")).distinct()
-    changed = e.filter(F.col("dst").rlike(r":src/")).select(F.col("dst").alias("node")).distinct()
-    return G.suggest_tests(e, changed, F.col("node").rlike("(probe|check|validate)") & (F.col("distance") > 0), 1).withColumn("score", F.round("score", 6))
+    """Files that look like tests and import what changed, or are named after it or beside it: the most imported module and files about leases changed."""
+    f = tables.files(spark, sf_dir, "repo", "path").filter("repo is not null and path is not null")
+    files = f.select(F.concat(F.lit("f:"), "repo", F.lit(":"), "path").alias("node"), "path", F.regexp_extract("path", r"([^/]+)$", 1).rlike(_TESTS).alias("is_test")).distinct()
+    changed = hub(spark, sf_dir, "m:").union(files.filter(F.col("path").rlike("lease")).select("node"))
+    imports = CG.edges(spark, sf_dir).filter("graph = 'import'")
+    test = (F.col("distance") > 0) & F.regexp_extract("node", r"([^/:]+)$", 1).rlike(_TESTS) & F.col("node").startswith("f:")
+    return G.suggest_tests(imports, changed, test, 1, files)
 
 
 def states(spark, sf_dir):
@@ -238,14 +291,20 @@ def j17_manifest_plan(spark, sf_dir):
     return D.manifest_plan(state(f.filter("file_id % 5 != 0"), F.col("content")), state(f.filter("file_id % 11 != 0"), changed))
 
 
-@query(sql=f"WITH {_EDGES_SQL} SELECT substr(src, 1, 1) AS src_kind, substr(dst, 1, 1) AS dst_kind, count(*) AS edges FROM e GROUP BY ALL")
+@query(sql=f"""WITH {_EDGES_SQL}, pl AS (SELECT 'c' || id AS node, split_part(path, '/', 1) AS place FROM m), pa AS (SELECT node, min(place) AS place FROM pl GROUP BY node),
+k AS (SELECT graph, src, dst, CASE WHEN starts_with(src, 'f:') THEN split_part(split_part(src, ':', 3), '/', 1) ELSE a.place END AS sp, CASE WHEN starts_with(dst, 'f:') THEN split_part(split_part(dst, ':', 3), '/', 1) WHEN starts_with(dst, 's:') THEN '(name)' WHEN starts_with(dst, 'm:') THEN '(module)' ELSE b.place END AS dp
+ FROM (SELECT DISTINCT graph, src, dst FROM ge) LEFT JOIN pa a ON src = a.node LEFT JOIN pa b ON dst = b.node)
+SELECT graph, sp AS src_place, dp AS dst_place, count(*) AS edges FROM k GROUP BY ALL""")
 def a19_map_edges(spark, sf_dir):
-    """Edges between collapsed nodes of a map."""
-    e = supply_edges(spark, sf_dir)
-    return e.groupBy(F.substring("src", 1, 1).alias("src_kind"), F.substring("dst", 1, 1).alias("dst_kind")).agg(F.count(F.lit(1)).alias("edges"))
+    """Edges of each graph between top folders: a map with its nodes collapsed."""
+    at = relations.related(spark, sf_dir).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("node"), F.split("path", "/")[0].alias("place")).groupBy("node").agg(F.min("place").alias("place"))
+    e = CG.edges(spark, sf_dir).select("graph", "src", "dst").distinct()
+    of = lambda c, joined: F.when(F.col(c).startswith("f:"), F.split(F.split(c, ":")[2], "/")[0]).when(F.col(c).startswith("s:"), "(name)").when(F.col(c).startswith("m:"), "(module)").otherwise(F.col(joined))
+    j = e.join(at.select(F.col("node").alias("src"), F.col("place").alias("sp")), "src", "left").join(at.select(F.col("node").alias("dst"), F.col("place").alias("dp")), "dst", "left")
+    return j.groupBy("graph", of("src", "sp").alias("src_place"), of("dst", "dp").alias("dst_place")).agg(F.count(F.lit(1)).alias("edges"))
 
 
-@query(sql=f"WITH {_EDGES_SQL}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node) SELECT substr(node, 1, 1) AS kind, node, degree FROM d QUALIFY row_number() OVER (PARTITION BY substr(node, 1, 1) ORDER BY degree DESC, node) <= 5")
+@query(sql=f"WITH {_EDGES_SQL}, d AS (SELECT node, {_KIND_SQL.format('node')} AS kind, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node) SELECT kind, node, degree FROM d QUALIFY row_number() OVER (PARTITION BY kind ORDER BY degree DESC, node) <= 5")
 def g21_map_top_nodes(spark, sf_dir):
-    d = G.degrees(supply_edges(spark, sf_dir)).withColumn("kind", F.substring("node", 1, 1))
+    d = G.degrees(CG.edges(spark, sf_dir)).withColumn("kind", CG.node_kind(F.col("node")))
     return keyed.top_n(d, ["kind"], [F.desc("degree"), F.asc("node")], 5).select("kind", "node", "degree")

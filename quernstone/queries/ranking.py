@@ -271,3 +271,22 @@ def j04_allowed_hits(spark, sf_dir):
 @query(sql=f"SELECT DISTINCT doc_id FROM {NAMED_SQL} WHERE mode = 'code' AND token IN {_IN}")
 def j06_candidate_ids(spark, sf_dir):
     return tables.named_postings(spark, sf_dir).filter(F.col("token").isin("graph", "lease", "merge") & (F.col("mode") == "code")).select("doc_id").distinct()
+
+
+def _w14_sql():
+    from quernstone.queries.graphs import _EDGES_SQL
+
+    return f"""WITH {_INDEX_SQL}, {bm25_sql()}, {_EDGES_SQL}, hh AS (SELECT doc_id, score, 'c' || doc_id AS node FROM hits ORDER BY score DESC, doc_id LIMIT 100), bs AS (SELECT node FROM hh ORDER BY score DESC, doc_id LIMIT 3),
+u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), l1 AS (SELECT DISTINCT u.dst AS node FROM bs JOIN u ON u.src = bs.node WHERE u.dst NOT IN (SELECT node FROM bs)),
+l2 AS (SELECT DISTINCT u.dst AS node FROM l1 JOIN u ON u.src = l1.node WHERE u.dst NOT IN (SELECT node FROM bs UNION SELECT node FROM l1)),
+nr AS (SELECT node, 1.0 AS p FROM bs UNION ALL SELECT node, 0.5 FROM l1 UNION ALL SELECT node, 1.0 / 3 FROM l2), dg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node)
+SELECT hh.doc_id, round(hh.score + 0.01 * coalesce(dg.degree, 0) + 0.2 * coalesce(nr.p, 0), 6) AS score FROM hh LEFT JOIN dg ON hh.node = dg.node LEFT JOIN nr ON hh.node = nr.node"""
+
+
+@query(sql=_w14_sql())
+def w14_graph_rerank(spark, sf_dir):
+    """Hits reranked by their degree in the graphs of the index and their nearness to the first three."""
+    from quernstone.operators import codegraph, graph as G
+
+    hits = R.top_k(R.bm25(*index(spark, sf_dir), QUERY), 100)
+    return G.rerank(hits, codegraph.edges(spark, sf_dir), 0.01, 0.2, 2, 3, lambda c: F.concat(F.lit("c"), c.cast("string"))).withColumn("score", F.round("score", 6))

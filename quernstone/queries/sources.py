@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from quernstone.operators import tables
 from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL
 from quernstone.queries import query
-from quernstone.queries.graphs import supply_edges
+from quernstone.operators import codegraph
+from quernstone.queries.graphs import _EDGES_SQL
 from quernstone.runtime import shared_dir, table
 from quernstone.sources import files as S, symbols as Y
 from quernstone.streaming import incremental as I
@@ -68,9 +69,9 @@ def s18_record_ids(spark, sf_dir):
     return g.select(F.concat_ws(":", F.lit("generic"), F.col("rec_id").cast("string")).alias("k"), Y.symbol_id(F.lit("generic"), F.col("rec_id").cast("string")).alias("symbol_id"))
 
 
-@query(sql="""SELECT '  "' || src || '" -> "' || dst || '";' AS line FROM (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)""")
+@query(sql=f"""WITH {_EDGES_SQL} SELECT '  "' || src || '" -> "' || dst || '";' AS line FROM e""")
 def s19_dot(spark, sf_dir):
-    return S.dot_lines(supply_edges(spark, sf_dir))
+    return S.dot_lines(codegraph.edges(spark, sf_dir).select("src", "dst").distinct())
 
 
 @query(sql=f"WITH c AS (SELECT mode, row_number() OVER (PARTITION BY mode ORDER BY id) - 1 AS k, id FROM {CHUNKS_SQL} WHERE mode IN ('code', 'prose')) SELECT CASE WHEN mode = 'code' THEN k ELSE k + (SELECT count(*) FROM c WHERE mode = 'code') END AS doc_id, id FROM c")
