@@ -140,7 +140,7 @@ def suggest_tests(imports: DataFrame, changed: DataFrame, test: Column, depth: i
     """(node, distance, score): tests that import what changed, by 1 / (distance + 1).
 
     files, if given (node, path, is_test): tests that reach nothing that changed count by their names: those of the base name of a changed file
-    without its marks, then those in a folder of one. Their distance is null.
+    without its marks, then those below the folder of one. Their distance is null.
     """
     reached = neighborhood(imports, changed, depth, "in").filter(test).select("node", "distance", (1.0 / (F.col("distance") + 1)).alias("score"))
     if files is None:
@@ -150,7 +150,11 @@ def suggest_tests(imports: DataFrame, changed: DataFrame, test: Column, depth: i
     of = files.join(changed.select("node").distinct(), "node", "left_semi")
     bases, folders = of.select(base(F.col("path")).alias("__base"), F.lit(True).alias("b")).distinct(), of.select(folder.alias("__folder"), F.lit(True).alias("f")).distinct()
     rest = files.filter("is_test").join(reached.select("node"), "node", "left_anti").join(changed.select("node"), "node", "left_anti")
-    named = rest.join(bases, base(F.col("path")) == F.col("__base"), "left").join(folders, folder == F.col("__folder"), "left")
+    # every folder above a test meets the folders of changed files by equality
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    below = rest.filter("path like '%/%'").select("node", F.explode(above).alias("__folder")).join(folders, "__folder").select("node", "f").distinct()
+    named = rest.join(bases, base(F.col("path")) == F.col("__base"), "left").join(below, "node", "left")
     score = F.when(F.col("b"), SAME_BASE).when(F.col("f"), SAME_FOLDER)
     return reached.unionByName(named.select("node", F.lit(None).cast("int").alias("distance"), score.alias("score")).filter("score is not null"))
 

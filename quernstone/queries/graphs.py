@@ -205,16 +205,16 @@ _BASE_SQL = "lower(regexp_replace(regexp_replace(regexp_extract({0}, '([^/]+)$',
 
 
 @query(sql=f"""WITH {_EDGES_SQL}, {_HUB_SQL.format("m:")}, fl AS (SELECT DISTINCT 'f:' || repo || ':' || path AS node, path, regexp_matches(regexp_extract(path, '([^/]+)$', 1), '{_TESTS}') AS t FROM {FILES_SQL} WHERE repo IS NOT NULL AND path IS NOT NULL),
-ch AS (SELECT node FROM hub UNION SELECT node FROM fl WHERE regexp_matches(path, 'lease')), im AS (SELECT DISTINCT src, dst FROM ge WHERE graph = 'import'),
+ch AS (SELECT node FROM hub UNION SELECT node FROM fl WHERE regexp_matches(path, 'lease|^(?:lib|src)/[^/]+$')), im AS (SELECT DISTINCT src, dst FROM ge WHERE graph = 'import'),
 l1 AS (SELECT DISTINCT src AS node FROM im JOIN ch ON im.dst = ch.node WHERE src NOT IN (SELECT node FROM ch)), a AS (SELECT l1.node, 1 AS distance, 0.5::DOUBLE AS score FROM l1 JOIN fl USING (node) WHERE fl.t),
 o AS (SELECT DISTINCT {_BASE_SQL.format('path')} AS base FROM fl WHERE node IN (SELECT node FROM ch)), d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS folder FROM fl WHERE node IN (SELECT node FROM ch)),
-xx AS (SELECT node, CASE WHEN {_BASE_SQL.format('path')} IN (SELECT base FROM o) THEN 0.5::DOUBLE WHEN regexp_extract(path, '^(.*)/', 1) IN (SELECT folder FROM d) THEN 0.25::DOUBLE END AS score FROM fl WHERE t AND node NOT IN (SELECT node FROM a) AND node NOT IN (SELECT node FROM ch))
+xx AS (SELECT node, CASE WHEN {_BASE_SQL.format('path')} IN (SELECT base FROM o) THEN 0.5::DOUBLE WHEN EXISTS (SELECT 1 FROM d WHERE folder <> '' AND starts_with(path, folder || '/')) THEN 0.25::DOUBLE END AS score FROM fl WHERE t AND node NOT IN (SELECT node FROM a) AND node NOT IN (SELECT node FROM ch))
 SELECT node, distance, score FROM a UNION ALL SELECT node, NULL, score FROM xx WHERE score IS NOT NULL""")
 def g06_suggested_tests(spark, sf_dir):
-    """Files that look like tests and import what changed, or are named after it or beside it: the most imported module and files about leases changed."""
+    """Files that look like tests and import what changed, or are named after it or beside it: the most imported module, files about leases and those right below two folders changed."""
     f = tables.files(spark, sf_dir, "repo", "path").filter("repo is not null and path is not null")
     files = f.select(F.concat(F.lit("f:"), "repo", F.lit(":"), "path").alias("node"), "path", F.regexp_extract("path", r"([^/]+)$", 1).rlike(_TESTS).alias("is_test")).distinct()
-    changed = hub(spark, sf_dir, "m:").union(files.filter(F.col("path").rlike("lease")).select("node"))
+    changed = hub(spark, sf_dir, "m:").union(files.filter(F.col("path").rlike("lease|^(?:lib|src)/[^/]+$")).select("node"))
     imports = CG.edges(spark, sf_dir).filter("graph = 'import'")
     test = (F.col("distance") > 0) & F.regexp_extract("node", r"([^/:]+)$", 1).rlike(_TESTS) & F.col("node").startswith("f:")
     return G.suggest_tests(imports, changed, test, 1, files)

@@ -17,12 +17,17 @@ MAX_BYTES = 5 * 1024 * 1024
 _OPEN_END = r"(?:[\u00C2-\u00DF]|[\u00E0-\u00EF][\u0080-\u00BF]?|[\u00F0-\u00F4][\u0080-\u00BF]{0,2})\z"
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, mtime, content) of all files below a folder; path is relative, content bytes."""
-    base = os.path.abspath(root)
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    path = F.regexp_replace("path", "^file:/*" + re.escape(base) + "/?", "")
-    return f.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+def discover(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
+    """(path, size, mtime, mode, skipped, content) of all files below a folder of any file system, without those that ignore rules leave out.
+
+    path is relative, content bytes, which are read only where they are asked for; mode is what a file is searched as, skipped why it is not read.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    place = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", root if "://" in root or root.startswith("file:") else os.path.abspath(root)).strip("/")
+    path = F.regexp_replace("path", "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*" + re.escape(place) + "/?", "")
+    found = f.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    kept = found.filter(~ignored(F.col("path"), rules)) if rules else found
+    return kept.select("path", "size", "mtime", mode(F.col("path")).alias("mode"), skip_reason(F.col("path"), F.col("size")).alias("skipped"), "content")
 
 
 def ignore_pattern(rule: str) -> tuple[str, bool]:
@@ -92,6 +97,11 @@ def decoded(content: Column, max_bytes: int = MAX_BYTES) -> Column:
     return F.coalesce(valid, F.when(F.length(content) > max_bytes, whole).otherwise(F.make_valid_utf8(head.cast("string"))), text)
 
 
+def rows_at(spark: SparkSession, path: str, key: str, ids: list[int]) -> DataFrame:
+    """The rows of some keys of a table that is sorted by key: statistics of row groups leave all others unread. ids: as many as a query names."""
+    return spark.read.parquet(path).filter(F.col(key).isin(ids))
+
+
 def write_modes(df: DataFrame, path: str, files: int = 0) -> None:
     """A table by mode, so that a search of one mode reads its own partitions; sorted within files for skipping."""
     out = df if not files else df.repartition(files, "mode")

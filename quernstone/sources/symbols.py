@@ -23,32 +23,38 @@ def gtags(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("value", r"^(\S+)\s+(\d+)\s+", 2).cast("long").alias("line"), F.lit(None).cast("string").alias("signature"))
 
 
-LSIF = ("id string, type string, label string, uri string, languageId string, start struct<line:bigint,character:bigint>, end struct<line:bigint,character:bigint>, "
-        "tag struct<type:string,text:string,kind:string>, outV string, inV string, inVs array<string>, document string")
+LSIF = ("id string, type string, label string, uri string, languageId string, start struct<line:bigint,character:bigint>, `end` struct<line:bigint,character:bigint>, "
+        "tag string, text string, outV string, inV string, inVs array<string>, document string")
 
 
 def lsif(spark: SparkSession, path: str) -> DataFrame:
     """(file, name, role, line): ranges of definitions and references of a dump, by its edges.
 
-    item edges tell which ranges are definition or reference results; contains edges tell the document of a range.
+    item edges join ranges with definition or reference results, in whichever direction a dump has them; contains edges tell the document of a range. A tag is
+    a name, or an object with a text.
     """
     g = spark.read.schema(LSIF).json(path)
     v, e = g.filter("type = 'vertex'"), g.filter("type = 'edge'").withColumn("to", F.explode(F.coalesce("inVs", F.array("inV"))))
-    documents = v.filter("label = 'document'").select(F.col("id").alias("doc"), F.col("uri").alias("file"))
-    ranges = v.filter("label = 'range'").select(F.col("id").alias("range"), F.col("tag.text").alias("name"), (F.col("start.line") + 1).alias("line"))
+    documents = v.filter("label = 'document'").select(F.col("id").alias("doc"), F.regexp_replace("uri", "^file://", "").alias("file"))
+    name = F.coalesce(F.get_json_object("tag", "$.text"), F.when(~F.col("tag").startswith("{"), F.col("tag")), F.col("text"))
+    ranges = v.filter("label = 'range'").select(F.col("id").alias("range"), name.alias("name"), (F.col("start.line") + 1).alias("line"))
     results = v.filter("label in ('definitionResult', 'referenceResult')").select(F.col("id").alias("result"), F.when(F.col("label") == "definitionResult", "definition").otherwise("reference").alias("role"))
     holds = e.filter("label = 'contains'").select(F.col("outV").alias("doc"), F.col("to").alias("range"))
-    items = e.filter("label = 'item'").select(F.col("outV").alias("result"), F.col("to").alias("range"))
-    return items.join(results, "result").join(ranges, "range").join(holds, "range", "left").join(documents, "doc", "left").select("file", "name", "role", "line").distinct()
+    items = e.filter("label = 'item'")
+    either = items.select(F.col("outV").alias("result"), F.col("to").alias("range")).unionByName(items.select(F.col("to").alias("result"), F.col("outV").alias("range")))
+    return either.join(results, "result").join(ranges, "range").join(holds, "range", "left").join(documents, "doc", "left").select("file", "name", "role", "line").distinct()
 
 
 SCIP = ("documents array<struct<relativePath:string,language:string,symbols:array<struct<symbol:string,kind:string,displayName:string,signature:string>>,"
         "occurrences:array<struct<range:array<bigint>,symbol:string,symbolRoles:bigint>>>>")
 
 
-def scip(spark: SparkSession, path: str) -> DataFrame:
-    """(file, language, symbol, name, role, line): occurrences; bit 1 of the roles marks definitions, others are references."""
-    d = spark.read.schema(SCIP).option("multiLine", True).json(path).select(F.explode("documents").alias("d"))
+def scip(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(file, language, symbol, name, role, line): occurrences; bit 1 of the roles marks definitions, others are references.
+
+    lines: whether each line is an index of its own, as of parts of a large repository; else each file is one.
+    """
+    d = spark.read.schema(SCIP).option("multiLine", not lines).json(path).select(F.explode("documents").alias("d"))
     o = d.select("d.relativePath", "d.language", F.explode("d.occurrences").alias("o"))
     names = d.select("d.relativePath", F.explode("d.symbols").alias("s")).select("relativePath", F.col("s.symbol").alias("symbol"), F.col("s.displayName").alias("name"))
     occ = o.select("relativePath", "language", F.col("o.symbol").alias("symbol"), F.when(F.col("o.symbolRoles").bitwiseAND(1) != 0, "definition").otherwise("reference").alias("role"), (F.col("o.range")[0] + 1).alias("line"))
