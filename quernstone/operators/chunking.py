@@ -79,11 +79,15 @@ def byte_pieces(df: DataFrame, key: str, text: str, max_bytes: int) -> DataFrame
     return map_rows(df.select(F.col(key).cast("long"), text), make, _BYTES).withColumnRenamed("key", key)
 
 
+# Seed, multiplier and addend of the sequence that gives the rolling hash its values.
+GEAR_SEED, GEAR_MULTIPLIER, GEAR_ADDEND = 0x12345678, 1103515245, 12345
+
+
 def gear_table() -> list[int]:
     """The 256 values of the rolling hash: a linear congruential sequence."""
-    out, seed = [], 0x12345678
+    out, seed = [], GEAR_SEED
     for _ in range(256):
-        seed = (seed * 1103515245 + 12345) & 0xFFFFFFFF
+        seed = (seed * GEAR_MULTIPLIER + GEAR_ADDEND) & 0xFFFFFFFF
         out.append(seed)
     return out
 
@@ -211,10 +215,10 @@ def chunk_of(points: DataFrame, chunks: DataFrame) -> DataFrame:
     c = chunks.select("file_id", F.col("end").alias("at"), "id", F.lit(None).cast("string").alias("point"))
     p = points.select("file_id", "at", F.lit(None).cast("long").alias("id"), F.col("point").cast("string").alias("point"))
     both = c.unionByName(p)
-    # chunks that end at the point do not end after it, so points come after them
-    after = Window.partitionBy("file_id").orderBy("at", F.col("id").isNull()).rowsBetween(1, Window.unboundedFollowing)
+    # from the end on, the last chunk met before a point is the first that ends after it: one pass over a file; chunks that end at the point come after it
+    after = Window.partitionBy("file_id").orderBy(F.desc("at"), F.desc(F.col("id").isNull()), F.desc("id")).rowsBetween(Window.unboundedPreceding, -1)
     last = Window.partitionBy("file_id")
-    found = both.withColumn("next", F.first("id", ignorenulls=True).over(after)).withColumn("end_id", F.max(F.when(F.col("id").isNotNull(), F.struct("at", "id"))).over(last)["id"])
+    found = both.withColumn("next", F.last("id", ignorenulls=True).over(after)).withColumn("end_id", F.max(F.when(F.col("id").isNotNull(), F.struct("at", "id"))).over(last)["id"])
     return found.filter("point is not null").select("file_id", "point", F.coalesce("next", "end_id").alias("id")).filter("id is not null")
 
 

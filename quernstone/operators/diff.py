@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quernstone.operators.keyed import spread_rank
+from quernstone.operators.keyed import spread_rank, top_n
 
 
 def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -54,6 +54,7 @@ def summary(events: DataFrame) -> DataFrame:
 
 def bounded(events: DataFrame, group: str, order: list[str], most: int, most_bytes: int) -> DataFrame:
     """The first events of each group until a number or a sum of bytes is reached; an event that would pass it is left out."""
+    events = top_n(events, [group], [F.col(c) for c in order], most)  # in parts of a group first: no task holds more of one than it may keep
     w = Window.partitionBy(group).orderBy(*order)
     total = F.sum(F.length(F.to_json(F.struct(*[c for c in events.columns])))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return events.withColumn("__n", F.row_number().over(w)).withColumn("__b", total).filter((F.col("__n") <= most) & (F.col("__b") <= most_bytes)).drop("__n", "__b")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quernstone.runtime import cut
+
 SALTS = 32
 
 
@@ -28,3 +30,17 @@ def spread_rank(df: DataFrame, keys: list[str], order: str, name: str = "rank")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return local.join(shifts, on).withColumn(name, F.col("__local") + F.col("__shift")).select(*df.columns, name)
+
+
+def ordered_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """df with a rank from 1 within keys, by an order of its own that tells all rows of a key apart.
+
+    Rows are laid out by ranges of keys and order, so that a key with many rows lies in several partitions; each is ranked on its own and shifted by the
+    sizes of those before it.
+    """
+    laid = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("__p", F.spark_partition_id()))
+    local = laid.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order)))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = laid.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    on = [*keys, "__p"]
+    return local.join(sizes.select(*on, "__before"), on).withColumn(name, (F.col("__n") + F.col("__before")).cast("int")).select(*df.columns, name)

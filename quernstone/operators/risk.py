@@ -25,17 +25,28 @@ class Rule:
     confidence: float = 0.5
 
 
-# What counts as input, as danger and as cleaning.
+# What counts as input, as danger and as cleaning: eleven sources, seven sinks, two sanitizers.
 RULES = [
-    Rule("request", "source", r"\b(?:req|request)\.(?:body|headers|cookies|query|params|args|form)\b", "input", confidence=0.6),
-    Rule("environment", "source", r"\bprocess\.env\b|\bos\.environ\b|\bos\.Getenv\b", "config", confidence=0.55),
-    Rule("arguments", "source", r"\bprocess\.argv\b|\bsys\.argv\b|\bos\.Args\b", "input", confidence=0.55),
-    Rule("stdin", "source", r"\binput\s*\(|\breadline\s*\(", "input", confidence=0.5),
-    Rule("eval", "sink", r"\beval\s*\(|\bnew\s+Function\s*\(", "code-exec", "critical", 0.8),
-    Rule("command", "sink", r"\b(?:exec|execSync|spawn|system|popen)\s*\(|\bsubprocess\.\w+\s*\(", "command", "high", 0.7),
-    Rule("query", "sink", r"\.(?:query|execute)\s*\(", "sql", "high", 0.6),
-    Rule("markup", "sink", r"\binnerHTML\s*=|\bdangerouslySetInnerHTML\b|\bdocument\.write\s*\(", "xss", "high", 0.65),
-    Rule("escape", "sanitizer", r"\b(?:escape|sanitize|encodeURIComponent|quote)\w*\s*\(", confidence=0.5),
+    Rule("request-body", "source", r"\b(?:req|request)\.(?:body|json|form|files)\b", "input", confidence=0.6),
+    Rule("request-query", "source", r"\b(?:req|request)\.(?:query|params|args|GET|POST)\b", "input", confidence=0.6),
+    Rule("request-headers", "source", r"\b(?:req|request)\.(?:headers|cookies)\b", "input", confidence=0.55),
+    Rule("environment", "source", r"\bprocess\.env\b|\bos\.environ\b|\bos\.[gG]etenv\b|\bstd::env::var\b", "config", confidence=0.55),
+    Rule("arguments", "source", r"\bprocess\.argv\b|\bsys\.argv\b|\bos\.Args\b|\benv::args\b|\bargv\s*\[", "input", confidence=0.55),
+    Rule("stdin", "source", r"\binput\s*\(|\breadline\s*\(|\bstdin\b|\bscanf\s*\(|\bgets\s*\(", "input", confidence=0.5),
+    Rule("file-read", "source", r"\breadFile(?:Sync)?\s*\(|\bopen\s*\([^)]*\)\s*\.read|\bioutil\.ReadFile\b|\bfs::read\w*\s*\(|\bfread\s*\(", "file", confidence=0.45),
+    Rule("network-read", "source", r"\bfetch\s*\(|\brequests\.(?:get|post)\s*\(|\bhttp\.Get\s*\(|\baxios\b|\brecv\s*\(", "network", confidence=0.45),
+    Rule("location", "source", r"\b(?:window|document)\.location\b|\blocation\.(?:hash|search|href)\b", "input", confidence=0.55),
+    Rule("storage", "source", r"\b(?:local|session)Storage\.getItem\s*\(", "storage", confidence=0.45),
+    Rule("message", "source", r"\bevent\.data\b|\bonmessage\b", "input", confidence=0.45),
+    Rule("eval", "sink", r"\beval\s*\(|\bnew\s+Function\s*\(|\bexec\s*\(\s*compile\b", "code-exec", "critical", 0.8),
+    Rule("command", "sink", r"\b(?:exec|execSync|spawn|spawnSync|system|popen)\s*\(|\bsubprocess\.\w+\s*\(|\bexec\.Command\s*\(|\bCommand::new\s*\(", "command", "high", 0.7),
+    Rule("query", "sink", r"\.(?:query|execute|executemany|raw)\s*\(", "sql", "high", 0.6),
+    Rule("markup", "sink", r"\binnerHTML\s*=|\bouterHTML\s*=|\bdangerouslySetInnerHTML\b|\bdocument\.write\s*\(", "xss", "high", 0.65),
+    Rule("file-write", "sink", r"\bwriteFile(?:Sync)?\s*\(|\bunlink(?:Sync)?\s*\(|\bos\.remove\s*\(|\bfs::write\s*\(", "file", "medium", 0.5),
+    Rule("deserialize", "sink", r"\bpickle\.loads?\s*\(|\byaml\.load\s*\(|\bunserialize\s*\(", "deserialization", "high", 0.7),
+    Rule("redirect", "sink", r"\.redirect\s*\(|\blocation\.(?:href|assign|replace)\s*(?:=|\()", "redirect", "medium", 0.5),
+    Rule("escape", "sanitizer", r"\b(?:escape|encodeURIComponent|quote|htmlspecialchars)\w*\s*\(", confidence=0.5),
+    Rule("sanitize", "sanitizer", r"\b(?:sanitize|DOMPurify|validate|clean)\w*[.(]", confidence=0.5),
 ]
 SEVERITY = {"low": 1, "medium": 2, "high": 3, "critical": 4}
 _ASSIGN = re.compile(r"(?:(?:const|let|var)\s+)?([A-Za-z_$][\w$]*)\s*:?=(?![=>])\s*(.+)")
@@ -116,11 +127,11 @@ def hop_confidence(source: Column, sink: Column, hops: Column, barriers: Column)
     return F.greatest(F.lit(0.05), F.least(F.lit(1.0), F.sqrt(source * sink) * F.pow(F.lit(0.85), hops) * F.pow(F.lit(0.9), barriers)))
 
 
-def interprocedural(found: DataFrame, calls: DataFrame, depth: int = 4, paths: int = 3) -> DataFrame:
+def interprocedural(found: DataFrame, calls: DataFrame, depth: int = 4, paths: int = 3, most: int | None = None) -> DataFrame:
     """(source_id, sink_id, source, sink, hops, confidence): flows from chunks with a source along calls to others with a sink.
 
     found: signals of chunks; calls: src, dst. Each pair of chunks counts at its least number of hops. The frontier is cut at each level, and each pair keeps
-    its `paths` most confident flows.
+    its `paths` most confident flows; most, if given, bounds all flows, the most confident first.
     """
     sources = found.filter("kind = 'source'").select(F.col("id").alias("source_id"), F.col("rule").alias("source"), F.col("confidence").alias("sc")).distinct()
     sinks = found.filter("kind = 'sink'").select(F.col("id").alias("sink_id"), F.col("rule").alias("sink"), F.col("confidence").alias("kc")).distinct()
@@ -137,7 +148,8 @@ def interprocedural(found: DataFrame, calls: DataFrame, depth: int = 4, paths: i
         seen = seen.unionByName(frontier)
     reached = seen.filter("hops > 0").withColumnRenamed("node", "sink_id")
     flows = reached.join(sinks, "sink_id").join(sources, "source_id").select("source_id", "sink_id", "source", "sink", "hops", F.round(hop_confidence(F.col("sc"), F.col("kc"), F.col("hops"), F.col("barriers")), 6).alias("confidence"))
-    return top_n(flows, ["source_id", "sink_id"], [F.desc("confidence"), F.asc("source"), F.asc("sink")], paths)
+    kept = top_n(flows, ["source_id", "sink_id"], [F.desc("confidence"), F.asc("source"), F.asc("sink")], paths)
+    return kept if most is None else kept.orderBy(F.desc("confidence"), "source_id", "sink_id", "source", "sink").limit(most)
 
 
 def ranked(flows: DataFrame, seeds: DataFrame, severity: Column, most: int) -> DataFrame:
@@ -149,7 +161,7 @@ def ranked(flows: DataFrame, seeds: DataFrame, severity: Column, most: int) -> D
 
 
 def sarif(flows: DataFrame) -> DataFrame:
-    """(result): a SARIF result of each local flow, as JSON."""
+    """(result): a SARIF result of each flow (id, line, source, sink), as JSON."""
     return flows.select(F.to_json(F.struct(
         F.col("sink").alias("ruleId"), F.lit("warning").alias("level"), F.struct(F.concat(F.col("source"), F.lit(" -> "), F.col("sink")).alias("text")).alias("message"),
         F.array(F.struct(F.struct(F.struct(F.col("id").cast("string").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))).alias("locations"))).alias("result"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quernstone.functions import vectors as V
-from quernstone.operators import chunking as C, evaluation as E, keyed, relations, risk as K, tables
+from quernstone.operators import chunking as C, codegraph, evaluation as E, keyed, relations, risk as K, tables
 from quernstone.operators.relations import RELATED_SQL
 from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL, LOCATED_SQL, NAMED_SQL, POSTINGS_SQL
 from quernstone.queries import query
-from quernstone.queries.graphs import call_refs
+import quernstone.queries.graphs  # noqa: F401 the SQL of its queries is part of that of these
 from quernstone.runtime import table
 
 WORDS = "graph lease merge index token vector chunk query cache line node edge frame batch signal window record plan rule gate scope stage look up lookup work space workspace".split()
@@ -25,24 +23,16 @@ def t04_dictionary_segmentation(spark, sf_dir):
     return C.segmented(v, WORDS)
 
 
-_SUFFIXES = ("md", "py", "go", "rs")
 _N = "regexp_replace(content, '\\r\\n?', chr(10), 'g')"
+_HEADED = " ".join(f"WHEN '{s}' THEN regexp_matches(x, '{p.replace(chr(39), chr(39) * 2)}')" for s, p in C.HEADINGS.items())
 
 
-@query(sql=f"""WITH f AS (SELECT file_id, suffix, string_split({_N}, chr(10)) AS l FROM {FILES_SQL} WHERE suffix IN {_SUFFIXES} AND content IS NOT NULL), x AS (SELECT file_id, suffix, len(l) AS lines, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM f),
-h AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n) AS section, lead(n) OVER (PARTITION BY file_id ORDER BY n) AS nxt FROM x WHERE CASE suffix {" ".join(f"WHEN '{s}' THEN regexp_matches(x, '{C.HEADINGS[s]}')" for s in _SUFFIXES)} END)
+@query(sql=f"""WITH f AS (SELECT file_id, suffix, string_split({_N}, chr(10)) AS l FROM {FILES_SQL} WHERE content IS NOT NULL), x AS (SELECT file_id, suffix, len(l) AS lines, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n) AS section, lead(n) OVER (PARTITION BY file_id ORDER BY n) AS nxt FROM x WHERE CASE suffix {_HEADED} ELSE false END)
 SELECT file_id, CAST(section AS INTEGER) AS section, trim(x) AS title, n AS start_line, coalesce(nxt - 1, lines) AS end_line FROM h
 UNION ALL SELECT file_id, 1, 'root', 1, len(l) FROM f WHERE file_id NOT IN (SELECT file_id FROM h)""")
 def t15_sections(spark, sf_dir):
-    """Chunks at heading and declaration lines."""
-    f = tables.files(spark, sf_dir, "suffix", "content").filter(F.col("suffix").isin(*_SUFFIXES) & F.col("content").isNotNull())
-    s = C.sections(f, "file_id", "suffix", "content")
-    return s.select("file_id", "section", "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
-
-
-@query
-def t15_sections_whole(spark, sf_dir):
-    """Chunks at heading and declaration lines of every file, one root chunk where its suffix has no such lines; t15_sections has only the suffixes of its SQL."""
+    """Chunks at heading and declaration lines of every file, one root chunk where its suffix has no such lines."""
     f = tables.files(spark, sf_dir, "suffix", "content").filter(F.col("content").isNotNull())
     s = C.sections(f, "file_id", "suffix", "content")
     return s.select("file_id", "section", "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
@@ -139,24 +129,25 @@ def t34_repo_fingerprint(spark, sf_dir):
     return f.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum(h).alias("fingerprint"))
 
 
-def stub_vector(text: str, dims: int) -> list[float]:
+# Multiplier and addend of the sequence whose members, scaled to [-1, 1], are the vector.
+STUB = (1664525, 1013904223)
+
+
+def stub_vector(text, dims: int):
     """A vector of unit length that depends on the text alone: a digest seeds a linear congruential sequence."""
-    seed = int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:4], "big")
-    out = []
-    for _ in range(dims):
-        seed = (seed * 1664525 + 1013904223) & 0xFFFFFFFF
-        out.append(seed / 0xFFFFFFFF * 2 - 1)
-    length = sum(x * x for x in out) ** 0.5
-    return [x / length for x in out] if length else out
+    seed = F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
+    grow = F.aggregate(F.sequence(F.lit(1), F.lit(dims)), F.array(seed), lambda s, _: F.concat(s, F.array((F.element_at(s, -1) * STUB[0] + STUB[1]) % (1 << 32))))
+    raw = F.transform(F.slice(grow, 2, dims), lambda x: x / float((1 << 32) - 1) * 2 - 1)
+    return V.unit(raw)
 
 
-@query
+@query(sql="""WITH s AS (SELECT doc_id, list_reduce(list_prepend([CAST('0x' || substr(sha256(coalesce(text, '')), 1, 8) AS BIGINT)], list_transform(range(64), lambda i: [i])), lambda a, b: list_append(a, (a[-1] * 1664525 + 1013904223) % 4294967296)) AS s FROM documents),
+v AS (SELECT doc_id, list_transform(s[2:], lambda x: x / 4294967295.0::DOUBLE * 2 - 1) AS v FROM s), n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
+SELECT doc_id, list_transform(v, lambda x: round(x / n, 5)) AS vector FROM n""")
 def t35_stub_embeddings(spark, sf_dir):
-    """Vectors that stand in for a model's."""
-    def embed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([stub_vector(t or "", 64) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "vector"])
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(embed, "doc_id bigint, vector array<double>")
+    """Vectors that stand in for a model's, made in the engine."""
+    v = table(spark, sf_dir, "documents").select("doc_id", stub_vector(F.coalesce("text", F.lit("")), 64).alias("v"))
+    return v.select("doc_id", F.transform("v", lambda x: F.round(x, 5)).alias("vector"))
 
 
 @query(sql=f"SELECT repo, regexp_replace(regexp_replace(trim(file), '[\\\\]+', '/', 'g'), '^(\\.?/)+', '') AS path, CAST(sum(churn) AS DOUBLE) AS churn, count(DISTINCT last_author) AS authors, max(last_author) AS last_author FROM {CHUNKS_SQL} WHERE NOT isnan(coalesce(churn, 0)) GROUP BY 1, 2")
@@ -174,8 +165,8 @@ RISK_RULES = [
     K.Rule("clean", "sanitizer", r"\b(?:normalize|validate|clip)\w*\(", confidence=0.5)]
 
 
-def _signals_sql():
-    parts = " UNION ALL ".join(f"SELECT id, '{r.id}' AS rule, '{r.kind}' AS kind, '{r.category}' AS category, '{r.severity}' AS severity, {r.confidence} AS confidence FROM l WHERE regexp_matches(text, '{r.pattern}')" for r in RISK_RULES)
+def _signals_sql(rules=None):
+    parts = " UNION ALL ".join(f"SELECT id, '{r.id}' AS rule, '{r.kind}' AS kind, '{r.category}' AS category, '{r.severity}' AS severity, {r.confidence} AS confidence FROM l WHERE regexp_matches(text, '{r.pattern}')" for r in rules or RISK_RULES)
     return f"l AS (SELECT id, text FROM {LOCATED_SQL} WHERE text IS NOT NULL), sg AS ({parts})"
 
 
@@ -200,20 +191,54 @@ def g11_local_taint(spark, sf_dir):
     return K.local_flows(risk_chunks(spark, sf_dir), RISK_RULES).withColumn("confidence", F.round("confidence", 6))
 
 
-@query
+FLOW_RULES = [
+    K.Rule("item", "source", r"\bitem\.\w+", "input", confidence=0.5), K.Rule("caught", "source", r"\bcatch\b|\breport\(", "error", confidence=0.4), K.Rule("thrown", "sink", r"\bthrow new\b|\braise\b", "error", "low", 0.6),
+    K.Rule("push", "sink", r"\.(?:push|append)\(", "memory", "medium", 0.6), K.Rule("ready", "sanitizer", r"\.ready\b", confidence=0.5)]
+
+
+def _hops_sql():
+    """Levels of a walk along calls, each pair of source and node once, with the fewest sanitizers on the way."""
+    steps = []
+    for d in range(1, 5):
+        seen = " UNION ALL ".join(f"SELECT source_id, node FROM h{i}" for i in range(d))
+        steps.append(f"h{d} AS (SELECT p.source_id, c.dst AS node, min(p.b + CASE WHEN c.dst IN (SELECT id FROM sz) THEN 1 ELSE 0 END) AS b FROM h{d - 1} p JOIN cg c ON c.src = p.node WHERE (p.source_id, c.dst) NOT IN ({seen}) GROUP BY 1, 2)")
+    return ", ".join(steps)
+
+
+def _g13_sql():
+    from quernstone.queries import QUERIES, SQL  # noqa: F401
+
+    return f"""WITH cg AS ({SQL['g01_call_graph']}), {_signals_sql(FLOW_RULES)}, sz AS (SELECT DISTINCT id FROM sg WHERE kind = 'sanitizer'), h0 AS (SELECT DISTINCT id AS source_id, id AS node, 0 AS b FROM sg WHERE kind = 'source'), {_hops_sql()},
+rc AS ({" UNION ALL ".join(f"SELECT *, {d} AS hops FROM h{d}" for d in range(1, 5))}),
+fw AS (SELECT rc.source_id, rc.node AS sink_id, so.rule AS source, si.rule AS sink, rc.hops, round(greatest(0.05, least(1, sqrt(so.confidence * si.confidence) * pow(0.85, rc.hops) * pow(0.9, rc.b))), 6) AS confidence
+ FROM rc JOIN (SELECT DISTINCT id, rule, confidence FROM sg WHERE kind = 'source') so ON so.id = rc.source_id JOIN (SELECT DISTINCT id, rule, confidence FROM sg WHERE kind = 'sink') si ON si.id = rc.node)
+SELECT source_id, sink_id, source, sink, hops, CAST(confidence AS DOUBLE) AS confidence FROM fw QUALIFY row_number() OVER (PARTITION BY source_id, sink_id ORDER BY confidence DESC, source, sink) <= 3"""
+
+
+@query(sql=_g13_sql())
 def g13_interprocedural_risk(spark, sf_dir):
-    """Flows along calls between functions whose short names agree, ranked."""
-    from quernstone.operators import symbols as S
+    """Flows along resolved calls, ranked."""
+    calls = codegraph.edges(spark, sf_dir).filter("graph = 'call' and dst like 'c%'")
+    number = lambda c: F.expr(f"substring({c}, 2)").cast("long").alias(c)
+    return K.interprocedural(K.signals(risk_chunks(spark, sf_dir), FLOW_RULES), calls.select(number("src"), number("dst")))
 
-    refs, symbols = call_refs(spark, sf_dir)
-    done = S.resolve_names(refs, symbols).filter("symbol_id is not null")
-    calls = done.select(F.split("ref_id", ":")[0].cast("long").alias("src"), F.col("symbol_id").alias("dst")).filter("src != dst")
-    return K.interprocedural(K.signals(risk_chunks(spark, sf_dir), RISK_RULES), calls)
 
+@query(sql=f"""SELECT source_id, source, sink_id, sink FROM ({_g13_sql()}) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN sink_id % 2 = 0 THEN 1 ELSE 0 END DESC, CASE sink WHEN 'push' THEN 2 ELSE 1 END DESC, confidence DESC, hops, sink_id, sink, source) <= 2""")
+def w18_ranked_flows(spark, sf_dir):
+    """The two first flows of each source: those that touch a seed, then by severity, confidence, hops and ids."""
+    flows = g13_interprocedural_risk(spark, sf_dir)
+    seeds = flows.filter("sink_id % 2 = 0").select(F.col("sink_id").alias("id"))
+    return K.ranked(flows, seeds, F.when(F.col("sink") == "push", "medium").otherwise("low"), 2).select("source_id", "source", "sink_id", "sink")
 
-@query
+
+@query(sql=f"""WITH {_signals_sql()}, so AS (SELECT id, rule FROM sg WHERE kind = 'source'), si AS (SELECT id, rule FROM sg WHERE kind = 'sink'), ln AS (SELECT id, coalesce(startLine, 1) AS line FROM {LOCATED_SQL})
+SELECT to_json({{'ruleId': si.rule, 'level': 'warning', 'message': {{'text': so.rule || ' -> ' || si.rule}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': so.id::VARCHAR}}, 'region': {{'startLine': ln.line}}}}}}]}})::VARCHAR AS result FROM so JOIN si USING (id) JOIN ln USING (id)""")
 def s19_sarif(spark, sf_dir):
-    return K.sarif(K.local_flows(risk_chunks(spark, sf_dir), RISK_RULES))
+    """A SARIF result of each source and sink of a chunk."""
+    found = K.signals(risk_chunks(spark, sf_dir), RISK_RULES)
+    of = lambda kind: found.filter(F.col("kind") == kind).select("id", F.col("rule").alias(kind))
+    lines = tables.located(spark, sf_dir).select("id", F.coalesce("startLine", F.lit(1)).alias("line"))
+    return K.sarif(of("source").join(of("sink"), "id").join(lines, "id"))
 
 
 @query(sql="SELECT doc_id, CAST(floor((doc_id - 1) / 4) AS BIGINT) AS slot FROM documents WHERE (doc_id - 1) % 4 = 0")
@@ -227,13 +252,10 @@ _HITS = "h AS (SELECT l.rater AS query_id, l.doc_id AS item, row_number() OVER (
 
 
 def label_hits(spark, sf_dir):
-    from pyspark.sql import Window
-
     labels = table(spark, sf_dir, "labels").filter("rater is not null and doc_id is not null")
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    pairs = labels.select("rater", "doc_id").distinct().join(d, "doc_id")
-    w = Window.partitionBy("rater").orderBy(F.desc("n_chars"), F.asc("doc_id"))
-    hits = pairs.select(F.col("rater").alias("query_id"), F.col("doc_id").alias("item"), F.row_number().over(w).alias("rank"), F.col("n_chars").alias("score"))
+    pairs = labels.select("rater", "doc_id").distinct().join(d, "doc_id").select(F.col("rater").alias("query_id"), F.col("doc_id").alias("item"), F.col("n_chars").alias("score"))
+    hits = keyed.ordered_rank(pairs, ["query_id"], [F.desc("score"), F.asc("item")])
     return hits, labels.filter("quality >= 4").select(F.col("rater").alias("query_id"), F.col("doc_id").alias("item")).distinct()
 
 
@@ -252,13 +274,11 @@ s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ra) AS da, row
 SELECT q.query_id, round(count(s.item) / 20, 6) AS overlap, round(avg(abs(sa - sb)), 6) AS mean_delta, round(CASE WHEN count(s.item) > 1 THEN 1 - 6 * sum((da - db) ** 2) / (count(s.item) * (count(s.item) ** 2 - 1)) END, 6) AS spearman, coalesce(bool_or(ra = 1 AND rb = 1), false) AS same_first
 FROM (SELECT DISTINCT query_id FROM j) q LEFT JOIN s ON q.query_id = s.query_id GROUP BY q.query_id""")
 def a15_model_comparison(spark, sf_dir):
-    from pyspark.sql import Window
-
     hits, _ = label_hits(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").filter("rater is not null and doc_id is not null").groupBy("rater", "doc_id").agg(F.max(F.coalesce("quality", F.lit(0))).alias("score"))
     d = table(spark, sf_dir, "documents").select("doc_id")
-    w = Window.partitionBy("rater").orderBy(F.desc("score"), F.asc("doc_id"))
-    other = labels.join(d, "doc_id", "left_semi").select(F.col("rater").alias("query_id"), F.col("doc_id").alias("item"), "score", F.row_number().over(w).alias("rank"))
+    scored = labels.join(d, "doc_id", "left_semi").select(F.col("rater").alias("query_id"), F.col("doc_id").alias("item"), "score")
+    other = keyed.ordered_rank(scored, ["query_id"], [F.desc("score"), F.asc("item")])
     c = E.compared(hits, other, 20)
     return c.select("query_id", *[F.round(x, 6).alias(x) for x in ("overlap", "mean_delta", "spearman")], "same_first")
 

@@ -6,7 +6,9 @@ import os
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from quernstone.arrow import map_rows
 from quernstone.functions import stem
 from quernstone.operators import tables
 from quernstone.operators.snapshots import Snapshots
@@ -76,17 +78,38 @@ def g20_as_of(spark, sf_dir):
     return snaps.read("tag:release").groupBy("repo").agg(F.count(F.lit(1)).alias("files"))
 
 
-def generated_queries(n: int, seed: int, words: list[str]) -> list[tuple[str, str]]:
-    """(intent, query) of n queries, by weights of intents, from a seed."""
-    rnd = random.Random(seed)
-    forms = {"term": lambda: rnd.choice(words), "phrase": lambda: f'"{rnd.choice(words)} {rnd.choice(words)}"', "both": lambda: f"{rnd.choice(words)} and {rnd.choice(words)}",
-             "either": lambda: f"({rnd.choice(words)} or {rnd.choice(words)}) -{rnd.choice(words)}", "path": lambda: f"src/{rnd.choice(words)}/{rnd.choice(words)}.js"}
-    kinds = rnd.choices(list(forms), weights=[5, 2, 3, 2, 1], k=n)
-    return [(k, forms[k]()) for k in kinds]
+# intents of generated queries and how often each comes, in parts of their sum
+FORMS = {"term": 5, "phrase": 2, "both": 3, "either": 2, "path": 1}
 
 
-@query
+def generated_queries(spark, n: int, seed: int, words: list[str]):
+    """(n, intent, query) of n queries, by weights of intents, each from a digest of the seed and its number: any part of them can be made anywhere."""
+    pick = lambda tag, k: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{tag}:"), F.col("n").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")
+    known = F.array(*[F.lit(w) for w in words])
+    word = lambda tag: F.element_at(known, pick(tag, len(words)) + 1)
+    bound, intent = 0, F.lit(None).cast("string")
+    for name, weight in FORMS.items():
+        bound += weight
+        intent = F.coalesce(intent, F.when(F.col("k") < bound, name))
+    a, b, c = word("a"), word("b"), word("c")
+    text = (
+        F.when(F.col("intent") == "term", a).when(F.col("intent") == "phrase", F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"'))).when(F.col("intent") == "both", F.concat(a, F.lit(" and "), b))
+        .when(F.col("intent") == "either", F.concat(F.lit("("), a, F.lit(" or "), b, F.lit(") -"), c)).otherwise(F.concat(F.lit("src/"), a, F.lit("/"), b, F.lit(".js"))))
+    return spark.range(n).select(F.col("id").cast("int").alias("n")).withColumn("k", pick("intent", sum(FORMS.values()))).withColumn("intent", intent).select("n", "intent", text.alias("query"))
+
+
+_MATCH = StructType([StructField("n", IntegerType()), StructField("intent", StringType()), StructField("query", StringType()), StructField("match", StringType())])
+_PICK = "CAST('0x' || substr(md5('7:{0}:' || n), 1, 8) AS BIGINT) % {1}"
+_WORD = "(['graph', 'lease', 'merge', 'token', 'index'])[CAST(" + _PICK + " AS INTEGER) + 1]"
+
+
+@query(sql=f"""WITH w AS (SELECT CAST(n AS INTEGER) AS n, {_PICK.format('intent', 13)} AS k, {_WORD.format('a', 5)} AS a, {_WORD.format('b', 5)} AS b, {_WORD.format('c', 5)} AS c FROM range(200) t(n)), i AS (SELECT *, CASE WHEN k < 5 THEN 'term' WHEN k < 7 THEN 'phrase' WHEN k < 10 THEN 'both' WHEN k < 12 THEN 'either' ELSE 'path' END AS intent FROM w)
+SELECT n, intent, CASE intent WHEN 'term' THEN a WHEN 'phrase' THEN '"' || a || ' ' || b || '"' WHEN 'both' THEN a || ' and ' || b WHEN 'either' THEN '(' || a || ' or ' || b || ') -' || c ELSE 'src/' || a || '/' || b || '.js' END AS query,
+CASE intent WHEN 'term' THEN '"' || a || '"' WHEN 'phrase' THEN '"' || a || ' ' || b || '"' WHEN 'both' THEN '("' || a || '") AND ("' || b || '")' WHEN 'either' THEN '("' || a || '") OR ("' || b || '")' ELSE '"src/' || a || '/' || b || '.js"' END AS match FROM i""")
 def g26_generated_queries(spark, sf_dir):
     """Generated queries with their full-text form."""
-    rows = [(i, k, q, Q.match_text(Q.plan(q).tree)) for i, (k, q) in enumerate(generated_queries(200, 7, ["graph", "lease", "merge", "token", "index"]))]
-    return spark.createDataFrame(rows, "n int, intent string, query string, match string")
+    def make():
+        def kernel(n, intent, text):
+            yield n, intent, text, Q.match_text(Q.plan(text).tree)
+        return kernel
+    return map_rows(generated_queries(spark, 200, 7, ["graph", "lease", "merge", "token", "index"]), make, _MATCH)

@@ -77,18 +77,21 @@ def a04_index_statistics(spark, sf_dir):
     return s.select("mode", "docs", F.round("a", 6).alias("avg_dl"), F.when(long, R.tuned(801)[0]).otherwise(R.tuned(0)[0]).alias("k1"), F.when(long, R.tuned(801)[1]).otherwise(R.tuned(0)[1]).alias("b"))
 
 
-@query(sql=rf"""SELECT mode, gram, count(DISTINCT id) AS chunks FROM (SELECT id, mode, trim(regexp_replace(unnest(ngrams), '[\x01_\s]+', ' ', 'g')) AS gram FROM {CHUNKS_SQL}) WHERE gram IS NOT NULL AND gram <> '' GROUP BY mode, gram HAVING count(DISTINCT id) <= 200""")
+@query(sql=rf"""SELECT mode, gram, count(DISTINCT id) AS chunks FROM (SELECT id, mode, trim(regexp_replace(unnest(ngrams), '[\x01_\s]+', ' ', 'g')) AS gram FROM {CHUNKS_SQL}) WHERE gram IS NOT NULL AND gram <> '' GROUP BY mode, gram""")
 def a06_phrase_postings(spark, sf_dir):
-    """Chunks of each phrase, without phrases in more than 200 of them."""
-    return phrase_postings(spark, sf_dir, max_df=200)
-
-
-@query
-def a06_phrase_postings_whole(spark, sf_dir):
     """Chunks of each phrase, of all phrases."""
     return phrase_postings(spark, sf_dir)
 
 
+@query(sql=rf"""SELECT mode, gram, count(DISTINCT id) AS chunks FROM (SELECT id, mode, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: substr(w, i, 3)))) AS gram FROM (SELECT id, mode, unnest(list_transform(t, lambda x: '^' || x || '$')) AS w FROM (SELECT id, mode, list_distinct({lower_split_sql("coalesce(name, '')")}) AS t FROM {CHUNKS_SQL}))) GROUP BY mode, gram""")
+def a06_chargram_postings(spark, sf_dir):
+    """Chunks of each three-character piece of the tokens of their names, with marks at the ends."""
+    c = tables.chunks(spark, sf_dir, "mode", "name").select("id", "mode", F.explode(F.array_distinct(X.split_identifier(F.coalesce("name", F.lit(""))))).alias("t"))
+    w = F.concat(F.lit("^"), F.col("t"), F.lit("$"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: F.substring(w, i, F.lit(3))))
+    return c.select("id", "mode", F.explode(grams).alias("gram")).distinct().groupBy("mode", "gram").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def phrase_postings(spark, sf_dir, max_df: int | None = None):
     """(mode, gram, chunks) of each phrase; with max_df, without phrases in more chunks than that."""
     c = tables.chunks(spark, sf_dir, "mode", "ngrams").select("id", "mode", F.explode("ngrams").alias("g"))

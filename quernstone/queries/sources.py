@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
 from quernstone.operators import tables
-from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL
+from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL, NAMED_SQL
 from quernstone.queries import query
 from quernstone.operators import codegraph
 from quernstone.queries.graphs import _EDGES_SQL
@@ -40,16 +41,9 @@ def s02_ignored(spark, sf_dir):
     return tables.files(spark, sf_dir, "path").filter(S.ignored(F.col("path"), ["generated/", "# comment", "**/graph/*.py", "*.md", "!/docs/important/"])).select("file_id")
 
 
-@query(sql=f"SELECT file_id, length(content) AS chars FROM {FILES_SQL} WHERE content IS NOT NULL AND octet_length(encode(content)) <= 4000")
+@query(sql=f"SELECT file_id, length(content) AS chars FROM {FILES_SQL} WHERE content IS NOT NULL")
 def s06_decoded(spark, sf_dir):
-    """Contents as bytes, and decoded again, of files within a number of bytes."""
-    f = tables.files(spark, sf_dir, "content").filter("content is not null").withColumn("b", F.encode("content", "UTF-8"))
-    return f.filter(F.octet_length("b") <= 4000).select("file_id", F.length(S.decoded(F.col("b"), 4000)).cast("long").alias("chars"))
-
-
-@query
-def s06_decoded_whole(spark, sf_dir):
-    """Contents of every file as bytes, and decoded again within the cap of production; s06_decoded has only those its SQL has."""
+    """Contents of every file as bytes, and decoded again within the cap of production, which none of them reaches."""
     f = tables.files(spark, sf_dir, "content").filter("content is not null").withColumn("b", F.encode("content", "UTF-8"))
     return f.select("file_id", F.length(S.decoded(F.col("b"))).cast("long").alias("chars"))
 
@@ -57,7 +51,7 @@ def s06_decoded_whole(spark, sf_dir):
 @query(sql=f"SELECT mode, count(*) AS chunks FROM {CHUNKS_SQL} WHERE mode IS NOT NULL GROUP BY mode")
 def s10_mode_partitions(spark, sf_dir):
     """Chunks written by mode to the shared folder, and read again."""
-    target = os.path.join(shared_dir(spark), "chunks_by_mode")
+    target = os.path.join(shared_dir(spark), f"chunks-by-mode-{uuid.uuid4().hex[:12]}")  # of this run alone
     S.write_modes(tables.chunks(spark, sf_dir, "mode", "repo", "name").filter("mode is not null"), target)
     return spark.read.parquet(target).groupBy("mode").agg(F.count(F.lit(1)).alias("chunks"))
 
@@ -74,20 +68,32 @@ def s19_dot(spark, sf_dir):
     return S.dot_lines(codegraph.edges(spark, sf_dir).select("src", "dst").distinct())
 
 
-@query(sql=f"WITH c AS (SELECT mode, row_number() OVER (PARTITION BY mode ORDER BY id) - 1 AS k, id FROM {CHUNKS_SQL} WHERE mode IN ('code', 'prose')) SELECT CASE WHEN mode = 'code' THEN k ELSE k + (SELECT count(*) FROM c WHERE mode = 'code') END AS doc_id, id FROM c")
+@query(sql=f"SELECT row_number() OVER (ORDER BY CASE mode WHEN 'code' THEN 0 WHEN 'prose' THEN 1 ELSE 2 END, mode NULLS LAST, id) - 1 AS doc_id, id FROM {CHUNKS_SQL}")
 def s20_piece_assembly(spark, sf_dir):
-    """Two pieces with ids of their own as one index."""
-    return pieces(tables.chunks(spark, sf_dir, "mode"), ["code", "prose"])
-
-
-@query
-def s20_piece_assembly_whole(spark, sf_dir):
     """A piece of every mode with ids of its own as one index, code and prose first, chunks without a mode last."""
     c = tables.chunks(spark, sf_dir, "mode")
-    modes = [r.mode for r in c.select("mode").distinct().collect()]
+    modes = [r.mode for r in c.select("mode").distinct().collect()]  # a handful of modes
     return pieces(c, sorted(modes, key=lambda m: (m is None, m not in ("code", "prose"), m or "")))
 
 
+@query(sql=f"""WITH p AS (SELECT mode, token, doc_id, tf FROM {NAMED_SQL}), s AS (SELECT mode, token, doc_id, tf, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS piece FROM p)
+SELECT mode, token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM s GROUP BY mode, token""")
+def s20_merged_postings(spark, sf_dir):
+    """Postings of two pieces of an index, each with vocabulary and ids of its own, merged by token."""
+    p = tables.named_postings(spark, sf_dir)
+    return S.merged_postings([p.filter("doc_id % 3 = 0"), p.filter("doc_id % 3 != 0")]).groupBy("mode", "token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(sql=f"SELECT mode, count(*) AS chunks, 2 AS files FROM {CHUNKS_SQL} WHERE mode IS NOT NULL GROUP BY mode")
+def s21_compacted(spark, sf_dir):
+    """Many small pieces of a table rewritten as fewer, and what is left."""
+    source, target = (os.path.join(shared_dir(spark), f"{n}-{uuid.uuid4().hex[:12]}") for n in ("pieces", "compact"))
+    tables.chunks(spark, sf_dir, "mode").filter("mode is not null").repartition(16).write.parquet(source)
+    S.compact(spark, source, target, 2)
+    c = spark.read.parquet(target).withColumn("file", F.input_file_name())
+    return c.groupBy("mode").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("file").cast("int").alias("files"))
+
+
 def pieces(c, modes):
     """(doc_id, id): one piece of each mode, in the order of the list."""
 

@@ -124,6 +124,14 @@ def assemble(pieces: list[DataFrame], key: str = "doc_id") -> DataFrame:
     return out
 
 
+def merged_postings(pieces: list[DataFrame]) -> DataFrame:
+    """(mode, token, doc_id, tf) of pieces of an index as one: postings of one token and document in several pieces add up."""
+    every = pieces[0]
+    for p in pieces[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("mode", "token", "doc_id").agg(F.sum("tf").alias("tf"))
+
+
 def dot_lines(edges: DataFrame) -> DataFrame:
     """(line): edges as lines of a Graphviz digraph, without its first and last line."""
     quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.col(c), '(["\\\\])', "\\\\$1"), F.lit('"'))

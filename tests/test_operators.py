@@ -93,11 +93,83 @@ def test_name_resolution(spark):
     assert got == {"own": ("resolved", 1), "two": ("ambiguous", None), "one": ("resolved", 3), "none": ("unresolved", None), "null": ("unresolved", None)}
 
 
+def test_names_by_file_import_repo_and_last_part(spark):
+    symbols = spark.createDataFrame([(1, "r", "a", "f"), (2, "r", "b", "f"), (3, "r", "b", "mod.g"), (4, "r", "d", "g"), (5, "r", "d", "x::h"), (6, "s", "a", "h")], "symbol_id long, repo string, file string, name string")
+    imports = spark.createDataFrame([("r", "c", "b"), ("r", "c", None), ("r", "e", "d")], "repo string, src string, dst string")
+    refs = spark.createDataFrame([("imported", "r", "c", "f"), ("leaf_of_symbol", "r", "c", "g"), ("qualified", "r", "e", "lib.g"), ("whole_first", "r", "z", "g"), ("leaf_in_repo", "r", "z", "h"), ("other_repo", "t", "z", "h")], "ref_id string, repo string, file string, name string")
+    got = {r.ref_id: (r.status, r.symbol_id, r.level) for r in Y.resolve_names(refs, symbols, imports, keep=["name"]).collect()}
+    assert got == {"imported": ("resolved", 2, "import"), "leaf_of_symbol": ("resolved", 3, "import"), "qualified": ("resolved", 4, "import"), "whole_first": ("resolved", 4, "repo"), "leaf_in_repo": ("resolved", 5, "repo"), "other_repo": ("unresolved", None, None)}
+
+
+def test_walks_within_caps_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(8)
+    pairs = sorted({(f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for _ in range(160)} | {("n0", f"n{i}") for i in range(30)})
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    seeds = spark.createDataFrame([("n0",), ("n5",), ("n0",)], "node string")
+
+    def walk(depth, caps):
+        steps, cut = {}, set()
+        for a, b in pairs:
+            steps.setdefault(a, []).append(b)
+        if caps.fanout is not None:
+            cut |= {"fanout"} if any(len(v) > caps.fanout for v in steps.values()) else set()
+            steps = {k: sorted(v)[: caps.fanout] for k, v in steps.items()}
+        seen, frontier, work, edges = {"n0": 0, "n5": 0}, ["n0", "n5"], 0, set()
+        for d in range(1, depth + 1):
+            looked = sorted((a, b) for a in frontier for b in steps.get(a, []))
+            if caps.work is not None and work + len(looked) > caps.work:
+                cut.add("work")
+                looked = looked[: caps.work - work]
+            work += len(looked)
+            fresh = sorted({b for _, b in looked} - seen.keys())
+            if caps.nodes is not None and len(seen) + len(fresh) > caps.nodes:
+                cut.add("nodes")
+                fresh = fresh[: caps.nodes - len(seen)]
+            seen.update({b: d for b in fresh})
+            edges |= set(looked)
+            frontier = fresh
+            if not fresh or (caps.nodes is not None and len(seen) >= caps.nodes) or (caps.work is not None and work >= caps.work):
+                break
+        edges = {(a, b) for a, b in edges if b in seen}
+        if caps.edges is not None and len(edges) > caps.edges:
+            cut.add("edges")
+            edges = set(sorted(edges)[: caps.edges])
+        return seen, edges, cut
+
+    for caps in (G.Caps(), G.Caps(fanout=3), G.Caps(nodes=12), G.Caps(work=40), G.Caps(edges=15), G.Caps(fanout=5, nodes=20, edges=25, work=60)):
+        nodes, edges, cut = G.bounded_walk(df, seeds, 3, "out", caps)
+        want = walk(3, caps)
+        assert ({r.node: r.distance for r in nodes.collect()}, {tuple(r) for r in edges.collect()}, {r.cap for r in cut.collect()}) == want, caps
+    none, _, _ = G.bounded_walk(df.limit(0), seeds.limit(0), 2, "both", G.Caps(nodes=5))
+    assert none.count() == 0
+
+
+def test_tests_are_suggested_by_import_then_by_name(spark):
+    imports = spark.createDataFrame([("t/direct.test.js", "src/a.js"), ("t/far.test.js", "src/mid.js"), ("src/mid.js", "src/a.js")], "src string, dst string")
+    changed = spark.createDataFrame([("src/a.js",)], "node string")
+    files = spark.createDataFrame([(p, p, ".test." in p) for p in ("src/a.js", "t/direct.test.js", "t/far.test.js", "u/a.test.js", "src/deep/b.test.js", "u/c.test.js", "src/mid.js")], "node string, path string, is_test boolean")
+    got = {r.node: (r.distance, round(r.score, 4)) for r in G.suggest_tests(imports, changed, F.col("node").contains(".test."), 4, files).collect()}
+    assert got == {"t/direct.test.js": (1, 0.5), "t/far.test.js": (2, 0.3333), "u/a.test.js": (None, 0.5), "src/deep/b.test.js": (None, 0.25)}
+
+
+def test_ranks_of_a_hot_key(spark):
+    from quernstone.operators.keyed import ordered_rank
+
+    rows = [("hot", i, (i * 7919) % 5003) for i in range(3000)] + [("cold", i, i % 3) for i in range(20)] + [(None, 1, 1)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    got = {(r.k, r.i): r.rank for r in ordered_rank(df, ["k"], [F.desc("v"), F.asc("i")]).collect()}
+    for key in ("hot", "cold"):
+        order = sorted((-v, i) for k, i, v in rows if k == key)
+        assert all(got[key, i] == n for n, (_, i) in enumerate(order, 1))
+
+
 def test_taint_lines():
     rules = K.RULES
     text = "const a = req.body.x;\nlet b = a + 1;\neval(b);\nb = escape(b);\neval(b);\n// eval(a)\nif (a == b) eval(a);\nexec(process.env.X)"
     got = [(n, s, k) for n, s, k, _ in K.scan(text, rules)]
-    assert got == [(3, "request", "eval"), (7, "request", "eval"), (8, "environment", "command")]
+    assert got == [(3, "request-body", "eval"), (7, "request-body", "eval"), (8, "environment", "command")]
     assert K.scan("", rules) == []
 
 
@@ -263,7 +335,7 @@ def test_sections_of_every_file(spark, sf_dir):
         if not heads:
             want.add((r.file_id, 1, "root", 1, len(lines)))
     assert {"js", "ts", "c", "json"} <= suffixes
-    got = [tuple(r) for r in entry.queries()["t15_sections_whole"](spark, sf_dir).select("file_id", "section", "title", "start_line", "end_line").collect()]
+    got = [tuple(r) for r in entry.queries()["t15_sections"](spark, sf_dir).select("file_id", "section", "title", "start_line", "end_line").collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -282,7 +354,7 @@ def test_phrases_of_many_chunks_stay(spark, sf_dir, tmp_path):
     for r in tables.chunks(spark, str(tmp_path), "mode", "ngrams").collect():
         grams = {re.sub(r"[\x01_\s]+", " ", g, flags=re.A).strip(" ") for g in r.ngrams or [] if g is not None}
         want.update((r.mode, g) for g in grams if g)
-    got = {(r.mode, r.gram): r.chunks for r in entry.queries()["a06_phrase_postings_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.mode, r.gram): r.chunks for r in entry.queries()["a06_phrase_postings"](spark, str(tmp_path)).collect()}
     assert got == dict(want) and got["code", "very common"] == 301
 
 

@@ -19,7 +19,16 @@ def test_lsif(spark, tmp_path):
         {"id": 3, "type": "vertex", "label": "range", "start": {"line": 9, "character": 0}, "end": {"line": 9, "character": 3}, "tag": {"text": "foo"}}, {"id": 4, "type": "vertex", "label": "definitionResult"}, {"id": 5, "type": "vertex", "label": "referenceResult"},
         {"id": 6, "type": "edge", "label": "contains", "outV": 1, "inVs": [2, 3]}, {"id": 7, "type": "edge", "label": "item", "outV": 4, "inVs": [2]}, {"id": 8, "type": "edge", "label": "item", "outV": 5, "inV": 3}]
     (tmp_path / "dump").write_text("\n".join(map(json.dumps, rows)))
-    assert {(r.file, r.name, r.role, r.line) for r in Y.lsif(spark, str(tmp_path / "dump")).collect()} == {("file:///a.ts", "foo", "definition", 5), ("file:///a.ts", "foo", "reference", 10)}
+    assert {(r.file, r.name, r.role, r.line) for r in Y.lsif(spark, str(tmp_path / "dump")).collect()} == {("/a.ts", "foo", "definition", 5), ("/a.ts", "foo", "reference", 10)}
+
+
+def test_lsif_items_from_ranges_to_results_with_plain_tags(spark, tmp_path):
+    rows = [
+        {"id": 11, "type": "vertex", "label": "document", "uri": "file:///w/src/b.go", "languageId": "go"}, {"id": 12, "type": "vertex", "label": "range", "start": {"line": 6, "character": 5}, "end": {"line": 6, "character": 9}, "tag": "Open"},
+        {"id": 13, "type": "vertex", "label": "definitionResult"}, {"id": 14, "type": "vertex", "label": "referenceResult"}, {"id": 15, "type": "edge", "label": "contains", "outV": 11, "inVs": [12]},
+        {"id": 16, "type": "edge", "label": "item", "outV": 12, "inVs": [13]}, {"id": 17, "type": "edge", "label": "item", "outV": 12, "inVs": [14]}]
+    (tmp_path / "dump").write_text("\n".join(map(json.dumps, rows)))
+    assert {tuple(r) for r in Y.lsif(spark, str(tmp_path / "dump")).collect()} == {("/w/src/b.go", "Open", "definition", 7), ("/w/src/b.go", "Open", "reference", 7)}
 
 
 def test_scip(spark, tmp_path):
@@ -42,6 +51,10 @@ def test_discovery_modes_and_binary(spark, tmp_path):
     got = {r.path: r for r in f.collect()}
     assert set(got) == {"src/a.py", "b.md", "c.bin"} and got["b.md"].mode == "prose" and got["c.bin"].binary and not got["src/a.py"].binary
     assert got["b.md"].text == "éé" and got["src/a.py"].text == "x = 1"
+    (tmp_path / "node_modules").mkdir()
+    (tmp_path / "node_modules" / "x.js").write_text("y")
+    routed = {r.path: (r.mode, r.skipped) for r in S.discover(spark, str(tmp_path), ["*.bin"]).drop("content").collect()}
+    assert routed == {"src/a.py": ("code", None), "b.md": ("prose", None), "node_modules/x.js": ("code", "skipped_dir")}
 
 
 def test_ignore_rules(spark):
@@ -119,7 +132,7 @@ def test_every_content_is_decoded(spark, sf_dir, tmp_path):
     long = files.filter("content is not null").orderBy("file_id").limit(1).withColumns({"file_id": F.lit(987654321).cast("long"), "path": F.lit("x/long.md"), "content": F.repeat(F.lit("é€ long\n"), 2000)})
     files.unionByName(long).coalesce(1).write.parquet(f"{tmp_path}/files.parquet")
     want = {r.file_id: len(r.content) for r in files.unionByName(long).filter("content is not null").collect()}
-    assert {r.file_id: r.chars for r in entry.queries()["s06_decoded_whole"](spark, str(tmp_path)).collect()} == want
+    assert {r.file_id: r.chars for r in entry.queries()["s06_decoded"](spark, str(tmp_path)).collect()} == want
 
 
 def test_pieces_of_every_mode(spark, sf_dir, tmp_path):
@@ -133,4 +146,4 @@ def test_pieces_of_every_mode(spark, sf_dir, tmp_path):
     assert {"code", "prose", "extracted-prose", None} <= modes
     order = ["code", "prose", *sorted(m for m in modes if m not in ("code", "prose", None)), None]
     want = list(enumerate(i for m in order for i in sorted(r.id for r in kept if r.mode == m)))
-    assert sorted((r.doc_id, r.id) for r in entry.queries()["s20_piece_assembly_whole"](spark, str(tmp_path)).collect()) == want
+    assert sorted((r.doc_id, r.id) for r in entry.queries()["s20_piece_assembly"](spark, str(tmp_path)).collect()) == want
