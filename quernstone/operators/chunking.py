@@ -44,6 +44,27 @@ def sections(df: DataFrame, key: str, suffix: str, text: str) -> DataFrame:
     return found.unionByName(whole)
 
 
+SLICE = 800  # characters of a slice of a text that no chunker knows
+
+
+def dispatched(df: DataFrame, key: str, suffix: str, text: str, size: int = SLICE) -> DataFrame:
+    """(key, chunker, part, start_line, end_line): every text by the chunker that its suffix asks for.
+
+    heading for prose and declaration for code with lines that begin a chunk; slices of `size` characters for all other texts. Line ends are counted as one
+    character. A text is split into lines once.
+    """
+    found = sections(df, key, suffix, text)
+    prose = F.col(suffix).isin("md", "markdown", "rst")
+    named = found.filter("title != 'root'").join(df.select(key, suffix).distinct(), key).select(key, F.when(prose, "heading").otherwise("declaration").alias("chunker"), F.col("section").alias("part"), "start_line", "end_line")
+    rest = df.select(key, F.regexp_replace(text, "\r\n?", "\n").alias("t")).join(found.filter("title != 'root'").select(key).distinct(), key, "left_anti")
+    n = F.length("t")
+    at = rest.select(key, "t", n.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))).alias("at"))
+    feeds = lambda upto: F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit("")))
+    last = F.greatest(F.least(F.col("at") + size, F.col("n")) - 1, F.lit(0))
+    slices = at.select(key, F.lit("slices").alias("chunker"), (F.floor(F.col("at") / size) + 1).cast("int").alias("part"), (feeds(F.substring("t", F.lit(1), F.col("at"))) + 1).alias("start_line"), (feeds(F.substring("t", F.lit(1), last)) + 1).alias("end_line"))
+    return named.unionByName(slices)
+
+
 def statements(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n, statement): statements of SQL text, cut at semicolons outside quotes and comments."""
     bare = F.regexp_replace(F.col(text), r"--[^\n]*|/\*(?s:.*?)\*/", " ")

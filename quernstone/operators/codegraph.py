@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quernstone.operators import relations, symbols as S, tables
 from quernstone.runtime import stored
 
-# How sure an edge is whose symbol is in the same file, or the only one of its name in the repository.
+# How sure an edge is whose symbol is in the same file or one it imports, or the only one of its name in the repository.
 SURE_FILE, SURE_REPO = 1.0, 0.8
 
 
@@ -43,11 +43,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     def build():
         refs = references(spark, sf_dir).withColumn("ref_id", F.concat_ws(":", "graph", "src_id", "name"))
-        done = S.resolve_names(refs, symbols(spark, sf_dir), keep=["graph", "src_id", "repo", "name"])
+        done = S.resolve_names(refs, symbols(spark, sf_dir), file_imports(spark, sf_dir), keep=["graph", "src_id", "repo", "name"])
         named = done.filter("symbol_id is null or symbol_id != src_id").select(
             "graph", F.concat(F.lit("c"), F.col("src_id").cast("string")).alias("src"),
             F.when(F.col("symbol_id").isNotNull(), F.concat(F.lit("c"), F.col("symbol_id").cast("string"))).otherwise(F.concat(F.lit("s:"), "repo", F.lit(":"), "name")).alias("dst"),
-            F.when(F.col("symbol_id").isNotNull(), F.when(F.col("level") == "file", SURE_FILE).otherwise(SURE_REPO)).alias("confidence"))
+            F.when(F.col("symbol_id").isNotNull(), F.when(F.col("level") == "repo", SURE_REPO).otherwise(SURE_FILE)).alias("confidence"))
         node = lambda path: F.concat(F.lit("f:"), "repo", F.lit(":"), path)
         imported = file_imports(spark, sf_dir).select(
             F.lit("import").alias("graph"), node("src").alias("src"), F.when(F.col("dst").isNotNull(), node("dst")).otherwise(F.concat(F.lit("m:"), "spec")).alias("dst"),

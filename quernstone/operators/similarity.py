@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quernstone.runtime import cut
 
@@ -89,6 +89,22 @@ def minhash(df: DataFrame, key: str, tokens: str, slots: int = MINHASH_SLOTS) ->
     return df.select(key, tokens).mapInArrow(sign, f"`{key}` {kind}, signature array<bigint>")
 
 
+MIN_SLOTS = 16  # slots that a shortened signature has at least
+
+
+def sampling_plan(documents: int, most: int, slots: int = MINHASH_SLOTS, least: int = MIN_SLOTS) -> tuple[int, int]:
+    """(stride, slots) of signatures when an index of at most `most` documents has more: each is shortened to every stride-th slot. (1, slots) where it has not."""
+    if not most or documents <= most:
+        return 1, slots
+    stride = max(1, min(slots // min(least, slots), documents // most))
+    return stride, max(min(least, slots), -(-slots // stride))
+
+
+def shortened(signature: Column, stride: int, slots: int) -> Column:
+    """Every stride-th slot of a signature, the first `slots` of them."""
+    return F.slice(F.filter(signature, lambda _, i: i % stride == 0), 1, slots)
+
+
 def minhash_nearest(signatures: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score): the k most alike documents of each query document, by the share of equal slots.
 

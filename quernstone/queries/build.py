@@ -9,10 +9,10 @@ from quernstone.functions import vectors as V
 from quernstone.operators import chunking as C, codegraph, evaluation as E, keyed, relations, risk as K, tables
 from quernstone.operators.relations import RELATED_SQL
 from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL, LOCATED_SQL, NAMED_SQL, POSTINGS_SQL
-from quernstone.queries import query
-import quernstone.queries.graphs  # noqa: F401 the SQL of its queries is part of that of these
+from quernstone.queries import SQL, graphs, query  # noqa: F401 the SQL of the graphs' queries is part of that of these
 from quernstone.runtime import table
 
+_SQL_OF = SQL
 WORDS = "graph lease merge index token vector chunk query cache line node edge frame batch signal window record plan rule gate scope stage look up lookup work space workspace".split()
 
 
@@ -241,13 +241,6 @@ def s19_sarif(spark, sf_dir):
     return K.sarif(of("source").join(of("sink"), "id").join(lines, "id"))
 
 
-@query(sql="SELECT doc_id, CAST(floor((doc_id - 1) / 4) AS BIGINT) AS slot FROM documents WHERE (doc_id - 1) % 4 = 0")
-def a08_minhash_sampling(spark, sf_dir):
-    """The documents a signature plan keeps when it may sign a quarter: one in each stride."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    return d.filter((F.col("doc_id") - 1) % 4 == 0).select("doc_id", F.floor((F.col("doc_id") - 1) / 4).alias("slot"))
-
-
 _HITS = "h AS (SELECT l.rater AS query_id, l.doc_id AS item, row_number() OVER (PARTITION BY l.rater ORDER BY d.n_chars DESC, l.doc_id) AS rank, d.n_chars AS score FROM (SELECT DISTINCT rater, doc_id FROM labels WHERE rater IS NOT NULL AND doc_id IS NOT NULL) l JOIN documents d ON l.doc_id = d.doc_id), x AS (SELECT DISTINCT rater AS query_id, doc_id AS item FROM labels WHERE quality >= 4 AND rater IS NOT NULL AND doc_id IS NOT NULL)"
 
 
@@ -350,41 +343,92 @@ def w13_relation_boost(spark, sf_dir):
                                           + 0.1 * F.size(F.array_intersect(low("usages"), F.array(*[F.lit(x) for x in ("log", "logger", "item", "push")])))), 6).alias("boost"))
 
 
-_PRIMARY = "pr AS (SELECT id, repo, path, name FROM m WHERE regexp_matches(name, '(?i)graph') AND kind IS NOT NULL)"
+_PRIMARY = "pr AS (SELECT id, repo, path, name, calls, usages, imports FROM m WHERE regexp_matches(name, '(?i)graph') AND kind IS NOT NULL)"
+_TIERS = ("call", "usage", "export", "import", "name")  # why a chunk comes along, the strongest first
 
 
-@query(sql=f"""WITH m AS (SELECT * FROM {RELATED_SQL}), {_PRIMARY},
-x AS (SELECT p.id AS hit, m.id, 1 AS priority, 'call' AS reason FROM pr p JOIN m mp ON mp.id = p.id JOIN m ON m.repo = p.repo AND list_contains(mp.calls, m.name) UNION ALL SELECT p.id, m.id, 5, 'name' FROM pr p JOIN m ON m.repo = p.repo AND m.path = p.path AND m.id <> p.id AND m.name IS NOT NULL),
-y AS (SELECT hit, id, min(priority) AS priority, arg_min(reason, priority) AS reason FROM x WHERE id NOT IN (SELECT id FROM pr) GROUP BY hit, id)
-SELECT hit, id, priority, reason FROM y QUALIFY row_number() OVER (PARTITION BY hit ORDER BY priority, id) <= 4""")
+@query(sql=f"""WITH m AS (SELECT * FROM {RELATED_SQL}), {_PRIMARY}, nm AS (SELECT id, repo, path, name, visibility FROM m WHERE name IS NOT NULL), mo AS (SELECT id, repo, path, name, regexp_extract(path, '([^/.]+)[^/]*$', 1) AS base FROM nm),
+x AS (SELECT p.id AS hit, n.id, 1 AS priority FROM pr p JOIN nm n ON n.repo = p.repo AND list_contains(p.calls, n.name) UNION ALL SELECT p.id, n.id, 2 FROM pr p JOIN nm n ON n.repo = p.repo AND list_contains(p.usages, n.name)
+ UNION ALL SELECT p.id, n.id, 3 FROM pr p JOIN nm n ON n.repo = p.repo AND n.path = p.path AND n.id <> p.id AND n.visibility = 'public'
+ UNION ALL SELECT p.id, n.id, 4 FROM pr p JOIN mo n ON n.repo = p.repo AND n.base <> '' AND list_contains(list_transform(p.imports, lambda i: regexp_extract(i, '([^/.:]+)(?:\\.[a-z]+)?$', 1)), n.base)
+ UNION ALL SELECT p.id, n.id, 5 FROM pr p JOIN nm n ON n.repo = p.repo AND n.path = p.path AND n.id <> p.id),
+y AS (SELECT hit, id, min(priority) AS priority, array_to_string(list_slice(list_sort(list(DISTINCT priority)), 1, 3), ',') AS reasons FROM x WHERE id NOT IN (SELECT id FROM pr) GROUP BY hit, id),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY hit ORDER BY priority, id) <= 4)
+SELECT hit, id, priority, reasons FROM z ORDER BY hit, priority, id LIMIT 40""")
 def g10_context_expansion(spark, sf_dir):
-    """Up to four chunks around each hit: what it calls, then its file; hits themselves are not added."""
+    """Up to four chunks around each hit and forty in all: what it calls, what it uses, what its file exports, what it imports, and its file; hits themselves are not added."""
     m = relations.related(spark, sf_dir)
-    primary = m.filter(F.col("name").rlike("(?i)graph") & F.col("kind").isNotNull()).select(F.col("id").alias("hit"), "repo", "path", "calls")
-    named = m.filter("name is not null").select("id", "repo", F.col("path").alias("path2"), "name")
-    by_call = primary.select("hit", "repo", F.explode("calls").alias("name")).join(named, ["repo", "name"]).select("hit", "id", F.lit(1).alias("priority"), F.lit("call").alias("reason"))
-    by_file = primary.join(named.withColumnRenamed("path2", "path"), ["repo", "path"]).filter("id != hit").select("hit", "id", F.lit(5).alias("priority"), F.lit("name").alias("reason"))
-    found = by_call.unionByName(by_file).join(primary.select(F.col("hit").alias("id")).distinct(), "id", "left_anti").groupBy("hit", "id").agg(F.min(F.struct("priority", "reason")).alias("p"))
-    return keyed.top_n(found.select("hit", "id", "p.priority", "p.reason"), ["hit"], [F.asc("priority"), F.asc("id")], 4)
-
-
-@query(sql=f"""WITH l AS (SELECT id, name, docmeta, text FROM {LOCATED_SQL} WHERE regexp_matches(name, '(?i)graph') AND text IS NOT NULL)
-SELECT id, name, coalesce(docmeta.signature, '') AS signature, array_to_string(list_filter(regexp_split_to_array(substring(text, 1, 400), '\\s+'), lambda w: w <> '')[1:30], ' ') AS excerpt, len(coalesce(docmeta.params, [])) AS params FROM l""")
+    primary = m.filter(F.col("name").rlike("(?i)graph") & F.col("kind").isNotNull()).select(F.col("id").alias("hit"), "repo", "path", "calls", "usages", "imports")
+    named = m.filter("name is not null").select("id", "repo", F.col("path").alias("path2"), "name", "visibility")
+    tier = lambda df, n: df.select("hit", "id", F.lit(n).alias("priority"))
+    by_name = lambda names, n: tier(primary.select("hit", "repo", F.explode(names).alias("name")).join(named, ["repo", "name"]), n)
+    base = named.withColumn("base", F.regexp_extract("path2", r"([^/.]+)[^/]*$", 1)).filter("base != ''")
+    modules = F.array_distinct(F.transform("imports", lambda i: F.regexp_extract(i, r"([^/.:]+)(?:\.[a-z]+)?$", 1)))
+    by_import = tier(primary.select("hit", "repo", F.explode(modules).alias("base")).join(base, ["repo", "base"]), 4)
+    here = lambda of, n: tier(primary.select("hit", "repo", F.col("path").alias("path2")).join(of, ["repo", "path2"]).filter("id != hit"), n)
+    # of a file no hit takes more chunks than its own four, besides hits: the first of each file are enough
+    hits = primary.select(F.col("hit").alias("id")).distinct()
+    first = keyed.top_n(named.join(hits, "id", "left_anti"), ["repo", "path2"], [F.asc("id")], 4)
+    public = keyed.top_n(named.filter("visibility = 'public'").join(hits, "id", "left_anti"), ["repo", "path2"], [F.asc("id")], 4)
+    found = by_name("calls", 1).unionByName(by_name("usages", 2)).unionByName(here(public, 3)).unionByName(by_import).unionByName(here(first, 5)).join(hits, "id", "left_anti")
+    best = found.groupBy("hit", "id").agg(F.min("priority").alias("priority"))
+    kept = keyed.top_n(best, ["hit"], [F.asc("priority"), F.asc("id")], 4).orderBy("hit", "priority", "id").limit(40)
+    # all reasons of what is kept: a few rows
+    full = here(named, 5).unionByName(here(named.filter("visibility = 'public'"), 3)).unionByName(by_name("calls", 1)).unionByName(by_name("usages", 2)).unionByName(by_import)
+    why = full.join(kept.select("hit", "id"), ["hit", "id"], "left_semi").groupBy("hit", "id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_set(F.col("priority"))), lambda x: x.cast("string")), 1, 3), ",").alias("reasons"))
+    return kept.join(why, ["hit", "id"]).select("hit", "id", "priority", "reasons")
+
+
+_EXCERPT_BYTES, _EXCERPT_TOKENS = 400, 30
+_CUT_SQL = f"substring(text, 1, len(list_filter(range(1, least(length(text), {_EXCERPT_BYTES}) + 1), lambda n: octet_length(encode(substring(text, 1, CAST(n AS BIGINT)))) <= {_EXCERPT_BYTES})))"
+
+
+@query(sql=f"""WITH l AS (SELECT id, name, docmeta, text FROM {LOCATED_SQL} WHERE regexp_matches(name, '(?i)graph') AND text IS NOT NULL), {_signals_sql().replace('l AS (SELECT', 'la AS (SELECT', 1).replace('FROM l WHERE', 'FROM la WHERE')},
+ce AS ({{CALLS}}), o AS (SELECT src AS id, count(*) AS callees FROM ce GROUP BY src), i AS (SELECT dst AS id, count(*) AS callers FROM ce GROUP BY dst), rk AS (SELECT id, array_to_string(list_sort(list(DISTINCT rule)), ',') AS risks FROM sg GROUP BY id)
+SELECT l.id, name, coalesce(docmeta.signature, '') AS signature, array_to_string(list_filter(string_split_regex({_CUT_SQL}, '\\s+'), lambda w: w <> '')[1:{_EXCERPT_TOKENS}], ' ') AS excerpt,
+coalesce(o.callees, 0) AS callees, coalesce(i.callers, 0) AS callers, array_to_string(list_sort(list_transform(coalesce(docmeta.params, []), lambda p: 'param:' || coalesce(p, '')))[1:20], ',') || CASE WHEN docmeta.returnType IS NOT NULL THEN ';return:' || docmeta.returnType ELSE '' END AS types, coalesce(rk.risks, '') AS risks
+FROM l LEFT JOIN o ON l.id = o.id LEFT JOIN i ON l.id = i.id LEFT JOIN rk ON l.id = rk.id""".replace("{CALLS}", _SQL_OF["g01_call_graph"]))
 def g09_context_pack(spark, sf_dir):
-    """Excerpts of chunks with their facts, within limits of size and tokens."""
+    """Chunks as context: an excerpt within bytes and tokens, neighbours in the call graph, types and risks."""
+    from quernstone.sources.files import decoded
+
     c = tables.located(spark, sf_dir).filter(F.col("name").rlike("(?i)graph") & F.col("text").isNotNull())
-    words = F.filter(F.split(F.substring("text", 1, 400), r"\s+"), lambda w: w != "")
-    return c.select("id", "name", F.coalesce("docmeta.signature", F.lit("")).alias("signature"), F.array_join(F.slice(words, 1, 30), " ").alias("excerpt"), F.size(F.coalesce("docmeta.params", F.array().cast("array<string>"))).cast("long").alias("params"))
+    words = F.filter(F.split(decoded(F.encode("text", "UTF-8"), _EXCERPT_BYTES), r"\s+"), lambda w: w != "")
+    e = codegraph.edges(spark, sf_dir).filter("graph = 'call' and dst like 'c%'").select("src", "dst")
+    number = lambda c: F.expr(f"substring({c}, 2)").cast("long").alias("id")
+    out, back = e.groupBy(number("src")).agg(F.count(F.lit(1)).alias("callees")), e.groupBy(number("dst")).agg(F.count(F.lit(1)).alias("callers"))
+    risks = K.signals(risk_chunks(spark, sf_dir), RISK_RULES).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("risks"))
+    params = F.slice(F.array_sort(F.transform(F.coalesce("docmeta.params", F.array().cast("array<string>")), lambda p: F.concat(F.lit("param:"), F.coalesce(p, F.lit(""))))), 1, 20)
+    types = F.concat(F.array_join(params, ","), F.when(F.col("docmeta.returnType").isNotNull(), F.concat(F.lit(";return:"), F.col("docmeta.returnType"))).otherwise(""))
+    return c.join(out, "id", "left").join(back, "id", "left").join(risks, "id", "left").select(
+        "id", "name", F.coalesce("docmeta.signature", F.lit("")).alias("signature"), F.array_join(F.slice(words, 1, _EXCERPT_TOKENS), " ").alias("excerpt"),
+        F.coalesce("callees", F.lit(0)).alias("callees"), F.coalesce("callers", F.lit(0)).alias("callers"), types.alias("types"), F.coalesce("risks", F.lit("")).alias("risks"))
+
 
+_BODIES = f"""c AS (SELECT id, file_id, start, "end" AS e, text FROM {LOCATED_SQL} WHERE kind = 'Comment' AND text <> ''), b AS (SELECT id, file_id, "end" AS e FROM {LOCATED_SQL} WHERE "end" > start AND coalesce(kind, '') <> 'Comment')"""
 
-@query(sql=f"""WITH c AS (SELECT file_id, list_filter(list_transform(regexp_extract_all({_N}, '{C.COMMENT}'), lambda c: {_CLEAN}), lambda c: length(c) >= 8) AS c FROM {FILES_SQL} WHERE content IS NOT NULL AND suffix NOT IN ('md', 'json'))
-SELECT l.id, coalesce(c.c[1], '') AS excerpt FROM {LOCATED_SQL} l LEFT JOIN c ON l.file_id = c.file_id WHERE regexp_matches(l.name, '(?i)lease')""")
+
+@query(sql=f"""WITH {_BODIES}, p AS (SELECT DISTINCT file_id, start, e FROM c), r AS (SELECT p.file_id, p.start, p.e, coalesce((SELECT id FROM b WHERE b.file_id = p.file_id AND b.e > p.start ORDER BY e, id LIMIT 1), (SELECT id FROM b WHERE b.file_id = p.file_id ORDER BY e DESC, id DESC LIMIT 1)) AS id FROM p)
+SELECT r.id, r.start, r.e AS stop, min(trim(regexp_replace(c.text, '\\s+', ' ', 'g'))) AS excerpt FROM r JOIN c ON c.file_id = r.file_id AND c.start = r.start AND c.e = r.e WHERE r.id IS NOT NULL GROUP BY ALL""")
 def j14_comment_excerpts(spark, sf_dir):
-    """Hits with the first comment of their file."""
-    f = tables.files(spark, sf_dir, "suffix", "content").filter(F.col("content").isNotNull() & ~F.col("suffix").isin("md", "json"))
-    first = C.comments(f, "file_id", "content").filter("n = 0").select("file_id", "comment")
-    hits = tables.located(spark, sf_dir).filter(F.col("name").rlike("(?i)lease")).select("id", "file_id")
-    return hits.join(first, "file_id", "left").select("id", F.coalesce("comment", F.lit("")).alias("excerpt"))
+    """Chunks with the comments that belong to them, by file, start and end of the comment."""
+    l = tables.located(spark, sf_dir)  # noqa: E741
+    comments = l.filter("kind = 'Comment' and text != ''").select("file_id", "start", F.col("end").alias("stop"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("excerpt"))
+    bodies = l.filter("`end` > start and coalesce(kind, '') != 'Comment'").select("file_id", "id", "start", "end")
+    points = comments.select("file_id", F.col("start").alias("at"), F.concat_ws(":", F.col("start").cast("string"), F.col("stop").cast("string")).alias("point")).distinct()
+    refs = C.chunk_of(points, bodies).select("file_id", "id", F.split("point", ":")[0].cast("long").alias("start"), F.split("point", ":")[1].cast("long").alias("stop"))
+    return refs.join(comments, ["file_id", "start", "stop"]).groupBy("id", "start", "stop").agg(F.min("excerpt").alias("excerpt"))
+
+
+@query(sql=f"""WITH f AS (SELECT file_id, suffix, string_split({_N}, chr(10)) AS l, {_N} AS t FROM {FILES_SQL} WHERE content IS NOT NULL), x AS (SELECT file_id, suffix, len(l) AS lines, unnest(l) AS x, generate_subscripts(l, 1) AS n FROM f),
+h AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n) AS part, lead(n) OVER (PARTITION BY file_id ORDER BY n) AS nxt FROM x WHERE CASE suffix {_HEADED} ELSE false END),
+z AS (SELECT file_id, t, unnest(range(0, greatest(length(t), 1), 800)) AS ps FROM f WHERE file_id NOT IN (SELECT file_id FROM h))
+SELECT file_id, CASE WHEN suffix IN ('md', 'markdown', 'rst') THEN 'heading' ELSE 'declaration' END AS chunker, CAST(part AS INTEGER) AS part, n AS start_line, coalesce(nxt - 1, lines) AS end_line FROM h
+UNION ALL SELECT file_id, 'slices', CAST(ps // 800 + 1 AS INTEGER), length(substring(t, 1, ps)) - length(replace(substring(t, 1, ps), chr(10), '')) + 1, length(substring(t, 1, greatest(least(ps + 800, length(t)) - 1, 0))) - length(replace(substring(t, 1, greatest(least(ps + 800, length(t)) - 1, 0)), chr(10), '')) + 1 FROM z""")
+def t14_dispatched_chunks(spark, sf_dir):
+    """Chunks of every file by the chunker that its kind asks for: headings, declarations, or slices of 800 characters where there are none."""
+    f = tables.files(spark, sf_dir, "suffix", "content").filter("content is not null")
+    return C.dispatched(f, "file_id", "suffix", "content").withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line")})
 
 
 @query(sql=f"""WITH t AS (SELECT mode, token FROM {NAMED_SQL} GROUP BY ALL), c AS (SELECT token FROM t WHERE mode = 'code'), p AS (SELECT token FROM t WHERE mode = 'prose')

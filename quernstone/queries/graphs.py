@@ -150,9 +150,9 @@ FROM r LEFT JOIN ow ON r.repo = ow.repo AND r.file = ow.file AND r.name = ow.nam
 
 @query(sql=f"WITH {_REFS_SQL} SELECT src_id || ':' || name AS ref_id, CASE WHEN candidates = 0 THEN 'unresolved' WHEN candidates = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, coalesce(symbol_id, -1) AS symbol_id, candidates FROM res")
 def j08_symbol_resolution(spark, sf_dir):
-    """Every call of every chunk, resolved by name in its file, else in its repo."""
+    """Every call of every chunk, resolved by name in its file, else in one it imports, else in its repo."""
     refs, symbols = call_refs(spark, sf_dir)
-    return S.resolve_names(refs, symbols).withColumn("symbol_id", F.coalesce("symbol_id", F.lit(-1)))
+    return S.resolve_names(refs, symbols, CG.file_imports(spark, sf_dir)).withColumn("symbol_id", F.coalesce("symbol_id", F.lit(-1)))
 
 
 @query(sql=f"WITH {_REFS_SQL} SELECT DISTINCT src_id AS src, symbol_id AS dst FROM res WHERE symbol_id IS NOT NULL AND symbol_id <> src_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernstone.functions import text as X
-from quernstone.operators import ranking as R, similarity as S, tables
+from quernstone.operators import keyed, ranking as R, relations, similarity as S, tables
+from quernstone.operators.relations import RELATED_SQL
 from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL, NAMED_SQL, POSTINGS_SQL
 from quernstone.queries import query
 from quernstone.queries.text import lower_split_sql
@@ -117,6 +118,15 @@ def a07_minhash(spark, sf_dir):
     return signatures(spark, sf_dir).select("doc_id", F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 
+@query(sql=f"""WITH s AS {_SIGN_SQL}, n AS (SELECT count(*) AS n FROM documents), p AS (SELECT CASE WHEN n <= 250 THEN 1 ELSE greatest(1, least(8, n // 250)) END AS stride FROM n)
+SELECT doc_id, array_to_string(list_transform(list_filter(range(1, 129), lambda i: (i - 1) % stride = 0)[1:CAST(greatest(16, ceil(128 / stride)) AS INTEGER)], lambda i: signature[i]), ',') AS signature FROM s, p""")
+def a08_minhash_sampling(spark, sf_dir):
+    """Signatures of an index with more documents than it is made for: of every document fewer slots."""
+    stride, slots = S.sampling_plan(table(spark, sf_dir, "documents").count(), 250)
+    short = S.shortened(F.col("signature"), stride, slots)
+    return signatures(spark, sf_dir).select("doc_id", F.array_join(F.transform(short, lambda x: x.cast("string")), ",").alias("signature"))
+
+
 @query(sql=f"""WITH s AS {_SIGN_SQL} SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT a.doc_id AS query_id, b.doc_id,
 len(list_filter(range(1, 129), lambda i: a.signature[i] = b.signature[i])) / 128.0 AS score FROM s a, s b WHERE a.doc_id % 100 = 0 AND a.doc_id <> b.doc_id)
 WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
@@ -248,6 +258,26 @@ def w11_boosts(spark, sf_dir):
                     R.symbol_boost(F.col("kind"), F.coalesce(F.col("docmeta.signature"), F.lit("")).rlike("^(export|pub)")).alias("symbol"))
 
 
+_RELATION_SQL = "least(1.5::DOUBLE, 0.25::DOUBLE * len(list_intersect(list_transform(r.calls, lambda c: lower(c)), ['graph', 'lease', 'merge'])) + 0.1::DOUBLE * len(list_intersect(list_transform(r.usages, lambda c: lower(c)), ['graph', 'lease', 'merge'])))"
+
+
+@query(sql=f"""WITH {_INDEX_SQL}, {bm25_sql()}, x AS (SELECT h.doc_id, h.score AS base, 1 + least(0.5::DOUBLE, 0.1::DOUBLE * len(list_filter(list_transform(coalesce(c.ngrams, []), lambda g: regexp_replace(g, '[\\x01_]+', ' ', 'g')), lambda g: g IN ('merge graph', 'graph lease', 'lease graph')))) AS phrase,
+CASE WHEN regexp_matches(lower(c.kind), 'function|class|method|interface|struct|enum|trait|func|fn|type') THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN regexp_matches(coalesce(c.docmeta.signature, ''), '^(export|pub)') THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS symbol,
+CASE WHEN coalesce(c.weight, 0) = 0 OR isnan(c.weight) THEN 1::DOUBLE ELSE c.weight END AS weight, coalesce({_RELATION_SQL}, 0::DOUBLE) AS relation FROM hits h JOIN {CHUNKS_SQL} c ON h.doc_id = c.id LEFT JOIN {RELATED_SQL} r ON r.id = h.doc_id)
+SELECT doc_id, round(base, 6) AS base, round(weight, 6) AS weight, round(phrase, 6) AS phrase, round(symbol, 6) AS symbol, round(relation, 6) AS relation, round(base * weight * phrase * symbol + relation, 6) AS total FROM x""")
+def w19_score_breakdown(spark, sf_dir):
+    """Every part of the score of each hit, and what they make together."""
+    c = tables.chunks(spark, sf_dir, "kind", "docmeta", "ngrams", "weight").withColumnRenamed("id", "doc_id")
+    r = relations.related(spark, sf_dir).select(F.col("id").alias("doc_id"), "calls", "usages")
+    h = R.bm25(*index(spark, sf_dir), QUERY).join(c, "doc_id").join(r, "doc_id", "left")
+    grams = F.transform(F.coalesce("ngrams", F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"[\x01_]+", " "))
+    matches = F.size(F.filter(grams, lambda g: g.isin("merge graph", "graph lease", "lease graph")))
+    low = lambda n: F.transform(F.coalesce(n, F.array().cast("array<string>")), lambda x: F.lower(x))
+    exported = F.coalesce(F.col("docmeta.signature"), F.lit("")).rlike("^(export|pub)")
+    parts = R.explained(F.col("score"), R.phrase_boost(matches), R.symbol_boost(F.col("kind"), exported), R.relation_boost(low("calls"), low("usages"), F.array(*[F.lit(t) for t in ("graph", "lease", "merge")])), R.weight_of(F.col("weight")))
+    return h.select("doc_id", parts.alias("p")).select("doc_id", *[F.round(f"p.{n}", 6).alias(n) for n in ("base", "weight", "phrase", "symbol", "relation", "total")])
+
+
 @query(sql=f"""WITH {_INDEX_SQL}, {bm25_sql()}, r AS (SELECT h.doc_id, h.score, c.repo, c.mode, c.file, row_number() OVER (PARTITION BY c.repo, c.mode ORDER BY h.score DESC, h.doc_id) AS rank FROM hits h JOIN {CHUNKS_SQL} c ON h.doc_id = c.id)
 SELECT r.repo, r.mode, r.doc_id, round(1.0 / (60 + r.rank), 12) AS score, coalesce(p.priority, 0) AS priority FROM r LEFT JOIN repos p ON r.repo = p.repo WHERE r.rank <= 5""")
 def w17_federated_merge(spark, sf_dir):
@@ -256,8 +286,9 @@ def w17_federated_merge(spark, sf_dir):
 
     p, lengths, stats = index(spark, sf_dir)
     c = tables.chunks(spark, sf_dir, "repo", "mode").withColumnRenamed("id", "doc_id")
-    w = Window.partitionBy("repo", "mode").orderBy(F.desc("score"), F.asc("doc_id"))
-    h = R.bm25(p, lengths, stats, QUERY).join(c, "doc_id").withColumn("rank", F.row_number().over(w)).filter("rank <= 5")
+    order = [F.desc("score"), F.asc("doc_id")]
+    best = keyed.top_n(R.bm25(p, lengths, stats, QUERY).join(c, "doc_id"), ["repo", "mode"], order, 5)  # five of each are left to rank
+    h = best.withColumn("rank", F.row_number().over(Window.partitionBy("repo", "mode").orderBy(*order)))
     repos = table(spark, sf_dir, "repos").select("repo", "priority")
     return h.join(repos, "repo", "left").select("repo", "mode", "doc_id", F.round(1.0 / (60 + F.col("rank")), 12).alias("score"), F.coalesce("priority", F.lit(0)).alias("priority"))
 
