@@ -62,30 +62,65 @@ def normal_join(folder: Column, spec: Column) -> Column:
     return F.when(done["ok"], F.array_join(done["a"], "/"))
 
 
+# Suffixes of files by how their imports name other files.
+IMPORTERS = {"js": ("js", "mjs", "cjs", "jsx", "ts", "tsx"), "py": ("py", "pyi"), "rs": ("rs",), "go": ("go",), "c": ("c", "h", "cc", "cpp", "hpp")}
+_RUST_LOCAL = r"^(crate|self|super)::"
+
+
+def import_candidates(src: Column, spec: Column) -> Column:
+    """struct(language, relative, escaped, folder, candidates): where an import of a file may lead, by the rules of its language, the most likely first.
+
+    candidates: struct(path, stage). JavaScript and TypeScript: the path itself, with an extension, as an index file. Python: a module or package, from as many folders
+    up as there are dots, else from the root. Rust: from the crate's src, the own or the parent's folder, a module or one that holds the last name. Go:
+    folders, by ever shorter ends of the import path. C: beside the file, then below include and the root.
+    """
+    suffix = F.lower(F.regexp_extract(src, r"\.([A-Za-z0-9]+)$", 1))
+    language = F.lit("other")
+    for name, ends in IMPORTERS.items():
+        language = F.when(suffix.isin(*ends), name).otherwise(language)
+    folder = F.regexp_extract(src, r"^(.*)/[^/]*$", 1)
+    one = lambda path, stage: F.struct(path.alias("path"), F.lit(stage).alias("stage"))
+    js_relative = spec.rlike(r"^\.{1,2}/")
+    js = normal_join(folder, spec)
+    indexes = [one(F.concat(js, F.lit("/index." + e)), "index") for e in MODULE_EXTENSIONS]
+    extended = [one(F.concat(js, F.lit("." + e)), "extension") for e in MODULE_EXTENSIONS]
+    of_js = F.when(spec.rlike(r"\.[A-Za-z0-9]+$"), F.array(one(js, "exact"))).when(spec.endswith("/"), F.array(*indexes)).otherwise(F.array(one(js, "exact"), *extended, *indexes))
+    dots = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
+    rest = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
+    py = F.when(dots == 0, rest).otherwise(normal_join(folder, F.concat(F.repeat(F.lit("../"), F.greatest(dots - 1, F.lit(0))), rest)))
+    package = one(F.when(py == "", F.lit("__init__.py")).otherwise(F.concat(py, F.lit("/__init__.py"))), "index")
+    of_py = F.when(rest == "", F.array(package)).otherwise(F.array(one(F.concat(py, F.lit(".py")), "extension"), package))
+    start = F.regexp_extract(spec, _RUST_LOCAL, 1)
+    tail = F.replace(F.regexp_replace(spec, _RUST_LOCAL, ""), F.lit("::"), F.lit("/"))
+    rs = F.when(start == "crate", F.concat(F.lit("src/"), tail)).when(start == "self", normal_join(folder, tail)).otherwise(normal_join(folder, F.concat(F.lit("../"), tail)))
+    holder = F.regexp_extract(rs, r"^(.*)/[^/]*$", 1)
+    of_rs = F.array(one(F.concat(rs, F.lit(".rs")), "extension"), one(F.concat(rs, F.lit("/mod.rs")), "index"), one(F.concat(holder, F.lit(".rs")), "parent"), one(F.concat(holder, F.lit("/mod.rs")), "parent"))
+    parts = F.split(spec, "/")
+    of_go = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("path"), F.lit("folder").alias("stage")))
+    of_c = F.array(one(normal_join(folder, spec), "beside"), one(F.concat(F.lit("include/"), spec), "include"), one(spec, "root"))
+    relative = ((language == "js") & js_relative) | ((language == "py") & (dots > 0)) | ((language == "rs") & spec.rlike(_RUST_LOCAL)) | (language.isin("c", "other") & js_relative)
+    found = (
+        F.when((language == "js") & ~js_relative, F.array().cast("array<struct<path:string,stage:string>>")).when(language == "js", of_js).when(language == "py", of_py)
+        .when((language == "rs") & spec.rlike(_RUST_LOCAL), of_rs).when(language == "go", of_go).when(language == "c", of_c).when((language == "other") & js_relative, of_js))
+    base = F.when(language == "py", py).when(language == "rs", rs).otherwise(js)
+    return F.struct(language.alias("language"), relative.alias("relative"), (relative & base.isNull()).alias("escaped"), (language == "go").alias("folder"), F.filter(found, lambda c: c["path"].isNotNull()).alias("candidates"))
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(repo, src, spec, dst, status, reason) of each import of a file.
+    """(repo, src, spec, dst, status, reason, language, stage) of each import of a file.
 
-    imports: repo, src (path), spec; files: repo, path. Relative specs only are looked up: one with an extension as itself, another as itself, with
-    each extension, then as an index file; one with a slash at its end as index files only. The first candidate that exists
-    is taken. Others are external. Specs that climb out of the root stay unresolved.
+    imports: repo, src (path), spec; files: repo, path. The first of an import's candidates that exists is taken; stage tells which kind it is. What names no
+    candidate that exists is unresolved if it is meant relative to the file or its crate, else external. Specs that climb out of the root stay unresolved.
     """
-    relative = F.col("spec").rlike(r"^\.{1,2}/")
-    i = imports.distinct().withColumn("relative", relative)
-    folder = F.regexp_extract("src", r"^(.*)/[^/]*$", 1)
-    base = normal_join(folder, F.col("spec"))
-    has_ext = F.col("spec").rlike(r"\.[A-Za-z0-9]+$")
-    index_only = F.col("spec").endswith("/")
-    plain = F.array(base)
-    with_ext = F.array(*[F.concat(base, F.lit("." + e)) for e in MODULE_EXTENSIONS])
-    index = F.array(*[F.concat(base, F.lit("/index." + e)) for e in MODULE_EXTENSIONS])
-    candidates = F.when(has_ext, plain).when(index_only, index).otherwise(F.concat(plain, with_ext, index))
-    rel = i.filter("relative").select("repo", "src", "spec", base.alias("base"), F.posexplode(candidates).alias("priority", "path"))
-    hits = rel.join(files.select("repo", "path").distinct(), ["repo", "path"]).groupBy("repo", "src", "spec").agg(F.min_by("path", "priority").alias("dst"))
+    i = imports.distinct().withColumn("__c", import_candidates(F.col("src"), F.col("spec"))).select("repo", "src", "spec", "__c.*")
+    known = files.select("repo", "path", F.lit(False).alias("folder")).distinct()
+    folders = files.filter(F.lower("path").endswith(".go")).select("repo", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path"), F.lit(True).alias("folder")).filter("path != ''").distinct()
+    asked = i.select("repo", "src", "spec", "folder", F.posexplode("candidates").alias("priority", "c")).select("repo", "src", "spec", "folder", "priority", "c.path", "c.stage")
+    hits = asked.join(known.unionByName(folders), ["repo", "path", "folder"]).groupBy("repo", "src", "spec").agg(F.min_by(F.struct("path", "stage"), "priority").alias("hit"))
     joined = i.join(hits, ["repo", "src", "spec"], "left")
-    escaped = F.col("relative") & normal_join(F.regexp_extract("src", r"^(.*)/[^/]*$", 1), F.col("spec")).isNull()
-    status = F.when(~F.col("relative"), "external").when(F.col("dst").isNotNull(), "resolved").otherwise("unresolved")
-    reason = F.when(status != "unresolved", None).when(escaped, "outside_root").when(F.col("spec").rlike(r"\.[A-Za-z0-9]+$"), "missing_file").otherwise("missing_candidates")
-    return joined.select("repo", "src", "spec", "dst", status.alias("status"), reason.alias("reason"))
+    status = F.when(F.col("hit").isNotNull(), "resolved").when(F.col("relative"), "unresolved").otherwise("external")
+    reason = F.when(status != "unresolved", None).when(F.col("escaped"), "outside_root").when(F.col("language").isin("js", "c", "other") & F.col("spec").rlike(r"\.[A-Za-z0-9]+$"), "missing_file").otherwise("missing_candidates")
+    return joined.select("repo", "src", "spec", F.col("hit.path").alias("dst"), status.alias("status"), reason.alias("reason"), "language", F.col("hit.stage").alias("stage"))
 
 
 def best_alias(specs: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:

@@ -13,19 +13,32 @@ from quernstone.runtime import table
 _IMPORTS_SQL = f"""f AS (SELECT * FROM {FILES_SQL}), i AS (SELECT DISTINCT repo, path AS src, unnest(list_distinct(regexp_extract_all(content, '{relations.IMPORT.replace(chr(39), chr(39) * 2)}', 1))) AS spec FROM f)"""
 
 
-_RESOLVED_SQL = f"""{_IMPORTS_SQL}, x AS (SELECT *, regexp_matches(spec, '^\\.{{1,2}}/') AS rel, regexp_extract(src, '^(.*)/[^/]*$', 1) AS dir FROM i),
-b AS (SELECT *, CASE WHEN starts_with(spec, '../') THEN regexp_extract(dir, '^(.*)/[^/]*$', 1) || '/' || substr(spec, 4) ELSE dir || '/' || substr(spec, 3) END AS base FROM x),
-c AS (SELECT repo, src, spec, unnest(CASE WHEN regexp_matches(spec, '\\.[A-Za-z0-9]+$') THEN [base] ELSE list_concat([base], list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '.' || e), list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '/index.' || e)) END) AS cand,
- generate_subscripts(CASE WHEN regexp_matches(spec, '\\.[A-Za-z0-9]+$') THEN [base] ELSE list_concat([base], list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '.' || e), list_transform(['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs'], lambda e: base || '/index.' || e)) END, 1) AS pr FROM b WHERE rel),
-h AS (SELECT c.repo, c.src, c.spec, min_by(c.cand, c.pr) AS dst FROM c JOIN (SELECT DISTINCT repo, path FROM f) g ON c.repo = g.repo AND c.cand = g.path GROUP BY ALL),
-ri AS (SELECT x.repo, x.src, x.spec, h.dst, CASE WHEN NOT x.rel THEN 'external' WHEN h.dst IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
-CASE WHEN NOT x.rel OR h.dst IS NOT NULL THEN NULL WHEN regexp_matches(x.spec, '\\.[A-Za-z0-9]+$') THEN 'missing_file' ELSE 'missing_candidates' END AS reason
-FROM x LEFT JOIN h ON x.repo = h.repo AND x.src = h.src AND x.spec = h.spec)"""
+_JS = "['ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs']"
+_UP = "regexp_extract({0}, '^(.*)/[^/]*$', 1)"
+# a folder and a relative path with ./ and up to three ../ worked off; null beyond the root
+_JOIN = ("CASE WHEN starts_with({1}, '../../../') THEN NULL WHEN starts_with({1}, '../../') THEN CASE WHEN contains({0}, '/') THEN ltrim(" + _UP.format(_UP.format("{0}")) + " || '/' || substr({1}, 7), '/') END "
+         "WHEN starts_with({1}, '../') THEN CASE WHEN {0} <> '' THEN ltrim(" + _UP.format("{0}") + " || '/' || substr({1}, 4), '/') END WHEN starts_with({1}, './') THEN ltrim({0} || '/' || substr({1}, 3), '/') ELSE ltrim({0} || '/' || {1}, '/') END")
+_RESOLVED_SQL = f"""{_IMPORTS_SQL}, x1 AS (SELECT *, {_UP.format('src')} AS dir, CASE WHEN regexp_matches(src, '(?i)\\.(?:js|mjs|cjs|jsx|ts|tsx)$') THEN 'js' WHEN regexp_matches(src, '(?i)\\.pyi?$') THEN 'py' WHEN regexp_matches(src, '(?i)\\.rs$') THEN 'rs' WHEN regexp_matches(src, '(?i)\\.go$') THEN 'go' WHEN regexp_matches(src, '(?i)\\.(?:c|h|cc|cpp|hpp)$') THEN 'c' ELSE 'other' END AS language,
+ regexp_matches(spec, '^\\.{{1,2}}/') AS jsrel, length(regexp_extract(spec, '^(\\.*)', 1)) AS dots, regexp_matches(spec, '^(?:crate|self|super)::') AS rsrel FROM i),
+x2 AS (SELECT *, (language = 'js' AND jsrel) OR (language = 'py' AND dots > 0) OR (language = 'rs' AND rsrel) OR (language IN ('c', 'other') AND jsrel) AS rel, replace(regexp_replace(spec, '^\\.+', ''), '.', '/') AS rest, replace(regexp_replace(spec, '^(?:crate|self|super)::', ''), '::', '/') AS tail FROM x1),
+x3 AS (SELECT *, {_JOIN.format('dir', 'spec')} AS js, CASE WHEN dots = 0 THEN rest ELSE {_JOIN.format('dir', "(repeat('../', CAST(dots - 1 AS INTEGER)) || rest)")} END AS py, CASE WHEN starts_with(spec, 'crate') THEN 'src/' || tail WHEN starts_with(spec, 'self') THEN {_JOIN.format('dir', 'tail')} ELSE {_JOIN.format('dir', "('../' || tail)")} END AS rs FROM x2),
+x4 AS (SELECT *, list_filter(CASE WHEN language IN ('js', 'other') AND jsrel THEN CASE WHEN regexp_matches(spec, '\\.[A-Za-z0-9]+$') THEN [js || '|exact'] WHEN ends_with(spec, '/') THEN list_transform({_JS}, lambda e: js || '/index.' || e || '|index')
+  ELSE list_concat([js || '|exact'], list_transform({_JS}, lambda e: js || '.' || e || '|extension'), list_transform({_JS}, lambda e: js || '/index.' || e || '|index')) END
+ WHEN language = 'py' THEN CASE WHEN rest = '' THEN [ltrim(py || '/__init__.py', '/') || '|index'] ELSE [py || '.py|extension', py || '/__init__.py|index'] END
+ WHEN language = 'rs' AND rsrel THEN [rs || '.rs|extension', rs || '/mod.rs|index', {_UP.format('rs')} || '.rs|parent', {_UP.format('rs')} || '/mod.rs|parent']
+ WHEN language = 'go' THEN list_transform(range(1, len(string_split(spec, '/')) + 1), lambda k: array_to_string(string_split(spec, '/')[CAST(k AS INTEGER):], '/') || '|folder')
+ WHEN language = 'c' THEN [js || '|beside', 'include/' || spec || '|include', spec || '|root'] ELSE [] END, lambda c: c IS NOT NULL) AS cs FROM x3),
+x5 AS (SELECT repo, src, spec, language, unnest(cs) AS cand, generate_subscripts(cs, 1) AS pr FROM x4),
+kn AS (SELECT DISTINCT repo, path, false AS folder FROM f UNION SELECT repo, {_UP.format('path')}, true FROM f WHERE ends_with(lower(path), '.go') AND {_UP.format('path')} <> ''),
+x6 AS (SELECT x5.repo, src, spec, arg_min(cand, pr) AS hit FROM x5 JOIN kn ON x5.repo = kn.repo AND split_part(cand, '|', 1) = kn.path AND (language = 'go') = kn.folder GROUP BY ALL),
+ri AS (SELECT x4.repo, x4.src, x4.spec, split_part(hit, '|', 1) AS dst, CASE WHEN hit IS NOT NULL THEN 'resolved' WHEN rel THEN 'unresolved' ELSE 'external' END AS status,
+ CASE WHEN hit IS NOT NULL OR NOT rel THEN NULL WHEN (CASE language WHEN 'py' THEN py WHEN 'rs' THEN rs ELSE js END) IS NULL THEN 'outside_root' WHEN language IN ('js', 'c', 'other') AND regexp_matches(x4.spec, '\\.[A-Za-z0-9]+$') THEN 'missing_file' ELSE 'missing_candidates' END AS reason, language, split_part(hit, '|', 2) AS stage
+ FROM x4 LEFT JOIN x6 ON x4.repo = x6.repo AND x4.src = x6.src AND x4.spec = x6.spec)"""
 
 
 @query(sql=f"WITH {_RESOLVED_SQL} SELECT * FROM ri")
 def j09_import_resolution(spark, sf_dir):
-    """Every import of every file."""
+    """Every import of every file, by the rules of its language."""
     return CG.file_imports(spark, sf_dir)
 
 
@@ -163,11 +176,13 @@ def g01_call_graph(spark, sf_dir):
     return e.select(number("src"), number("dst"))
 
 
-@query(sql=f"WITH {_IMPORTS_SQL} SELECT CASE WHEN NOT regexp_matches(spec, '^\\.{{1,2}}/') THEN 'external' ELSE 'relative' END AS kind, count(*) AS imports, count(DISTINCT repo || ' ' || src) AS files FROM i GROUP BY 1")
+@query(sql=f"WITH {_RESOLVED_SQL} SELECT language, status AS disposition, coalesce(reason, CASE status WHEN 'resolved' THEN 'found' ELSE 'not_in_repo' END) AS cause, coalesce(stage, 'none') AS stage, count(*) AS imports, count(DISTINCT repo || ' ' || src) AS files FROM ri GROUP BY ALL")
 def a18_import_taxonomy(spark, sf_dir):
-    rows = CG.file_imports(spark, sf_dir).select("repo", "src", "spec")
-    kind = F.when(F.col("spec").rlike(r"^\.{1,2}/"), "relative").otherwise("external")
-    return rows.distinct().groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("imports"), F.count_distinct(F.concat_ws(" ", "repo", "src")).alias("files"))
+    """Imports by language, what became of them, why, and at which candidate."""
+    i = CG.file_imports(spark, sf_dir)
+    cause = F.coalesce("reason", F.when(F.col("status") == "resolved", "found").otherwise("not_in_repo"))
+    return i.groupBy("language", F.col("status").alias("disposition"), cause.alias("cause"), F.coalesce("stage", F.lit("none")).alias("stage")).agg(
+        F.count(F.lit(1)).alias("imports"), F.count_distinct(F.concat_ws(" ", "repo", "src")).alias("files"))
 
 
 @query(sql=f"""WITH {_IMPORTS_SQL} SELECT DISTINCT spec, CASE WHEN spec = './rule' THEN './rule' WHEN starts_with(spec, './') THEN './*' WHEN starts_with(spec, 'crate::') THEN 'crate::*' END AS pattern,

@@ -86,6 +86,19 @@ def test_imports(spark):
     assert got["react"][1] == "external" and got["../../../up"][2] == "outside_root" and got["./none"][2] == "missing_candidates" and got["../c.js"][2] == "missing_file"
 
 
+def test_imports_by_language(spark):
+    files = [("r", p) for p in ("pkg/a.py", "pkg/__init__.py", "pkg/sub/b.py", "top/c.py", "src/x/mod.rs", "src/y.rs", "src/z/w.rs", "lib/net/n.go", "c/a.h", "include/b.h", "web/i/index.ts", "web/m.ts")]
+    given = [
+        ("pkg/sub/b.py", "..a", "pkg/a.py", "resolved", "extension"), ("pkg/sub/b.py", "..", "pkg/__init__.py", "resolved", "index"), ("pkg/a.py", ".sub.b", "pkg/sub/b.py", "resolved", "extension"), ("pkg/a.py", "top.c", "top/c.py", "resolved", "extension"),
+        ("pkg/a.py", "numpy.random", None, "external", None), ("pkg/a.py", "...x", None, "unresolved", None), ("src/y.rs", "crate::x::Thing", "src/x/mod.rs", "resolved", "parent"), ("src/z/w.rs", "super::y", "src/y.rs", "resolved", "extension"),
+        ("src/y.rs", "std::io", None, "external", None), ("src/y.rs", "self::q::R", None, "unresolved", None), ("m/a.go", "host.x/lib/net", "lib/net", "resolved", "folder"), ("m/a.go", "fmt", None, "external", None), ("c/m.c", "a.h", "c/a.h", "resolved", "beside"),
+        ("c/m.c", "b.h", "include/b.h", "resolved", "include"), ("c/m.c", "stdio.h", None, "external", None), ("web/a.js", "./i", "web/i/index.ts", "resolved", "index"), ("web/a.js", "./m", "web/m.ts", "resolved", "extension"), ("web/a.js", "react", None, "external", None)]
+    imports = spark.createDataFrame([("r", s, p) for s, p, *_ in given], "repo string, src string, spec string")
+    got = {(r.src, r.spec): (r.dst, r.status, r.stage) for r in Y.resolve_imports(imports, spark.createDataFrame(files, "repo string, path string")).collect()}
+    assert got == {(s, p): tuple(rest) for s, p, *rest in given}
+    assert {r.spec: r.reason for r in Y.resolve_imports(imports, spark.createDataFrame(files, "repo string, path string")).filter("status = 'unresolved'").collect()} == {"...x": "outside_root", "self::q::R": "missing_candidates"}
+
+
 def test_name_resolution(spark):
     symbols = spark.createDataFrame([(1, "r", "a", "f"), (2, "r", "b", "f"), (3, "r", "b", "g"), (4, "s", "a", "f")], "symbol_id long, repo string, file string, name string")
     refs = spark.createDataFrame([("own", "r", "a", "f"), ("two", "r", "c", "f"), ("one", "r", "c", "g"), ("none", "r", "c", "h"), ("null", "r", "c", None)], "ref_id string, repo string, file string, name string")
