@@ -358,6 +358,7 @@ _SPACED = re.compile(r"(?<!\S)((?:[^\W\d_]|[*#@$\d])(?: (?:[^\W\d_]|[*#@$\d])){3
 _TOKEN = re.compile(r"[^\s]+")
 _STRIP = ".,;:!?()[]{}<>\"'`´’‘“”«»„…¡¿-–—/\\^~"
 _OPENING, _CLOSING = ('"', "“", "«", "„", "`"), re.compile(r'["”“»`](?!\w)')
+_RUN = re.compile(r"(.)\1*", re.S)
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 _SENTENCE_END = re.compile(r"[.!?…]+[\"')\]]*$")
 
@@ -408,9 +409,22 @@ class Lexicon:
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
+        self.depths: dict[int, tuple[int, int]] = {}  # least and most letters from a node to the end of a term
+        self._measure(self.root)
         self.longest = 2 * max(map(len, terms), default=0) + 2  # of a word whose stretched letters are cut to two
         self.tokenizers = tokenizers
+        self.by_letters: dict[str, list[str]] = {}
+        for term in terms:
+            self.by_letters.setdefault(_RUN.sub(r"\1", term), []).append(term)
         self.known: dict[str, tuple[str, ...]] = {}
+        self.read: dict[str, tuple] = {}
+
+    def _measure(self, node: dict) -> tuple[int, int]:
+        """Depths of a node and all below it: as deep as the longest term."""
+        below = [self._measure(child) for t, child in node.items() if t]
+        least = min((a + 1 for a, _ in below), default=0)
+        self.depths[id(node)] = out = 0 if "" in node else least, max((b + 1 for _, b in below), default=0)
+        return out
 
     def find(self, word: str) -> tuple[str, ...]:
         """Terms a written word may stand for."""
@@ -421,6 +435,20 @@ class Lexicon:
                 self.known[word] = found
         return found
 
+    def token(self, raw: str) -> tuple:
+        """(word, terms, bits of the rules' sets, whether it ends a sentence, ends with a comma, opens or closes a quotation) of a token as written."""
+        out = self.read.get(raw)
+        if out is None:
+            word = bare(raw)
+            found = self.find(word) if word else ()
+            mask = 0
+            for t in found:
+                mask |= _MASKS.get(t, 0)
+            out = word, found, mask, bool(_SENTENCE_END.search(raw)), raw.endswith(","), raw.startswith(_OPENING), _CLOSING.search(raw) is not None
+            if len(self.read) < 200_000:
+                self.read[raw] = out
+        return out
+
     def ordinary(self, word: str) -> bool:
         """Whether a word, its look-alike digits read as letters or left out at its end, is a frequent one."""
         known = ordinary_words(self.tokenizers)
@@ -428,23 +456,35 @@ class Lexicon:
 
     def _search(self, word: str) -> tuple[str, ...]:
         word = _STRETCHED.sub(r"\1\1", word)
-        exact = self._walk(word, 0)
+        exact = self._spelled(word) if word.isalpha() else self._walk(word, 0)
         if exact:
             return exact
-        if len(word) >= 4 and word[0].isalpha():
+        if len(word) >= 4 and word[0].isalpha() and not self.ordinary(word):
             # a word of letters alone may well be another word: only insults and slurs, and other terms in long words, are taken for misspelled
             letters = word.isalpha()
             long = len(word) >= (8 if letters else 6)
             near = tuple(t for t in self._walk(word, 1) if t[0] == word[0] and ((long and len(t) >= (7 if letters else 5)) or (letters and t in _NEAR_SET and (len(t) > 4 or len(t) == len(word) == 4))))
             if not near and letters and len(word) >= 9:
                 near = tuple(t for t in self._walk(word, 2) if t in _NEAR_SET and len(t) >= 10)
-            if near and not self.ordinary(word):
+            if near:
                 return near
         plain = word.translate(_DIGITS) if any(c.isalpha() for c in word) else word
         if _PEOPLE.fullmatch(plain) and not self.ordinary(plain):
             return (DEMONYM,)
         return ()
 
+    def _spelled(self, word: str) -> tuple[str, ...]:
+        """Terms a word of letters alone is, stretched letters aside: what the automaton finds without an edit."""
+        runs = None
+        out = []
+        for term in self.by_letters.get(_RUN.sub(r"\1", word), ()):
+            if term != word:
+                runs = runs or [len(m.group()) for m in _RUN.finditer(word)]
+                if any(a < len(m.group()) for a, m in zip(runs, _RUN.finditer(term))):
+                    continue
+            out.append(term)
+        return tuple(sorted(out))
+
     def _walk(self, word: str, edits: int) -> tuple[str, ...]:
         """Product of the trie and the automaton of `word` with up to `edits` edits, none of them in the first letter. Two letters swapped are one edit.
 
@@ -455,14 +495,21 @@ class Lexicon:
             return ()
         if sum(not c.isalnum() and c not in LOOK_ALIKE and c not in MASK for c in word) > edits:
             return ()  # each sign that stands for no letter takes an edit
-        n, found = len(word), {}
+        n, found, depths = len(word), {}, self.depths
+        runs = [0] * (n + 1)  # runs of one letter from each place on: each takes a letter of the term or an edit
+        for i in range(n - 1, -1, -1):
+            runs[i] = runs[i + 1] + (i + 1 == n or word[i + 1] != word[i] or word[i] in MASK)
         # where edits are allowed the first letter must be right
         begin = self.root.get(word[0]) if edits else self.root
         todo = [] if begin is None else [(begin, 1, 0, word[0])] if edits else [(begin, 0, 0, "")]
         seen = set()
         while todo:
             node, i, used, last = todo.pop()
-            key = (id(node), i, used, last)
+            here = id(node)
+            least, most = depths[here]
+            if least > n - i + edits - used or runs[i] > most + edits - used + 1:
+                continue  # no term below is as short, or as long
+            key = (here, i, used, last)
             if key in seen:
                 continue
             seen.add(key)
@@ -546,19 +593,17 @@ def passages(text: str, lexicon: Lexicon):
     """(score, category) of each passage of a text that has weight."""
     form = plain_form(text)
     words, ends, commas, quoted, sentence, terms, masks = [], [], [], [], [], [], []
-    quote, number, last, whole = None, 0, 0, 0  # quote: the word that an open quotation begins with
-    known: dict[str, tuple] = {}
+    # without an insult, or a word of each set of a rule, there is nothing to weigh
+    whole, token = 0, lexicon.token
+    for raw in set(form.split()):
+        whole |= token(raw)[2]
+    possible = [(chain, rule) for every, chain, rule in _NEEDS if whole & every == every]
+    if not possible and not whole & _INSULT_BIT:
+        return
+    quote, number, last = None, 0, 0  # quote: the word that an open quotation begins with
     for m in _TOKEN.finditer(form):
         raw = m.group()
-        seen = known.get(raw)
-        if seen is None:
-            word = bare(raw)
-            found = lexicon.find(word) if word else ()
-            mask = 0
-            for t in found:
-                mask |= _MASKS.get(t, 0)
-            seen = known[raw] = word, found, mask, bool(_SENTENCE_END.search(raw)), raw.endswith(","), raw.startswith(_OPENING), _CLOSING.search(raw) is not None
-        word, found, mask, final, comma, opens, closes = seen
+        word, found, mask, final, comma, opens, closes = token(raw)
         gap, last = form[last : m.start()], m.end()
         parted = max(gap.count("\n"), gap.count("\r")) > 1
         if parted and words and not ends[-1]:
@@ -569,7 +614,6 @@ def passages(text: str, lexicon: Lexicon):
         opened = opens and (quote is None or not _CLOSING.match(raw))
         if opened:
             quote = len(words)
-        whole |= mask
         words.append(word)
         ends.append(final)
         commas.append(comma)
@@ -581,10 +625,6 @@ def passages(text: str, lexicon: Lexicon):
         if closes and quote is not None and _CLOSING.search(raw, 1 if opened else 0):
             quoted[quote:] = [True] * (len(words) - quote)
             quote = None
-    # without an insult, or a word of each set of a rule, there is nothing to weigh
-    possible = [(chain, rule) for every, chain, rule in _NEEDS if whole & every == every]
-    if not possible and not whole & _INSULT_BIT:
-        return
     n = len(words)
 
     def near(k, names, before, after):
