@@ -20,7 +20,7 @@ RARE = 2  # terms in at most so many chunks are too rare
 COMMON = 0.2  # terms in more than this share of a mode's chunks are too common
 SEP = "\x1f"
 PACK = 1 << 16  # tokens of a range: what one packed array of postings can hold is bounded by it
-AGAIN = 1_000_000  # ids of chunks that come again up to which they are broadcast; more are met by a shuffle join
+AGAIN = 1_000_000  # ids of chunks that come again, or are no more, up to which they are broadcast; more are met by a shuffle join
 LOCAL = 256  # n-grams of a chunk whose repeats are told in place; longer lists go the way of chunks that come again
 
 
@@ -70,21 +70,25 @@ def count_terms(rows: DataFrame, heavy: list[str]) -> DataFrame:
 
 def _token_rows(live: DataFrame, chunks: DataFrame, vocab: DataFrame) -> DataFrame:
     """(key, occurrences) of each token in each chunk that exists, once."""
-    # ids of tokens that differ in case only, to the least id among them: few rows
+    # ids of tokens that differ in case only, with the least id among them: few rows
     spellings = (
         vocab.groupBy("mode", "token").agg(F.min("token_id").alias("term_id"), F.collect_set("token_id").alias("ids"))
-        .filter(F.size("ids") > 1).select("mode", "term_id", F.explode("ids").alias("token_id")).filter("term_id != token_id")
+        .filter(F.size("ids") > 1).select("mode", "term_id", F.explode("ids").alias("token_id"))
     )
+    # chunks that are no more are told by ids alone, so that postings need no second move to meet those that are
+    gone = cut(live.select("doc_id").distinct().join(chunks.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"))
     packed = live.groupBy("doc_id", "mode", F.floor(F.col("token_id") / PACK).alias("range")).agg(
         F.collect_set(F.shiftleft(F.pmod("token_id", F.lit(PACK)).cast("long"), 32) + F.col("tf").cast("long")).alias("codes"))
-    there = packed.join(chunks.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    there = packed.join(F.broadcast(gone) if gone.count() <= AGAIN else gone, "doc_id", "left_anti")
     code = F.col("code")
     once = there.select("doc_id", "mode", "range", F.explode("codes").alias("code")).select(
-        "doc_id", "mode", (F.col("range") * PACK + F.shiftright(code, 32)).alias("token_id"), code.bitwiseAND((1 << 32) - 1).alias("tf"))
+        "doc_id", "mode", "range", (F.col("range") * PACK + F.shiftright(code, 32)).alias("token_id"), code.bitwiseAND((1 << 32) - 1).alias("tf"))
     named = once.join(spellings, ["mode", "token_id"], "left")
-    # two spellings of a term in one chunk, or two counts of one token, are one occurrence of the term: only such chunks' rows meet again
-    return named.groupBy("doc_id", "mode", F.coalesce("term_id", "token_id").alias("term_id")).agg(F.sum("tf").alias("occurrences")).select(
-        _key(F.col("mode"), "token", F.col("term_id").cast("string")).alias("key"), F.col("occurrences").cast("long").alias("occurrences"))
+    key = lambda term: _key(F.col("mode"), "token", F.col(term).cast("string")).alias("key")
+    # tokens of one spelling are summed where they lie; only those of several meet across ranges
+    alone = named.filter("term_id is null").groupBy("doc_id", "mode", "range", "token_id").agg(F.sum("tf").alias("n")).select(key("token_id"), F.col("n").cast("long").alias("occurrences"))
+    shared = named.filter("term_id is not null").groupBy("doc_id", "mode", "term_id").agg(F.sum("tf").alias("n")).select(key("term_id"), F.col("n").cast("long").alias("occurrences"))
+    return alone.unionAll(shared)
 
 
 def _ngram_rows(chunks: DataFrame) -> DataFrame:
