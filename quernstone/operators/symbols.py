@@ -24,29 +24,36 @@ def resolve_names(refs: DataFrame, symbols: DataFrame, imports: DataFrame | None
     named = symbols.select("symbol_id", "repo", "file", "name").withColumn("leaf", leaf(F.col("name")))
     forms = named.select("symbol_id", "repo", "file", F.col("name").alias("key"), F.lit(0).alias("form")).unionByName(
         named.filter("leaf != name and leaf != ''").select("symbol_id", "repo", "file", F.col("leaf").alias("key"), F.lit(1).alias("form")))
-    best = lambda df, keys: df.groupBy(*keys, "key").agg(F.min(F.struct("form", F.lit(0).alias("n"), F.col("symbol_id").alias("s"))).alias("least"), F.count(F.when(F.col("form") == 0, 1)).alias("whole"), F.count(F.lit(1)).alias("every"))
+    whole_only = lambda v: F.when(F.col("form") == 0, v)
     # symbols whose whole name fits go before those of which the last part does
-    found = lambda df, keys, at: best(df, keys).select(*keys, "key", F.struct(F.col("least.s").alias("s"), F.when(F.col("whole") > 0, F.col("whole")).otherwise(F.col("every")).alias("n")).alias(at))
-    asked = refs.withColumn("__leaf", leaf(F.col("name")))
-    out, order = asked, []
-    own = found(forms, ["repo", "file"], "at")
-    everywhere = found(forms, ["repo"], "at")
-    levels = [("file", own, ["repo", "file"])]
+    found = lambda df, keys: df.groupBy(*keys, "key").agg(
+        F.min(whole_only(F.col("symbol_id"))).alias("w"), F.min("symbol_id").alias("a"), F.count(whole_only(F.lit(1))).alias("wn"), F.count(F.lit(1)).alias("an")
+    ).select(*keys, "key", F.when(F.col("wn") > 0, F.col("w")).otherwise(F.col("a")).alias("s"), F.when(F.col("wn") > 0, F.col("wn")).otherwise(F.col("an")).alias("n"))
+    levels = [("file", found(forms, ["repo", "file"]), ["repo", "file"])]
     if imports is not None:
         reached = imports.select("repo", F.col("src").alias("file"), "dst").filter("dst is not null").distinct().join(forms.withColumnRenamed("file", "dst"), ["repo", "dst"])
-        levels.append(("import", found(reached.select("symbol_id", "repo", "file", "key", "form"), ["repo", "file"], "at"), ["repo", "file"]))
-    levels.append(("repo", everywhere, ["repo"]))
-    qualified = F.col("name") != F.col("__leaf")
-    for level, side, keys in levels:
-        for whole in (True, False):
-            at = f"__{level}_{int(whole)}"
-            by = side.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("key").alias("__key"), F.col("at").alias(at))
-            on = (F.col("__key") == F.col("name")) if whole else (qualified & (F.col("__key") == F.col("__leaf")))
-            for i, k in enumerate(keys):
-                on = on & (F.col(k) == F.col(f"__k{i}"))
-            out = out.join(by, on, "left").drop("__key", *[f"__k{i}" for i in range(len(keys))])
-            order.append((level, at))
-    pick = F.coalesce(*[F.when(F.col(at).isNotNull(), F.struct(F.col(at)["s"].alias("s"), F.col(at)["n"].alias("n"), F.lit(level).alias("level"))) for level, at in order])
+        levels.append(("import", found(reached.select("symbol_id", "repo", "file", "key", "form"), ["repo", "file"]), ["repo", "file"]))
+    levels.append(("repo", found(forms, ["repo"]), ["repo"]))
+    asked = refs.withColumn("__leaf", leaf(F.col("name")))
+    qualified = F.coalesce((F.col("name") != F.col("__leaf")) & (F.col("__leaf") != ""), F.lit(False))
+
+    def resolved(rows: DataFrame, names: list[str]) -> DataFrame:
+        """Rows with what each level finds for each of the names, level by level."""
+        order = []
+        for level, side, keys in levels:
+            for of in names:
+                at = f"__{level}{of}"
+                by = side.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("key").alias("__key"), F.struct("s", "n", F.lit(level).alias("level")).alias(at))
+                on = F.col("__key") == F.col(of)
+                for i, k in enumerate(keys):
+                    on = on & (F.col(k) == F.col(f"__k{i}"))
+                rows = rows.join(by, on, "left").drop("__key", *[f"__k{i}" for i in range(len(keys))])
+                order.append(at)
+        return rows.withColumn("__pick", F.coalesce(*order)).drop(*order)
+
+    # names without parts need no look at their last one
+    out = resolved(asked.filter(~qualified), ["name"]).unionByName(resolved(asked.filter(qualified), ["name", "__leaf"]))
+    pick = F.col("__pick")
     n = F.coalesce(pick["n"], F.lit(0))
     extra = [*(keep or []), *([pick["level"].alias("level")] if keep else [])]
     return out.select("ref_id", F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(n == 1, pick["s"]).alias("symbol_id"), n.alias("candidates"), *extra)
