@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from quernstone.arrow import map_rows
+from quernstone.operators.keyed import ordered_rank
+from quernstone.runtime import cut
 
 # Lines that begin a chunk, by the suffix of the file.
 HEADINGS = {
@@ -243,16 +245,44 @@ def chunk_of(points: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.filter("point is not null").select("file_id", "point", F.coalesce("next", "end_id").alias("id")).filter("id is not null")
 
 
+# Characters around a chunk that are part of its identity, and those after a collision.
+NEAR_CONTEXT, WIDE_CONTEXT = 128, 1024
+
+
+def identity_parts(content: Column, start: Column, end: Column) -> Column:
+    """struct of digests of a range of a text and of what is around it, near and wide; null where there is nothing around."""
+    lo, hi = F.greatest(start, F.lit(0)), F.greatest(end, start, F.lit(0))
+    piece = lambda a, b: F.substring(content, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+    digest = lambda t: F.when(t != "", F.md5(t))
+    before = lambda n: digest(piece(F.greatest(lo - n, F.lit(0)), lo))
+    after = lambda n: digest(piece(hi, hi + n))
+    return F.struct(F.md5(piece(lo, hi)).alias("span"), before(NEAR_CONTEXT).alias("pre"), after(NEAR_CONTEXT).alias("post"), before(WIDE_CONTEXT).alias("wide_pre"), after(WIDE_CONTEXT).alias("wide_post"))
+
+
 def uids(chunks: DataFrame) -> DataFrame:
-    """(id, uid): stable ids from place and text; equal ones get ordinals by id.
+    """(id, uid): ids of chunks that survive moves: namespace, path, digests of the text and of what is around it.
 
-    chunks: id, repo, path, text. The ordinal is counted in parts of a key, so that many equal chunks are no problem.
+    chunks: id, repo, path, parts (see identity_parts), salt, place. Chunks of one uid take their salt into the text's digest; those that still agree the wider
+    surroundings; those that do even then get ordinals in the order of their place. Collisions are counted by uid, never gathered.
     """
-    from quernstone.operators.keyed import spread_rank
-
-    base = chunks.select("id", F.concat(F.lit("ck64:v1:"), F.concat_ws(":", F.coalesce("repo", F.lit("")), F.coalesce("path", F.lit("")), F.md5(F.coalesce("text", F.lit(""))))).alias("uid"))
-    r = spread_rank(base, ["uid"], "id", "n")
-    return r.select("id", F.when(F.col("n") == 1, F.col("uid")).otherwise(F.concat("uid", F.lit(":ord"), F.col("n").cast("string"))).alias("uid"))
+    def uid(salted: bool, wide: bool):
+        p = F.col("parts")
+        span = F.md5(F.concat_ws(":", F.lit("span"), "salt", p["span"])) if salted else p["span"]
+        return F.concat_ws(":", F.lit("ck64:v1"), F.coalesce("repo", F.lit("repo")), F.coalesce("path", F.lit("")), span, p["wide_pre" if wide else "pre"], p["wide_post" if wide else "post"])
+
+    def parted(df):
+        """Rows whose uid is theirs alone, and the others."""
+        again = df.groupBy("uid").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("uid").alias("__uid"))
+        marked = cut(df.join(again, F.col("uid") == F.col("__uid"), "left"))
+        return marked.filter("__uid is null").drop("__uid"), marked.filter("__uid is not null").drop("__uid")
+
+    done, rest = parted(chunks.withColumn("uid", uid(False, False)))
+    out = done.select("id", "uid")
+    for wide in (False, True):
+        done, rest = parted(rest.withColumn("uid", uid(True, wide)))
+        out = out.unionByName(done.select("id", "uid"))
+    ranked = ordered_rank(rest.select("id", "uid", "place"), ["uid"], [F.asc("place"), F.asc("id")], "n")
+    return out.unionByName(ranked.select("id", F.concat("uid", F.lit(":ord"), F.col("n").cast("string")).alias("uid")))
 
 
 _WORDS = StructType([StructField("token", StringType()), StructField("parts", StringType())])

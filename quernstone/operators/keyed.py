@@ -17,19 +17,8 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, salts: in
 
 
 def spread_rank(df: DataFrame, keys: list[str], order: str, name: str = "rank") -> DataFrame:
-    """df with a rank from 1 within keys, by two hexadecimal digits of the order's digest, then the order itself.
-
-    Each part of a key is ranked on its own and shifted by the sizes of the parts before it, so that no task holds a whole key.
-    """
-    parted = df.withColumn("__part", F.substring(F.md5(F.col(order).cast("string")), 1, 2))
-    local = parted.withColumn("__local", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(order)))
-    sizes = parted.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__size"))
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.withColumn("__shift", F.coalesce(F.sum("__size").over(before), F.lit(0))).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__shift")
-    on = F.col("__part") == F.col("__p")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return local.join(shifts, on).withColumn(name, F.col("__local") + F.col("__shift")).select(*df.columns, name)
+    """df with a rank from 1 within keys by one column that tells all rows of a key apart."""
+    return ordered_rank(df, keys, [F.col(order).asc()], name)
 
 
 def ordered_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -42,5 +31,8 @@ def ordered_rank(df: DataFrame, keys: list[str], order: list[Column], name: str
     local = laid.withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order)))
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = laid.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__size")).withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    on = [*keys, "__p"]
-    return local.join(sizes.select(*on, "__before"), on).withColumn(name, (F.col("__n") + F.col("__before")).cast("int")).select(*df.columns, name)
+    side = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__p").alias("__q"), "__before")
+    on = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return local.join(side, on).withColumn(name, (F.col("__n") + F.col("__before")).cast("int")).select(*df.columns, name)

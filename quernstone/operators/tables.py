@@ -141,3 +141,15 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.substring("content", (F.col("c.start") + 1).cast("int"), F.greatest(F.col("c.end") - F.col("c.start"), F.lit(0)).cast("int"))
         return one.select("c.*", "file_id", "path", "suffix", "lang", "imports", F.when((F.col("c.end") > F.col("c.start")) & (F.col("c.start") >= 0), text).alias("text"))
     return stored(spark, sf_dir, "located", ("chunks", "files"), build)
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, repo, path, parts, salt, place) of chunks of known files: what their stable ids are made from; contents move as for `located`."""
+    from quernstone.operators.chunking import identity_parts
+
+    c = with_file_id(chunks(spark, sf_dir, "chunk_id", "repo", "file_id", "file", "start", "end", "startLine", "endLine", "kind", "name"), table(spark, sf_dir, "files"))
+    rows = files_with_chunks(c, files(spark, sf_dir, "path", "content"), F.struct(*[k for k in c.columns if k != "file_id"]))
+    one = rows.select("path", "content", F.explode("refs").alias("c"))
+    text = lambda *names: F.concat_ws(":", *[F.coalesce(F.col(f"c.{n}").cast("string"), F.lit("")) for n in names])
+    return one.select("c.id", "c.repo", "path", identity_parts(F.coalesce("content", F.lit("")), F.coalesce("c.start", F.lit(0)), F.coalesce("c.end", F.lit(0))).alias("parts"),
+                      text("chunk_id", "startLine", "endLine", "kind", "name").alias("salt"), text("start", "end", "kind", "name").alias("place"))

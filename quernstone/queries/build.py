@@ -115,10 +115,22 @@ def t29_line_matches(spark, sf_dir):
     return C.line_matches(m, c)
 
 
-@query(sql=f"""WITH u AS (SELECT id, 'ck64:v1:' || concat_ws(':', coalesce(repo, ''), coalesce(path, ''), md5(coalesce(text, ''))) AS uid FROM {LOCATED_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY substr(md5(id::VARCHAR), 1, 2), id) AS n FROM u)
-SELECT id, CASE WHEN n = 1 THEN uid ELSE uid || ':ord' || n END AS uid FROM r""")
+_PIECE = "md5(nullif(substring(content, CAST({0} + 1 AS BIGINT), CAST(greatest({1} - ({0}), 0) AS BIGINT)), ''))"
+
+
+def _uid_sql(span, pre, post):
+    return f"concat_ws(':', 'ck64:v1', coalesce(repo, 'repo'), coalesce(path, ''), {span}, {pre}, {post})"
+
+
+@query(sql=f"""WITH a AS (SELECT id, repo, path, coalesce(content, '') AS content, greatest(coalesce(start, 0), 0) AS lo, greatest(coalesce("end", 0), coalesce(start, 0), 0) AS hi, concat_ws(':', coalesce(chunk_id, ''), coalesce(startLine::VARCHAR, ''), coalesce(endLine::VARCHAR, ''), coalesce(kind, ''), coalesce(name, '')) AS salt,
+concat_ws(':', coalesce(start::VARCHAR, ''), coalesce("end"::VARCHAR, ''), coalesce(kind, ''), coalesce(name, '')) AS place FROM {LOCATED_SQL}),
+p AS (SELECT *, md5(substring(content, CAST(lo + 1 AS BIGINT), CAST(hi - lo AS BIGINT))) AS span, {_PIECE.format('greatest(lo - 128, 0)', 'lo')} AS pre, {_PIECE.format('hi', '(hi + 128)')} AS post, {_PIECE.format('greatest(lo - 1024, 0)', 'lo')} AS wpre, {_PIECE.format('hi', '(hi + 1024)')} AS wpost FROM a),
+u AS (SELECT *, {_uid_sql('span', 'pre', 'post')} AS u0, {_uid_sql("md5('span:' || salt || ':' || span)", 'pre', 'post')} AS u1, {_uid_sql("md5('span:' || salt || ':' || span)", 'wpre', 'wpost')} AS u2 FROM p),
+c0 AS (SELECT *, count(*) OVER (PARTITION BY u0) AS n0 FROM u), c1 AS (SELECT *, count(*) OVER (PARTITION BY u1) AS n1 FROM c0 WHERE n0 > 1), c2 AS (SELECT *, count(*) OVER (PARTITION BY u2) AS n2, row_number() OVER (PARTITION BY u2 ORDER BY place, id) AS k FROM c1 WHERE n1 > 1)
+SELECT id, u0 AS uid FROM c0 WHERE n0 = 1 UNION ALL SELECT id, u1 FROM c1 WHERE n1 = 1 UNION ALL SELECT id, CASE WHEN n2 = 1 THEN u2 ELSE u2 || ':ord' || k END FROM c2""")
 def t30_chunk_uids(spark, sf_dir):
-    return C.uids(tables.located(spark, sf_dir))
+    """Stable ids of chunks, with salt, wider surroundings and ordinals where they collide."""
+    return C.uids(tables.identities(spark, sf_dir))
 
 
 @query(sql=f"SELECT repo, count(*) AS files, CAST(sum(CAST('0x' || substr(md5(path || ':' || md5(content)), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM {FILES_SQL} GROUP BY repo")

@@ -250,7 +250,7 @@ _STATES_SQL = f"""f AS (SELECT file_id, repo || ':' || path AS path, content FRO
 a AS (SELECT path, md5(content) AS hash, length(content) AS size FROM (SELECT CASE WHEN file_id % 9 = 1 THEN path || '.moved' ELSE path END AS path, CASE WHEN file_id % 9 = 2 THEN content || 'x' ELSE content END AS content FROM f WHERE file_id % 9 <> 0
 UNION ALL SELECT path || '.copy', content FROM f WHERE file_id % 50 = 7)),
 j AS (SELECT coalesce(a.path, b.path) AS path, b.hash AS bh, a.hash AS ah, nullif(b.size, 0) AS bs, nullif(a.size, 0) AS az, b.path IS NOT NULL AS inb, a.path IS NOT NULL AS ina FROM b FULL JOIN a ON a.path = b.path),
-rm AS (SELECT path, bh AS hash, row_number() OVER (PARTITION BY bh ORDER BY substr(md5(path), 1, 2), path) AS rn FROM j WHERE NOT ina), ad AS (SELECT path, ah AS hash, row_number() OVER (PARTITION BY ah ORDER BY substr(md5(path), 1, 2), path) AS rn FROM j WHERE NOT inb),
+rm AS (SELECT path, bh AS hash, row_number() OVER (PARTITION BY bh ORDER BY path) AS rn FROM j WHERE NOT ina), ad AS (SELECT path, ah AS hash, row_number() OVER (PARTITION BY ah ORDER BY path) AS rn FROM j WHERE NOT inb),
 ev AS (SELECT 'modified' AS kind, path, path AS path_before FROM j WHERE ina AND inb AND (bh IS DISTINCT FROM ah OR bs IS DISTINCT FROM az)
 UNION ALL SELECT CASE WHEN ad.path IS NULL THEN 'removed' WHEN rm.path IS NULL THEN 'added' ELSE 'renamed' END, coalesce(ad.path, rm.path), rm.path FROM rm FULL JOIN ad ON rm.hash = ad.hash AND rm.rn = ad.rn)"""
 
@@ -279,9 +279,9 @@ def chunk_states(spark, sf_dir):
 
 @query(sql=f"""WITH b AS (SELECT id AS uid, chunk_id, concat_ws('|', file, kind, name) AS logical, coalesce(start, 0) AS s, coalesce("end", 0) AS e, md5(coalesce(docmeta.signature, '')) AS h FROM {CHUNKS_SQL} WHERE chunk_id IS NOT NULL),
 a AS (SELECT uid, CASE WHEN uid % 8 IN (1, 2) THEN chunk_id || '!' ELSE chunk_id END AS chunk_id, CASE WHEN uid % 8 = 2 THEN logical || '!' ELSE logical END AS logical, CASE WHEN uid % 8 = 3 THEN s + 5 ELSE s END AS s, e, CASE WHEN uid % 8 = 4 THEN 'changed' ELSE h END AS h FROM b WHERE uid % 8 <> 0),
-b1 AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY substr(md5(uid::VARCHAR), 1, 2), uid) AS rn FROM b), a1 AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY substr(md5(uid::VARCHAR), 1, 2), uid) AS rn FROM a),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY uid) AS rn FROM b), a1 AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY uid) AS rn FROM a),
 p1 AS (SELECT a1.chunk_id, a1.logical, b1.uid AS bu, a1.uid AS au, b1.h AS bh, a1.h AS ah, b1.s AS bs, a1.s AS az, b1.e AS be, a1.e AS ae FROM b1 JOIN a1 ON b1.chunk_id = a1.chunk_id AND b1.rn = a1.rn),
-b2 AS (SELECT *, row_number() OVER (PARTITION BY logical ORDER BY substr(md5(uid::VARCHAR), 1, 2), uid) AS rn FROM b WHERE uid NOT IN (SELECT bu FROM p1)), a2 AS (SELECT *, row_number() OVER (PARTITION BY logical ORDER BY substr(md5(uid::VARCHAR), 1, 2), uid) AS rn FROM a WHERE uid NOT IN (SELECT au FROM p1)),
+b2 AS (SELECT *, row_number() OVER (PARTITION BY logical ORDER BY uid) AS rn FROM b WHERE uid NOT IN (SELECT bu FROM p1)), a2 AS (SELECT *, row_number() OVER (PARTITION BY logical ORDER BY uid) AS rn FROM a WHERE uid NOT IN (SELECT au FROM p1)),
 p2 AS (SELECT coalesce(a2.chunk_id, b2.chunk_id) AS chunk_id, coalesce(a2.logical, b2.logical) AS logical, b2.uid AS bu, a2.uid AS au, b2.h AS bh, a2.h AS ah, b2.s AS bs, a2.s AS az, b2.e AS be, a2.e AS ae FROM b2 FULL JOIN a2 ON b2.logical = a2.logical AND b2.rn = a2.rn)
 SELECT kind, chunk_id, logical FROM (SELECT *, CASE WHEN bu IS NULL THEN 'added' WHEN au IS NULL THEN 'removed' WHEN bh <> ah THEN 'modified' WHEN bs <> az OR be <> ae THEN 'moved' ELSE 'same' END AS kind FROM (SELECT * FROM p1 UNION ALL BY NAME SELECT * FROM p2)) WHERE kind <> 'same'""")
 def j13_chunk_changes(spark, sf_dir):
