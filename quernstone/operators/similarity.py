@@ -89,6 +89,109 @@ def minhash(df: DataFrame, key: str, tokens: str, slots: int = MINHASH_SLOTS) ->
     return df.select(key, tokens).mapInArrow(sign, f"`{key}` {kind}, signature array<bigint>")
 
 
+LISTS, FIT_ROWS = 64, 20_000  # lists around centroids, and rows of the sample that centroids are fitted to
+
+
+def centroids(vectors: DataFrame, lists: int = LISTS, rows: int = FIT_ROWS, column: str = "embedding", key: str = "vec_id") -> np.ndarray:
+    """Centres of vectors: a few rounds of k-means over a sample of at most `rows` rows, taken by the digests of their keys."""
+    sample = vectors.filter(F.col(column).isNotNull()).select(column).orderBy(F.xxhash64(key), key).limit(rows).collect()
+    x = np.array([r[0] for r in sample], dtype=np.float64)
+    if not len(x):
+        return np.empty((0, 0))
+    c = x[:: max(1, len(x) // lists)][:lists].copy()
+    for _ in range(8):
+        near = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+        for k in range(len(c)):
+            mine = x[near == k]
+            if len(mine):
+                c[k] = mine.mean(axis=0)
+    return c
+
+
+def listed(vectors: DataFrame, c: np.ndarray, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(key, column, list, radius): every vector with the list of its nearest centroid and its distance to it: the index. Keep it laid out by list."""
+    bound = vectors.sparkSession.sparkContext.broadcast(c)
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def assign(batches):
+        centres = bound.value
+        norms = 0.5 * (centres * centres).sum(axis=1)
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            if len(x):
+                near = (x @ centres.T - norms).argmax(axis=1)
+                far = np.sqrt(((x - centres[near]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(near.astype(np.int32)), pa.array(far)], [key, column, "list", "radius"])
+
+    return vectors.filter(F.col(column).isNotNull()).select(key, column).mapInArrow(assign, f"`{key}` {kind}, `{column}` array<double>, list int, radius double")
+
+
+def pruned_nearest(index: DataFrame, c: np.ndarray, queries: DataFrame, k: int, probes: int = 4, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(query_id, id, score, rank): what `nearest` gives, exactly, without a look at lists that cannot hold a better row.
+
+    No row of a list has a dot product with q above q.c + |q| * radius. A first pass over the lists of the greatest q.c gives each query a k-th score; the
+    second goes through those lists alone whose bound reaches it. Queries are read in blocks of QUERY_BLOCK.
+    """
+    spark = index.sparkSession
+    radii = {r[0]: r[1] for r in index.groupBy("list").agg(F.max("radius").alias("r")).collect()}  # one row a list
+    out = None
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).filter(F.col(column).isNotNull()).select(key, column).collect()
+        if not rows or not radii:
+            continue
+        ids, q = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+        lists = np.array(sorted(radii))
+        towards = q @ c[lists].T
+        reach = towards + np.linalg.norm(q, axis=1)[:, None] * np.array([radii[n] for n in lists.tolist()])[None, :] + 1e-9
+        first = np.argsort(-towards, axis=1, kind="stable")[:, :probes]
+        asked = np.zeros_like(towards, dtype=bool)
+        np.put_along_axis(asked, first, True, axis=1)
+        near = _search_lists(index, ids, q, lists, asked, k, key, column)
+        floor = {r[0]: r[1] for r in near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("s")).collect()}  # one row a query
+        tau = np.array([floor.get(int(i)) if floor.get(int(i)) is not None else -np.inf for i in ids])
+        more = (reach >= tau[:, None]) & ~asked
+        found = near.unionByName(_search_lists(index, ids, q, lists, more, k, key, column))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _search_lists(index: DataFrame, ids: np.ndarray, q: np.ndarray, lists: np.ndarray, asked: np.ndarray, k: int, key: str, column: str) -> DataFrame:
+    """(query_id, id, score): the k best rows of each query among the lists it asks for. Lists that none asks for are not read."""
+    wanted = [int(n) for n, any_ in zip(lists, asked.any(axis=0)) if any_]
+    bound = index.sparkSession.sparkContext.broadcast((ids, q, {int(n): np.flatnonzero(asked[:, j]) for j, n in enumerate(lists)}))
+
+    def search(batches):
+        names, vectors, by_list = bound.value
+        best: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            rows = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            for n in np.unique(at):
+                who = by_list[int(n)]
+                if not len(who):
+                    continue
+                mine = at == n
+                scores = vectors[who] @ x[mine].T
+                for j, w in enumerate(who.tolist()):
+                    order = np.lexsort((rows[mine], -scores[j]))[:k]
+                    held = best.get(w, []) + list(zip((-scores[j][order]).tolist(), rows[mine][order].tolist()))
+                    best[w] = sorted(held)[:k]
+        cells = [(int(names[w]), i, -s) for w, held in best.items() for s, i in held]
+        if cells:
+            a, b, d = zip(*cells)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], ["query_id", "id", "score"])
+
+    part = index.filter(F.col("list").isin(wanted)) if wanted else index.limit(0)
+    found = part.select(key, column, "list").mapInArrow(search, "query_id bigint, id bigint, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
+    return cut(found.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k).drop("__n"))
+
+
 MIN_SLOTS = 16  # slots that a shortened signature has at least
 
 

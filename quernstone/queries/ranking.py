@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from quernstone.functions import text as X
 from quernstone.operators import keyed, ranking as R, relations, similarity as S, tables
 from quernstone.operators.relations import RELATED_SQL
-from quernstone.operators.tables import CHUNKS_SQL, FILES_SQL, NAMED_SQL, POSTINGS_SQL
-from quernstone.queries import query
+from quernstone.operators.chunking import COMMENT
+from quernstone.operators.tables import CHUNKS_SQL, LOCATED_SQL, NAMED_SQL, POSTINGS_SQL
+from quernstone.queries import SQL, query
 from quernstone.queries.text import lower_split_sql
-from quernstone.runtime import one, table
+from quernstone.runtime import one, stored, table
 
 QUERY = ["graph", "lease", "merge", "graph"]
 _QTF = "CASE token WHEN 'graph' THEN 2 ELSE 1 END"
@@ -43,22 +44,41 @@ def a01_doc_lengths(spark, sf_dir):
     return tables.postings(spark, sf_dir).groupBy("mode", "doc_id").agg(F.sum("tf").alias("dl"), F.count(F.lit(1)).alias("terms"))
 
 
-def field_tokens(spark, sf_dir):
-    """(field, token, doc_id) of name, signature and doc of code chunks, once for each occurrence."""
-    c = tables.chunks(spark, sf_dir, "mode", "name", "docmeta").filter("mode = 'code'")
-    fields = F.array(*[F.struct(F.lit(n).alias("field"), X.split_identifier(F.coalesce(v, F.lit(""))).alias("tokens")) for n, v in (("name", F.col("name")), ("signature", F.col("docmeta.signature")), ("doc", F.col("docmeta.doc")))])
-    return c.select(F.col("id").alias("doc_id"), F.explode(fields).alias("f")).select("doc_id", "f.field", F.explode("f.tokens").alias("token"))
+def field_postings(spark, sf_dir):
+    """(field, token, doc_id, tf) of name, signature, doc, comments and body of code chunks; made once for all queries, sorted by token.
 
+    The body is the chunk's text; chunks of no known file have neither comments nor body.
+    """
+    def build():
+        c = tables.chunks(spark, sf_dir, "mode", "name", "docmeta").filter("mode = 'code'")
+        l = tables.located(spark, sf_dir).filter("mode = 'code' and text is not null").select("id", "text")  # noqa: E741
+        comment = F.array_join(F.regexp_extract_all("text", F.lit(COMMENT), F.lit(0)), " ")
+        of = lambda df, *fields: df.select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.coalesce(v, F.lit("")).alias("v")) for n, v in fields])).alias("f")).select("id", "f.field", "f.v")
+        texts = of(c, ("name", F.col("name")), ("signature", F.col("docmeta.signature")), ("doc", F.col("docmeta.doc"))).unionByName(of(l, ("comment", comment), ("body", F.col("text"))))
+        return texts.select(F.col("id").alias("doc_id"), "field", F.explode(X.split_identifier(F.col("v"))).alias("token")).groupBy("field", "token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    laid = lambda df: df.repartitionByRange("token", "doc_id").sortWithinPartitions("field", "token", "doc_id")
+    return stored(spark, sf_dir, "field_postings", ("chunks", "files"), build, laid, "field").select("field", "token", "doc_id", "tf")
 
+
+def field_index(spark, sf_dir):
+    """Postings, lengths and statistics of each field; n counts all code chunks."""
+    p = field_postings(spark, sf_dir)
+    lengths = stored(spark, sf_dir, "field_lengths", ("chunks", "files"), lambda: p.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl")), by="field").select("field", "doc_id", "dl")
+    n = tables.index_statistics(spark, sf_dir).filter("mode = 'code'").select("n")
+    stats = lengths.groupBy("field").agg(F.sum("dl").alias("s")).withColumn("n", n.scalar()).select("field", "n", (F.col("s") / F.col("n")).alias("avg_dl"))
+    return p, lengths, stats
+
+
+_LC = f"(SELECT id, text FROM {LOCATED_SQL} WHERE mode = 'code' AND text IS NOT NULL)"
 _FIELDS_SQL = " UNION ALL ".join(
-    f"SELECT id AS doc_id, '{n}' AS field, unnest({lower_split_sql(f'coalesce({v}, {chr(39) * 2})')}) AS token FROM {CHUNKS_SQL} WHERE mode = 'code'"
-    for n, v in (("name", "name"), ("signature", "docmeta.signature"), ("doc", "docmeta.doc")))
+    f"SELECT id AS doc_id, '{n}' AS field, unnest({lower_split_sql(f'coalesce({v}, {chr(39) * 2})')}) AS token FROM {src}"
+    for n, v, src in (("name", "name", f"{CHUNKS_SQL} WHERE mode = 'code'"), ("signature", "docmeta.signature", f"{CHUNKS_SQL} WHERE mode = 'code'"), ("doc", "docmeta.doc", f"{CHUNKS_SQL} WHERE mode = 'code'"),
+                      ("comment", f"array_to_string(regexp_extract_all(text, '{COMMENT}'), ' ')", _LC), ("body", "text", _LC)))
 
 
 @query(sql=f"SELECT field, token, count(*) AS tf, count(DISTINCT doc_id) AS df FROM ({_FIELDS_SQL}) GROUP BY field, token")
 def a02_field_postings(spark, sf_dir):
-    per = field_tokens(spark, sf_dir).groupBy("field", "token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    return per.groupBy("field", "token").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+    return field_postings(spark, sf_dir).groupBy("field", "token").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
 
 @query(sql=f"SELECT mode, token, count(*) AS df FROM {NAMED_SQL} GROUP BY mode, token")
@@ -150,12 +170,9 @@ n AS (SELECT count(*) AS n FROM {CHUNKS_SQL} WHERE mode = 'code'), st AS (SELECT
 q AS (SELECT * FROM p WHERE token IN {_IN}), df AS (SELECT field, token, count(*) AS df FROM q GROUP BY ALL),
 h AS (SELECT q.doc_id, q.field, sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * q.tf * 2.2 / (q.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avg_dl)) * ({_QTF.replace('token', 'q.token')})) AS score
 FROM q JOIN df USING (field, token) JOIN dl ON q.field = dl.field AND q.doc_id = dl.doc_id JOIN st ON q.field = st.field GROUP BY ALL)
-SELECT doc_id, round(sum(score * CASE field WHEN 'name' THEN 2.0 WHEN 'signature' THEN 1.5 ELSE 1.2 END), 6) AS score FROM h GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 50""")
+SELECT doc_id, round(sum(score * CASE field WHEN 'name' THEN 2.0::DOUBLE WHEN 'signature' THEN 1.5::DOUBLE WHEN 'doc' THEN 1.2::DOUBLE WHEN 'comment' THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score FROM h GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 50""")
 def w02_fielded_bm25(spark, sf_dir):
-    p = field_tokens(spark, sf_dir).groupBy("field", "token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = p.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
-    n = tables.chunks(spark, sf_dir, "mode").filter("mode = 'code'").agg(F.count(F.lit(1)).alias("n"))
-    stats = lengths.groupBy("field").agg(F.sum("dl").alias("s")).withColumn("n", n.scalar()).select("field", "n", (F.col("s") / F.col("n")).alias("avg_dl"))
+    p, lengths, stats = field_index(spark, sf_dir)
     hits = R.bm25(p, lengths, stats, QUERY, field="field")
     w = F.lit(0.0)
     for name, value in R.FIELD_WEIGHTS["code"].items():
@@ -180,20 +197,17 @@ def w03_legacy_score(spark, sf_dir):
 _FTS_SQL = f"""WITH f AS ({_FIELDS_SQL}), p AS (SELECT field, token, doc_id, count(*) AS tf FROM f GROUP BY ALL), dl AS (SELECT field, doc_id, sum(tf) AS dl FROM p GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM {CHUNKS_SQL} WHERE mode = 'code'), st AS (SELECT field, n.n, sum(dl) / n.n AS avg_dl FROM dl, n GROUP BY field, n.n),
 q AS (SELECT * FROM p WHERE token IN {_IN}), df AS (SELECT field, token, count(*) AS df FROM q GROUP BY ALL),
-h AS (SELECT q.doc_id, sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * q.tf * 2.2 / (q.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avg_dl)) * ({_QTF.replace('token', 'q.token')}) * CASE q.field WHEN 'name' THEN 1.5 WHEN 'signature' THEN 1.2 ELSE 1.8 END) AS score
+h AS (SELECT q.doc_id, sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * q.tf * 2.2 / (q.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avg_dl)) * ({_QTF.replace('token', 'q.token')}) * CASE q.field WHEN 'name' THEN 1.5::DOUBLE WHEN 'signature' THEN 1.2::DOUBLE WHEN 'doc' THEN 1.8::DOUBLE WHEN 'body' THEN 1.0::DOUBLE ELSE 0::DOUBLE END) AS score
 FROM q JOIN df USING (field, token) JOIN dl ON q.field = dl.field AND q.doc_id = dl.doc_id JOIN st ON q.field = st.field GROUP BY q.doc_id)"""
 
 
 @query(sql=_FTS_SQL + " SELECT doc_id, round(CASE WHEN (SELECT max(score) FROM h) = (SELECT min(score) FROM h) THEN 1 ELSE (score - (SELECT min(score) FROM h)) / ((SELECT max(score) FROM h) - (SELECT min(score) FROM h)) END, 6) AS score FROM h")
 def w04_fts_normalized(spark, sf_dir):
     """Full-text weights of the balanced profile, min-max normalised over all hits."""
-    p = field_tokens(spark, sf_dir).groupBy("field", "token", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = p.groupBy("field", "doc_id").agg(F.sum("tf").alias("dl"))
-    n = tables.chunks(spark, sf_dir, "mode").filter("mode = 'code'").agg(F.count(F.lit(1)).alias("n"))
-    stats = lengths.groupBy("field").agg(F.sum("dl").alias("s")).withColumn("n", n.scalar()).select("field", "n", (F.col("s") / F.col("n")).alias("avg_dl"))
+    p, lengths, stats = field_index(spark, sf_dir)
     w = F.lit(0.0)
     for name, value in R.FTS_WEIGHTS["balanced"].items():
-        w = F.when(F.col("field") == name, value).otherwise(w)
+        w = F.when(F.col("field") == {"tokens": "body"}.get(name, name), value).otherwise(w)
     hits = R.bm25(p, lengths, stats, QUERY, field="field").groupBy("doc_id").agg(F.sum(F.col("score") * w).alias("score"))
     bounds = hits.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     b = one(bounds)
@@ -208,6 +222,15 @@ def w06_dense_rank(spark, sf_dir):
     return S.nearest(e, e.filter("vec_id % 100 = 0"), 10).withColumn("score", F.round("score", 5))
 
 
+@query(sql=SQL["w06_dense_rank"])
+def w23_pruned_rank(spark, sf_dir):
+    """The same from an index of lists around centroids, which is kept; lists that cannot hold a better row are not read."""
+    e = table(spark, sf_dir, "embeddings")
+    c = S.centroids(e)
+    index_ = stored(spark, sf_dir, "vector_lists", ("embeddings",), lambda: S.listed(e, c), lambda df: df.repartition("list").sortWithinPartitions("list"), by="list")
+    return S.pruned_nearest(index_, c, e.filter("vec_id % 100 = 0"), 10).withColumn("score", F.round("score", 5))
+
+
 _DENSE_SQL = """d AS (SELECT b.vec_id AS doc_id, list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS score
 FROM (SELECT * FROM embeddings WHERE vec_id = 0) a, embeddings b ORDER BY 2 DESC, 1 LIMIT 40)"""
 

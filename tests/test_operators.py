@@ -425,3 +425,29 @@ def test_flat_tables_of_findings_equal_brute_force(spark, sf_dir):
                     walk(source, c, v, r["rec_id"], None)
     assert len(got) >= 12
     assert {k: (len(b), len(o)) for k, (b, o) in want.items()} == {k: v for k, v in got.items() if v[0]}
+
+
+def test_pruned_search_is_exact(spark):
+    import random
+
+    from quernstone.operators import similarity as S
+
+    rnd = random.Random(6)
+    centres = [[rnd.gauss(0, 1) for _ in range(6)] for _ in range(5)]
+    rows = [(i, [x + rnd.gauss(0, 0.2) for x in centres[i % 5]] if i % 31 else None) for i in range(600)] + [(900 + i, centres[0]) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 40 = 3 or vec_id = 900")
+    c = S.centroids(df, lists=8)
+    got = {(r.query_id, r.rank): (r.id, round(r.score, 9)) for r in S.pruned_nearest(S.listed(df, c), c, asked, 7, probes=2).collect()}
+    want = {(r.query_id, r.rank): (r.id, round(r.score, 9)) for r in S.nearest(df, asked, 7).collect()}
+    assert got == want and len(got) > 50
+    none = df.limit(0)
+    assert S.pruned_nearest(S.listed(none, c), c, asked, 3).count() == 0 and S.pruned_nearest(S.listed(df, c), c, none, 3).count() == 0
+
+
+def test_signatures_of_large_indexes_are_shortened(spark):
+    from quernstone.operators import similarity as S
+
+    assert S.sampling_plan(100, 200) == (1, 128) and S.sampling_plan(1000, 250) == (4, 32) and S.sampling_plan(10**6, 10) == (8, 16) and S.sampling_plan(5, 0) == (1, 128)
+    df = spark.createDataFrame([(list(range(10)),)], "s array<int>")
+    assert df.select(S.shortened(F.col("s"), 3, 4).alias("s")).first().s == [0, 3, 6, 9]
