@@ -64,10 +64,17 @@ def selected_repos(repos: DataFrame, explicit: list[str], tags: list[str], globs
     return repos.filter(chosen).orderBy(F.desc("priority"), F.asc("alias"), F.asc("repo"))
 
 
-def cohort_gate(repos: DataFrame) -> DataFrame:
-    """(repo, cohort, kept): repos of the first cohort are kept, others are left out."""
-    first = cohorts(repos).filter("rank = 1").select("cohort").scalar()
-    return repos.filter("enabled").select("repo", "cohort", F.col("cohort").eqNullSafe(first).alias("kept"))
+def cohort_gate(repos: DataFrame, cohort: str | None = None, unsafe: bool = False) -> DataFrame:
+    """(repo, cohort, kept, reason) of enabled repos: those of the cohort asked for, else of the first one, are kept, others left out; unsafe keeps all.
+
+    A cohort that no enabled repo has is an error, as is a query over none.
+    """
+    on = repos.filter("enabled")
+    if cohort is not None and on.filter(F.col("cohort") == cohort).isEmpty():
+        raise ValueError(f"no enabled repository has the cohort {cohort}")
+    wanted = F.lit(cohort) if cohort is not None else cohorts(repos).filter("rank = 1").select("cohort").scalar()
+    kept = F.lit(True) if unsafe else F.col("cohort").eqNullSafe(wanted)
+    return on.select("repo", "cohort", kept.alias("kept"), F.when(~kept, "cohort-excluded").alias("reason"))
 
 
 def contracts(symbols: DataFrame, calls: DataFrame) -> DataFrame:

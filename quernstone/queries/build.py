@@ -133,12 +133,15 @@ def t30_chunk_uids(spark, sf_dir):
     return C.uids(tables.identities(spark, sf_dir))
 
 
-@query(sql=f"SELECT repo, count(*) AS files, CAST(sum(CAST('0x' || substr(md5(path || ':' || md5(content)), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM {FILES_SQL} GROUP BY repo")
+_PARTS = ", '-', ".join(f"CAST(sum(CAST('0x' || substr(md5(path || ':' || md5(content)), {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR)" for k in range(4))
+
+
+@query(sql=f"SELECT repo, count(*) AS files, concat({_PARTS}) AS fingerprint FROM {FILES_SQL} WHERE path IS NOT NULL AND content IS NOT NULL GROUP BY repo")
 def t34_repo_fingerprint(spark, sf_dir):
-    """A fingerprint of the files of each repo that does not depend on their order, so that no list of them is made."""
-    f = tables.files(spark, sf_dir, "repo", "path", "content")
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", "path", F.md5("content"))), 1, 8), 16, 10).cast("long")
-    return f.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.sum(h).alias("fingerprint"))
+    """A fingerprint of the files of each repo that does not depend on their order, so that no list of them is made: the sums of the four parts of their digests."""
+    f = tables.files(spark, sf_dir, "repo", "path", "content").filter("path is not null and content is not null").select("repo", F.md5(F.concat_ws(":", "path", F.md5("content"))).alias("h"))
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("long")).cast("string")
+    return f.groupBy("repo").agg(F.count(F.lit(1)).alias("files"), F.concat_ws("-", *[part(k) for k in range(4)]).alias("fingerprint"))
 
 
 # Multiplier and addend of the sequence whose members, scaled to [-1, 1], are the vector.
@@ -330,9 +333,14 @@ def g22_selected_repos(spark, sf_dir):
     return E.selected_repos(table(spark, sf_dir, "repos"), ["keelhaven/monolith", "field-filter"], ["core", "docs"], ["otterbay/*", "b*/**"]).select("repo", "alias", "priority")
 
 
-@query(sql="WITH c AS (SELECT cohort, row_number() OVER (ORDER BY count(*) DESC, sum(coalesce(priority, 0)) DESC, cohort NULLS LAST) AS rank FROM repos WHERE enabled GROUP BY cohort) SELECT r.repo, r.cohort, r.cohort IS NOT DISTINCT FROM c.cohort AS kept FROM repos r, c WHERE r.enabled AND c.rank = 1")
+@query(sql="""WITH c AS (SELECT cohort, row_number() OVER (ORDER BY count(*) DESC, sum(coalesce(priority, 0)) DESC, cohort NULLS LAST) AS rank FROM repos WHERE enabled GROUP BY cohort), m AS (SELECT min(cohort) AS cohort FROM repos WHERE enabled)
+SELECT 'default' AS gate, r.repo, r.cohort, r.cohort IS NOT DISTINCT FROM c.cohort AS kept FROM repos r, c WHERE r.enabled AND c.rank = 1 UNION ALL SELECT 'chosen', r.repo, r.cohort, r.cohort IS NOT DISTINCT FROM m.cohort FROM repos r, m WHERE r.enabled UNION ALL SELECT 'unsafe', repo, cohort, true FROM repos WHERE enabled""")
 def g23_cohort_gate(spark, sf_dir):
-    return E.cohort_gate(table(spark, sf_dir, "repos"))
+    """Repos kept by each gate: the first cohort, one that is asked for, and all."""
+    r = table(spark, sf_dir, "repos")
+    least = r.filter("enabled").agg(F.min("cohort")).first()[0]
+    gate = lambda name, df: df.select(F.lit(name).alias("gate"), "repo", "cohort", "kept")
+    return gate("default", E.cohort_gate(r)).unionByName(gate("chosen", E.cohort_gate(r, least))).unionByName(gate("unsafe", E.cohort_gate(r, unsafe=True)))
 
 
 @query(sql="""SELECT 'duplicate_ids' AS "check", count(*) AS violations FROM (SELECT id FROM chunks GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'dangling_postings', count(*) FROM token_postings WHERE doc_id NOT IN (SELECT id FROM chunks)

@@ -21,7 +21,7 @@ _BIN = ", ".join(f"'{x}'" for x in S.BINARY)
 _DIRS = "|".join(x.replace(".", "\\.") for x in S.SKIPPED_DIRS)
 
 
-@query(sql=f"SELECT file_id, CASE WHEN suffix IN ({_PROSE}) THEN 'prose' WHEN suffix IN ({_BIN}) THEN NULL ELSE 'code' END AS mode FROM {FILES_SQL}")
+@query(sql=f"SELECT file_id, CASE WHEN suffix IN ('pdf', 'docx') THEN 'extracted-prose' WHEN suffix IN ({_BIN}) THEN NULL WHEN regexp_matches(trim(path), '(?:^|/)(?:records|triage)/') THEN 'records' WHEN suffix IN ({_PROSE}) THEN 'prose' ELSE 'code' END AS mode FROM {FILES_SQL}")
 def s05_mode_routing(spark, sf_dir):
     """Mode of each file by its suffix."""
     return tables.files(spark, sf_dir, "path").select("file_id", S.mode(F.trim("path")).alias("mode"))
@@ -35,6 +35,13 @@ def s03_skip_policy(spark, sf_dir):
     return f.groupBy(S.skip_reason(F.col("path"), F.length("content")).alias("reason")).agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(sql=rf"""SELECT file_id, CASE WHEN regexp_matches(path, '(?:^|/)(?:{_DIRS})/') OR suffix IN ({_BIN}) OR regexp_matches(path, '[.-]min\.(?:js|css)$') OR regexp_matches(path, '(?i)(?:^|/)[\w.-]*(?:lock|shrinkwrap)[\w.-]*\.json$') THEN 'skip'
+WHEN regexp_matches(path, '(?:^|/)(?:__generated__|generated|gen)/|\.(?:generated|gen|g|pb)\.[A-Za-z]+$|_(?:pb2|generated)\.[A-Za-z]+$') THEN 'metadata' ELSE 'index' END AS policy FROM {FILES_SQL}""")
+def s03_generated_policy(spark, sf_dir):
+    """What becomes of each file: skipped, kept as its facts alone where a tool wrote it, or indexed (S3)."""
+    return tables.files(spark, sf_dir, "path", "content").select("file_id", S.policy(F.col("path"), F.length("content")).alias("policy"))
+
+
 @query(sql=f"SELECT file_id FROM {FILES_SQL} WHERE CASE WHEN regexp_matches(path, '^docs/important/') THEN false WHEN regexp_matches(path, '(?:^|/)[^/]*\\.md(?:/|$)') THEN true WHEN regexp_matches(path, '^(?:.*/)?graph/[^/]*\\.py(?:/|$)') THEN true ELSE regexp_matches(path, '(?:^|/)generated/') END")
 def s02_ignored(spark, sf_dir):
     """Files that ignore rules leave out."""
@@ -63,6 +70,19 @@ def s18_record_ids(spark, sf_dir):
     return g.select(F.concat_ws(":", F.lit("generic"), F.col("rec_id").cast("string")).alias("k"), Y.symbol_id(F.lit("generic"), F.col("rec_id").cast("string")).alias("symbol_id"))
 
 
+@query(sql="""WITH g AS (SELECT * FROM generic WHERE rec_id IS NOT NULL QUALIFY ingested_at = max(ingested_at) OVER (PARTITION BY rec_id) OR max(ingested_at) OVER (PARTITION BY rec_id) IS NULL)
+SELECT DISTINCT sha1('generic:' || rec_id) AS record_id, service, env, team, owner, vuln.vulnId AS vuln_id, package.name AS package,
+array_to_string(list_filter(['# ' || coalesce(vuln.title, 'Untitled'), '- severity: ' || vuln.severity, '- service: ' || service, '- package: ' || package.name, '- exposure: ' || exposure.publicEndpoint], lambda x: x IS NOT NULL), chr(10)) AS markdown FROM g""")
+def s18_promoted_records(spark, sf_dir):
+    """Records with their fields lifted to the top, a stable id, and as a page of text."""
+    from quernstone.runtime import latest
+
+    g = latest(table(spark, sf_dir, "generic").filter("rec_id is not null"), ["rec_id"], "ingested_at")
+    lines = F.array_compact(F.array(F.concat(F.lit("# "), F.coalesce("vuln.title", F.lit("Untitled"))), *[F.concat(F.lit(f"- {n}: "), F.col(c)) for n, c in (("severity", "vuln.severity"), ("service", "service"), ("package", "package.name"), ("exposure", "exposure.publicEndpoint"))]))
+    return g.select(Y.symbol_id(F.lit("generic"), F.col("rec_id").cast("string")).alias("record_id"), "service", "env", "team", "owner", F.col("vuln.vulnId").alias("vuln_id"), F.col("package.name").alias("package"),
+                    F.array_join(lines, "\n").alias("markdown")).distinct()
+
+
 @query(sql=f"""WITH {_EDGES_SQL} SELECT '  "' || src || '" -> "' || dst || '";' AS line FROM e""")
 def s19_dot(spark, sf_dir):
     return S.dot_lines(codegraph.edges(spark, sf_dir).select("src", "dst").distinct())

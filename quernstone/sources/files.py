@@ -70,10 +70,21 @@ def looks_binary(content: Column, sample: int = 4096) -> Column:
     return F.regexp_replace(head, "(..)", "$1 ").rlike("(?:^| )00 ") | (odd * 3 > F.length(head) / 2)
 
 
+# Suffixes of documents whose text has to be extracted, folders of records, and names of generated files.
+EXTRACTED = "pdf docx".split()
+RECORDS = r"(?:^|/)(?:records|triage)/"
+GENERATED = r"(?:^|/)(?:__generated__|generated|gen)/|\.(?:generated|gen|g|pb)\.[A-Za-z]+$|_(?:pb2|generated)\.[A-Za-z]+$"
+
+
 def mode(path: Column) -> Column:
-    """code, prose, or null for what is neither."""
+    """What a file is searched as: code, prose, extracted-prose, records, or null for what is none."""
     ext = extension(path)
-    return F.when(ext.isin(PROSE), "prose").when(ext.isin(BINARY), None).otherwise("code")
+    return F.when(ext.isin(EXTRACTED), "extracted-prose").when(ext.isin(BINARY), None).when(path.rlike(RECORDS), "records").when(ext.isin(PROSE), "prose").otherwise("code")
+
+
+def policy(path: Column, size: Column) -> Column:
+    """What becomes of a file: `skip`, `metadata` where a tool wrote it, so that only its facts are kept, else `index`."""
+    return F.when(skip_reason(path, size).isNotNull(), "skip").when(normal_path(path).rlike(GENERATED), "metadata").otherwise("index")
 
 
 def skip_reason(path: Column, size: Column) -> Column:
