@@ -147,3 +147,32 @@ def test_pieces_of_every_mode(spark, sf_dir, tmp_path):
     order = ["code", "prose", *sorted(m for m in modes if m not in ("code", "prose", None)), None]
     want = list(enumerate(i for m in order for i in sorted(r.id for r in kept if r.mode == m)))
     assert sorted((r.doc_id, r.id) for r in entry.queries()["s20_piece_assembly"](spark, str(tmp_path)).collect()) == want
+
+
+def test_job_queue_keeps_state_and_takes_back_stale_jobs(spark, tmp_path):
+    import datetime as dt
+
+    from quernstone.streaming.jobs import job_states, next_status
+
+    t0 = dt.datetime(2024, 1, 1)
+    kind = "job string, event string, ts timestamp"
+
+    def put(name, rows):
+        spark.createDataFrame([(j, e, t0 + dt.timedelta(minutes=m)) for j, e, m in rows], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        q = (job_states(spark.readStream.schema(kind).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("jobs").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True)
+             .foreachBatch(lambda df, n: df.write.mode("append").parquet(str(tmp_path / "out"))).start())
+        q.awaitTermination()
+
+    put("a", [("a", "enqueue", 0), ("a", "claim", 1), ("a", "complete", 3), ("b", "enqueue", 0), ("b", "claim", 1), ("c", "claim", 1), ("d", "enqueue", 0), ("d", "claim", 1), ("d", "fail", 2), (None, "claim", 1)])
+    run()
+    put("b", [("e", "enqueue", 60), ("a", "claim", 61), ("d", "claim", 60)])
+    run()
+    put("c", [("e", "claim", 62)])
+    run()
+    last = {}
+    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: (r.at_ms, r.attempts)):
+        last[r.job] = (r.status, r.attempts)
+    assert last["a"] == ("done", 1) and last["b"] == ("queued", 1) and "c" not in last and last["d"][1] == 2 and last["e"] == ("running", 1)
+    assert next_status("running", 3, "fail", 2) == ("failed", 3) and next_status("done", 1, "claim", 2) == ("done", 1) and next_status(None, 0, "claim", 2) == (None, 0)
