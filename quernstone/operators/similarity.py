@@ -208,21 +208,57 @@ def shortened(signature: Column, stride: int, slots: int) -> Column:
     return F.slice(F.filter(signature, lambda _, i: i % stride == 0), 1, slots)
 
 
+SLICE = 2048  # documents that are compared with a block of queries at once
+
+
 def minhash_nearest(signatures: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score): the k most alike documents of each query document, by the share of equal slots.
+    """(query_id, doc_id, score): the k most alike documents of each query document, by the share of equal slots; ties to the lesser id, none without an equal slot.
 
-    Slots of the queries meet those of all documents by (slot, value); rows of one text in many copies share their signature, so
-    signatures are joined once by a digest, with the number of slots that agree, and their documents come back after.
+    Signatures of the queries go out in blocks of QUERY_BLOCK; a task looks its documents' slots up among theirs and keeps its own k best a query, so that only
+    these are shuffled: neither slots nor values that many documents share move.
     """
-    slots = lambda df: df.select("digest", F.posexplode("signature").alias("slot", "value"))
-    keyed = cut(signatures.filter("signature is not null")).withColumn("digest", F.md5(F.array_join(F.transform("signature", lambda x: x.cast("string")), ",")))
+    keyed = signatures.filter("signature is not null").select("doc_id", "signature")
     asked = keyed.join(queries.select("doc_id"), "doc_id", "left_semi")
-    ones = lambda df: df.groupBy("digest").agg(F.first("signature").alias("signature"))
-    q = slots(ones(asked)).withColumnRenamed("digest", "q_digest")
-    d = slots(ones(keyed))
-    agree = q.join(d, ["slot", "value"]).groupBy("q_digest", "digest").agg((F.count(F.lit(1)) / F.lit(MINHASH_SLOTS)).alias("score"))
-    # k documents of a digest are enough for any top k
-    copies = keyed.withColumn("n", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))).filter(F.col("n") <= k + 1).select("digest", "doc_id")
-    hits = asked.select(F.col("doc_id").alias("query_id"), F.col("digest").alias("q_digest")).join(agree, "q_digest").join(copies, "digest").filter("query_id != doc_id")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).collect()
+        if not rows:
+            continue
+        q = np.array([r[1] for r in rows], dtype=np.int64)
+        order = np.argsort(q, axis=0, kind="stable")
+        bound = signatures.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=np.int64), np.take_along_axis(q, order, 0), order))
+
+        def search(batches, bound=bound):
+            names, values, places = bound.value
+            n, slots = values.shape
+            best_score, best_id = np.zeros((n, 0), np.uint8), np.zeros((n, 0), np.int64)
+            for batch in batches:
+                every = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(every), slots)
+                by_id = np.argsort(every, kind="stable")
+                for at in range(0, len(every), SLICE):
+                    pick = by_id[at : at + SLICE]
+                    ids, d = every[pick], flat[pick]
+                    equal = np.zeros((n, len(ids)), np.uint8)
+                    for s in range(slots):
+                        lo, hi = np.searchsorted(values[:, s], d[:, s], "left"), np.searchsorted(values[:, s], d[:, s], "right")
+                        count = hi - lo
+                        of = np.repeat(np.arange(len(ids)), count)
+                        slot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+                        equal[places[slot, s], of] += 1
+                    equal[names[:, None] == ids[None, :]] = 0
+                    score = np.concatenate([best_score, equal], axis=1)
+                    ident = np.concatenate([best_id, np.broadcast_to(ids, equal.shape)], axis=1)
+                    first = np.lexsort((ident, 255 - score), axis=1)[:, :k]
+                    best_score, best_id = np.take_along_axis(score, first, 1), np.take_along_axis(ident, first, 1)
+            who, col = np.nonzero(best_score)
+            if len(who):
+                yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(best_id[who, col]), pa.array(best_score[who, col] / slots)], ["query_id", "doc_id", "score"])
+
+        found = keyed.mapInArrow(search, "query_id bigint, doc_id bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return signatures.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return hits.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("query_id", "doc_id", "score")
+    return out.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("query_id", "doc_id", "score")

@@ -152,7 +152,7 @@ len(list_filter(range(1, 129), lambda i: a.signature[i] = b.signature[i])) / 128
 WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10""")
 def w05_minhash_rank(spark, sf_dir):
     """The ten documents most alike each document whose id is divisible by 100."""
-    s = signatures(spark, sf_dir)
+    s = stored(spark, sf_dir, "signatures", ("documents",), lambda: signatures(spark, sf_dir))
     return S.minhash_nearest(s, s.filter("doc_id % 100 = 0").select("doc_id"), 10).withColumn("score", F.round("score", 6))
 
 

@@ -451,3 +451,27 @@ def test_signatures_of_large_indexes_are_shortened(spark):
     assert S.sampling_plan(100, 200) == (1, 128) and S.sampling_plan(1000, 250) == (4, 32) and S.sampling_plan(10**6, 10) == (8, 16) and S.sampling_plan(5, 0) == (1, 128)
     df = spark.createDataFrame([(list(range(10)),)], "s array<int>")
     assert df.select(S.shortened(F.col("s"), 3, 4).alias("s")).first().s == [0, 3, 6, 9]
+
+
+def test_minhash_search_equals_brute_force(spark, monkeypatch):
+    import random
+
+    from quernstone.operators import similarity as S
+
+    rnd = random.Random(12)
+    base = [[rnd.randrange(2**32) for _ in range(16)] for _ in range(6)]
+    rows = [(i, [v if rnd.random() < 0.7 else rnd.randrange(50) for v in base[i % 6]]) for i in range(300)] + [(400 + i, base[0]) for i in range(9)] + [(500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, signature array<long>").repartition(3)
+    asked = [i for i, _ in rows if i % 20 == 0 and i != 500]
+    sig = {i: s for i, s in rows if s}
+    want = {}
+    for q in asked:
+        scored = sorted((-sum(a == b for a, b in zip(sig[q], s)), i) for i, s in sig.items() if i != q)
+        want[q] = [(i, -n / 16) for n, i in scored if n][:5]
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(S, "SLICE", 40)
+    got = {}
+    for r in sorted(S.minhash_nearest(df, df.filter(F.col("doc_id").isin(asked)), 5).collect(), key=lambda r: (r.query_id, -r.score, r.doc_id)):
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert got == want
+    assert S.minhash_nearest(df.limit(0), df, 5).count() == 0 and S.minhash_nearest(df, df.limit(0), 5).count() == 0
