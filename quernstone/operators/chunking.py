@@ -212,21 +212,37 @@ def boilerplate(text: Column) -> Column:
     return F.when(norm != "", norm)
 
 
+LINES_BIN, CHARS_BIN = 64, 4096  # widths of the stretches by which intervals of a file meet
+
+
+def _binned(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Rows once for each stretch of a file that lies between two places, either of which may be the first, ends included; none where one is null."""
+    a, b = F.least(start, end), F.greatest(start, end)
+    return df.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("__bin", F.explode(F.sequence(F.floor(a / width), F.floor(b / width))))
+
+
 def coverage(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, share): greatest share of a chunk that one block of its file covers."""
-    j = chunks.join(blocks, "file_id")
+    """(id, share): greatest share of a chunk that one block of its file covers; 0 where none does, chunks of files without blocks are left out.
+
+    Blocks and chunks meet by stretches of the file, so that only those near each other are compared.
+    """
+    j = _binned(chunks, "start", "end", CHARS_BIN).join(_binned(blocks, "b_start", "b_end", CHARS_BIN), ["file_id", "__bin"])
     overlap = F.greatest(F.least("end", "b_end") - F.greatest("start", "b_start"), F.lit(0))
-    return j.groupBy("id").agg(F.max(overlap / (F.col("end") - F.col("start"))).alias("share"))
+    best = j.groupBy("id").agg(F.max(overlap / (F.col("end") - F.col("start"))).alias("share"))
+    every = chunks.join(blocks.select("file_id").distinct(), "file_id", "left_semi").select("id").distinct()
+    return every.join(best, "id", "left").select("id", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def line_matches(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, match): matches whose lines overlap a chunk's, ends included.
 
-    matches: file_id, match, m_start, m_end; chunks: file_id, id, startLine, endLine. Both sides are laid out by file; chunks
+    matches: file_id, match, m_start, m_end; chunks: file_id, id, startLine, endLine. Both meet by stretches of the file; chunks
     without lines have no match.
     """
-    j = chunks.join(matches, "file_id")
-    return j.filter("m_start <= endLine and startLine <= m_end").select("id", "match")
+    j = _binned(chunks, "startLine", "endLine", LINES_BIN).join(_binned(matches, "m_start", "m_end", LINES_BIN), ["file_id", "__bin"])
+    # of the stretches that both touch the first counts
+    first = F.floor(F.greatest("startLine", "m_start") / LINES_BIN) == F.col("__bin")
+    return j.filter("m_start <= endLine and startLine <= m_end").filter(first).select("id", "match")
 
 
 def chunk_of(points: DataFrame, chunks: DataFrame) -> DataFrame:

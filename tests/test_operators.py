@@ -475,3 +475,24 @@ def test_minhash_search_equals_brute_force(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
     assert got == want
     assert S.minhash_nearest(df.limit(0), df, 5).count() == 0 and S.minhash_nearest(df, df.limit(0), 5).count() == 0
+
+
+def test_intervals_meet_by_stretches(spark):
+    import random
+
+    from quernstone.operators import chunking as C
+
+    rnd = random.Random(13)
+    span = lambda n, w: (lambda a: (a, a + rnd.randrange(w)))(rnd.randrange(n))
+    chunks = [(f"f{i % 3}", i, *span(900, 300)) for i in range(120)] + [("f0", 900, 50, 10), ("f0", 901, None, 5)]
+    spans = [(f"f{i % 2}", f"m{i}", *span(900, 200)) for i in range(80)] + [("f0", "bad", 9, 3)]
+    c = spark.createDataFrame(chunks, "file_id string, id long, startLine long, endLine long")
+    m = spark.createDataFrame(spans, "file_id string, match string, m_start long, m_end long")
+    got = [(r.id, r.match) for r in C.line_matches(m, c).collect()]
+    assert sorted(got) == sorted((i, k) for f, i, a, b in chunks if a is not None for g, k, x, y in spans if f == g and x <= b and a <= y)
+    ok = [x for x in chunks if None not in x and x[2] <= x[3]]
+    wide = [(f, i, a * 40, b * 40 + 1) for f, i, a, b in ok]
+    blocks = [(f, a * 40, b * 40) for f, _, a, b in spans[:20]]
+    shares = {r.id: r.share for r in C.coverage(spark.createDataFrame(blocks, "file_id string, b_start long, b_end long"), spark.createDataFrame(wide, "file_id string, id long, start long, `end` long")).collect()}
+    want = {i: max((max(min(b, y) - max(a, x), 0) / (b - a) for g, x, y in blocks if g == f), default=None) for f, i, a, b in wide}
+    assert {k: round(v, 9) for k, v in shares.items()} == {k: round(v, 9) for k, v in want.items() if v is not None}
