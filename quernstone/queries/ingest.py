@@ -231,3 +231,55 @@ def g25_structural_matches(spark, sf_dir):
     d = F.to_json(F.struct(F.lit("lint").alias("pack"), "rule", F.col("path").alias("uri"), F.col("line").alias("startLine"), F.col("line").alias("endLine")))
     c.select(F.when(F.col("id") % 3 == 0, a).when(F.col("id") % 3 == 1, b).otherwise(d).alias("value")).write.text(target)
     return Y.structural(spark, target).groupBy("pack", "rule", "file", "start_line").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COMMITS = f"(SELECT id, path, coalesce(last_author, 'nobody') AS author, id % 7 AS added, id % 4 AS deleted, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * (id % 5000) AS ts FROM {LOCATED_SQL} WHERE path IS NOT NULL)"
+
+
+@query(sql=f"""SELECT path, count(*) AS commits, CAST(sum(CASE WHEN id % 11 = 0 THEN 0 ELSE added + deleted END) AS BIGINT) AS churn, count(DISTINCT author) AS authors, arg_max(author, strftime(ts, '%Y%m%d%H%M%S') || 'c' || lpad(id::VARCHAR, 12, '0')) AS last_author, max(ts) AS last_at FROM {_COMMITS} GROUP BY path""")
+def t40_vcs_history(spark, sf_dir):
+    """A log in which each chunk is a commit that touches its file, read again: churn, authors and last change of each file."""
+    from quernstone.sources import vcs
+
+    target = _target(spark, "log")
+    c = tables.located(spark, sf_dir).filter("path is not null")
+    commit = F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 12, "0"))
+    at = F.date_format(F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + (F.col("id") % 5000) * 60), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    binary = F.col("id") % 11 == 0
+    numbers = F.when(binary, F.lit("-\t-\t")).otherwise(F.concat((F.col("id") % 7).cast("string"), F.lit("\t"), (F.col("id") % 4).cast("string"), F.lit("\t")))
+    record = F.concat(F.lit(vcs.RECORD), F.concat_ws(vcs.FIELD, commit, F.coalesce("last_author", F.lit("nobody")), at), F.lit("\n\n"), numbers, "path")
+    c.select(record.alias("value")).write.text(target)
+    return vcs.history(vcs.log(spark, target)).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
+
+
+_RUN = 12  # lines of a run of one author
+_BLAME = f"b AS (SELECT file_id, path, 'writer' || ((file_id + k) % 5) AS author, k * {_RUN} + 1 AS lo, (k + 1) * {_RUN} AS hi FROM (SELECT file_id, path, unnest(range(0, CAST(ceil((length(content) - length(replace(content, chr(10), '')) + 1) / {_RUN}.0) AS BIGINT))) AS k FROM {FILES_SQL} WHERE content IS NOT NULL AND path IS NOT NULL))"
+
+
+def authorship(spark, sf_dir):
+    """(id, author): whoever wrote lines of a chunk, by runs of lines of its file."""
+    from quernstone.operators import chunking as C
+    from quernstone.sources import vcs
+
+    target = _target(spark, "blame")
+    f = tables.files(spark, sf_dir, "path", "content").filter("content is not null and path is not null")
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
+    runs = f.select("file_id", F.explode(F.sequence(F.lit(0), F.ceil(lines / _RUN).cast("int") - 1)).alias("k"))
+    runs.select(F.concat_ws("\t", F.col("file_id").cast("string"), (F.col("k") * _RUN + 1).cast("string"), F.lit(str(_RUN)), F.concat(F.lit("writer"), ((F.col("file_id") + F.col("k")) % 5).cast("string"))).alias("value")).write.text(target)
+    told = vcs.blame(spark, target).select(F.col("path").cast("long").alias("file_id"), F.col("author").alias("match"), F.col("first").alias("m_start"), F.col("last").alias("m_end"))
+    return C.line_matches(told, tables.located(spark, sf_dir).select("id", "file_id", "startLine", "endLine")).select("id", F.col("match").alias("author")).distinct()
+
+
+@query(sql=f"WITH {_BLAME} SELECT DISTINCT c.id, b.author FROM {LOCATED_SQL} c JOIN b ON c.file_id = b.file_id AND b.lo <= c.endLine AND c.startLine <= b.hi")
+def j10_chunk_authors(spark, sf_dir):
+    """Authors of chunks, by the runs of lines that overlap theirs."""
+    return authorship(spark, sf_dir)
+
+
+@query(sql=f"WITH {_BLAME}, a AS (SELECT DISTINCT c.id, b.author FROM {LOCATED_SQL} c JOIN b ON c.file_id = b.file_id AND b.lo <= c.endLine AND c.startLine <= b.hi) SELECT id FROM {CHUNKS_SQL} WHERE CASE WHEN id IN (SELECT id FROM a) THEN id IN (SELECT id FROM a WHERE author IN ('writer1', 'writer3')) ELSE contains(lower(coalesce(last_author, '')), 'quill') END")
+def f06_chunk_author(spark, sf_dir):
+    """Chunks by their own authors; those without any by that of their file."""
+    own = authorship(spark, sf_dir).groupBy("id").agg(F.collect_set("author").alias("authors"))
+    c = tables.chunks(spark, sf_dir, "last_author").join(own, "id", "left")
+    hit = F.when(F.col("authors").isNotNull(), P.list_contains(F.col("authors"), ["WRITER1", "writer3"])).otherwise(P.contains_any(F.col("last_author"), ["quill"]))
+    return c.filter(hit).select("id")

@@ -176,3 +176,14 @@ def test_job_queue_keeps_state_and_takes_back_stale_jobs(spark, tmp_path):
         last[r.job] = (r.status, r.attempts)
     assert last["a"] == ("done", 1) and last["b"] == ("queued", 1) and "c" not in last and last["d"][1] == 2 and last["e"] == ("running", 1)
     assert next_status("running", 3, "fail", 2) == ("failed", 3) and next_status("done", 1, "claim", 2) == ("done", 1) and next_status(None, 0, "claim", 2) == (None, 0)
+
+
+def test_logs_and_blame_of_version_control(spark, tmp_path):
+    from quernstone.sources import vcs
+
+    text = "\x1ea1\x1fAda\x1f2024-01-02T03:04:05+00:00\n\n3\t1\tsrc/a b.py\n-\t-\tx.png\n\x1eb2\x1fBo\x1f2024-01-03T00:00:00+01:00\n\n0\t2\tsrc/a b.py\n\x1ec3\x1fBo\x1fno date\n\x1ebroken\n"
+    (tmp_path / "log").write_text(text)
+    got = {r.path: (r.commits, r.churn, r.authors, r.last_author) for r in vcs.history(vcs.log(spark, str(tmp_path / "log"))).collect()}
+    assert got == {"src/a b.py": (2, 6, 2, "Bo"), "x.png": (1, 0, 1, "Ada")}
+    (tmp_path / "blame").write_text("a.py\t1\t3\tAda\na.py\t4\t0\tBo\nbad\n\na.py\t4\t2\tCy D\n")
+    assert {tuple(r) for r in vcs.blame(spark, str(tmp_path / "blame")).collect()} == {("a.py", "Ada", 1, 3), ("a.py", "Cy D", 4, 5)}
