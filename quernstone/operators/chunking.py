@@ -212,6 +212,38 @@ def boilerplate(text: Column) -> Column:
     return F.when(norm != "", norm)
 
 
+# Lines from either end of a file among which a comment block is looked for, and lines that it has at most.
+BLOCK_WITHIN, BLOCK_LINES = 160, 120
+_COMMENT_LINE = r"^[ \t]*(?:$|//|#|;|--|/?\*)"
+
+
+def comment_blocks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, part, start_line, end_line): the comment lines a text begins (leading) and ends with (trailing), blank ones at the outer and inner edge aside.
+
+    A text of comments alone has a leading block only. A block of more than BLOCK_LINES lines is cut there, as the rest is no boilerplate.
+    """
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    code = lambda ls: F.array_position(F.transform(ls, lambda x: ~x.rlike(_COMMENT_LINE)), True)
+    shown = lambda ls: F.array_position(F.transform(ls, lambda x: x.rlike(r"\S")), True)
+    n = F.size("l")
+    rows = df.select(key, lines.alias("l")).withColumns({"head": F.slice("l", 1, BLOCK_WITHIN), "tail": F.slice(F.reverse("l"), 1, BLOCK_WITHIN)})
+
+    def block(side):
+        """First and last line of a block, from its end of the text on; null where there is none."""
+        ls = F.col(side)
+        stop = F.when(code(ls) > 0, code(ls) - 1).otherwise(F.size(ls))
+        first = shown(ls)
+        kept = F.slice(ls, 1, F.greatest(stop, F.lit(0)).cast("int"))
+        last = stop - F.when(shown(F.reverse(kept)) > 0, shown(F.reverse(kept)) - 1).otherwise(F.lit(0))
+        return F.when((first > 0) & (first <= stop), F.struct(first.alias("a"), F.least(last, first + BLOCK_LINES - 1).alias("b")))
+
+    lead, trail = block("head"), block("tail")
+    found = rows.select(key, n.alias("n"), lead.alias("lead"), trail.alias("trail"), (code(F.col("l")) > 0).alias("has_code"))
+    leading = found.filter("lead is not null").select(key, F.lit("leading").alias("part"), F.col("lead.a").alias("start_line"), F.col("lead.b").alias("end_line"))
+    trailing = found.filter("trail is not null and has_code").select(key, F.lit("trailing").alias("part"), (F.col("n") - F.col("trail.b") + 1).alias("start_line"), (F.col("n") - F.col("trail.a") + 1).alias("end_line"))
+    return leading.unionByName(trailing).withColumns({c: F.col(c).cast("long") for c in ("start_line", "end_line")})
+
+
 LINES_BIN, CHARS_BIN = 64, 4096  # widths of the stretches by which intervals of a file meet
 
 

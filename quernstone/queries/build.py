@@ -86,6 +86,20 @@ def t26_boilerplate(spark, sf_dir):
     return b.groupBy(F.md5("b").alias("signature"), F.col("b").rlike(C.LICENSE).alias("license"), F.col("b").rlike(C.GENERATED).alias("generated")).agg(F.count(F.lit(1)).alias("files"))
 
 
+_LINE = "'^[ \\t]*(?:$|//|#|;|--|/?\\*)'"
+
+
+@query(sql=f"""WITH x AS (SELECT file_id, l, unnest(l) AS t, generate_subscripts(l, 1) AS n, len(l) AS lines FROM (SELECT file_id, string_split({_N}, chr(10)) AS l FROM {FILES_SQL} WHERE content IS NOT NULL AND suffix IN {_CODE})),
+c AS (SELECT file_id, max(lines) AS lines, coalesce(min(CASE WHEN NOT regexp_matches(t, {_LINE}) THEN n END), max(lines) + 1) AS first_code, max(CASE WHEN NOT regexp_matches(t, {_LINE}) THEN n END) AS last_code FROM x GROUP BY file_id),
+b AS (SELECT x.file_id, 'leading' AS part, min(n) AS start_line, max(n) AS end_line FROM x JOIN c USING (file_id) WHERE n < least(first_code, 161) AND regexp_matches(t, '\\S') GROUP BY x.file_id
+UNION ALL SELECT x.file_id, 'trailing', min(n), max(n) FROM x JOIN c USING (file_id) WHERE last_code IS NOT NULL AND n > greatest(last_code, x.lines - 160) AND regexp_matches(t, '\\S') GROUP BY x.file_id)
+SELECT file_id, part, CASE WHEN part = 'trailing' THEN greatest(start_line, end_line - 119) ELSE start_line END AS start_line, CASE WHEN part = 'leading' THEN least(end_line, start_line + 119) ELSE end_line END AS end_line FROM b""")
+def t26_comment_blocks(spark, sf_dir):
+    """Comment blocks at both ends of source files, by their lines."""
+    f = tables.files(spark, sf_dir, "suffix", "content").filter(F.col("suffix").isin(*_CODE) & F.col("content").isNotNull())
+    return C.comment_blocks(f, "file_id", "content")
+
+
 @query(sql=f"""WITH b AS (SELECT file_id, length({_BLOCK}) AS b_end FROM {FILES_SQL} WHERE suffix IN {_CODE} AND content IS NOT NULL)
 SELECT c.id, round(max(greatest(least(c."end", b.b_end) - greatest(c.start, 0), 0) / (c."end" - c.start)), 6) AS share FROM {LOCATED_SQL} c JOIN b ON c.file_id = b.file_id WHERE c."end" > c.start GROUP BY c.id""")
 def t27_boilerplate_overlap(spark, sf_dir):

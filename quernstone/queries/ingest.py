@@ -283,3 +283,58 @@ def f06_chunk_author(spark, sf_dir):
     c = tables.chunks(spark, sf_dir, "last_author").join(own, "id", "left")
     hit = F.when(F.col("authors").isNotNull(), P.list_contains(F.col("authors"), ["WRITER1", "writer3"])).otherwise(P.contains_any(F.col("last_author"), ["quill"]))
     return c.filter(hit).select("id")
+
+
+@query(sql=f"SELECT id, mode, name, coalesce(array_to_string(ngrams, '|'), '') AS grams FROM {CHUNKS_SQL}")
+def s08_jsonl_shards(spark, sf_dir):
+    """Chunks as compressed shards of JSON lines, among lines that are none, read again by their schema."""
+    target = _target(spark, "jsonl")
+    c = tables.chunks(spark, sf_dir, "mode", "name", "ngrams")
+    S.write_jsonl(c.repartition(6), os.path.join(target, "part=a"), "gzip")
+    spark.createDataFrame([("{broken",), ("not json",)], "value string").write.text(os.path.join(target, "part=b"))
+    rows = S.read_jsonl(spark, target, c.schema)
+    return rows.select("id", "mode", "name", F.coalesce(F.array_join("ngrams", "|"), F.lit("")).alias("grams"))
+
+
+_SEVERITY_SQL = "SELECT id, coalesce(array_to_string(list_sort(list_distinct(list(category) FILTER (WHERE category <> ''))), ','), '') AS categories, coalesce(arg_max(severity, CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 END) FILTER (WHERE kind = 'sink'), CASE WHEN max(CASE WHEN kind = 'source' THEN 1 ELSE 0 END) = 1 THEN 'low' END) AS severity FROM sg GROUP BY id"
+
+
+@query(sql=f"""WITH {_signals_sql()}, rk AS ({_SEVERITY_SQL}) SELECT m.id, docmeta.doc IS NOT NULL AND trim(docmeta.doc) <> '' AS documented, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(docmeta.signature, ''), '{_TYPE}', 1))), ',') AS types,
+concat_ws('/', branches, loops, breaks, continues) AS flow, len(calls) AS calls, coalesce(visibility, '') AS visibility, coalesce(rk.categories, '') AS risk_categories, coalesce(rk.severity, '') AS risk FROM {RELATED_SQL} m LEFT JOIN rk ON m.id = rk.id WHERE text IS NOT NULL""")
+def t33_merged_metadata(spark, sf_dir):
+    """Documentation, types, control flow, calls and risk of each chunk as one row."""
+    r = relations.related(spark, sf_dir).filter("text is not null")
+    risk = K.rollup(K.signals(risk_chunks(spark, sf_dir), RISK_RULES)).select("id", F.array_join("categories", ",").alias("risk_categories"), F.col("severity").alias("risk"))
+    types = F.array_join(relations.names(F.coalesce("docmeta.signature", F.lit("")), _TYPE), ",")
+    return r.join(risk, "id", "left").select(
+        "id", (F.col("docmeta.doc").isNotNull() & (F.coalesce(F.trim("docmeta.doc"), F.lit("")) != "")).alias("documented"), types.alias("types"), F.concat_ws("/", *[F.col(c).cast("string") for c in ("branches", "loops", "breaks", "continues")]).alias("flow"),
+        F.size("calls").cast("long").alias("calls"), F.coalesce("visibility", F.lit("")).alias("visibility"), F.coalesce("risk_categories", F.lit("")).alias("risk_categories"), F.coalesce("risk", F.lit("")).alias("risk"))
+
+
+@query(sql=f"SELECT repo, mode, count(*) AS chunks, count(DISTINCT file_id) AS files, CAST(sum(coalesce(octet_length(encode(text)), 0)) AS BIGINT) AS bytes, CAST(max(coalesce(octet_length(encode(text)), 0)) AS BIGINT) AS largest FROM {LOCATED_SQL} GROUP BY repo, mode")
+def a17_shard_census(spark, sf_dir):
+    """Chunks, files and bytes of each repo and mode, as shards of an index."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    return tables.located(spark, sf_dir).groupBy("repo", "mode").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("file_id").alias("files"), F.sum(size).cast("long").alias("bytes"), F.max(size).cast("long").alias("largest"))
+
+
+_CALL = r"([A-Za-z_]\w*)\(([^()]*)\)"
+
+
+@query(sql=f"""WITH y AS (SELECT repo, name, max(len(docmeta.params)) AS required FROM {LOCATED_SQL} WHERE name IS NOT NULL AND docmeta.params IS NOT NULL AND regexp_matches(coalesce(docmeta.signature, ''), '^(export|pub)') GROUP BY repo, name),
+k AS (SELECT DISTINCT repo, path AS file, id AS caller, unnest(regexp_extract_all(text, '{_CALL}', 1)) AS name, unnest(regexp_extract_all(text, '{_CALL}', 2)) AS args FROM {LOCATED_SQL} WHERE text IS NOT NULL),
+n AS (SELECT DISTINCT y.repo || ':' || y.name AS symbol_id, file, caller, CASE WHEN trim(args) = '' THEN 0 ELSE len(string_split(args, ',')) END AS args, required FROM y JOIN k ON y.repo = k.repo AND y.name = k.name)
+SELECT symbol_id, file, caller, args, CASE WHEN args < required OR args > required + 1 THEN 'ARITY_MISMATCH' END AS warning FROM n QUALIFY row_number() OVER (PARTITION BY symbol_id ORDER BY file, caller, args) <= 5""")
+def a20_call_lists(spark, sf_dir):
+    """The first five calls of each exported function, with a warning where the number of arguments does not fit."""
+    from quernstone.operators import keyed
+
+    c = tables.located(spark, sf_dir)
+    key = F.concat_ws(":", "repo", "name")
+    exported = F.coalesce("docmeta.signature", F.lit("")).rlike("^(export|pub)")
+    symbols = c.filter(exported & F.col("name").isNotNull() & F.col("docmeta.params").isNotNull()).groupBy(key.alias("symbol_id")).agg(F.max(F.size("docmeta.params")).alias("required"))
+    pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(_CALL), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(_CALL), F.lit(2)).alias("args"))
+    calls = c.filter("text is not null").select("repo", F.col("path").alias("file"), F.col("id").alias("caller"), F.explode(pairs).alias("c")).select(
+        F.concat_ws(":", "repo", "c.name").alias("symbol_id"), "file", "caller", F.when(F.trim("c.args") == "", 0).otherwise(F.size(F.split("c.args", ","))).cast("long").alias("args"))
+    told = calls.join(symbols, "symbol_id").distinct().withColumn("warning", F.when((F.col("args") < F.col("required")) | (F.col("args") > F.col("required") + 1), "ARITY_MISMATCH")).drop("required")
+    return keyed.top_n(told, ["symbol_id"], [F.asc("file"), F.asc("caller"), F.asc("args")], 5)

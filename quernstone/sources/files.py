@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quernstone.functions.paths import extension, normal_path
+from quernstone.runtime import cut
 
 # Suffixes by mode, folders that are never read, files that are no source.
 PROSE = "md markdown txt rst adoc asciidoc".split()
@@ -149,5 +150,13 @@ def dot_lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.concat(F.lit("  "), quote("src"), F.lit(" -> "), quote("dst"), F.lit(";")).alias("line"))
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
+    """Rows as JSON lines, a file for each partition."""
+    df.write.mode("overwrite").option("compression", compression).json(path)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of JSON lines in files of any number, compressed or not, by a stated schema: fields that it lacks are left out, lines that are no JSON give no row."""
+    marked = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    rows = spark.read.schema(marked + ", __bad string").option("columnNameOfCorruptRecord", "__bad").json(path)
+    return cut(rows).filter("__bad is null").drop("__bad")
