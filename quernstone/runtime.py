@@ -58,7 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-_stored: dict[tuple, str] = {}
+_stored: dict[tuple, tuple] = {}
 
 
 def _state(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> tuple:
@@ -84,8 +84,9 @@ def stored(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...]
         df = build()
         out = (write(df) if write else df).write.mode("errorifexists")
         (out.partitionBy(by) if by else out).parquet(target)
-        _stored[key] = target
-    return spark.read.parquet(_stored[key])
+        _stored[key] = target, df.schema
+    target, schema = _stored[key]
+    return spark.read.schema(schema).parquet(target)  # as it was written: columns to partition by are not guessed again
 
 
 def one(df: DataFrame) -> Column:

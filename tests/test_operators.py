@@ -496,3 +496,20 @@ def test_intervals_meet_by_stretches(spark):
     shares = {r.id: r.share for r in C.coverage(spark.createDataFrame(blocks, "file_id string, b_start long, b_end long"), spark.createDataFrame(wide, "file_id string, id long, start long, `end` long")).collect()}
     want = {i: max((max(min(b, y) - max(a, x), 0) / (b - a) for g, x, y in blocks if g == f), default=None) for f, i, a, b in wide}
     assert {k: round(v, 9) for k, v in shares.items()} == {k: round(v, 9) for k, v in want.items() if v is not None}
+
+
+def test_stored_tables_keep_types_and_follow_their_sources(spark, tmp_path):
+    from quernstone.runtime import stored, table
+
+    def put(rows):
+        spark.createDataFrame(rows, "mode string, n int").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+
+    made = []
+
+    def get():
+        return sorted(tuple(r) for r in stored(spark, str(tmp_path), "copy", ("t",), lambda: made.append(1) or table(spark, str(tmp_path), "t"), by="mode").select("mode", "n").collect())
+
+    put([("007", 1), ("7", 2)])
+    assert get() == get() == [("007", 1), ("7", 2)] and len(made) == 1
+    put([("007", 1), ("7", 2), ("x", 3)])
+    assert get() == [("007", 1), ("7", 2), ("x", 3)] and len(made) == 2
