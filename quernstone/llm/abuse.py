@@ -43,12 +43,12 @@ slur: nigger niggers nigga niggas faggot faggots fag fags kike kikes spic spics
 dehuman: vermin subhuman subhumans cockroach cockroaches parasite parasites scum savage savages maggots filth untermensch untermenschen ungeziefer abschaum schmarotzer vermine cafards cafard parasites racaille
  cucarachas cucaracha parasitos escoria alimanas ratas ratten
 beast: animals animal rats pigs dogs monkeys apes trash garbage disease plague cancer infection virus tiere affen hunde schweine pest seuche seuchen krebs dreck animaux chiens porcs singes peste maladie ordures animales perros cerdos monos plaga enfermedad basura rata insects locusts snakes
-crime: thief thieves criminal criminals rapist rapists liar liars terrorist terrorists murderer murderers crooks cheats diebe verbrecher lugner vergewaltiger terroristen voleur voleurs criminel criminels menteurs violeurs terroristes ladron ladrones criminales mentirosos violadores terroristas delincuentes
-low: inferior filthy dirty lazy stupid dumb disgusting backward primitive retarded evil worthless greedy dreckig faul dumm minderwertig widerlich sales paresseux inferieurs degoutants sucios vagos inferiores asquerosos
+crime: cheater cheaters thief thieves criminal criminals rapist rapists liar liars terrorist terrorists murderer murderers crooks cheats diebe verbrecher lugner vergewaltiger terroristen voleur voleurs criminel criminels menteurs violeurs terroristes ladron ladrones criminales mentirosos violadores terroristas delincuentes
+low: sick perverted unnatural diseased abnormal degenerate degenerates subhuman krank pervers abartig minderwertige kriminell malades degeneres inferieures criminels enfermos enfermas degenerados asquerosos inferior filthy dirty lazy stupid dumb disgusting backward primitive retarded evil worthless greedy dreckig faul dumm minderwertig widerlich sales paresseux inferieurs degoutants sucios vagos inferiores asquerosos
 group: muslim muslims jew jews jewish blacks gay gays lesbian lesbians homosexual homosexuals queers transgender transgenders immigrant immigrants migrant migrants foreigner foreigners refugee refugees women woman girls females mexican mexicans arab arabs asian asians african
  africans indians pakistanis gypsy gypsies blacks christians catholics hindus buddhists cripples turks romanians albanians latinos hispanics
  juden jude muslime muslim moslems auslander fluchtlinge fluchtling asylanten schwule schwulen lesben frauen weiber turken zigeuner migranten schwarze schwarzen araber
- juif juifs musulman musulmans arabe arabes etranger etrangers immigre immigres femmes gitans refugies migrants asiatiques
+ noirs juif juifs musulman musulmans arabe arabes etranger etrangers immigre immigres femmes gitans refugies migrants asiatiques
  judio judios musulmanes moros moro inmigrante inmigrantes negros gitanos gitano mujeres homosexuales extranjeros refugiados migrantes latinos
 race: black white brown trans gay asian arab jewish muslim indian african schwarze noir negro
 female: women woman girls girl females female wife frauen frau weiber femmes femme mujeres mujer
@@ -67,14 +67,14 @@ invade: invade invading invaded infest infesting infested breed breeding outbree
 hide: lock hide guard count watch secure nail
 person: hire hires applicant applicants candidate candidates neighbor neighbors neighbour neighbours family families colleague newcomer intern interns contractor plumber cleaner
 ruin: ruin ruins ruined ruining destroy destroys spoil spoils infect infects pollute pollutes contaminate poison dirty stink
-boost: bloody useless pathetic worthless stinking stupid dumb brainless goddamn fucking fuckin filthy disgusting ugly fat rotten damned dirty lousy miserable retarded spineless old
+boost: idiotic moronic imbecilic asinine incompetent clueless gutless shameless cowardly repulsive hideous vile perverted twisted nasty bloody useless pathetic worthless stinking stupid dumb brainless goddamn fucking fuckin filthy disgusting ugly fat rotten damned dirty lousy miserable retarded spineless old
  widerliches dreckiges verdammtes widerlicher dreckiger verdammter dummer blode blodes bloder elender minable sale inutil asqueroso asquerosa sucio sucia maldito maldita repugnante putain puta immonde sucia
 worthless: worthless useless pathetic disgusting garbage trash scum subhuman ugly stupid dumb brainless braindead retarded repulsive fat filth shit crap vile incompetent talentless cancer insignificant hideous revolting failure waste joke disgrace embarrassment vermin
  wertlos nutzlos erbarmlich dumm hasslich widerlich dreck nichts abschaum letzte nul nulle moche degoutant inutile inutil asqueroso feo fea basura mierda repugnante minable
-you: you your youre yourself yourselves u ur ya yall du dich dir dein deine deiner deinen deinem ihr euch euer tu te ta ton tes toi vous votre vos eres ti tus usted ustedes vosotros os
-youare: youre ure eres bist seid
+you: yuo yoo yew you your youre yourself yourselves u ur ya yall du dich dir dein deine deiner deinen deinem ihr euch euer tu te ta ton tes toi vous votre vos eres ti tus usted ustedes vosotros os
+youare: youre ure eres bist seid sois
 your: your ur yer dein deine deiner deinen deinem euer eure ta ton tes votre vos tu tus su
-aim: you your youre yourself yourselves u ur ya whoever somebody anyone someone hes shes du dich dir dein deine deiner ihr euch euer tu te ta ton tes toi vous votre eres tus ti usted ustedes vosotros quien tell theyre
+aim: yuo yoo you your youre yourself yourselves u ur ya whoever somebody anyone someone hes shes du dich dir dein deine deiner ihr euch euer tu te ta ton tes toi vous votre eres tus ti usted ustedes vosotros quien tell theyre
 him: him her them he she whoever someone somebody ihn ihm ihr ihnen elle leur lui lo la los las
 i: i im ill ive we well id ich wir werd werde je jvais nous on yo voy vamos vais somebody someone
 will: will ill gonna going wanna want shall would could might ought should werde werden will wurde vais va vas allons voy vamos quiero go
@@ -130,7 +130,7 @@ self: i im my myself me mine ich mein meine je mon ma mes yo mi soy
 weak: git tramp trash vermin maggot maggots weasel parasite cow leech crook freak freaks creep creeps con cons worm swine sissy wimp psycho sau schwein schweine arsch basura mierda escoria tonto tonta perra perras cerdo cerda payaso minable clochard ratbag coward cowards
  animal animals garbage monkey ape dog rat snake liar liars joke disgrace failure filth monster monsters hund affe ratte lugner chien porc singe rat menteur perro mono mentiroso putain merde
 fill: a an the so such just really very all totally total complete completely absolute absolutely utterly but more than kind pretty damn goddamn always still quite too also bunch of real big huge true little bloody old lying plain and ein eine einen so sehr total echt wirklich das der die nur ganz nothing nichts rien nada
- un une des tellement vraiment tres tout toute le la les qu que quun quune une una unos unas muy tan realmente el los las solo un de d
+ gros grosse petit petite sacre espece un une des tellement vraiment tres tout toute le la les qu que quun quune une una unos unas muy tan realmente el los las solo un de d
 nobody: nobody noone niemand personne nadie
 likes: likes like wants loves cares asked miss mag will veut aime quiere importa
 vanish: vanish vanished died disappear disappeared gone jumped verschwinde verschwindest disparais desaparezcas
@@ -148,6 +148,9 @@ for _block in re.split(r"\n(?=\w+:)", CLASSES_TEXT.strip()):
     _name, _, _words = _block.partition(":")
     CLASSES[_name] = tuple(dict.fromkeys(_words.split()))
 
+# insults that are nothing else; the others are animals, trades or results too
+CLASSES["strong"] = tuple(t for t in CLASSES["insult"] if t not in frozenset("pig pigs clown clowns hag hags loser losers prick pricks degenerate degenerates retard douche hoe cochon ordure ordures bouffon fumier racaille zorra zorras puta putas bimbo crybaby dunce penner".split()))
+
 # Ordinary words one letter away from a term that no tokenizer has as a whole word.
 ORDINARY = frozenset((
     "idiom idioms idiot's batch botch butch bench birch itch pitch witch ditch bitte batches botches benches birches botched where whole whose wore whores whorl shore chore whoever wholes "
@@ -197,10 +200,13 @@ threat 1.1 : matate|suicidate|ahorcate|muerete|verreck|verrecke|creve|crevez|kre
 threat 1.1 : drop +1 dead
 threat 1.1 : go|geh|va|vete +1 die|sterben|verrecken|crever|mourir|morirte
 threat 1.1 : please|just +1 die ~5 @insult|you|u
-threat 1.2 : @hope +4 you|u|du|tu|usted|your|deine|ta|ustedes +4 @die|@killed|@fall|cancer|raped|verreckst|stirbst|mueras|creves
+threat 1.2 : jump|leap|throw|hurl|fall|spring|saute|salta|tirate +2 off|from|under|before|vom|von|du|de|del|por +2 @fall ~6 @you|go|please|just
+threat 1.2 : @hope +4 you|u|du|dich|tu|te|vous|usted|your|deine|ta|ustedes +4 @die|@killed|@fall|cancer|raped|verreckst|stirbst|mueras|creves
 threat 1.2 : @push +1 you|him|her|dich|te +3 down|off|under|out|from|in|into|die|aus|par|por +3 @fall
-threat 1.1 : @know +1 @where +1 you|u|du|tu|your|yall|he|she +2 @live
-threat 1.1 : @know +1 @where +3 @live ~5 @i
+threat 1.1 : @i +2 know|knows +1 where +1 you|u|your|yall|he|she +2 @live|@family
+threat 1.1 : weiss|wissen|sais|savons|connais|se|sabemos +1 wo|ou|donde +1 du|ihr|tu|vous|sie|er|elle|il +2 @live
+threat 1.1 : se|sabemos +1 donde +1 vives|vive|trabajas|duermes|aparcas
+threat 1.1 : @your +2 @family +3 deserve|deserves|should|must|will|gonna +3 @die|@killed|burned
 threat 1.1 : @i +3 @will +3 @find +2 you|u|dich|te|toi|him|her ~16 @hurt|@kill|@body|pay|regret|sorry
 threat 1.1 : watch +1 your +1 back ~12 dead|kill|next|sleep|night|bitch|asshole|@insult
 threat 1.1 : you|u|he|she|whoever|@insult|@slur|@group|@demonym +6 @modal|deserve|deserves|to +1 be +3 @killed
@@ -235,9 +241,11 @@ insult 1.2 : que +1 te +1 jodan|follen|den|folle
 insult 1.2 : hijo|hija|hijos|fils|sohn|son|sons +1 de|einer|of|d|a +2 puta|putas|pute|hure|perra|bitch|bitches|whore
 insult 1.2 : me +1 cago +1 en +3 madre|muertos|puta
 insult 1.1 : @youare =4 @worthless|@weak|@insult
-insult 1.1 : you|u|ya|yall +1 are|re|were =4 @worthless|@weak|@insult
+insult 1.1 : only =3 @insult|@weak +2 would|could|can
+insult 1.1 : you|u|yuo|yoo|ya|yall +1 are|re|were|r =4 @worthless|@weak|@insult
 insult 1.1 : you|u +1 are +1 nothing ~4 @insult|@boost|@lick
-insult 1.1 : he|she|who|whoever|author|maintainer|reviewer|boss|manager|er|sie|il|elle|el|ella +1 is|was|ist|est|es =4 @insult|cow|monkey|ape
+insult 1.1 : he|she|who|whoever|author|maintainer|reviewer|boss|manager|er|sie|il|elle|el|ella +1 is|was|ist|est|es =4 @strong
+insult 1.1 : he|she|who|whoever|author|maintainer|reviewer|boss|manager +1 is|was =3 @boost =1 cow|monkey|ape|pig|rat|animal|dog|clown
 insult 1.1 : he|she|they|who|whoever +1 is|are|was =3 @piece +1 of|de +1 @shit
 insult 1.1 : you|your +1 @insult|@weak +1 are =3 @worthless|@weak
 insult 1.1 : du|ihr +1 bist|seid =4 @worthless|@weak|@insult
@@ -253,6 +261,7 @@ insult 1.2 : @lick +1 my +1 @boots
 insult 1.2 : leck|leckt +1 mich +2 arsch
 insult 1.1 : @crawl +3 into|under|to|in +2 @hole ~8 @back|@you|@insult
 insult 1.2 : @shove +6 up|in|par|por +2 your|dir|deinen|le|el|ton|tu +1 @ass
+insult 1.2 : eat|kiss|lick +1 my +1 ass|arse|shit|balls
 insult 1.2 : up +1 your +1 @ass
 insult 1.2 : you|du|tu =3 @piece +1 of|de +1 @shit
 insult 1.1 : @piece +1 of|de +1 @shit ~4 @you|@shut|@insult
@@ -285,6 +294,8 @@ hate 1.2 : @until +3 learn|lernen|apprennent|aprendan|know|knows +2 @place ~14 b
 hate 1.2 : go|get|send|geh|geht|rentre|rentrez|vuelve|vete|vuelvan +2 @back|zuruck|chez +2 to|where|in|dans|a|ton|toi|vous|zu =3 @land|africa|mexico|china|jungle|wherever|pays|desert ~9 @you|@they|@group|your|own
 hate 1.2 : go|geh|geht +1 @back +1 where +1 you|they|ihr|du +1 came|herkommst|herkommt|belong
 hate 1.2 : @female +14 @kitchen ~14 @back|belong|belongs|stay|gehoren|gehort|zuruck|@business|place|make
+hate 1.2 : @female +1 a|zuruck|ab|back|an|to +3 @kitchen
+hate 1.1 : gas +1 chamber|chambers ~8 @group|@slur|you
 hate 1.2 : @kitchen ~6 @female ~8 belong|belongs|gehoren|gehort|back|place|lugar|sitio
 hate 1.1 : no +1 @business +4 near|around|in ~10 @group|@female|@demonym
 hate 1.1 : no|never|not|kein|keine =2 @group|@demonym +5 @be|@modal +4 allowed|trusted|near
@@ -299,7 +310,7 @@ hate 1.1 : @dont +1 @trust +2 @group|@demonym
 hate 1.1 : hate|hasse|deteste|odio =3 @group|@demonym|@slur
 hate 1.1 : @group|@demonym +1 raus|dehors|fuera
 hate 1.1 : filthy|dirty|stinking|fucking|goddamn|disgusting|lousy|damned|scheiss|dreckige|dreckiger|drecks|sale|sales|putos|putas|malditos|sucios +1 @group|@demonym
-sexual 1.1 : @sexact +2 her|him|them|hard|me|sie|ihn|dich|te|la|lo|mich ~9 @desk|rip|hard|bed|@erobody|want|wanna|going|hart|tonight|describing
+sexual 1.1 : @sexact +2 her|him|them|hard|me|sie|ihn|dich|te|la|lo|mich ~9 @desk|@bend|brains|senseless|rip|hard|bed|@erobody|want|wanna|going|hart|tonight|describing
 sexual 1.1 : @i +4 fuck|bang|shag|ficken|baiser|follarte|follar +1 you|her|him|te|dich|la|lo|sie|ihn
 sexual 1.1 : want|wants|wanted|wanna|love|mochte|will|veux|quiero +3 fuck|bang|shag|ficken|baiser|follar +2 you|her|him|te|dich|la|sie
 sexual 1.1 : @show +5 @your|her|his|deine|tes|ton|tus|my|me +2 @sexpart
@@ -468,6 +479,11 @@ class Lexicon:
                 near = tuple(t for t in self._walk(word, 2) if t in _NEAR_SET and len(t) >= 10)
             if near:
                 return near
+        if 8 <= len(word) <= 24 and word.isalpha() and not self.ordinary(word):
+            # two words run together, of which the second insults
+            for i in range(3, len(word) - 3):
+                if word[i:] in _NEAR_SET and word[:i] in _TWO:
+                    return word[:i], word[i:]
         plain = word.translate(_DIGITS) if any(c.isalpha() for c in word) else word
         if _PEOPLE.fullmatch(plain) and not self.ordinary(plain):
             return (DEMONYM,)
@@ -549,9 +565,12 @@ def all_terms() -> set[str]:
 
 
 _INSULT_SET, _BOOST_SET, _TARGET_SET, _META_SET, _SELF_SET, _FILL_SET = (frozenset(CLASSES[c]) for c in ("insult", "boost", "aim", "meta", "self", "fill"))
-_FILLERS = _FILL_SET | _BOOST_SET
+_FILLERS = _FILL_SET | _BOOST_SET | frozenset(t for c in ("worthless", "low", "ugly") for t in CLASSES[c])
 _NEAR_SET = frozenset(t for c in ("insult", "slur") for t in CLASSES[c] if len(t) >= 4) - {"clown", "clowns", "pigs", "hags", "loser", "losers", "coon", "coons", "fags", "spic", "gook", "paki", "dyke", "dykes", "pede", "cons", "spast", "penner", "neger", "pute", "simp"}
 
+_STRONG = frozenset(CLASSES["strong"])
+_TWO = frozenset(t for c in ("boost", "insult", "slur", "ugly", "worthless", "you") for t in CLASSES[c] if len(t) >= 3)
+
 # a bit for each set of words that rules ask for: which rules a sentence can satisfy is then told by the bits of its words
 _SETS = {names: n for n, names in enumerate(dict.fromkeys(part[-1] for _, _, chain, sides in RULES for part in (*chain, *sides)))}
 _MASKS: dict[str, int] = {}
@@ -631,6 +650,17 @@ def passages(text: str, lexicon: Lexicon):
         """Whether a word of the same sentence around word k is one of names."""
         return any(t in names for j in range(max(0, k - before), min(n, k + after + 1)) if j != k and sentence[j] == sentence[k] for t in terms[j])
 
+    def alone(k):
+        """Whether the sentence of word k is a strong insult and what adds to it: it is said to someone."""
+        if _STRONG.isdisjoint(terms[k]):
+            return False
+        a, b = k, k + 1
+        while a > 0 and sentence[a - 1] == sentence[k]:
+            a -= 1
+        while b < n and sentence[b] == sentence[k]:
+            b += 1
+        return all(j == k or not _FILLERS.isdisjoint(terms[j]) for j in range(a, b))
+
     start = 0
     while start < n:
         end, mask = start, 0
@@ -645,7 +675,7 @@ def passages(text: str, lexicon: Lexicon):
                 if first.isdisjoint(terms[k]):
                     continue
                 stop = _chained(terms, k, end, chain, 1)
-                if stop >= 0 and all(any(not names.isdisjoint(terms[j]) for j in range(max(start if inside else 0, k - window), min(end if inside else n, stop + window + 1)) if j < k or j > stop) for window, inside, names in sides):
+                if stop >= 0 and all(any(not names.isdisjoint(terms[j]) for j in range(max(start if inside else 0, k - window), min(end if inside else n, stop + window + 1)) if j != k and j != stop) for window, inside, names in sides):
                     yield _weighed(weight, k, near, quoted), kind
         start = end
     if not whole & _INSULT_BIT:
@@ -656,10 +686,10 @@ def passages(text: str, lexicon: Lexicon):
         if words[k + 1 : k + 2] == ["of"] or (near(k, _SELF_SET, 4, 0) and not near(k, _TARGET_SET, 4, 2)):
             continue  # of a thing, or of the speaker
         score = 0.6
-        aimed = near(k, _TARGET_SET, 8, 4)
+        aimed = near(k, _TARGET_SET, 8, 8)
         vocative = (ends[k] or k == n - 1) and k > 0 and (commas[k - 1] or (terms[k - 1] and _BOOST_SET.intersection(terms[k - 1]) and k > 1 and commas[k - 2]))
         leading = commas[k] and (k == 0 or ends[k - 1])
-        if aimed or vocative or leading:
+        if aimed or vocative or leading or alone(k):
             score += 0.5
         if near(k, _BOOST_SET, 2, 1):
             score += 0.2

@@ -84,7 +84,8 @@ def test_misspelled_and_inflected_insults():
         assert not set(INSULTS).intersection(LEXICON.find(word)), word
 
 
-# Sentences written apart from the rules. When they were first read 88 of the 97 cases were found, and 2 of the 101 others: recall 0.91 at precision 0.98.
+# Sentences written apart from the rules in four sets, each read once before the rules were widened for what it showed. On first reading 176 of the 207 cases
+# were found, and 4 of the 211 others: recall 0.85 (0.91, 0.84, 0.70, 0.83 by set) at precision 0.98.
 WRITTEN_CASES = """
 You are a fucking faggot.
 All Muslims should be exterminated, they are scum.
@@ -183,6 +184,116 @@ I'll beat the crap out of you.
 Du bist dumm wie Brot, du Vollpfosten.
 Tu es une merde.
 Muérete, maldito imbécil.
+You absolute moron, learn to read.
+What a pathetic loser you are.
+Shut your stupid mouth.
+I hope you rot in hell.
+You people are disgusting vermin.
+Go hang yourself, nobody will miss you.
+We should shoot every last one of those immigrants.
+The Jews are parasites.
+Women should stay in the kitchen.
+I'm gonna smash your face in.
+Your whole family deserves to die.
+He is such a cunt.
+You stupid whore, suck it.
+Piss off, you worthless idiot.
+Look at those tits, I'd love to fuck her.
+You're a brainless piece of garbage.
+These niggers ruin everything.
+All gays should be shot.
+You retarded monkey, go back to Africa.
+I know where your kids go to school and I will kill them.
+Only a complete imbecile would write code like this, you included.
+Kys loser
+You are so dumb it hurts.
+Send me a photo of your boobs.
+I will rip your head off.
+Everyone knows you're a slut.
+Muslims are terrorists, all of them.
+Dirty foreigners out of our country!
+Du bist ein nutzloses Stück Scheiße.
+Halt die Klappe, du Idiot.
+Ich werde dich umbringen.
+Alle Ausländer raus!
+Du dumme Schlampe.
+Ferme ta gueule, connard.
+Tu es une grosse merde.
+Les juifs sont des parasites.
+Je vais te casser la gueule.
+Sale arabe, rentre dans ton pays.
+Eres un idiota inútil.
+Que te jodan, hijo de puta.
+Te voy a partir la cara.
+Los inmigrantes son basura.
+y0u f@gg0t
+You m0ron, go d1e
+s t u p i d b i t c h, leave
+stfu you twat
+u r a worthless pos
+You fat ugly cow, nobody wants you.
+die in a fire, asshole
+I'd bend her over and fuck her brains out.
+You filthy cockroach, crawl back under your rock.
+What an idiotic asshole wrote this?
+You guys are a bunch of morons.
+If I ever meet you I will beat you to death.
+Black people are lazy criminals.
+Faggots should burn.
+Go fuck yourself, Karen.
+I want to rape her.
+He moaned while she licked his cock.
+You deserve to be hanged.
+The reviewer is an incompetent jackass.
+Shut up, retard.
+Nobody asked you, slut.
+You look like a fat pig.
+I'll burn your house down with your kids inside.
+Trans people are disgusting freaks.
+Those Mexicans are stealing our jobs.
+You should jump off a bridge.
+Why don't you just die already, you loser?
+Du Hurensohn, verschwinde.
+Schwule sind krank und widerlich.
+Ich breche dir alle Knochen.
+Vous êtes des imbéciles.
+Les noirs sont des singes.
+Nique ta race.
+Sois un idiota de mierda.
+Los maricones deben morir.
+Ojalá te mueras, perra.
+yuo are a wortless idoit
+w h o r e
+You sad little cunt, nobody likes you.
+The maintainer is a total asshole.
+Get your filthy hands off my code, you pig.
+I swear I will kill you, you bastard.
+Asians are all cheaters and liars.
+Fuck off back to Mexico.
+You belong in a gas chamber, jew.
+You need to be raped.
+Suck my cock, bitch.
+She rode him all night, moaning and naked.
+What a dumb bitch.
+Hope your kids get cancer.
+You're as useless as a dead dog, idiot.
+Eat my ass.
+Stupid idiots everywhere in this team, all of you.
+Women are inferior and should not code.
+The refugees are rats.
+Someone should shoot you.
+Du elender Wichser.
+Verreck doch, du Sau.
+Zigeuner gehören vergast.
+Pauvre con, tu es nul.
+Va crever, salope.
+Les femmes à la cuisine!
+Pedazo de imbécil, no sirves para nada.
+Muere, zorra.
+Los judíos son parásitos.
+ur a fukcing moron
+b.i.t.c.h
+you @sshole
 """
 WRITTEN_OTHERS = """
 you should kill the process with signal 9
@@ -286,6 +397,116 @@ This code is garbage and should be thrown out.
 The test suite is shit.
 Dick Smith and Randy Cox joined the call.
 The town of Scunthorpe and the county of Essex.
+Please shut down the idle worker before midnight.
+The test failed because the parent died first.
+I hope you feel better soon.
+You are a great reviewer, thank you.
+This is a stupid bug, sorry for the noise.
+The bastard title page is the first page of a book.
+Our dog is a bitch of three years.
+The museum shows how the Nazis murdered millions of Jews.
+She wrote about hate crimes against Muslims.
+The women in the team lead three projects.
+Kill all zombie processes on the host.
+Hang tight, the deploy is running.
+We shot the video on Friday.
+He broke his leg skiing last winter.
+Burn the ISO image to a disc.
+You should execute the script as root.
+The gang of workers steals tasks from each other.
+The scheduler robs Peter to pay Paul.
+Immigrants from many countries live in this city.
+The plague spread across Europe in 1348.
+Cancer cells destroy healthy tissue.
+Don't be an idiot like me and forget the backup.
+I was a moron for not testing this.
+The slur was removed from the transcript.
+Sexual harassment is not tolerated here.
+The naked eye cannot see bacteria.
+The adult film industry is regulated.
+The condition of the breast tissue was normal.
+Strip debug symbols from the binary.
+This API sucks.
+That was a shitty release, but we learned.
+The damn printer is jammed again.
+Die Verbindung ist tot, bitte neu starten.
+Der Idiot im Roman ist eine Figur von Dostojewski.
+Die Schweine auf dem Hof werden gefüttert.
+Ich habe mir den Kopf gestoßen.
+Bitte den alten Prozess töten.
+La chienne du voisin a eu des petits.
+Le processus est mort, il faut le relancer.
+C'est con, j'ai oublié le mot de passe.
+Il a perdu la tête.
+El perro come la basura.
+Estoy muerto de cansancio.
+Hay que matar los procesos viejos.
+La puta madre, se cayó el servidor.
+Let me know where you work best.
+I will find you a better example.
+Nobody wants you to lose data.
+Your house style guide says otherwise.
+The trap handler shuts the mouth of the valve.
+You are an expert in this field.
+The rock fell on the cockroach trap.
+We beat our own record to finish early.
+Fat binaries are larger than thin ones.
+He is a pig farmer in Iowa.
+I would die for a good coffee.
+This exception should be raised earlier.
+The house burned down in 1906.
+The bridge pattern lets you jump between backends.
+Our kids love this app.
+The committee hanged the picture on the wall.
+Lazy evaluation is used here.
+Criminals are rarely caught, the report says.
+The black box is recording.
+Trans fats are unhealthy.
+Stealing work from other queues is allowed.
+Why don't you just restart it?
+Idiotic naming on my part, will fix.
+Retarded ignition timing damages the engine.
+The sex of the animal is recorded at birth.
+Karen reviewed the patch and approved it.
+Ich breche den Vorgang ab.
+Die Knochen des Dinosauriers sind alt.
+Les singes vivent dans la forêt.
+Vous êtes les bienvenus.
+Morir de risa no es un error.
+La perra de mi tía es muy buena.
+Der Hund ist krank.
+The licking rate of the flame front was measured.
+A bunch of grapes, please.
+The gas chamber of the detector must be sealed.
+He rode the bus all night.
+Get your hands off the keyboard and take a break.
+Hope your kids enjoy the holidays.
+The dead dog joke was about the parser.
+All of you did a great job.
+Women are equal members of the team.
+The refugees are welcome here.
+Someone should review you PR.
+My ass hurts from sitting all day.
+Back to Mexico: our trip report.
+Liars and truth tellers is a logic puzzle.
+Rats are used in the lab.
+You need to be logged in.
+Moaning about the build does not help.
+The cheater detection flagged ten accounts.
+He swore he would fix it.
+I swear I will finish it today.
+What a dumb mistake I made.
+Die Sau wurde geschlachtet.
+Zigeunerschnitzel heisst jetzt anders.
+Les femmes travaillent en cuisine et en salle.
+Il est nul en maths, il le dit lui-même.
+No sirve para nada este script.
+Los parásitos infectan al huésped.
+The bitcoin price fell.
+Assholes is a word our filter must catch.
+The moron test is a mobile game.
+Everybody was killed in the game except you.
+Shoot the message over to ops.
 """
 
 
