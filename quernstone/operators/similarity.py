@@ -14,10 +14,11 @@ QUERY_BLOCK = 4096  # query vectors that are broadcast at once
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): the k rows of greatest dot product for each query row, ties to the lesser id.
+    """(query_id, id, score, rank): the k rows of greatest dot product for each query row, ties to the lesser id; rows without a vector neither ask nor answer.
 
     Queries go out in blocks of QUERY_BLOCK rows; each task keeps its own k best a query, so that only these are shuffled.
     """
+    queries = queries.filter(F.col(column).isNotNull())
     n = queries.count()
     out = None
     blocks = max(1, -(-n // QUERY_BLOCK))
