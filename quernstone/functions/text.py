@@ -22,6 +22,18 @@ def split_identifier(text: Column) -> Column:
     return F.transform(_split(text), lambda t: F.lower(t))
 
 
+_CAPITALS = [bytes([c]) for c in range(ord("A"), ord("Z") + 1)]
+_OTHERS = bytes(c if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
+
+
+def identifier_words(text: str) -> list[str]:
+    """What split_identifier gives, within a Python kernel."""
+    raw = text.encode().translate(_OTHERS)
+    for c in _CAPITALS:
+        raw = raw.replace(c, b" " + c.lower())
+    return raw.decode("ascii").split()
+
+
 def split_keep_case(text: Column) -> Column:
     """Parts of an identifier in their case."""
     return _split(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quernstone.runtime import cut
 
 MINHASH_SLOTS = 128
+SIGN_ROWS, MIN_ROWS = 512, 64  # rows that are signed at once, and rows whose hashes are
 _M = 1 << 32
 QUERY_BLOCK = 4096  # query vectors that are broadcast at once
 
@@ -55,37 +59,60 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def minhash(df: DataFrame, key: str, tokens: str, slots: int = MINHASH_SLOTS) -> DataFrame:
-    """(key, signature): minima over the distinct tokens of `slots` hashes; rows without tokens are left out.
+WORDS = 200_000  # words whose folds a task remembers
+
+
+def minhash(df: DataFrame, key: str, tokens: str, slots: int = MINHASH_SLOTS, words: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(key, signature): minima over the distinct tokens of `slots` hashes; rows without tokens are left out. `tokens` is a text where `words` tells its tokens.
 
     The hash of slot k folds h * 31 + c over the characters from seed k, modulo 2^32. As the fold is linear in its seed, a token needs one
-    fold for its constant part and one power of 31; the slots of all tokens are then one product of vectors.
+    fold for its constant part and one power of 31; the slots of all tokens are then one product of vectors. A token whose least hash is
+    above the greatest hash of another token of its row is the minimum of no slot, so few tokens of a row come to that product.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def sign(batches):
-        seeds = np.arange(1, slots + 1, dtype=np.uint64)
-        known: dict[str, tuple[int, int]] = {}
+        seeds = np.arange(1, slots + 1, dtype=np.uint32)
+        known: dict[str, int] = {}
+        parts = np.zeros((0, 4), np.uint32)  # of each known word: its fold, power of 31, least and greatest hash
 
         def fold(token):
             h, p = 0, 1
             for c in token:
                 h, p = (h * 31 + ord(c)) % _M, p * 31 % _M
-            if len(known) < 200_000:
-                known[token] = h, p
             return h, p
 
         for batch in batches:
-            keys, out = [], []
-            for k, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = [known.get(w) or fold(w) for w in set(words or ()) if w is not None]
-                if parts:
-                    hp = np.array(parts, dtype=np.uint64)
-                    keys.append(k)
-                    out.append(((hp[:, 1:] * seeds + hp[:, :1]) % np.uint64(_M)).min(axis=0).astype(np.int64))
-            if keys:
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, slots * len(out) + 1, slots, dtype=np.int32)), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), flat], [key, "signature"])
+            for at in range(0, batch.num_rows, SIGN_ROWS):
+                part = batch.slice(at, SIGN_ROWS)
+                lists = [[] if t is None else words(t) if words else [w for w in t if w is not None] for t in part.column(1).to_pylist()]
+                sizes = np.array([len(x) for x in lists])
+                full = np.flatnonzero(sizes)
+                if not len(full):
+                    continue
+                flat = list(chain.from_iterable(lists))
+                if len(known) > WORDS:
+                    known, parts = {}, parts[:0]
+                new = [w for w in set(flat) if w not in known]
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+                added = [parts]
+                for n in range(0, len(new), SIGN_ROWS):
+                    hp = np.array([fold(w) for w in new[n : n + SIGN_ROWS]], dtype=np.uint32)  # products of 32 bits are modulo 2^32
+                    every = hp[:, 1:] * seeds + hp[:, :1]
+                    added.append(np.column_stack([hp, every.min(axis=1), every.max(axis=1)]))
+                parts = np.concatenate(added)
+                mine = parts[np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))]
+                starts = np.cumsum(sizes[full]) - sizes[full]
+                keep = mine[:, 2] <= np.repeat(np.minimum.reduceat(mine[:, 3], starts), sizes[full])
+                kept = np.add.reduceat(keep, starts, dtype=np.int64)
+                ends = np.cumsum(kept)
+                few = mine[keep]
+                out = []
+                for n in range(0, len(full), MIN_ROWS):  # the product is made for some rows at once
+                    lo, hi = ends[n] - kept[n], ends[min(n + MIN_ROWS, len(full)) - 1]
+                    out.append(np.minimum.reduceat(few[lo:hi, 1:2] * seeds + few[lo:hi, :1], (ends - kept)[n : n + MIN_ROWS] - lo, axis=0))
+                flat_out = pa.ListArray.from_arrays(pa.array(np.arange(0, slots * len(full) + 1, slots, dtype=np.int32)), pa.array(np.concatenate(out).ravel().astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(full)), flat_out], [key, "signature"])
 
     return df.select(key, tokens).mapInArrow(sign, f"`{key}` {kind}, signature array<bigint>")
 
@@ -209,21 +236,29 @@ def shortened(signature: Column, stride: int, slots: int) -> Column:
     return F.slice(F.filter(signature, lambda _, i: i % stride == 0), 1, slots)
 
 
-SLICE = 2048  # documents that are compared with a block of queries at once
+SLICE = 2048  # signatures of documents that are compared with a block of queries at once
+CELLS = 1_000_000  # candidates that are put in order at once
 
 
 def minhash_nearest(signatures: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score): the k most alike documents of each query document, by the share of equal slots; ties to the lesser id, none without an equal slot.
+    """(query_id, doc_id, score): the k most alike documents of each query, by the share of equal slots; ties to the lesser id, none without an equal slot.
 
-    Signatures of the queries go out in blocks of QUERY_BLOCK; a task looks its documents' slots up among theirs and keeps its own k best a query, so that only
-    these are shuffled: neither slots nor values that many documents share move.
+    queries: (doc_id, signature); a query is not compared with the document of its own id. Equal signatures are compared once, those of queries and those of the documents of
+    a task: words of one letter have the least hashes, so many documents have one signature. Signatures of queries go out in blocks of QUERY_BLOCK; a task
+    keeps the best of each, so that only these are shuffled: neither slots nor values that many documents share move.
     """
-    keyed = signatures.filter("signature is not null").select("doc_id", "signature")
-    asked = keyed.join(queries.select("doc_id"), "doc_id", "left_semi")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    docs = signatures.filter("doc_id is not null and signature is not null").select("doc_id", "signature", F.lit(1).alias("copies"))
+    asked = cut(queries.filter("doc_id is not null and signature is not null").select("doc_id", "signature"))
+    own = _most(docs, asked)
+    if own > 1:  # rows of one id: equal ones become one with their number
+        docs = cut(docs.groupBy("doc_id", "signature").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies")))
+        own = _most(docs, asked)
+    most = k + own  # of these a query leaves out its own
+    distinct = cut(asked.select("signature").distinct().withColumn("ask", F.monotonically_increasing_id()))
+    blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
     out = None
     for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b).collect()
+        rows = distinct.filter(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == b).select("ask", "signature").collect()
         if not rows:
             continue
         q = np.array([r[1] for r in rows], dtype=np.int64)
@@ -232,34 +267,94 @@ def minhash_nearest(signatures: DataFrame, queries: DataFrame, k: int) -> DataFr
 
         def search(batches, bound=bound):
             names, values, places = bound.value
-            n, slots = values.shape
-            best_score, best_id = np.zeros((n, 0), np.uint8), np.zeros((n, 0), np.int64)
+            best = _Best(values, places, most, SLICE)
+            slots, groups = values.shape[1], {}
             for batch in batches:
-                every = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(every), slots)
-                by_id = np.argsort(every, kind="stable")
-                for at in range(0, len(every), SLICE):
-                    pick = by_id[at : at + SLICE]
-                    ids, d = every[pick], flat[pick]
-                    equal = np.zeros((n, len(ids)), np.uint8)
-                    for s in range(slots):
-                        lo, hi = np.searchsorted(values[:, s], d[:, s], "left"), np.searchsorted(values[:, s], d[:, s], "right")
-                        count = hi - lo
-                        of = np.repeat(np.arange(len(ids)), count)
-                        slot = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-                        equal[places[slot, s], of] += 1
-                    equal[names[:, None] == ids[None, :]] = 0
-                    score = np.concatenate([best_score, equal], axis=1)
-                    ident = np.concatenate([best_id, np.broadcast_to(ids, equal.shape)], axis=1)
-                    first = np.lexsort((ident, 255 - score), axis=1)[:, :k]
-                    best_score, best_id = np.take_along_axis(score, first, 1), np.take_along_axis(ident, first, 1)
-            who, col = np.nonzero(best_score)
+                ids, copies = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+                raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
+                width = 8 * slots
+                for i, pair in enumerate(zip(ids, copies)):
+                    group = groups.setdefault(raw[i * width : (i + 1) * width], [])
+                    group.append(pair)
+                    if len(group) >= 8 * most:
+                        group.sort()
+                        del group[most:]
+                if len(groups) >= SLICE:
+                    best.meet(groups)
+                    groups = {}
+            best.meet(groups)
+            who, col = np.nonzero(best.score)
             if len(who):
-                yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(best_id[who, col]), pa.array(best_score[who, col] / slots)], ["query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(best.ident[who, col]), pa.array(best.score[who, col] / slots), pa.array(best.copies[who, col])], ["ask", "doc_id", "score", "copies"])
 
-        found = keyed.mapInArrow(search, "query_id bigint, doc_id bigint, score double")
+        found = docs.mapInArrow(search, "ask bigint, doc_id bigint, score double, copies int")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return signatures.sparkSession.createDataFrame([], "query_id bigint, doc_id bigint, score double")
+    first = Window.partitionBy("ask").orderBy(F.desc("score"), F.asc("doc_id"))
+    near = out.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most).drop("n")
+    who = asked.join(distinct, "signature").groupBy(F.col("doc_id").alias("query_id"), "ask").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    pairs = near.join(who, "ask").filter("doc_id != query_id").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(F.col("copies") * F.col("times"), F.lit(k)))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return out.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("query_id", "doc_id", "score")
+    return pairs.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("query_id", "doc_id", "score")
+
+
+def _most(docs: DataFrame, asked: DataFrame) -> int:
+    """Rows of the id of a query, at most. Only ids move."""
+    return docs.select("doc_id").join(asked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+class _Best:
+    """The `most` best documents of each query signature among those met: equal slots (0: none), id and copies, the best first."""
+
+    def __init__(self, values: np.ndarray, places: np.ndarray, most: int, width: int):
+        """values: the signatures, sorted in each slot; places: whose they are; width: signatures of documents that meet them at once."""
+        self.values, self.places, self.width = values, places, width
+        n, slots = values.shape
+        self.codes = np.empty((slots, n), np.int32)  # of each signature, the first place of its value in the sorted slot
+        for s in range(slots):
+            self.codes[s, places[:, s]] = np.searchsorted(values[:, s], values[:, s], "left")
+        self.score, self.ident, self.copies = np.zeros((n, most), np.int32), np.zeros((n, most), np.int64), np.zeros((n, most), np.int32)
+
+    def meet(self, groups: dict[bytes, list[tuple[int, int]]]) -> None:
+        """groups: (id, copies) of the documents of each signature."""
+        most, width = self.score.shape[1], self.width
+        for group in groups.values():
+            group.sort()
+            del group[most:]
+        by_id = sorted(groups.items(), key=lambda g: g[1][0])
+        for at in range(0, len(by_id), width):
+            part = by_id[at : at + width]
+            equal = self._equal(np.frombuffer(b"".join(g[0] for g in part), np.int64).reshape(len(part), -1))
+            wide = max(len(g[1]) for g in part)
+            ids, copies = np.zeros((len(part), wide), np.int64), np.zeros((len(part), wide), np.int32)
+            for i, (_, group) in enumerate(part):
+                ids[i, : len(group)], copies[i, : len(group)] = zip(*group)
+            live = np.flatnonzero((equal >= np.maximum(self.score[:, -1:], 1)).any(axis=1))
+            take = min(most, len(part))  # a document of the best is of one of so many groups, by score and least id
+            step = max(1, CELLS // max(take * wide, len(part)))
+            for r in range(0, len(live), step):
+                rows = live[r : r + step]
+                rank = equal[rows].astype(np.int32) * width + np.arange(width - 1, width - 1 - len(part), -1, dtype=np.int32)
+                rank = np.partition(rank, len(part) - take, axis=1)[:, len(part) - take :]
+                j = width - 1 - rank % width
+                many = copies[j].reshape(len(rows), -1)
+                score = np.where(many > 0, np.repeat(rank // width, wide, axis=1), 0)
+                held = [np.concatenate(x, axis=1) for x in ((self.score[rows], score), (self.ident[rows], ids[j].reshape(len(rows), -1)), (self.copies[rows], many))]
+                first = np.lexsort((held[1], -held[0]), axis=1)[:, :most]
+                self.score[rows], self.ident[rows], self.copies[rows] = (np.take_along_axis(x, first, 1) for x in held)
+
+    def _equal(self, d: np.ndarray) -> np.ndarray:
+        """Equal slots of each query signature and each row of d."""
+        n, slots = self.values.shape
+        equal = np.zeros((n, len(d)), np.min_scalar_type(slots))
+        for s in range(slots):
+            lo, hi = np.searchsorted(self.values[:, s], d[:, s], "left"), np.searchsorted(self.values[:, s], d[:, s], "right")
+            count = hi - lo
+            if count.sum() * 8 > equal.size:
+                equal += self.codes[s][:, None] == np.where(count > 0, lo, -1).astype(np.int32)[None, :]
+                continue
+            of = np.repeat(np.arange(len(d)), count)
+            slot = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            equal[self.places[slot, s], of] += 1
+        return equal

@@ -130,7 +130,7 @@ SELECT doc_id, list_transform(range(1, 129), lambda k: list_min(list_transform(f
 
 def signatures(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("text is not null")
-    return S.minhash(d.select("doc_id", X.split_identifier(F.col("text")).alias("t")), "doc_id", "t")
+    return S.minhash(d, "doc_id", "text", words=X.identifier_words)
 
 
 @query(sql=f"SELECT doc_id, array_to_string(signature, ',') AS signature FROM {_SIGN_SQL}")
@@ -153,7 +153,7 @@ WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score
 def w05_minhash_rank(spark, sf_dir):
     """The ten documents most alike each document whose id is divisible by 100."""
     s = stored(spark, sf_dir, "signatures", ("documents",), lambda: signatures(spark, sf_dir))
-    return S.minhash_nearest(s, s.filter("doc_id % 100 = 0").select("doc_id"), 10).withColumn("score", F.round("score", 6))
+    return S.minhash_nearest(s, s.filter("doc_id % 100 = 0"), 10).withColumn("score", F.round("score", 6))
 
 
 @query(sql=f"WITH {_INDEX_SQL}, {bm25_sql()} SELECT h.doc_id, round(h.score * CASE WHEN coalesce(c.weight, 0) = 0 OR isnan(c.weight) THEN 1 ELSE c.weight END, 6) AS score FROM hits h JOIN {CHUNKS_SQL} c ON h.doc_id = c.id ORDER BY 2 DESC, 1 LIMIT 50")
